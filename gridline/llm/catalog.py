@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridline.llm import mixing, packing, sharding
+from gridline.llm import chat, mixing, packing, quality, sharding
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
         "op6_mixing": mixing.op6_mixing,
+        "op8_chat": chat.op8_chat,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op8_chat": chat.OP8_SQL, "op10_quality": quality.OP10_SQL}
