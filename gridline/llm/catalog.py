@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridline.llm import chat, mixing, packing, quality, sharding
+from gridline.llm import chat, language, mixing, packing, quality, sharding, tokens
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
         "op6_mixing": mixing.op6_mixing,
+        "op7_tokens": tokens.op7_tokens,
         "op8_chat": chat.op8_chat,
+        "op9_language": language.op9_language,
         "op10_quality": quality.op10_quality,
     }
 
