@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridline.llm import chat, language, mixing, packing, quality, sharding, tokens
+from gridline.llm import chat, language, mixing, packing, quality, search, sharding, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_search": search.op1_search,
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
         "op6_mixing": mixing.op6_mixing,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": mixing.OP6_SQL, "op8_chat": chat.OP8_SQL, "op10_quality": quality.OP10_SQL}
+    return {"op1_search": search.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op8_chat": chat.OP8_SQL, "op10_quality": quality.OP10_SQL}
