@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridline.llm import chat, language, mixing, packing, quality, search, sharding, simhash, tokens
+from gridline.llm import chat, language, mixing, packing, quality, search, secrets, sharding, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op1_search": search.op1_search,
         "op2_simhash": simhash.op2_simhash,
+        "op3_secrets": secrets.op3_secrets,
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
         "op6_mixing": mixing.op6_mixing,

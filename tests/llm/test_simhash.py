@@ -89,6 +89,6 @@ def test_components_of_a_path(spark):
 def test_nulls_ties_and_copies(spark):
     rows = [(5, "same text here now"), (2, "SAME text\nhere now"), (9, None), (7, ""), (None, "lonely words in here"), (None, None), (2, "SAME text\nhere now")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
-    got = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(docs).collect())
-    assert got == sorted([("5", 2), ("2", 2), ("2", 2), ("9", 7), ("7", 7), ("None", 7), ("None", None)])
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([("5", "2"), ("2", "2"), ("2", "2"), ("9", "7"), ("7", "7"), ("None", "7"), ("None", "None")])
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
