@@ -21,16 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
-    The folder is the one that the session names in spark.checkpoint.dir; only
-    where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset (tests on one machine) a temporary folder is used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridline-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -41,6 +41,50 @@ def levels(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
     return served.withColumn("target", wanted).drop("_cap", "_ratio", "_level")
 
 
+def place(seed: str) -> Column:
+    """A document's place in the order of its source: a seeded hash of doc_id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """A row for each source of sized(doc_id, source, size, _key): what the mix takes of it.
+
+    _whole copies of every document and one more of those before _end in the
+    order (_key, doc_id, size). The order is found in two levels: sums over
+    4096 slices of the hash tell which slice the fraction ends in, and only
+    that slice is sorted.
+    """
+    slices = cut(sized.groupBy("source", F.substring("_key", 1, 3).alias("_slice")).agg(F.sum("size").alias("_words")))
+    per_source = slices.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    dealt = per_source.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (number % len(weights) + 1).cast("int")))
+    targets = levels(dealt, share, max_epochs).select(
+        F.col("source").alias("_source"),
+        "source_size",
+        "target",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("_whole"),
+    )
+    targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    same_source = F.col("source").eqNullSafe(F.col("_source"))
+    upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_slice"))
+    ended = slices.withColumn("_upto", upto).join(targets, same_source).where(F.col("_upto") > F.col("_rest"))
+    ended = ended.groupBy("_source", "source_size", "target", "_whole", "_rest").agg(
+        F.min_by(F.struct(F.col("_slice").alias("at"), (F.col("_upto") - F.col("_words")).alias("before")), "_slice").alias("_cut")
+    )
+    ended = cut(ended)
+    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sized.join(small(ended), same_source).where(F.substring("_key", 1, 3) == F.col("_cut.at"))
+    earlier = F.col("_cut.before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    first_out = inside.withColumn("_earlier", earlier).where(F.col("_earlier") + F.col("size") / 2 > F.col("_rest"))
+    ends = first_out.groupBy("source").agg(F.min(F.struct("_key", "doc_id", "size")).alias("_end"))
+    ends = ends.select(F.col("source").alias("_s"), "_end")
+    # a slice of which every document is in ends behind all keys that begin with it
+    behind = F.struct(F.concat("_cut.at", F.lit("g")).alias("_key"), F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("size"))
+    whole = ended.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "_whole", F.coalesce("_end", F.when(F.col("_cut").isNotNull(), behind)).alias("_end"))
+    rest = targets.select("_source", "source_size", "target", "_whole").join(whole.select(F.col("_source").alias("_s"), "_end"), F.col("_source").eqNullSafe(F.col("_s")), "left")
+    return cut(rest.drop("_s"))
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -50,54 +94,28 @@ def mix(
     seed: str = SEED,
     keep: tuple[str, ...] = ("doc_id", "source"),
 ) -> DataFrame:
-    """For every row of docs: size, source_size, target and epochs (whole copies).
+    """keep (with doc_id and source), size, source_size, target, epochs of every row.
 
     Each source takes floor(target / source_size) copies of every document, and
     one more of the documents that come first in the order of a seeded hash of
     doc_id, until the fraction is reached: a document is in if its middle word
-    is. So a source misses its target by half a document at most.
-
-    Only keep (which must hold doc_id and source) and the sizes are carried
-    along; they're computed once. The order inside a source is found in two
-    levels: sums over 4096 slices of the hash tell which slice the fraction ends
-    in, and only that slice is sorted. A null source is a source of its own,
-    null doc_ids share a place in the order, a source without words has target
-    0; an empty table gives an empty one. Rows that tie are equal in doc_id and
-    size, so that reruns give the same rows.
+    is. So a source misses its target by half a document at most. epochs are
+    the whole copies of a row.
+
+    Ids, sources and sizes are computed once and kept for the plan, a row for
+    each source; the rows themselves only meet the plan, as a broadcast where
+    there are few sources. A null source is a source of its own, null doc_ids
+    share a place in the order, a source without words has target 0; an empty
+    table gives an empty one. Rows that tie are equal in doc_id and size, so
+    that reruns give the same rows.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = cut(docs.select(*keep, size.alias("size"), key.alias("_key")))
-    slices = sized.groupBy("source", F.substring("_key", 1, 3).alias("_slice")).agg(F.sum("size").alias("_words"))
-    per_source = slices.groupBy("source").agg(F.sum("_words").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    dealt = per_source.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
-    targets = levels(dealt, share, max_epochs).select(
-        F.col("source").alias("_source"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("_whole"),
-    )
-    targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    below = Window.partitionBy("source").orderBy("_slice")
-    ended = (
-        slices.withColumn("_end", F.sum("_words").over(below))
-        .join(targets.select("_source", "_rest"), F.col("source").eqNullSafe(F.col("_source")))
-        .where(F.col("_end") > F.col("_rest"))
-        .groupBy("_source")
-        .agg(F.min_by(F.struct(F.col("_slice").alias("at"), (F.col("_end") - F.col("_words")).alias("before")), "_slice").alias("_cut"))
-    )
-    ended = ended.select(F.col("_source").alias("_s"), "_cut")
-    plan = cut(targets.join(ended, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
-    rows = sized.join(small(plan), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_slice", F.substring("_key", 1, 3))
-    clear = rows.where(F.col("_cut").isNull() | (F.col("_slice") != F.col("_cut.at"))).withColumn(
-        "_more", (F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut.at"))).cast("long")
-    )
-    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    split = rows.where(F.col("_slice") == F.col("_cut.at"))
-    earlier = F.col("_cut.before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    split = split.withColumn("_more", (earlier + F.col("size") / 2 <= F.col("_rest")).cast("long"))
-    both = clear.unionByName(split)
-    return both.select(*keep, "size", "source_size", "target", (F.col("_whole") + F.col("_more")).alias("epochs"))
+    narrow = set(keep) <= {"doc_id", "source"}
+    sized = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), place(seed).alias("_key")))
+    found = plan(sized, weights, share, max_epochs)
+    rows = sized if narrow else docs.select(*keep, size.cast("long").alias("size"), place(seed).alias("_key"))
+    joined = rows.join(small(found), F.col("source").eqNullSafe(F.col("_source")), "left")
+    more = F.coalesce(F.struct("_key", "doc_id", "size") < F.col("_end"), F.lit(False))
+    return joined.select(*keep, "size", "source_size", "target", (F.col("_whole") + more.cast("long")).alias("epochs"))
 
 
 def repeat(rows: DataFrame) -> DataFrame:
