@@ -23,9 +23,11 @@ from gridline.llm.simhash import fingerprint, links, shingles
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Least hashes in a sketch: sets up to this size are compared exactly, larger
-#: ones with a standard error of 0.025 at a similarity of 0.8.
+#: Least hashes in a sketch. Smaller sets are compared exactly; of larger ones
+#: the similarity is estimated with a standard error of 0.025 at 0.8, and pairs
+#: nearer to the limit than UNSURE (four such errors) are compared in full.
 SKETCH = 256
+UNSURE = 0.1
 _ODD = np.random.default_rng(2024).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -43,11 +45,11 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of two sets, from their sketches."""
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """The Jaccard similarity of two sets, from their sketches of at most size hashes."""
     both = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        both = both[:SKETCH]
+    if len(a) >= size or len(b) >= size:
+        both = both[:size]
     common = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
     return float(common.mean()) if len(both) else 1.0
 
@@ -88,19 +90,50 @@ def hub_links(posted: DataFrame) -> DataFrame:
     return linked.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs a, b whose sketches(node, sketch) are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, kind: str, size: int) -> DataFrame:
+    """a, b, sim, exact of the pairs a, b; sets(node, set) holds packed hashes of type kind."""
 
     def run(batches):
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            close = [similarity(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(close, pa.bool_()))
+            found = []
+            for p, q in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(p.as_py(), kind), np.frombuffer(q.as_py(), kind)
+                found.append((similarity(x, y, size), len(x) < size and len(y) < size))
+            sims, exact = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), pa.array(exact, pa.bool_())], names=["a", "b", "sim", "exact"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = sketches.join(small(ends), "node", "left_semi")
-    both = pairs.join(needed.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(needed.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, sim double, exact boolean")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return small(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+
+
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node, set: all 64-bit shingle hashes of every row, ascending."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.frombuffer(shingles(t.as_py() or b"", words), ">u8").astype(np.uint64)).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary")
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs a, b of similarity least or more.
+
+    Sketches settle all pairs of small sets and all that are far from the
+    limit; only the texts of the others are read again.
+    """
+    first = cut(compared(pairs, sketches.join(ends_of(pairs), "node", "left_semi"), "u4", SKETCH))
+    sure = first.where((F.col("exact") & (F.col("sim") >= least)) | (F.col("sim") >= least + UNSURE))
+    unsure = first.where(~F.col("exact") & (F.col("sim") < least + UNSURE) & (F.col("sim") >= least - UNSURE)).select("a", "b")
+    again = docs.join(ends_of(unsure).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    full = compared(unsure, full_sets(again, words), "u8", 1 << 62).where(F.col("sim") >= least)
+    return sure.select("a", "b").unionByName(full.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -123,7 +156,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     named = by_print.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     same = kept.join(firsts.withColumnRenamed("node", "f"), "fp").where("node != f").select(F.col("f").alias("a"), F.col("node").alias("b"))
     pairs = banded.unionByName(named.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).unionByName(same).distinct()
-    roots = components(verified(cut(pairs), kept.select("node", "sketch"), least))
+    sketches = kept.select("node", F.col("sketch").alias("set"))
+    roots = components(verified(cut(pairs), sketches, docs.select("doc_id", "text"), words, least))
     rooted = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
     return printed.select("doc_id", "k1", "k2").join(rooted, ["k1", "k2"]).select("doc_id", "component_id")
 
