@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with its DuckDB text if there is one."""
-
-    def keep(query: Query) -> Query:
-        _QUERIES[name] = query
-        if oracle is not None:
-            _ORACLES[name] = oracle
-        return query
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from gridline.plans import layout_queries, record_queries, table_queries, text_queries  # noqa: F401 - they register their queries
+from gridline.plans.register import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
