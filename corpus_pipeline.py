@@ -20,18 +20,22 @@ from gridline.llm import common, language, mixing, packing, secrets, similar
 LEAST_SCORE = 0.25
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """What operators read, and the row itself as a struct, so that no other column's name matters."""
+    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or close to no learned language.
 
     Null texts go; where no document has a language to learn from, no document
     can be judged and all with text stay.
     """
-    columns = docs.columns
     profiles = language.learn(docs)
     if not profiles.names:
         return docs.where(F.col("text").isNotNull())
-    found = language.predict(docs, profiles, tuple(columns))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    found = language.predict(whole(docs), profiles, ("_row",))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents so that sources reach their target words."""
-    mixed = mixing.mix(docs, common.word_count(F.col("text")), keep=tuple(docs.columns))
-    return mixing.repeat(mixed.select(*docs.columns, "epochs")).select(*docs.columns)
+    mixed = mixing.mix(whole(docs), common.word_count(F.col("text")), keep=("doc_id", "source", "_row"))
+    return mixing.repeat(mixed.select("_row", "epochs")).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

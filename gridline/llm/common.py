@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_columns(df: DataFrame, keep: tuple[str, ...], added: str) -> StructType:
+    """The schema of keep's columns of df and of added (DDL)."""
+    return StructType([*[df.schema[c] for c in keep], *StructType.fromDDL(added)])
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridline.llm.common import table
+from gridline.llm.common import table, with_columns
 
 #: N-grams in a profile; a missing one is this far out of place.
 RANKS = 300
@@ -98,7 +98,7 @@ def learn(docs: DataFrame, ranks: int = RANKS, learn_docs: int = LEARN_DOCS) ->
     them, drawn by a hash of doc_id, of expected size learn_docs; the others
     from all. The driver gets ranks rows for each language.
     """
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    usable = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     share = usable.groupBy(F.col("lang").alias("_lang")).agg(F.least(F.lit(1.0), learn_docs / F.count(F.lit(1))).alias("_share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("learn"), "doc_id"), 11) * F.lit(2.0**-53)
     drawn = usable.join(share, F.col("lang") == F.col("_lang")).where((draw < F.col("_share")) & F.col("text").isNotNull()).select("lang", "text")
@@ -134,8 +134,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
             found = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names=[*keep, "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
+    schema = with_columns(docs, keep, "lang_pred string, score double")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridline.llm.common import table
+from gridline.llm.common import table, with_columns
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -142,8 +142,7 @@ def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
             columns = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_bytes", "n_tokens"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_bytes long, n_tokens long"
+    schema = with_columns(docs, keep, "n_bytes long, n_tokens long")
     counted = docs.select(*keep, "text").mapInArrow(count, schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > max_tokens)
 
