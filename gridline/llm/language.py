@@ -111,7 +111,7 @@ def learn(docs: DataFrame, ranks: int = RANKS, learn_docs: int = LEARN_DOCS) ->
                 for g, n in zip(*(x.tolist() for x in grams(text)), strict=True):
                     own[g] = own.get(g, 0) + n
         for lang, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
 
     counted = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
