@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridline.sources import office, text  # noqa: F401 - they register their readers
-from gridline.sources.registry import reader
+from gridline.sources.registry import readers, suffix
 
 SCHEMA = "path string, status string, error string, table_id int, table_name string, row_idx int, cells array<string>"
 
@@ -20,11 +20,13 @@ def read_files(files: DataFrame) -> DataFrame:
     scan has no shuffle.
     """
 
+    known = readers()
+
     def run(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                read = reader(path)
+                read = known.get(suffix(path))
                 if read is None:
                     out.append((path, "unsupported", None, None, None, None, None))
                     continue

@@ -25,5 +25,10 @@ def suffix(path: str) -> str:
     return "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
 
 
+def readers() -> dict[str, Reader]:
+    """All readers by suffix, to be carried to the workers."""
+    return dict(_READERS)
+
+
 def reader(path: str) -> Reader | None:
     return _READERS.get(suffix(path))
