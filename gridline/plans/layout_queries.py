@@ -15,7 +15,7 @@ KEY = ["l_orderkey"]
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     x1, y1 = (F.col("l_partkey") * 37 % 1100).cast("double"), (F.col("l_suppkey") * 53 % 700).cast("double")
-    idx = F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    idx = (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")
     text = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
     boxes = items.select("l_orderkey", idx.alias("block_idx"), x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.col("l_quantity") * 3).alias("x2"), (y1 + 15 + F.col("l_partkey") % 20).alias("y2"), text.alias("text"))
     return boxes
@@ -31,7 +31,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BOXES = """
 b AS (
-  SELECT l_orderkey, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS block_idx, (l_partkey * 37 % 1100)::DOUBLE AS x1, (l_suppkey * 53 % 700)::DOUBLE AS y1,
+  SELECT l_orderkey, (l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS block_idx, (l_partkey * 37 % 1100)::DOUBLE AS x1, (l_suppkey * 53 % 700)::DOUBLE AS y1,
     (l_partkey * 37 % 1100)::DOUBLE + 20 + l_quantity * 3 AS x2, (l_suppkey * 53 % 700)::DOUBLE + 15 + l_partkey % 20 AS y2, l_returnflag || l_linenumber AS text
   FROM lineitem
 ), c AS (
@@ -97,8 +97,8 @@ def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "pivot_reconstruct",
     f"""WITH {_BOXES}, {_GAPS}, k AS (
-      SELECT b.l_orderkey, block_idx, y1, any_value(text) AS text, CAST(count(boundary) AS INTEGER) AS col_idx
-      FROM b LEFT JOIN bounds ON bounds.l_orderkey = b.l_orderkey AND (x1 + x2) / 2 > boundary GROUP BY b.l_orderkey, block_idx, y1
+      SELECT b.l_orderkey, block_idx, y1, text, CAST(coalesce(len(list_filter(l, lambda z: (x1 + x2) / 2 > z)), 0) AS INTEGER) AS col_idx
+      FROM b LEFT JOIN (SELECT l_orderkey, list(boundary) AS l FROM bounds GROUP BY ALL) q ON q.l_orderkey = b.l_orderkey
     ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, col_idx ORDER BY y1, block_idx) - 1 AS INTEGER) AS row_idx FROM k),
     z AS (SELECT l_orderkey, max(row_idx) AS mr, max(col_idx) AS mc FROM r GROUP BY ALL),
     grid AS (SELECT l_orderkey, row_idx, unnest(range(0, mc + 1)) AS col_idx FROM (SELECT l_orderkey, mc, unnest(range(0, mr + 1)) AS row_idx FROM z))
