@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridline.llm.common import gapless_rank, table, word_count
+from gridline.llm.common import cut, gapless_rank, table, word_count
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
@@ -72,11 +72,10 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
     is dropped. Rows are dealt to batches by a hash of doc_id, so the rows of a
     batch are spread over the corpus. An empty table gives an empty one.
     """
-    cells = cell(F.coalesce(length, F.lit(0)).cast("long"))
-    histogram = docs.select(F.coalesce(length, F.lit(0)).cast("long").alias("n"), cells.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("longest")).orderBy("c").collect()
+    sized = cut(docs.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
+    histogram = sized.groupBy(cell(F.col("n_tokens")).alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.max("n_tokens").alias("longest")).orderBy("c").collect()
     ends = boundaries([r["longest"] for r in histogram], [r["rows"] for r in histogram], buckets) if histogram else [0]
     array = F.array(*[F.lit(e).cast("long") for e in ends])
-    sized = docs.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"))
     bucket = F.size(F.filter(array, lambda e: e < F.col("n_tokens")))
     placed = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(array, F.col("bucket") + 1))
     ranked = gapless_rank(placed, "bucket", [*keep, "n_tokens"], [*keep, "n_tokens"], "_rank", buckets)
