@@ -310,3 +310,22 @@ def narrative(row: Column, extended: bool) -> Column:
         F.lit("8. Валидирую результат разбора. Все необходимые поля заполнены корректно."),
     ]
     return F.concat_ws("\n", *lines)
+
+
+def log_row(name: Column, quantity: Column, unit: Column) -> Column:
+    """A row of a purchase log as an extended target row: codes, words before them, a capitalised word as maker."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    code_found = codes(name, LOG_CODES)
+    own = F.when(code_found != "", words_before_code(split_words(name))).otherwise(name)
+    maker_ = F.filter(split_words(own), lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 2) & ~w.rlike(r"^[A-Z]+\d+") & ~w.isin(*MAKER_STOP_WORDS))
+    one = lambda p, g=1: F.nullif(F.regexp_extract(name, p, g), F.lit(""))
+    size = F.concat(F.lit("Размеры: ø"), one(SIZES), F.lit(" x "), one(SIZES, 2))
+    across = F.concat(F.lit("Диаметр: ø"), one(PARAMETERS["диаметр"]), F.lit(" мм"))
+    return F.struct(
+        code_found.alias("Обозначение"),
+        own.alias("Наименование"),
+        blank(F.get(maker_, F.lit(0))).alias("Производитель"),
+        F.when(F.trim(blank(unit)) == "", "шт.").otherwise(unit).alias("Единица измерения"),
+        blank(quantity).alias("Количество"),
+        F.coalesce(size, across, F.lit("")).alias("Техническое задание"),
+    )

@@ -61,7 +61,7 @@ def safe_stem(stem: Column) -> Column:
 
 
 def numbered_name(stem: Column, index: Column, suffix: Column) -> Column:
-    return F.concat(safe_stem(stem), F.lit("_"), F.lpad(index.cast("string"), 3, "0"), F.lower(suffix))
+    return F.concat(safe_stem(stem), F.lit("_"), F.format_string("%03d", index.cast("long")), F.lower(suffix))
 
 
 def signature(name: Column, content: Column) -> Column:
@@ -192,3 +192,21 @@ def prompt_text(record: Column, number: Column) -> Column:
 def sheet_name(name: Column) -> Column:
     """Letters, digits, spaces, hyphens and underscores only."""
     return F.rtrim(F.regexp_replace(name, r"[^\p{L}\p{N} _-]", ""))
+
+
+def as_list(values: Column) -> Column:
+    """An array; null is an empty one."""
+    return F.coalesce(values, F.array())
+
+
+def filled_template(template: str, **values: Column) -> Column:
+    """A template whose {names} are replaced by columns; null is empty, other braces stay."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def pretty(value: Column) -> Column:
+    """A struct, array or map as indented JSON."""
+    return F.to_json(value, {"pretty": "true"})

@@ -31,3 +31,23 @@ def summary(results: DataFrame, by: str = "mode") -> DataFrame:
 def best(results: DataFrame, order: list[str], n: int = 3) -> DataFrame:
     """The n results of highest accuracy, ties by order: a top-n without a sort of all."""
     return results.orderBy(F.desc("accuracy"), *order).limit(n)
+
+
+FIELDS = ["name", "unit", "quantity", "spec"]
+
+
+def cases_of_columns(rows: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """input, expected struct<simplified, extended> from flat columns such as simplified_name.
+
+    Missing columns and nulls are empty; units default to `шт.`.
+    """
+    defaults = defaults or {"unit": "шт."}
+    columns = set(rows.columns)
+
+    def value(mode: str, name: str) -> Column:
+        column = F.col(f"{mode}_{name}").cast("string") if f"{mode}_{name}" in columns else F.lit(None).cast("string")
+        return F.coalesce(F.nullif(column, F.lit("")), F.lit(defaults.get(name, ""))).alias(name)
+
+    simplified = F.struct(*[value("simplified", n) for n in FIELDS])
+    extended = F.struct(*[value("extended", n) for n in ["denotation", "manufacturer", *FIELDS]])
+    return rows.select(F.coalesce("input", F.lit("")).alias("input"), F.struct(simplified.alias("simplified"), extended.alias("extended")).alias("expected"))

@@ -86,3 +86,13 @@ def cards(entities: DataFrame, relations: DataFrame) -> DataFrame:
     near = neighbours(relations).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("ord", "neighbour"))).alias("_n"))
     listed = F.coalesce(F.transform("_n", lambda n: n["neighbour"]), F.array().cast("array<string>"))
     return entities.join(near, "name", "left").select("name", "type", "attributes", listed.alias("relations"))
+
+
+def save(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """Both relations as JSON lines."""
+    entities.write.mode("overwrite").json(f"{path}/entities")
+    relations.write.mode("overwrite").json(f"{path}/relations")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(ENTITY_SCHEMA).json(f"{path}/entities"), spark.read.schema(RELATION_SCHEMA).json(f"{path}/relations")

@@ -179,3 +179,44 @@ def header_band(line: Column, rules: Column, eps: float = 0.5) -> Column:
 
 def page_kind(has_text: Column, has_images: Column, failed: Column) -> Column:
     return F.when(failed, "error").when(has_text, "text").when(has_images, "scan").otherwise("unknown")
+
+
+def grid_of_words(words: DataFrame, columns: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row_idx, col_idx, text of every grid cell; words outside all cells vanish.
+
+    words: keys, word_idx, x0, top, text; columns and rows: keys, bounds, of
+    which neighbours enclose a half-open cell. A page's bounds are few, so a
+    word finds its cell by array functions, without a range join.
+    """
+    both = columns.select(*keys, F.col("bounds").alias("_x")).join(rows.select(*keys, F.col("bounds").alias("_y")), keys)
+    numbers = lambda b: F.when(F.size(b) > 1, F.sequence(F.lit(0), F.size(b) - 2)).otherwise(F.array().cast("array<int>"))
+    grid = both.select(*keys, "_x", F.explode(numbers(F.col("_y"))).alias("row_idx")).select(*keys, "row_idx", F.explode(numbers(F.col("_x"))).alias("col_idx"))
+    placed = words.join(both, keys).withColumn("col_idx", interval_of(F.col("x0"), F.col("_x"))).withColumn("row_idx", interval_of(F.col("top"), F.col("_y")))
+    cell = [*keys, "row_idx", "col_idx"]
+    texts = placed.where("row_idx IS NOT NULL AND col_idx IS NOT NULL").groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("word_idx", "text"))).alias("_w"))
+    texts = texts.select(*cell, F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"))
+    return grid.join(texts, cell, "left").na.fill("", ["text"])
+
+
+def has_table(labels: Column, blocks: Column) -> Column:
+    """True for a recognition result with a region labelled table and at least one text block."""
+    return F.coalesce(F.exists(labels, lambda x: x == "table") & (F.size(blocks) > 0), F.lit(False))
+
+
+def tables_of_results(results: DataFrame, keys: list[str], width: int = 1200, least: int = 10) -> DataFrame:
+    """keys, row_idx, col_idx, text of every result with a table.
+
+    results: keys, labels array<string>, blocks array<struct<x1, y1, x2, y2,
+    text>>, cell_boxes array<struct<x1, y1, x2, y2>> (null: none). Column
+    boundaries come from the blocks; texts from cells where there are any,
+    else from the blocks themselves.
+    """
+    kept = results.where(has_table(F.col("labels"), F.col("blocks")))
+    box = ["x1", "y1", "x2", "y2"]
+    blocks = kept.select(*keys, F.size(F.coalesce("cell_boxes", F.array())).alias("_cells"), F.posexplode("blocks").alias("block_idx", "_b"))
+    blocks = blocks.select(*keys, "_cells", "block_idx", *[F.col("_b")[c].cast("double").alias(c) for c in box], F.col("_b")["text"].alias("text"))
+    cells = kept.select(*keys, F.posexplode("cell_boxes").alias("cell_idx", "_c")).select(*keys, "cell_idx", *[F.col("_c")[c].cast("double").alias(c) for c in box])
+    filled = cell_texts(blocks, cells, blocks_in_cells(blocks, cells, keys), keys)
+    merged = cells.join(filled, [*keys, "cell_idx"]).select(*keys, F.col("cell_idx").alias("block_idx"), *box, "text")
+    plain = blocks.where("_cells = 0").select(*keys, "block_idx", *box, "text")
+    return reconstruct(merged.unionByName(plain), column_gaps(blocks, keys, width, least), keys)

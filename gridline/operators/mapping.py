@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -21,22 +22,31 @@ def json_schema(columns: list[str], name: str = "TableRow") -> dict:
     return {"$defs": {name: {"title": name, "type": "object", "properties": fields}}, "title": "StructuredOutput", "type": "object", "properties": {"rows": rows}, "required": ["rows"]}
 
 
-def ask(prompts: DataFrame, model: Callable[[list[str]], list[str | None]], attempts: int = 3) -> DataFrame:
+def retryable(error: Exception) -> bool:
+    """False where another try can't help: the account's limit is used up."""
+    return "rate_limit_exceeded" not in str(error)
+
+
+def ask(prompts: DataFrame, model: Callable[[list[str]], list[str | None]], attempts: int = 3, wait: float = 0.0, longest: float = 60.0) -> DataFrame:
     """prompts with answer and error; model answers a batch of prompts.
 
-    A batch that fails is tried again; then its rows carry the error and the
-    others go on.
+    A batch that fails is tried again after wait seconds, doubled each time up
+    to longest; then its rows carry the error and the others go on.
     """
 
     def run(batches):
         for pdf in batches:
             answers, error = [None] * len(pdf), None
-            for _ in range(attempts):
+            for n in range(attempts):
                 try:
                     answers, error = model(pdf["prompt"].tolist()), None
                     break
                 except Exception as e:  # noqa: BLE001 - any failure of a model is reported in its rows
                     error = str(e)
+                    if not retryable(e):
+                        break
+                    if wait and n + 1 < attempts:
+                        time.sleep(min(longest, wait * 2**n))
             yield pdf.assign(answer=pd.Series(answers, index=pdf.index, dtype=object), error=pd.Series([error] * len(pdf), index=pdf.index, dtype=object))
 
     schema = T.StructType([*prompts.schema, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])

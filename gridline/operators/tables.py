@@ -153,3 +153,22 @@ def semantic_header(cells: DataFrame, anchors: Column, keys: list[str], least: f
     best = F.array_max(F.transform(anchors, lambda a: cosine(a, F.col("embedding"))))
     scored = cells.withColumn("_s", best).groupBy(*keys).agg(F.avg("_s").alias("mean_sim"), F.avg((F.col("_s") >= least).cast("double")).alias("share"))
     return scored.withColumn("is_header", (F.col("mean_sim") >= least) & (F.col("share") >= share))
+
+
+def distinct_keys(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, names: all keys of a table's records, sorted, each once."""
+    names = records.select(*keys, F.explode(F.transform("rec", lambda e: e["key"])).alias("name")).distinct()
+    return names.groupBy(*keys).agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def unique_names(names: DataFrame, taken: DataFrame, order: str) -> DataFrame:
+    """names(stem, suffix, order) with column name: stem_001, stem_002, ... without those of taken(name).
+
+    Numbers of a stem continue behind its highest taken one, in order.
+    """
+    base, ext = X.safe_stem(F.col("stem")), F.lower("suffix")
+    used = taken.select(F.regexp_extract("name", r"^(.*)_(\d+)(\.[^.]*)?$", 1).alias("_b"), F.regexp_extract("name", r"^(.*)_(\d+)(\.[^.]*)?$", 2).alias("_n"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("_e"))
+    highest = used.where("_n <> ''").groupBy("_b", "_e").agg(F.max(F.col("_n").cast("int")).alias("_top"))
+    keyed = names.withColumn("_b", base).withColumn("_e", ext).join(highest, ["_b", "_e"], "left")
+    number = F.row_number().over(Window.partitionBy("_b", "_e").orderBy(order)) + F.coalesce("_top", F.lit(0))
+    return keyed.withColumn("name", F.concat("_b", F.lit("_"), F.format_string("%03d", number), "_e")).drop("_b", "_e", "_top")

@@ -100,3 +100,11 @@ def masked_labels(ids: Column, prompt_length: Column) -> Column:
     k = F.least(prompt_length, F.size(ids))
     head = F.array_repeat(F.lit(-100).cast("long"), k)
     return F.concat(head, F.slice(ids, k + 1, F.greatest(F.size(ids) - k, F.lit(0))))
+
+
+def aligned_sample(sheets: dict[str, DataFrame], keys: list[str], n: int, seed: str) -> dict[str, DataFrame]:
+    """The same n rows of every sheet: rows are drawn once and joined to each."""
+    first = next(iter(sheets.values())).select(*keys, "row_idx").distinct()
+    place = hash_order(F.concat_ws(":", *keys, "row_idx"), seed)
+    drawn = first.orderBy(place, *keys, "row_idx").limit(n)
+    return {name: df.join(drawn, [*keys, "row_idx"], "left_semi") for name, df in sheets.items()}

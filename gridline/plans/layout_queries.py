@@ -201,3 +201,20 @@ def header_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = L.page_kind(F.col("page_id") % 3 != 0, F.contains("html", F.lit("<b>")), F.col("page_id") % 9 == 8)
     return table(spark, sf_dir, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@register(
+    "word_grid",
+    """WITH w AS (SELECT l_orderkey, (l_partkey % 100)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y, (l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS n, l_returnflag || l_linenumber AS t FROM lineitem),
+    g AS (SELECT l_orderkey, r AS row_idx, c AS col_idx FROM (SELECT DISTINCT l_orderkey FROM w), (VALUES (0), (1)) a(r), (VALUES (0), (1), (2)) b(c)),
+    p AS (SELECT l_orderkey, CASE WHEN y >= 5 AND y < 25 THEN 0 WHEN y >= 25 AND y < 45 THEN 1 END AS row_idx, CASE WHEN x >= 0 AND x < 30 THEN 0 WHEN x >= 30 AND x < 60 THEN 1 WHEN x >= 60 AND x < 90 THEN 2 END AS col_idx, n, t FROM w)
+    SELECT g.l_orderkey, g.row_idx, g.col_idx, coalesce(string_agg(t, ' ' ORDER BY n), '') AS text FROM g LEFT JOIN p ON p.l_orderkey = g.l_orderkey AND p.row_idx = g.row_idx AND p.col_idx = g.col_idx GROUP BY ALL""",
+)
+def word_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _blocks(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem")
+    idx = (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")
+    words = items.select("l_orderkey", idx.alias("word_idx"), (F.col("l_partkey") % 100).cast("double").alias("x0"), (F.col("l_suppkey") % 50).cast("double").alias("top"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    pages = blocks.select("l_orderkey").distinct()
+    bounds = lambda *v: pages.select("l_orderkey", F.array(*[F.lit(float(x)) for x in v]).alias("bounds"))
+    return L.grid_of_words(words, bounds(0, 30, 60, 90), bounds(5, 25, 45), KEY)

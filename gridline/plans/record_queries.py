@@ -200,3 +200,38 @@ def upload_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", signature(F.col("lang"), F.col("text").cast("binary")).alias("sig"))
     return docs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+@register(
+    "unique_names",
+    r"""WITH n AS (SELECT page_id, 'page_' || split_part(url, '/', 4) AS stem FROM pages),
+    c AS (SELECT page_id, lower(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(stem), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'file')) AS b FROM n)
+    SELECT page_id, b || '_' || lpad(CAST(row_number() OVER (PARTITION BY b ORDER BY page_id) + CASE WHEN b = 'page_en' THEN 4 ELSE 0 END AS VARCHAR), greatest(3, length(CAST(row_number() OVER (PARTITION BY b ORDER BY page_id) + CASE WHEN b = 'page_en' THEN 4 ELSE 0 END AS VARCHAR))::INT, 3)::INT, '0') || '.html' AS name FROM c""",
+)
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.concat(F.lit("page_"), F.coalesce(F.get(F.split("url", "/"), F.lit(3)), F.lit("")))
+    names = table(spark, sf_dir, "pages").select("page_id", stem.alias("stem"), F.lit(".HTML").alias("suffix"))
+    taken = spark.createDataFrame([("page_en_004.html",), ("page_en_002.html",), ("other.html",)], "name string")
+    return T.unique_names(names, taken, "page_id").select("page_id", "name")
+
+
+@register(
+    "distinct_keys",
+    """WITH k AS (SELECT DISTINCT conv_id, unnest(['turn', role]) AS name FROM conversations) SELECT conv_id, string_agg(name, ',' ORDER BY name) AS names FROM k GROUP BY conv_id""",
+)
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    records = turns.select("conv_id", F.array(entry(F.lit("turn"), F.col("turn").cast("string")), entry(F.col("role"), F.col("text"))).alias("rec"))
+    return T.distinct_keys(records, ["conv_id"]).select("conv_id", F.array_join("names", ",").alias("names"))
+
+
+@register(
+    "aligned_sample",
+    """WITH s AS (SELECT o_orderkey FROM orders ORDER BY md5('align' || 'f:' || o_orderkey), o_orderkey LIMIT 50)
+    SELECT 'input' AS sheet, o_orderkey AS row_idx FROM s UNION ALL SELECT 'extended', o_orderkey FROM s JOIN customer ON c_custkey = o_orderkey""",
+)
+def aligned_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same 50 rows of two sheets: a sampling operator's own limit."""
+    drawn = R.aligned_sample(_sheets(spark, sf_dir), ["file"], 50, "align")
+    return drawn["input"].select(F.lit("input").alias("sheet"), "row_idx").unionByName(drawn["extended"].select(F.lit("extended").alias("sheet"), "row_idx"))

@@ -18,11 +18,11 @@ _ICONS = {".html": "🌐", ".pdf": "📕", ".txt": "📄"}
     "normalize_cells",
     r"""SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '\s+', ' ', 'g')) AS normalized,
       trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS pdf_cell,
-      regexp_matches(replace(replace(replace(text[1:12], '.', ''), ',', ''), '-', ''), '^\p{Nd}+$') AS numeric FROM documents""",
+      regexp_matches(replace(replace(replace(text, '.', ''), ',', ''), '-', ''), '^\p{Nd}+$') AS numeric FROM documents""",
 )
 def normalize_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.normalize(t).alias("normalized"), X.pdf_cell(t).alias("pdf_cell"), X.is_number(F.substring(t, 1, 12)).alias("numeric"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalize(t).alias("normalized"), X.pdf_cell(t).alias("pdf_cell"), X.is_number(t).alias("numeric"))
 
 
 @register(
@@ -43,11 +43,11 @@ _LATIN = "".join(x for _, x in _SINGLE)
 
 @register(
     "transliterate",
-    f"SELECT doc_id, translate(translate(lower(text[1:200]), 'abvgdez', 'абвгдез'), '{_CYRILLIC}', '{_LATIN}') AS latin FROM documents",
+    f"SELECT doc_id, translate(translate(lower(text), 'abvgdez', 'абвгдез'), '{_CYRILLIC}', '{_LATIN}') AS latin FROM documents",
 )
 def transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first letters of texts, spelt in Russian letters and back: a function of a name, not of a text."""
-    russian = F.translate(F.lower(F.substring("text", 1, 200)), "abvgdez", "абвгдез")
+    """Texts with some letters in Russian spelling, and back in Latin."""
+    russian = F.translate(F.lower("text"), "abvgdez", "абвгдез")
     return table(spark, sf_dir, "documents").select("doc_id", X.transliterate(russian).alias("latin"))
 
 
@@ -334,3 +334,17 @@ def catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = d.withColumn("r", row)
     last = F.element_at(F.split(E.narrative(F.col("r"), True), "\n"), -1)
     return out.select("p_partkey", F.col("r")["Наименование"].alias("name"), F.col("r")["Единица измерения"].alias("unit"), F.col("r")["Техническое задание"].alias("spec"), last.alias("last_line"))
+
+
+@register(
+    "log_rows",
+    f"""WITH {_DESCRIBED} SELECT p_partkey, 'Фреза Sandvik ' || p_name AS name, 'Фреза' AS maker, 'шт.' AS unit,
+      CASE WHEN p_partkey % 2 = 0 THEN 'Размеры: ø40 x ' || p_size ELSE 'Диаметр: ø' || p_size || ' мм' END AS spec FROM d""",
+)
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _described(spark, sf_dir)
+    size = F.col("p_size").cast("string")
+    tail = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" ø 40 x "), size)).otherwise(F.concat(F.lit(" ø"), size, F.lit(" мм")))
+    row = E.log_row(F.concat(F.lit("Фреза Sandvik "), F.col("p_name"), F.lit(" "), F.col("code"), tail), size, F.lit("  "))
+    out = d.select("p_partkey", row.alias("r"))
+    return out.select("p_partkey", F.col("r")["Наименование"].alias("name"), F.col("r")["Производитель"].alias("maker"), F.col("r")["Единица измерения"].alias("unit"), F.col("r")["Техническое задание"].alias("spec"))

@@ -50,3 +50,28 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 def statuses(rows: DataFrame) -> DataFrame:
     """status, files."""
     return rows.groupBy("status").agg(F.count_distinct("path").alias("files"))
+
+
+def pictures(files: DataFrame) -> DataFrame:
+    """path, name, content of every picture inside word-processor files; a broken file has none."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    out += [(path, name, data) for name, data in office.images(bytes(content))]
+                except Exception:  # noqa: BLE001, S112 - its status is read_files' matter
+                    continue
+            yield pd.DataFrame(out, columns=["path", "name", "content"])
+
+    words = files.where(F.lower("path").endswith(".docx"))
+    return words.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+
+
+def folder_size(files: DataFrame) -> DataFrame:
+    """One row: files, bytes, size (human-readable) of files(length)."""
+    from gridline.functions.text import human_size
+
+    total = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
+    return total.withColumn("size", human_size(F.col("bytes")))

@@ -130,3 +130,62 @@ def test_images(spark):
     angles = F.array(*[F.lit(float(a)) for a in (1, 2, 4, 80)])
     assert one(spark, I.skew(angles)) == 2.0 and one(spark, I.largest(angles, 2)) == [80.0]
     assert one(spark, I.scale_of(F.lit(368), F.lit(1000))) == 2.0
+
+
+def test_unique_names(spark):
+    names = spark.createDataFrame([("Отчёт", ".TXT", i) for i in range(1200)], "stem string, suffix string, n int")
+    taken = spark.createDataFrame([("otchet_002.txt",), ("otchet_900.pdf",)], "name string")
+    got = [r["name"] for r in T.unique_names(names, taken, "n").orderBy("n").collect()]
+    assert got[:2] == ["otchet_003.txt", "otchet_004.txt"] and got[-1] == "otchet_1202.txt" and len(set(got)) == 1200
+
+
+def test_cases(spark):
+    row = V.cases_of_columns(spark.createDataFrame([("in", "n", None)], "input string, simplified_name string, extended_unit string")).first()
+    assert row["expected"]["simplified"]["name"] == "n" and row["expected"]["extended"]["unit"] == "шт." and row["expected"]["extended"]["denotation"] == ""
+
+
+def test_retries(spark, tmp_path):
+    def limited(prompts):
+        with open(tmp_path / "calls", "a") as f:
+            f.write("x")
+        raise RuntimeError("rate_limit_exceeded")
+
+    assert M.ask(spark.createDataFrame([("p",)], "prompt string").coalesce(1), limited).first()["error"] == "rate_limit_exceeded"
+    assert (tmp_path / "calls").read_text() == "x"
+
+
+def test_results_with_tables(spark):
+    from gridline.operators import layout as L
+
+    rows = [
+        (1, ["table"], [(0.0, 0.0, 100.0, 10.0, "a"), (300.0, 0.0, 400.0, 10.0, "b"), (0.0, 20.0, 90.0, 30.0, "c")], None),
+        (2, ["text"], [(0.0, 0.0, 100.0, 10.0, "a")], None),
+        (3, ["table"], [(5.0, 5.0, 95.0, 15.0, "x"), (5.0, 25.0, 95.0, 35.0, "y")], [(0.0, 0.0, 100.0, 100.0), (200.0, 0.0, 300.0, 100.0)]),
+    ]
+    box = "x1:double,y1:double,x2:double,y2:double"
+    results = spark.createDataFrame(rows, f"doc int, labels array<string>, blocks array<struct<{box},text:string>>, cell_boxes array<struct<{box}>>")
+    got = {(r["doc"], r["row_idx"], r["col_idx"]): r["text"] for r in L.tables_of_results(results, ["doc"]).collect()}
+    assert got == {(1, 0, 0): "a", (1, 1, 0): "c", (1, 0, 1): "b", (1, 1, 1): "", (3, 0, 0): "x\ny", (3, 1, 0): ""}
+
+
+def test_graph_files(spark, tmp_path):
+    K.save(K.entities(spark), K.relations(spark), str(tmp_path))
+    entities, relations = K.load(spark, str(tmp_path))
+    assert entities.count() == 38 and K.add_relations(relations, K.relations(spark)).count() == 26
+
+
+def test_end_to_end(spark, tmp_path):
+    from gridline import pipeline
+    from gridline.sources.office import workbook
+
+    book = workbook({"S": [["Заявка", None, None], ["№", "Наименование", "Кол-во"], ["1", "Сверло ", "5"], [None, None, None], ["2", "Фреза;", "7"]]})
+    files = spark.createDataFrame([("a/b.xlsx", bytearray(book)), ("c.txt", bytearray(b"one line")), ("d.zzz", bytearray(b"x"))], "path string, content binary")
+
+    def model(prompts):
+        return [json.dumps({"rows": [{"Наименование": line.split(": ")[1].strip()} for line in p.split("\n") if line.startswith("  Наименование: ")]}) for p in prompts]
+
+    mapped, status = pipeline.process(files, model)
+    assert [r["Наименование"] for r in mapped.where("path = 'a/b.xlsx'").orderBy("pos").collect()] == ["Сверло", "Фреза"]
+    assert {r["path"]: r["status"] for r in status.collect()} == {"a/b.xlsx": "ok", "c.txt": "ok", "d.zzz": "unsupported"}
+    records = {(r["path"], r["row_idx"]): [tuple(e) for e in r["rec"]] for r in pipeline.clean_tables(pipeline.read_files(files)).collect()}
+    assert records["a/b.xlsx", 1] == [("№", "2"), ("Наименование", "Фреза "), ("Кол-во", "7")] and records["c.txt", 0] == [("Заголовок 1", "one line")]
