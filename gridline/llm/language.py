@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridline.llm.common import table, with_columns
+from gridline.llm.common import cut, small, table, with_columns
 
 #: N-grams in a profile; a missing one is this far out of place.
 RANKS = 300
@@ -96,12 +96,13 @@ def learn(docs: DataFrame, ranks: int = RANKS, learn_docs: int = LEARN_DOCS) ->
 
     A language with more than learn_docs documents is learned from a share of
     them, drawn by a hash of doc_id, of expected size learn_docs; the others
-    from all. The driver gets ranks rows for each language.
+    from all. Shares are a row per language, so texts are drawn where they're
+    read. The driver gets ranks rows for each language.
     """
     usable = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     share = usable.groupBy(F.col("lang").alias("_lang")).agg(F.least(F.lit(1.0), learn_docs / F.count(F.lit(1))).alias("_share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("learn"), "doc_id"), 11) * F.lit(2.0**-53)
-    drawn = usable.join(share, F.col("lang") == F.col("_lang")).where((draw < F.col("_share")) & F.col("text").isNotNull()).select("lang", "text")
+    drawn = usable.join(small(cut(share)), F.col("lang") == F.col("_lang")).where((draw < F.col("_share")) & F.col("text").isNotNull()).select("lang", "text")
 
     def count(batches):
         total: dict[str, dict[int, int]] = {}
