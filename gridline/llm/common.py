@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where that is unset (tests on one machine) a temporary folder is used.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridline-checkpoint-"))
     return named or context.getCheckpointDir()
@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark can write to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def with_columns(df: DataFrame, keep: tuple[str, ...], added: str) -> StructType:
     """The schema of keep's columns of df and of added (DDL)."""
     return StructType([*[df.schema[c] for c in keep], *StructType.fromDDL(added)])
