@@ -51,3 +51,13 @@ def cases_of_columns(rows: DataFrame, defaults: dict[str, str] | None = None) ->
     simplified = F.struct(*[value("simplified", n) for n in FIELDS])
     extended = F.struct(*[value("extended", n) for n in ["denotation", "manufacturer", *FIELDS]])
     return rows.select(F.coalesce("input", F.lit("")).alias("input"), F.struct(simplified.alias("simplified"), extended.alias("extended")).alias("expected"))
+
+
+def scored(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, accuracy, error of every expected record; one that wasn't predicted scores 0.
+
+    predicted: keys, predicted map, error; expected: keys, expected map.
+    """
+    joined = expected.join(predicted, keys, "left")
+    score = F.when(F.col("error").isNull(), accuracy(F.col("predicted"), F.col("expected"))).otherwise(0.0)
+    return joined.select(*keys, score.alias("accuracy"), "error")

@@ -120,3 +120,23 @@ def ambiguous(word: Column) -> Column:
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.substring(word, i, F.lit(1)) == "r")
     other = F.transform(places, lambda i: F.concat(F.substring(plain, F.lit(1), i - 1), F.lit("т"), F.substring(plain, i + 1, F.length(word))))
     return F.array_distinct(F.concat(F.array(plain), other))
+
+
+def canonical_brands(cells: DataFrame, keys: list[str], names: list[str] = BRANDS) -> DataFrame:
+    """keys, text: cells whose capitalised words are known brands in their usual spelling.
+
+    Words are looked up exactly, then at a ratio of 75; a found brand stands
+    between single spaces, none before punctuation. Null and empty cells stay.
+    """
+    brand = brands(cells.sparkSession, names)
+    parts = F.regexp_extract_all(F.regexp_replace("text", "([A-ZА-Я][a-zA-Zа-яА-Я]*)['’`ʹ]", "$1'"), F.lit(r"[A-ZА-Я][a-zA-Zа-яА-Я'\-]*|\s+|[^A-ZА-Я\s][^\s]*|[A-ZА-Я]"), 0)
+    tokens_ = cells.where(F.coalesce("text", F.lit("")) != "").select(*keys, F.posexplode(parts).alias("pos", "token"))
+    keyed = tokens_.withColumn("word", F.when(F.col("token").rlike("^[A-ZА-Я]"), X.brand_key(F.col("token"))))
+    exact = brand.select(F.col("term").alias("word"), "match")
+    left = keyed.select("word").where("word IS NOT NULL").distinct().join(F.broadcast(exact), "word", "left_anti")
+    found = exact.unionByName(nearest(left, brand, BRAND_SCORE).select("word", "match"))
+    named = keyed.join(found, "word", "left").withColumn("token", F.when(F.col("match").isNotNull(), F.concat(F.lit(" "), "match", F.lit(" "))).otherwise(F.col("token")))
+    joined_ = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
+    text = X.replace_all(F.array_join(F.transform("_p", lambda p: p["token"]), ""), [(r"(?U)\s+", " "), (r"\s+([.,;!?:])", "$1")])
+    done = joined_.select(*keys, F.trim(text).alias("text"))
+    return cells.where(F.coalesce("text", F.lit("")) == "").select(*keys, "text").unionByName(done)

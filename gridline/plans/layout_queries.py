@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridline.functions.geometry import iou
 from gridline.operators import layout as L
+from gridline.operators import pdf as P
 from gridline.plans.register import register, table
 
 KEY = ["l_orderkey"]
@@ -218,3 +219,30 @@ def word_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = blocks.select("l_orderkey").distinct()
     bounds = lambda *v: pages.select("l_orderkey", F.array(*[F.lit(float(x)) for x in v]).alias("bounds"))
     return L.grid_of_words(words, bounds(0, 30, 60, 90), bounds(5, 25, 45), KEY)
+
+
+@register("pdf_tables")
+def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as words on pages, read as tables; checked by hand in the tests."""
+    items = table(spark, sf_dir, "lineitem")
+    idx = (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")
+    x = (F.col("l_linenumber") * 60).cast("double")
+    top = (F.col("l_suppkey") % 12 * 14).cast("double")
+    words = items.select(
+        F.floor(F.col("l_orderkey") / 16).alias("doc_id"), (F.floor(F.col("l_orderkey") / 8) % 2).cast("int").alias("page"), idx.alias("word_idx"),
+        x.alias("x0"), (x + 10 + F.col("l_quantity") % 30).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), F.concat("l_returnflag", "l_linestatus").alias("text"),
+    )
+    return P.geometric_tables(words, {"a": ["a"], "n": ["n"], "r": ["r"]})
+
+
+@register(
+    "page_kind_counts",
+    """SELECT page_id // 10 AS doc_id, count(*) FILTER (WHERE page_id % 9 <> 8 AND page_id % 3 <> 0) AS text, count(*) FILTER (WHERE page_id % 9 <> 8 AND page_id % 3 = 0 AND page_id % 2 = 0) AS scan,
+      count(*) FILTER (WHERE page_id % 9 <> 8 AND page_id % 3 = 0 AND page_id % 2 = 1) AS unknown, count(*) FILTER (WHERE page_id % 9 = 8) AS error FROM pages GROUP BY ALL""",
+)
+def page_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    features = table(spark, sf_dir, "pages").select(
+        F.floor(p / 10).alias("doc_id"), p.alias("page"), F.lit(False).alias("has_chars"), F.when(p % 3 != 0, F.col("html")).alias("text"), (p % 2 == 0).alias("has_images"), (p % 9 == 8).alias("failed")
+    )
+    return P.kind_counts(P.page_kinds(features))

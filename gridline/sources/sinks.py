@@ -35,3 +35,8 @@ def to_workbook(sheets: dict[str, DataFrame], most: int = 100_000) -> bytes:
         out[name] = [df.columns, *[[None if v is None else str(v) for v in r] for r in rows]]
         widths[name] = [max(10, min(100, 2 + max(len(line) for v in column for line in (v or "").split("\n")))) for column in zip(*out[name], strict=True)]
     return workbook(out, widths)
+
+
+def log_answers(answers: DataFrame, path: str) -> None:
+    """Append prompts and answers of a model to a log, with the time."""
+    answers.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(path)

@@ -182,3 +182,22 @@ def test_small_functions(spark):
     ).first()
     assert (row["c"], row["i"], row["o"], row["k"]) == (1, 1, None, "scan")
     assert (row["b"]["above"], row["b"]["below"]) == (40.0, 70.0)
+
+
+def test_pdf_tables(spark):
+    from gridline.operators import pdf as P
+
+    lines = {0: "intro words here", 80: "№ Наименование Кол-во", 120: "a1 b1 c1", 130: "a2 b2 c2", 170: "d1 e1 f1", 180: "d2 e2 f2", 220: "g1 h1 i1", 230: "g2 h2 i2"}
+    words = [(7, 1, 10 * top + k, 10.0 + 100 * k, 60.0 + 100 * k, float(top), top + 8.0, w) for top, line in lines.items() for k, w in enumerate(line.split())]
+    frame = spark.createDataFrame(words, "doc_id int, page int, word_idx int, x0 double, x1 double, top double, bottom double, text string")
+    got = {(r["row_idx"], r["col_idx"]): r["text"] for r in P.geometric_tables(frame).collect()}
+    assert got == {(-1, 0): "Наименование", (-1, 1): "Кол-во", (0, 0): "e1 e2", (0, 1): "f1 f2", (1, 0): "h1 h2", (1, 1): "i1 i2"}
+
+
+def test_page_kinds(spark):
+    from gridline.operators import pdf as P
+
+    rows = [(1, 1, True, None, False, False), (1, 2, False, " ", True, False), (1, 3, False, None, False, False), (1, 4, True, "x", True, True), (1, 5, None, "text", None, None)]
+    kinds = P.page_kinds(spark.createDataFrame(rows, "doc_id int, page int, has_chars boolean, text string, has_images boolean, failed boolean"))
+    assert [r["kind"] for r in kinds.orderBy("page").collect()] == ["text", "scan", "unknown", "error", "text"]
+    assert tuple(P.kind_counts(kinds).first()) == (1, 2, 1, 1, 1)

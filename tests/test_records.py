@@ -189,3 +189,15 @@ def test_end_to_end(spark, tmp_path):
     assert {r["path"]: r["status"] for r in status.collect()} == {"a/b.xlsx": "ok", "c.txt": "ok", "d.zzz": "unsupported"}
     records = {(r["path"], r["row_idx"]): [tuple(e) for e in r["rec"]] for r in pipeline.clean_tables(pipeline.read_files(files)).collect()}
     assert records["a/b.xlsx", 1] == [("№", "2"), ("Наименование", "Фреза "), ("Кол-во", "7")] and records["c.txt", 0] == [("Заголовок 1", "one line")]
+
+
+def test_brands(spark):
+    cells = spark.createDataFrame([(1, "резец Sandvlk, D`Andrea и ISCAR"), (2, None), (3, ""), (4, "no brand Here")], "id int, text string")
+    got = {r["id"]: r["text"] for r in O.canonical_brands(cells, ["id"]).collect()}
+    assert got == {1: "резец Sandvik, D'Andrea и Iscar", 2: None, 3: "", 4: "no brand Here"}
+
+
+def test_scored(spark):
+    expected = spark.createDataFrame([(1, {"a": "x"}), (2, {"a": "x"}), (3, {"a": "x"})], "id int, expected map<string,string>")
+    predicted = spark.createDataFrame([(1, {"a": "X "}, None), (2, {"a": "x"}, "broken")], "id int, predicted map<string,string>, error string")
+    assert {r["id"]: r["accuracy"] for r in V.scored(predicted, expected, ["id"]).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
