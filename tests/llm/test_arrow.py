@@ -184,6 +184,18 @@ def test_near_duplicates_by_similarity(spark, n):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_drifting_copies_stay_linked(spark):
+    rng = random.Random(1)
+    words, texts = [f"w{rng.randrange(9000)}" for _ in range(200)], []
+    for _ in range(40):
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words[rng.randrange(200)] = f"n{rng.random()}"
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts, texts[1:]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["component_id"] for r in similar.near_duplicates(docs).collect()} == {0}
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (8, None, "n"), (9, "", "e"), (5, "other words stay as they are", "o")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
