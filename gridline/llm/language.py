@@ -107,9 +107,9 @@ def learn(docs: DataFrame, ranks: int = RANKS, learn_docs: int = LEARN_DOCS) ->
     def count(batches):
         total: dict[str, dict[int, int]] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = total.setdefault(lang, {})
-                for g, n in zip(*(x.tolist() for x in grams(text)), strict=True):
+                for g, n in zip(*(x.tolist() for x in grams(text.as_py())), strict=True):
                     own[g] = own.get(g, 0) + n
         for lang, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
 
     def run(batches):
         for batch in batches:
-            pairs = [profiles.predict(t) for t in batch.column("text").to_pylist()]
+            pairs = [profiles.predict(t.as_py()) for t in batch.column("text")]
             found = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names=[*keep, "lang_pred", "score"])
 

@@ -27,9 +27,9 @@ FREQUENT = 65_536
 FREQUENT_BYTES = 48
 #: Pre-tokens that each task proposes for the table, and those it counts at once.
 PROPOSED = 4096
-COUNTED = 1_000_000
+COUNTED = 250_000
 #: Entries of a worker's cache before it's emptied.
-CACHED = 400_000
+CACHED = 300_000
 #: Bytes of text that are split at once.
 STEP = 1 << 20
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
