@@ -29,9 +29,10 @@ def header_index(lines: Column, anchors: dict[str, list[str]] = HEADER_ANCHORS,
 
     lines is an array in one row, so that finding a header needs no shuffle.
     """
-    scores = F.transform(F.slice(lines, 1, first), lambda t: anchor_score(X.normalize(F.coalesce(t, F.lit(""))), anchors))
-    best = F.array_max(scores)
-    return F.when(best >= least, F.array_position(scores, best) - 1).cast("int")
+    plain = F.transform(F.slice(lines, 1, first), lambda t: X.normalize(F.coalesce(t, F.lit(""))))
+    scores = F.transform(plain, lambda t: anchor_score(t, anchors))
+    # bound as a variable, so that lines are scored once
+    return F.get(F.transform(F.array(scores), lambda s: F.when(F.array_max(s) >= least, F.array_position(s, F.array_max(s)) - 1)), F.lit(0)).cast("int")
 
 
 def header_rows(rows: DataFrame, keys: list[str], anchors: dict[str, list[str]] = HEADER_ANCHORS, least: int = LEAST_GROUPS, first: int = HEADER_ROWS) -> DataFrame:
@@ -54,7 +55,8 @@ def from_header(rows: DataFrame, headers: DataFrame, keys: list[str]) -> DataFra
 
 def is_selected(cells: Column, anchors: dict[str, list[str]] = HEADER_ANCHORS, least: int = 3) -> Column:
     """True if the cells of a first row hit at least 3 (cell, group) pairs."""
-    hits = F.aggregate(F.transform(cells, lambda c: anchor_score(X.normalize(F.coalesce(c, F.lit(""))), anchors)), F.lit(0), lambda a, b: a + b)
+    plain = F.transform(cells, lambda c: X.normalize(F.coalesce(c, F.lit(""))))
+    hits = F.aggregate(plain, F.lit(0), lambda n, c: n + anchor_score(c, anchors))
     return hits >= least
 
 
