@@ -23,6 +23,9 @@ from gridline.llm.simhash import fingerprint, links, shingles
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+#: Members of a list that are compared with all others in the first round after
+#: the hubs, and how much more there are in each further round.
+PIVOTS, GROWTH = 8, 8
 #: Least hashes in a sketch. Smaller sets are compared exactly; of larger ones
 #: the similarity is estimated with a standard error of 0.025 at 0.8, and pairs
 #: nearer to the limit than UNSURE (four such errors) are compared in full.
@@ -74,16 +77,20 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp long, bands array<long>, sketch binary")
 
 
-def hub_links(posted: DataFrame) -> DataFrame:
-    """a, b: every node and the hubs of its posting lists (key, node).
+def lists(posted: DataFrame) -> DataFrame:
+    """key, node, n: the posting lists (key, node) of n nodes, two at least."""
+    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut(posted.join(several, "key"))
+
+
+def hub_links(met: DataFrame) -> DataFrame:
+    """a, b: every node and the hubs of its lists (key, node, n).
 
     A list's hubs are its least node and the node that meets most others over
     all lists: among copies with different edits that's the text they were
     made from. Links grow with the postings, not with pairs, and a list is
     never gathered in one place.
     """
-    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(posted.join(several, "key"))
     weight = met.groupBy("node").agg(F.sum("n").alias("w"))
     hubs = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("h1"), F.min("node").alias("h2"))
     linked = met.join(hubs, "key").select("node", F.explode(F.array("h1", "h2")).alias("hub"))
@@ -136,12 +143,53 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int,
     return sure.select("a", "b").unionByName(full.select("a", "b"))
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after the links a, b were added."""
+    named = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    moved = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved = small(cut(moved.select(F.col("node").alias("old"), F.col("root").alias("new"))))
+    kept = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    added = moved.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots, "node", "left_anti")
+    return cut(kept.unionByName(added))
+
+
+def all_linked(met: DataFrame, hubs: DataFrame, check) -> DataFrame:
+    """node, root: components by all similar pairs inside the lists met (key, node, n).
+
+    check(pairs a, b) returns the similar ones; hubs are the pairs to begin
+    with. In each round a share of a list's members, drawn by a hash of the
+    node, is compared with all members of other components that they weren't
+    compared with; the share grows until it's the whole list. A list is done
+    once its open members are one component or all are compared. So every pair
+    of a list is in one component or was compared, and no list is gathered.
+    """
+    tried = hubs
+    roots = cut(components(check(hubs)))
+    longest, done, upto = met.agg(F.max("n")).first()[0] or 0, 0, PIVOTS
+    while done < longest:
+        drawn = met.where(F.col("n") > done).withColumn("h", F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(1 << 20)) * F.col("n") / (1 << 20)).where(F.col("h") >= done)
+        active = drawn.join(roots, "node", "left").select("key", "node", "h", F.coalesce("root", "node").alias("root"))
+        parts = active.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "root"))["root"].alias("main")).where("parts > 1")
+        active = cut(active.join(mixed, "key"))
+        if active.isEmpty():
+            break
+        rest = active.where("root <> main").select("key", F.col("node").alias("x"), F.col("h").alias("hx"), F.col("root").alias("rx"))
+        apart = active.join(rest, "key").where((F.col("root") != F.col("rx")) & (F.least("h", "hx") < upto))
+        pairs = apart.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        roots, tried = joined(roots, cut(check(pairs))), tried.unionByName(pairs)
+        done, upto = upto, upto * GROWTH
+    return roots
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row with a doc_id: the least doc_id it reaches.
 
     Texts of the same words are one class; classes are linked where the
-    similarity of their shingle sets is at least least, as found through both
-    indexes. Empty and null texts are one class. Rows with a null doc_id take
+    similarity of their shingle sets is at least least. Candidates are all
+    pairs that share a list of either index: a band, or a chain of near
+    fingerprints. Empty and null texts are one class. Rows with a null doc_id take
     no part and are left out. Other columns are ignored; an empty table gives
     an empty one.
     """
@@ -150,14 +198,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     kept = printed.select(F.col("doc_id").alias("node"), "k1", "k2", "fp", "bands", "sketch")
     kept = kept.join(classes, ["k1", "k2", "node"], "left_semi").dropDuplicates(["k1", "node"])
     kept = cut(kept.select("node", "fp", "bands", "sketch"))
-    banded = hub_links(kept.select("node", F.explode("bands").alias("key")))
     firsts = cut(kept.groupBy("fp").agg(F.min("node").alias("node")))
-    by_print = links(firsts.select("fp"))
+    by_print = cut(links(firsts.select("fp")))
     named = by_print.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     same = kept.join(firsts.withColumnRenamed("node", "f"), "fp").where("node != f").select(F.col("f").alias("a"), F.col("node").alias("b"))
-    pairs = banded.unionByName(named.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).unionByName(same).distinct()
+    near = components(by_print).select(F.col("node").alias("fp"), "root")
+    printed_lists = kept.select("node", "fp").join(near, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node")
+    met = lists(kept.select(F.explode("bands").alias("key"), "node").unionByName(printed_lists))
+    pairs = hub_links(met).unionByName(named.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).unionByName(same).distinct()
     sketches = kept.select("node", F.col("sketch").alias("set"))
-    roots = components(verified(cut(pairs), sketches, docs.select("doc_id", "text"), words, least))
+    roots = all_linked(met, cut(pairs), lambda some: verified(some, sketches, docs.select("doc_id", "text"), words, least))
     rooted = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
     return printed.select("doc_id", "k1", "k2").join(rooted, ["k1", "k2"]).select("doc_id", "component_id")
 

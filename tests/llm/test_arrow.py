@@ -196,6 +196,33 @@ def test_drifting_copies_stay_linked(spark):
     assert {r["component_id"] for r in similar.near_duplicates(docs).collect()} == {0}
 
 
+def test_copies_without_their_base_are_all_found(spark):
+    rng = random.Random(12)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(120)], []
+    for i in range(1000):
+        words = list(base)
+        for at in rng.sample(range(120), 2):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [np.array([hash(tuple(x[k : k + 5])) for k in range(116)]) for x in (t.split() for t in texts)]
+    marks = {h: k for k, h in enumerate({int(h) for s in sets for h in s})}
+    hold = np.zeros((1000, len(marks)), np.float32)
+    for i, s in enumerate(sets):
+        hold[i, [marks[int(h)] for h in s]] = 1
+    common, sizes = hold @ hold.T, hold.sum(axis=1)
+    close = common >= 0.8 * (sizes[:, None] + sizes[None, :] - common) - 1e-3
+    root = np.arange(1000)
+    while True:
+        new = np.where(close, root[None, :], 1000).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    assert (root == 0).sum() > 950
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root.tolist()))
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (8, None, "n"), (9, "", "e"), (5, "other words stay as they are", "o")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
