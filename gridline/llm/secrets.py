@@ -7,6 +7,7 @@ import random
 import re
 import string
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridline.llm.common import table, with_columns
 from gridline.llm.forest import Forest
-from gridline.llm.tokens import frequent
+from gridline.llm.tokens import pieces
 
 #: Candidates: runs of at least 12 of these characters with a digit, and values of telling names.
 RUN = re.compile(r"[0-9][A-Za-z0-9_+/.\-]*={0,2}")
@@ -29,6 +30,9 @@ UUID = re.compile(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 AROUND = 40
 #: Words of the dictionary, and labelled findings that a forest is fitted on, at most.
 DICTIONARY = 20_000
+#: Letters of a word of the dictionary at most, and pre-tokens that a task counts at once.
+LONGEST = 48
+COUNTED = 250_000
 LABELLED = 20_000
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -186,8 +190,30 @@ def train(findings: Iterable[tuple[str, int, int, bool]], words: Iterable[str],
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent plain words of all texts, of 4 letters or more."""
-    return [w.decode() for w in frequent(docs.select("text"), 3 * size) if len(w) >= 4 and w.isalpha()][:size]
+    """The most frequent plain words of all texts, of 4 to 48 letters; ties by the word.
+
+    Words are white-space separated runs of a to z in any case. They're counted
+    exactly: a task hands its counts on whenever its counter is full, and
+    nothing is dropped before the sums are known.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        def plain(counts: Counter) -> pa.RecordBatch:
+            found = [(k, n) for k, n in counts.items() if 4 <= len(k) <= LONGEST and k.isalpha()]
+            return pa.RecordBatch.from_arrays([pa.array([k.decode() for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for data in batch.column(0).cast(pa.binary()):
+                for part in pieces((data.as_py() or b"").lower()):
+                    counts.update(part.split())
+                    if len(counts) > COUNTED:
+                        yield plain(counts)
+                        counts.clear()
+        yield plain(counts)
+
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def scanner(docs: DataFrame) -> Scanner:

@@ -149,6 +149,20 @@ def test_secret_scan(spark, folder, empty):
     assert secrets.op3_secrets(spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_dictionary_is_counted_exactly(spark, monkeypatch, tasks):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(9000)]
+    texts = [" ".join(words[int(9000 * rng.random() ** 2)] for _ in range(400)) + " Abc Xy9z KALO<| kalo, kalo" for _ in range(100)]
+    counts = Counter(w for t in texts for w in t.lower().split() if len(w) >= 4 and w.isascii() and w.isalpha())
+    want = sorted(counts, key=lambda w: (-counts[w], w))
+    monkeypatch.setattr(secrets, "COUNTED", 3000, raising=False)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(tasks)
+    assert len(want) > 6000
+    assert secrets.dictionary(docs) == want and secrets.dictionary(docs, 5000) == want[:5000]
+
+
 def copies(rng, base, edits):
     words = base.split()
     for _ in range(edits):
