@@ -19,10 +19,18 @@ from gridline.llm.common import table, with_columns
 from gridline.llm.forest import Forest
 from gridline.llm.tokens import pieces
 
-#: Candidates: runs of at least 12 of these characters with a digit, and values of telling names.
+#: Candidates: runs of at least 12 of these characters with a digit or of mixed case, values of telling names, and what stands behind "Bearer".
 RUN = re.compile(r"[0-9][A-Za-z0-9_+/.\-]*={0,2}")
 RUN_CHARACTERS = frozenset(string.ascii_letters + string.digits + "_+/.-")
-ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;<>()]{6,256})")
+RUN_LEAST = 12
+#: A run without a digit has its case raised at so many places at least.
+RAISED = re.compile(r"[a-z](?=[A-Z])")
+RAISED_LEAST = 2
+SEPARATOR = re.compile(r"[:=]+>?")
+NAME_CHARACTERS = frozenset(string.ascii_letters + string.digits + "_.-")
+NAMED = re.compile(r"(?i)password|passwd|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|private[_.-]?key|credential|bearer|auth(?!or(?:s|ed|it\w*)?$)")
+VALUE = re.compile(r"\s{0,3}[\"']?(?:(?i:bearer|basic|token)\s{1,3}[\"']?)?([^\s\"',;<>()]{6,})")
+BEARER = re.compile(r"(?i)(?<![a-z])bearer\s{1,3}[\"']?([^\s\"',;<>()]{6,})")
 TELLING = re.compile(r"(?i)pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private")
 HARMLESS = re.compile(r"(?i)commit|sha\d*|md5|checksum|hash|digest|uuid|guid|version|example|sample|placeholder|order|invoice|isbn|card|phone|rev")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
@@ -38,9 +46,8 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans (start, end) of a text's candidates, in order, without overlaps."""
-    found = []
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of runs with a digit or of mixed case."""
     for m in RUN.finditer(text):  # from the first digit of a run, and then to the left
         start, end = m.span()
         while start and text[start - 1] in RUN_CHARACTERS:
@@ -49,14 +56,54 @@ def candidates(text: str) -> list[tuple[int, int]]:
             start += 1
         while text[end - 1] in ".-/":
             end -= 1
-        if end - start >= 12:
-            found.append((start, end))
-    if "=" in text or ":" in text:
-        for m in ASSIGNED.finditer(text):
-            found.append((m.start(1), m.start(1) + len(m[1].rstrip("."))))
+        if end - start >= RUN_LEAST:
+            yield start, end
+    seen = 0
+    for m in RAISED.finditer(text):
+        if m.start() < seen:
+            continue
+        start = end = m.start()
+        while start and text[start - 1] in RUN_CHARACTERS:
+            start -= 1
+        while end < len(text) and text[end] in RUN_CHARACTERS:
+            end += 1
+        seen = end
+        while text[start] in ".-/":
+            start += 1
+        while text[end - 1] in ".-/":
+            end -= 1
+        if end - start >= RUN_LEAST and len(RAISED.findall(text, start, end)) >= RAISED_LEAST:
+            yield start, end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+
+
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the values that are assigned to telling names or stand behind "Bearer"."""
+    seen = 0
+    for m in SEPARATOR.finditer(text):
+        if m.start() < seen:  # inside a value, which goes on to the same end
+            continue
+        at = m.start()
+        while at and m.start() - at < 3 and text[at - 1].isspace():
+            at -= 1
+        while at and text[at - 1] in "\"'`]":
+            at -= 1
+        start = at
+        while start and text[start - 1] in NAME_CHARACTERS:
+            start -= 1
+        if NAMED.search(text[start:at]) and (v := VALUE.match(text, m.end())):
+            seen = v.end()
+            yield v.start(1), v.start(1) + len(v[1].rstrip("."))
+    for m in BEARER.finditer(text):
+        yield m.start(1), m.start(1) + len(m[1].rstrip("."))
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans (start, end) of a text's candidates, in order; overlapping ones are one span."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
-        if b > a and (not out or a >= out[-1][1]):
+    for a, b in sorted([*runs(text), *assigned(text)]):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        elif b > a:
             out.append((a, b))
     return out
 
@@ -124,8 +171,11 @@ def labelled_findings(words: list[str], n: int = 4000, seed: int = 11) -> list[t
             lambda: some(rng.choice([32, 40, 40, 64]), hexes), lambda: some(rng.randint(20, 64), mixed), lambda: "AKIA" + some(16, string.ascii_uppercase + string.digits),
             lambda: "ghp_" + some(36, mixed), lambda: "xoxb-" + some(12, string.digits) + "-" + some(24, mixed), lambda: "sk_live_" + some(24, mixed),
             lambda: base64.b64encode(rng.randbytes(rng.randint(18, 48))).decode(), lambda: rng.choice(words) + some(rng.randint(3, 8), string.digits + "!_-") + some(3, mixed),
+            lambda: some(rng.randint(20, 64), string.ascii_letters), lambda: some(rng.randint(5, 12), mixed) + rng.choice("!#$%&*?_") + some(rng.randint(3, 8), mixed),
         ])()
-        key = rng.choice(["token", "api_key", "apiKey", "secret", "password", "passwd", "access_key", "auth", "Bearer", "client_secret"])
+        if rng.random() < 0.1:
+            return rng.choice(["Authorization: Bearer ", "bearer "]), value, ""
+        key = rng.choice(["token", "api_key", "apiKey", "secret", "password", "passwd", "access_key", "auth", "Bearer", "client_secret", "secret_key", "aws_access_key_id"])
         quote = rng.choice(['"', '"', "'", ""])
         return f"{key}{rng.choice([' = ', '=', ': ', ' := '])}{quote}", value, quote
 
@@ -141,6 +191,8 @@ def labelled_findings(words: list[str], n: int = 4000, seed: int = 11) -> list[t
             lambda: (rng.choice(["", "on "]), f"20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}", ":00"),
             lambda: (rng.choice(["token = ", "password: ", "api_key="]), rng.choice(["xxxxxxxxxxxxxxxx", "your_token_here_1", "changeme123456", "EXAMPLE_KEY_000000", "$" + "ENV_TOKEN_VALUE1"]), ""),
             lambda: (rng.choice(["the token: ", "password = ", "secret: ", "auth: "]), rng.choice(words) + rng.choice(words), " " + prose(2)),
+            lambda: (rng.choice(["", "call ", "class ", "import "]), rng.choice(words) + "".join(rng.choice(words).capitalize() for _ in range(rng.randint(2, 4))), rng.choice(["", "()"])),
+            lambda: (rng.choice(["the bearer ", "bearer "]), rng.choice(words) + rng.choice(words), " " + prose(2)),
             lambda: ("", "-".join(rng.choice(words) for _ in range(3)) + "-" + some(2, string.digits), ""),
         ])()
 
