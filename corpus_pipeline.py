@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridline.llm import common, language, mixing, packing, secrets, similar
+from gridline.llm import common, language, mixing, packing, secrets, similar, tokens
 
 #: A document is rejected if no language was found or its score is lower: its
 #: n-grams then hardly share an order with any profile.
@@ -59,8 +59,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of all documents of the mix, copies included."""
-    return packing.pack(docs, common.word_count(F.col("text")))
+    """Length buckets and batches of all documents of the mix, copies included, by the tokenizer's counts."""
+    import public_tokenizers
+
+    counted = tokens.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path(tokens.TOKENIZER))
+    return packing.pack(counted, F.col("n_tokens"))
 
 
 STAGES = [

@@ -303,6 +303,17 @@ def test_pipeline_runs(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_pipeline_packs_by_tokens(spark, folder):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    rows = corpus_pipeline.pack(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len(library.encode(t or "", add_special_tokens=False))) for i, t, *_ in DOCS)
+    batches = Counter((r["bucket"], r["batch"], r["bucket_len"]) for r in rows)
+    assert all(n == 1 or n * size <= 16_384 for (_, _, size), n in batches.items())
+
+
 def test_simhash_query(spark, folder, empty):
     rows = simhash.op2_simhash(spark, folder).collect()
     by = {r["doc_id"]: r for r in rows}
