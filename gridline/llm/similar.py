@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridline.llm.common import cut, small
+from gridline.llm.common import cut, small, with_columns
 from gridline.llm.graph import components
 from gridline.llm.simhash import fingerprint, links, shingles
 
@@ -57,6 +57,24 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(common.mean()) if len(both) else 1.0
 
 
+def text_key(data: bytes) -> tuple[int, int]:
+    """128 bits of a text's words, as two longs."""
+    key = xxhash.xxh3_128_digest(b" ".join(data.lower().split()))
+    return int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True)
+
+
+def keyed(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """keep, k1, k2 of every row of rows (column text)."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [text_key(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
+            k1, k2 = zip(*keys, strict=True) if keys else ((), ())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=[*keep, "k1", "k2"])
+
+    return rows.mapInArrow(run, with_columns(rows, keep, "k1 long, k2 long"))
+
+
 def prints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, k1, k2 (128 bits of the words), fp, bands and sketch of every row."""
 
@@ -67,8 +85,7 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
                 data = data.as_py() or b""
                 digests = shingles(data, words)
                 hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
-                key = xxhash.xxh3_128_digest(b" ".join(data.lower().split()))
-                rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), fingerprint(digests), bands(hashes), sketch(hashes).tobytes()))
+                rows.append((*text_key(data), fingerprint(digests), bands(hashes), sketch(hashes).tobytes()))
             k1, k2, fp, keys, sketches = zip(*rows, strict=True) if rows else ((),) * 5
             columns = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "k1", "k2", "fp", "bands", "sketch"])
@@ -119,27 +136,32 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, set: all 64-bit shingle hashes of every row, ascending."""
+    """doc_id, k1, k2, set: all 64-bit shingle hashes of every row, ascending."""
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(np.frombuffer(shingles(t.as_py() or b"", words), ">u8").astype(np.uint64)).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "set"])
+            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+            sets = [np.unique(np.frombuffer(shingles(t, words), ">u8").astype(np.uint64)).tobytes() for t in texts]
+            k1, k2 = zip(*map(text_key, texts), strict=True) if texts else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "k1", "k2", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, with_columns(docs, ("doc_id",), "k1 long, k2 long, set binary"))
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs a, b of similarity least or more.
 
     Sketches settle all pairs of small sets and all that are far from the
-    limit; only the texts of the others are read again.
+    limit; only the texts of the others are read again: classes(k1, k2,
+    doc_id, node) says which ones.
     """
     first = cut(compared(pairs, sketches.join(ends_of(pairs), "node", "left_semi"), "u4", SKETCH))
     sure = first.where((F.col("exact") & (F.col("sim") >= least)) | (F.col("sim") >= least + UNSURE))
     unsure = first.where(~F.col("exact") & (F.col("sim") < least + UNSURE) & (F.col("sim") >= least - UNSURE)).select("a", "b")
-    again = docs.join(ends_of(unsure).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    full = compared(unsure, full_sets(again, words), "u8", 1 << 62).where(F.col("sim") >= least)
+    wanted = small(cut(classes.join(ends_of(unsure), "node", "left_semi")))
+    again = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(again, words).join(wanted, ["doc_id", "k1", "k2"]).select("node", "set")
+    full = compared(unsure, sets, "u8", 1 << 62).where(F.col("sim") >= least)
     return sure.select("a", "b").unionByName(full.select("a", "b"))
 
 
@@ -184,20 +206,22 @@ def all_linked(met: DataFrame, hubs: DataFrame, check) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id of every row with a doc_id: the least doc_id it reaches.
-
-    Texts of the same words are one class; classes are linked where the
-    similarity of their shingle sets is at least least. Candidates are all
-    pairs that share a list of either index: a band, or a chain of near
-    fingerprints. Empty and null texts are one class. Rows with a null doc_id take
-    no part and are left out. Other columns are ignored; an empty table gives
-    an empty one.
+    """doc_id, component_id, k1, k2, first of every row with a doc_id.
+
+    component_id is the least doc_id that the row's text reaches, k1 and k2 are
+    the key of the text's words, and first says whether the row is the first of
+    its component: of its least doc_id and, of several texts of that, of the
+    least key. Texts of the same words are one class; classes are linked where
+    the similarity of their shingle sets is at least least. An id that stands
+    with different texts doesn't link them. Candidates are all pairs that share
+    a list of either index: a band, or a chain of near fingerprints. Empty and
+    null texts are one class. Rows with a null doc_id take no part and are left
+    out. Other columns are ignored; an empty table gives an empty one.
     """
     printed = cut(prints(docs.where(F.col("doc_id").isNotNull()), words))
-    classes = cut(printed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
-    kept = printed.select(F.col("doc_id").alias("node"), "k1", "k2", "fp", "bands", "sketch")
-    kept = kept.join(classes, ["k1", "k2", "node"], "left_semi").dropDuplicates(["k1", "node"])
-    kept = cut(kept.select("node", "fp", "bands", "sketch"))
+    classes = cut(printed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    kept = cut(printed.join(classes, ["k1", "k2", "doc_id"]).dropDuplicates(["node"]).select("node", "fp", "bands", "sketch"))
     firsts = cut(kept.groupBy("fp").agg(F.min("node").alias("node")))
     by_print = cut(links(firsts.select("fp")))
     named = by_print.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
@@ -207,23 +231,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     met = lists(kept.select(F.explode("bands").alias("key"), "node").unionByName(printed_lists))
     pairs = hub_links(met).unionByName(named.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).unionByName(same).distinct()
     sketches = kept.select("node", F.col("sketch").alias("set"))
-    roots = all_linked(met, cut(pairs), lambda some: verified(some, sketches, docs.select("doc_id", "text"), words, least))
-    rooted = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
-    return printed.select("doc_id", "k1", "k2").join(rooted, ["k1", "k2"]).select("doc_id", "component_id")
+    roots = all_linked(met, cut(pairs), lambda some: verified(some, sketches, docs.select("doc_id", "text"), classes, words, least))
+    rooted = cut(classes.join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root")))
+    best = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best"))
+    told = rooted.join(best, "root").select("k1", "k2", F.col("best.doc_id").alias("component_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("_best"))
+    found = printed.select("doc_id", "k1", "k2").join(told, ["k1", "k2"])
+    return found.select("doc_id", "component_id", "k1", "k2", (F.col("_best") & (F.col("doc_id") == F.col("component_id"))).alias("first"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without those that aren't the first of their component, and each id once.
+    """docs without the rows that aren't the first of their component.
 
-    found is near_duplicates(docs). The first is the least doc_id. Ids that
-    stand more than once keep their least row. Only dropped and repeated ids are joined to the texts: as a
-    broadcast where they were counted to be few, else as an equi-join.
+    found is near_duplicates(docs). Rows are judged by their own text: of an id
+    that stands with different texts, only the texts that are copies go. Of
+    rows with one id and the same words the least stays. Only dropped and
+    repeated ids are joined to the texts: as a broadcast where they were
+    counted to be few, else as an equi-join.
     """
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    once = docs.join(small(cut(dropped)), "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    ids = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("stays")).where("rows > 1 OR NOT stays"))
+    once = docs.join(small(cut(ids.select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(ids.where("stays").select("doc_id"))
     if repeated.isEmpty():
         return once
-    single = once.join(small(repeated), "doc_id", "left_anti").select(*docs.columns)
-    several = once.join(small(repeated), "doc_id", "left_semi").select(*docs.columns)
-    return single.unionByName(several.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    several = docs.join(small(repeated), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    firsts = found.where("first").join(small(repeated), "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+    several = keyed(several, ("doc_id", "_row")).join(firsts, ["doc_id", "k1", "k2"])
+    return once.unionByName(several.groupBy("doc_id", "k1", "k2").agg(F.min("_row").alias("_row")).select("_row.*"))

@@ -282,6 +282,17 @@ def test_one_of_each(spark):
     assert similar.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_reused_ids_are_judged_by_text(spark):
+    rng = random.Random(3)
+    long = [" ".join(f"w{rng.randrange(900)}" for _ in range(400)) for _ in range(4)]
+    near = copies(rng, long[0], 1)
+    rows = [(1, long[0], "a"), (2, long[1], "b"), (2, long[2], "c"), (2, near, "d"), (3, near, "e"), (3, long[3], "f"), (4, near, "g"), (2, long[2].upper(), "h"), (5, long[3], "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = similar.near_duplicates(docs)
+    assert sorted(r["source"] for r in similar.one_of_each(docs, found).collect()) in (["a", "b", "c", "f"], ["a", "b", "f", "h"])
+    assert sum(r["component_id"] == 1 for r in found.collect()) == 4
+
+
 def test_pipeline_stages(spark, folder, empty):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
