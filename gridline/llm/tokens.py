@@ -48,8 +48,16 @@ def pieces(data: bytes, step: int = STEP) -> Iterator[bytes]:
 
 
 def folded(data: bytes) -> bytes:
-    """A-Z in lower case, which the tokenizer does anyway, unless special strings may be inside."""
-    return data if b"<|" in data else data.lower()
+    """Pre-tokens of ASCII in lower case, which the tokenizer does anyway, unless special strings may be inside.
+
+    Others stay as they are: the tokenizer composes letters and marks before it
+    lowers them, and a lowered pair may compose where the pair didn't.
+    """
+    if b"<|" in data:
+        return data
+    if data.isascii():
+        return data.lower()
+    return b" ".join([t.lower() if t.isascii() else t for t in data.split()])
 
 
 def frequent(texts: DataFrame, rows: int = FREQUENT) -> list[bytes]:

@@ -75,6 +75,18 @@ def test_tokens(spark, folder, empty):
     assert tokens.op7_tokens(spark, empty).collect() == []
 
 
+def test_marks_are_composed_before_case(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokens.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    texts = ["J\u030ca", "H\u0331 T\u0308 W\u030a Y\u030a", "The J\u030cA. Plain END\tJ\u030c,", "PLAIN \u00c9T\u00c9\nMore"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
 def test_pieces_are_whole():
     data = b"ab  cd " * 1000 + b"x" * 50 + b" y"
     parts = list(tokens.pieces(data, 64))
