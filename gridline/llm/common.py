@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +17,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Rows that may be broadcast as a table of counted groups.
 BROADCAST_ROWS = 100_000
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
 #: Slices into which a ranked group is dealt, so that no task ranks a whole group.
 SLICES = 4096
 
@@ -40,6 +46,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(spark: SparkSession) -> None:
+    """Let Arrow batches hold about BATCH_BYTES bytes at most from here on.
+
+    Spark has no other place for this limit than the session; a smaller one of
+    the caller stays. A single row may be larger: a text is never cut.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key, None)).lower())
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def parts(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of which the column holds about so many bytes; at least a row each."""
+    step = max(1, batch.num_rows * most // max(1, batch.column(column).nbytes))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark can write to."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

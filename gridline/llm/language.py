@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridline.llm.common import cut, small, table, with_columns
+from gridline.llm.common import bounded, cut, small, table, with_columns
 
 #: N-grams in a profile; a missing one is this far out of place.
 RANKS = 300
@@ -114,6 +114,7 @@ def learn(docs: DataFrame, ranks: int = RANKS, learn_docs: int = LEARN_DOCS) ->
         for lang, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
 
+    bounded(docs.sparkSession)
     counted = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
@@ -135,6 +136,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
             found = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names=[*keep, "lang_pred", "score"])
 
+    bounded(docs.sparkSession)
     schema = with_columns(docs, keep, "lang_pred string, score double")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridline.llm.common import cut, table
+from gridline.llm.common import bounded, cut, table
 
 K = 10
 SCALE = 1024
@@ -182,6 +182,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     block at most. No rows or no queries give an empty result.
     """
     spark = vectors.sparkSession
+    bounded(spark)
     rows = vectors.select("vec_id", "embedding")
 
     def norm(batches):

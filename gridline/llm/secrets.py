@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridline.llm.common import table, with_columns
+from gridline.llm.common import bounded, table, with_columns
 from gridline.llm.forest import Forest
 from gridline.llm.tokens import pieces
 
@@ -264,6 +264,7 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
                         counts.clear()
         yield plain(counts)
 
+    bounded(docs.sparkSession)
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
 
@@ -293,6 +294,7 @@ def scan(docs: DataFrame, trained: Scanner, keep: tuple[str, ...] = ("doc_id",))
                     columns = [pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.array(scores)]
                     yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in keep] + columns, names=[*keep, "start", "length", "score"])
 
+    bounded(docs.sparkSession)
     schema = with_columns(docs, keep, "start long, length long, score double")
     found = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
     return found.withColumn("secret", F.col("score") >= trained.threshold)
@@ -308,6 +310,7 @@ def redact(docs: DataFrame, trained: Scanner, mask: str = MASK) -> DataFrame:
             columns = [texts if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

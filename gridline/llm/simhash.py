@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridline.llm.common import cut, table, with_columns
+from gridline.llm.common import bounded, cut, table, with_columns
 from gridline.llm.graph import components
 
 WORDS = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ("
             fps = [fingerprint(shingles(x.as_py() or b"", words)) for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(fps, pa.int64())], names=[*keep, "fp"])
 
+    bounded(docs.sparkSession)
     schema = with_columns(docs, keep, "fp long")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

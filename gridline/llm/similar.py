@@ -4,33 +4,34 @@ SimHash links at 2 bits find pairs whose shingle sets are nearly equal; at a
 similarity of 0.8 fingerprints differ in 10 bits of 64 on average, beyond what
 any index of byte positions can guarantee. So candidates come from two
 indexes, that of the fingerprints and one of min-hashes (16 bands of 4: a pair
-at 0.8 shares a band with probability 0.9998), and sketches of the shingle
-sets verify them.
+at 0.8 shares a band with probability 0.9998). Texts that share lists form
+clusters, and inside a cluster every pair is compared exactly: the shared
+shingles of all pairs of a block are one product of a matrix, so that no pair
+is ever a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridline.llm.common import cut, small, with_columns
+from gridline.llm.common import bounded, cut, parts, small, with_columns
 from gridline.llm.graph import components
 from gridline.llm.simhash import fingerprint, links, shingles
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Members of a list that are compared with all others in the first round after
-#: the hubs, and how much more there are in each further round.
-PIVOTS, GROWTH = 8, 8
-#: Least hashes in a sketch. Smaller sets are compared exactly; of larger ones
-#: the similarity is estimated with a standard error of 0.025 at 0.8, and pairs
-#: nearer to the limit than UNSURE (four such errors) are compared in full.
-SKETCH = 256
-UNSURE = 0.1
+#: Texts and shingles of a block. A task holds two blocks at a time.
+BLOCK_TEXTS = 512
+BLOCK_SHINGLES = 1 << 20
+#: Columns of the matrix that are multiplied at once.
+COLUMNS = 1024
 _ODD = np.random.default_rng(2024).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -43,20 +44,6 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(rows[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The least of a set's hashes, shortened to their high 32 bits, ascending."""
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """The Jaccard similarity of two sets, from their sketches of at most size hashes."""
-    both = np.union1d(a, b)
-    if len(a) >= size or len(b) >= size:
-        both = both[:size]
-    common = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
-    return float(common.mean()) if len(both) else 1.0
-
-
 def text_key(data: bytes) -> tuple[int, int]:
     """128 bits of a text's words, as two longs."""
     key = xxhash.xxh3_128_digest(b" ".join(data.lower().split()))
@@ -72,11 +59,12 @@ def keyed(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             k1, k2 = zip(*keys, strict=True) if keys else ((), ())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=[*keep, "k1", "k2"])
 
+    bounded(rows.sparkSession)
     return rows.mapInArrow(run, with_columns(rows, keep, "k1 long, k2 long"))
 
 
 def prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of the words), fp, bands and sketch of every row."""
+    """doc_id, k1, k2 (128 bits of the words), fp, n (shingles) and bands of every row."""
 
     def run(batches):
         for batch in batches:
@@ -84,55 +72,124 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
             for data in batch.column("text").cast(pa.binary()):
                 data = data.as_py() or b""
                 digests = shingles(data, words)
-                hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
-                rows.append((*text_key(data), fingerprint(digests), bands(hashes), sketch(hashes).tobytes()))
-            k1, k2, fp, keys, sketches = zip(*rows, strict=True) if rows else ((),) * 5
-            columns = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "k1", "k2", "fp", "bands", "sketch"])
+                rows.append((*text_key(data), fingerprint(digests), len(digests) // 8, bands(np.frombuffer(digests, ">u8").astype(np.uint64))))
+            k1, k2, fp, n, keys = zip(*rows, strict=True) if rows else ((),) * 5
+            columns = [*[pa.array(x, pa.int64()) for x in (k1, k2, fp, n)], pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "k1", "k2", "fp", "n", "bands"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp long, bands array<long>, sketch binary")
+    bounded(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, with_columns(docs, ("doc_id",), "k1 long, k2 long, fp long, n long, bands array<long>"))
 
 
-def lists(posted: DataFrame) -> DataFrame:
-    """key, node, n: the posting lists (key, node) of n nodes, two at least."""
-    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut(posted.join(several, "key"))
+def lists(classes: DataFrame) -> DataFrame:
+    """key, node, n, size, hub: the lists of two nodes or more, of classes(node, fp, n, bands).
 
+    A list holds the nodes of one value of a band, or of one fingerprint, or of
+    two that a SimHash link joins. hub is its least node, size its nodes.
+    """
+    same = classes.select("fp", "node", "n")
+    linked = cut(links(same.select("fp").distinct())).select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+    posted = classes.select(F.explode("bands").alias("key"), "node", "n")
+    posted = posted.unionByName(same.select(F.xxhash64(F.lit("fp"), "fp").alias("key"), "node", "n"))
+    posted = posted.unionByName(same.join(linked, "fp").select("key", "node", "n"))
+    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.sum("n").alias("weight")).where("size > 1")
+    return cut(posted.join(small(cut(several)), "key"))
 
-def hub_links(met: DataFrame) -> DataFrame:
-    """a, b: every node and the hubs of its lists (key, node, n).
 
-    A list's hubs are its least node and the node that meets most others over
-    all lists: among copies with different edits that's the text they were
-    made from. Links grow with the postings, not with pairs, and a list is
-    never gathered in one place.
-    """
-    weight = met.groupBy("node").agg(F.sum("n").alias("w"))
-    hubs = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("h1"), F.min("node").alias("h2"))
-    linked = met.join(hubs, "key").select("node", F.explode(F.array("h1", "h2")).alias("hub"))
-    return linked.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def blocks_of(texts: Column, shingles: Column) -> Column:
+    """Blocks that hold so many texts and shingles."""
+    return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, kind: str, size: int) -> DataFrame:
-    """a, b, sim, exact of the pairs a, b; sets(node, set) holds packed hashes of type kind."""
+def meetings(met: DataFrame, clusters: DataFrame) -> DataFrame:
+    """node, places array<long>: the places where a node meets others, so that all pairs of a list meet.
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            for p, q in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(p.as_py(), kind), np.frombuffer(q.as_py(), kind)
-                found.append((similarity(x, y, size), len(x) < size and len(y) < size))
-            sims, exact = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), pa.array(exact, pa.bool_())], names=["a", "b", "sim", "exact"])
+    met are lists(), clusters(node, root) their components. A cluster of one
+    block is one place. A larger one is cut into blocks by a hash, and each two
+    blocks are a place; or that's done with each of its lists, whichever makes
+    fewer copies of nodes. So a place is never more than about two blocks,
+    however large a cluster or list is.
+    """
+    weights = met.select("node", "n").distinct().join(clusters, "node")
+    stats = weights.groupBy("root").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.count(F.lit(1)).alias("m"))
+    sized = met.withColumn("blocks", blocks_of(F.col("size"), F.col("weight"))).select("key", "node", "blocks")
+    by_list = sized.join(clusters, "node")
+    copies = by_list.groupBy("root").agg(F.sum(F.greatest(F.col("blocks") - 1, F.lit(1))).alias("copies"))
+    chosen = stats.join(copies, "root").select("root", F.col("blocks").alias("_blocks"), ((F.col("blocks") > 1) & (F.col("copies") < F.col("m") * (F.col("blocks") - 1))).alias("_by_list"))
+    chosen = small(cut(chosen))
+    whole = clusters.join(chosen, "root").where("NOT _by_list").select("node", F.col("root").alias("key"), F.col("_blocks").alias("blocks"))
+    split = by_list.join(chosen.where("_by_list"), "root").select("node", "key", "blocks")
+    own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks").cast("long")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
+    pairs = F.transform(others, lambda b: F.xxhash64("key", F.least("own", b), F.greatest("own", b)))
+    places = F.when(F.col("blocks") == 1, F.array(F.xxhash64("key"))).otherwise(pairs)
+    placed = whole.unionByName(split).withColumn("own", own).select("node", places.alias("places"))
+    return placed.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def reached(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set the number of the first that it reaches by pairs of Jaccard similarity least or more.
+
+    sets hold distinct 64-bit hashes. Hashes of one set alone can't be shared
+    and are left out; the others are columns of a matrix of sets, and its
+    product with itself counts the shared ones of all pairs.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.empty(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1 if len(values) else np.empty(0, bool)
+    inside = shared[column] if len(values) else shared
+    column, owner = (np.cumsum(shared) - 1)[column[inside]] if len(values) else column, owner[inside]
+    common = np.zeros((n, n), np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        matrix = np.zeros((n, COLUMNS), common.dtype)
+        matrix[owner[a:b], column[a:b] - lo] = 1
+        common += matrix @ matrix.T
+    either = sizes[:, None] + sizes[None, :] - common.astype(np.float64)
+    near = np.divide(common, either, out=np.zeros(either.shape), where=either > 0) >= least
+    label = np.arange(n)
+    near[label, label] = True
+    while True:
+        least_of = np.where(near, label[None, :], n).min(axis=1)
+        if (least_of == label).all():
+            return label
+        label = least_of
+
+
+def compared(sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links that connect the similar sets of each place; sets(place, node, set) with packed hashes.
+
+    Rows are dealt and sorted by place; a task reads its places from the
+    sorted stream and holds one at a time.
+    """
 
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, sim double, exact boolean")
+    def run(batches: Iterator[pa.RecordBatch]):
+        place, held = None, {}
 
+        def found() -> pa.RecordBatch:
+            nodes = sorted(held)
+            first = reached([np.frombuffer(held[x], np.uint64) for x in nodes], least)
+            linked = [(nodes[f], x) for f, x in zip(first.tolist(), nodes, strict=True) if nodes[f] != x]
+            a, b = zip(*linked, strict=True) if linked else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return small(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        for batch in batches:
+            for at, node, data in zip(batch.column("place").to_pylist(), batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                if at != place and held:
+                    yield found()
+                    held = {}
+                place = at
+                held[node] = data.as_py()
+        if held:
+            yield found()
+
+    bounded(sets.sparkSession)
+    dealt = sets.select("place", "node", "set").repartition(F.col("place")).sortWithinPartitions("place")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -140,69 +197,29 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-            sets = [np.unique(np.frombuffer(shingles(t, words), ">u8").astype(np.uint64)).tobytes() for t in texts]
-            k1, k2 = zip(*map(text_key, texts), strict=True) if texts else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "k1", "k2", "set"])
+            for part in parts(batch, "text"):
+                texts = [t.as_py() or b"" for t in part.column("text").cast(pa.binary())]
+                sets = [np.unique(np.frombuffer(shingles(t, words), ">u8").astype(np.uint64)).tobytes() for t in texts]
+                k1, k2 = zip(*map(text_key, texts), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "k1", "k2", "set"])
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, with_columns(docs, ("doc_id",), "k1 long, k2 long, set binary"))
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs a, b of similarity least or more.
+def similar_classes(docs: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
+    """a, b: links that connect all classes(k1, k2, doc_id, node, fp, n, bands) of similarity least or more that share a list.
 
-    Sketches settle all pairs of small sets and all that are far from the
-    limit; only the texts of the others are read again: classes(k1, k2,
-    doc_id, node) says which ones.
-    """
-    first = cut(compared(pairs, sketches.join(ends_of(pairs), "node", "left_semi"), "u4", SKETCH))
-    sure = first.where((F.col("exact") & (F.col("sim") >= least)) | (F.col("sim") >= least + UNSURE))
-    unsure = first.where(~F.col("exact") & (F.col("sim") < least + UNSURE) & (F.col("sim") >= least - UNSURE)).select("a", "b")
-    wanted = small(cut(classes.join(ends_of(unsure), "node", "left_semi")))
-    again = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = full_sets(again, words).join(wanted, ["doc_id", "k1", "k2"]).select("node", "set")
-    full = compared(unsure, sets, "u8", 1 << 62).where(F.col("sim") >= least)
-    return sure.select("a", "b").unionByName(full.select("a", "b"))
-
-
-def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (node, root) after the links a, b were added."""
-    named = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    moved = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    moved = small(cut(moved.select(F.col("node").alias("old"), F.col("root").alias("new"))))
-    kept = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-    added = moved.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots, "node", "left_anti")
-    return cut(kept.unionByName(added))
-
-
-def all_linked(met: DataFrame, hubs: DataFrame, check) -> DataFrame:
-    """node, root: components by all similar pairs inside the lists met (key, node, n).
-
-    check(pairs a, b) returns the similar ones; hubs are the pairs to begin
-    with. In each round a share of a list's members, drawn by a hash of the
-    node, is compared with all members of other components that they weren't
-    compared with; the share grows until it's the whole list. A list is done
-    once its open members are one component or all are compared. So every pair
-    of a list is in one component or was compared, and no list is gathered.
+    Texts of classes that share a list are read again for their whole shingle
+    sets; others are never compared.
     """
-    tried = hubs
-    roots = cut(components(check(hubs)))
-    longest, done, upto = met.agg(F.max("n")).first()[0] or 0, 0, PIVOTS
-    while done < longest:
-        drawn = met.where(F.col("n") > done).withColumn("h", F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(1 << 20)) * F.col("n") / (1 << 20)).where(F.col("h") >= done)
-        active = drawn.join(roots, "node", "left").select("key", "node", "h", F.coalesce("root", "node").alias("root"))
-        parts = active.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "root"))["root"].alias("main")).where("parts > 1")
-        active = cut(active.join(mixed, "key"))
-        if active.isEmpty():
-            break
-        rest = active.where("root <> main").select("key", F.col("node").alias("x"), F.col("h").alias("hx"), F.col("root").alias("rx"))
-        apart = active.join(rest, "key").where((F.col("root") != F.col("rx")) & (F.least("h", "hx") < upto))
-        pairs = apart.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        roots, tried = joined(roots, cut(check(pairs))), tried.unionByName(pairs)
-        done, upto = upto, upto * GROWTH
-    return roots
+    met = lists(classes)
+    clusters = cut(components(met.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    placed = cut(meetings(met, clusters))
+    wanted = small(cut(classes.select("doc_id", "k1", "k2", "node").join(small(placed.select("node")), "node", "left_semi")))
+    again = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(again, words).join(wanted, ["doc_id", "k1", "k2"]).groupBy("node").agg(F.first("set").alias("set"))
+    return compared(sets.join(placed, "node").select(F.explode("places").alias("place"), "node", "set"), least)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -212,26 +229,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     the key of the text's words, and first says whether the row is the first of
     its component: of its least doc_id and, of several texts of that, of the
     least key. Texts of the same words are one class; classes are linked where
-    the similarity of their shingle sets is at least least. An id that stands
-    with different texts doesn't link them. Candidates are all pairs that share
-    a list of either index: a band, or a chain of near fingerprints. Empty and
-    null texts are one class. Rows with a null doc_id take no part and are left
-    out. Other columns are ignored; an empty table gives an empty one.
+    the Jaccard similarity of their shingle sets is at least least. An id that
+    stands with different texts doesn't link them. All pairs that share a list
+    of either index (a band, a fingerprint, a SimHash link) are compared with
+    their whole sets, so no link between such texts is lost, however large
+    their group is. Empty and null texts are one class. Rows with a null doc_id
+    take no part and are left out. Other columns are ignored; an empty table
+    gives an empty one.
     """
     printed = cut(prints(docs.where(F.col("doc_id").isNotNull()), words))
-    classes = cut(printed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")))
+    classes = printed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")])
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    kept = cut(printed.join(classes, ["k1", "k2", "doc_id"]).dropDuplicates(["node"]).select("node", "fp", "bands", "sketch"))
-    firsts = cut(kept.groupBy("fp").agg(F.min("node").alias("node")))
-    by_print = cut(links(firsts.select("fp")))
-    named = by_print.join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    same = kept.join(firsts.withColumnRenamed("node", "f"), "fp").where("node != f").select(F.col("f").alias("a"), F.col("node").alias("b"))
-    near = components(by_print).select(F.col("node").alias("fp"), "root")
-    printed_lists = kept.select("node", "fp").join(near, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "node")
-    met = lists(kept.select(F.explode("bands").alias("key"), "node").unionByName(printed_lists))
-    pairs = hub_links(met).unionByName(named.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).unionByName(same).distinct()
-    sketches = kept.select("node", F.col("sketch").alias("set"))
-    roots = all_linked(met, cut(pairs), lambda some: verified(some, sketches, docs.select("doc_id", "text"), classes, words, least))
+    roots = components(cut(similar_classes(docs, classes, words, least)))
     rooted = cut(classes.join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root")))
     best = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best"))
     told = rooted.join(best, "root").select("k1", "k2", F.col("best.doc_id").alias("component_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("_best"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridline.llm.common import table, with_columns
+from gridline.llm.common import bounded, table, with_columns
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -79,6 +79,7 @@ def frequent(texts: DataFrame, rows: int = FREQUENT) -> list[bytes]:
         best = [(k, n) for k, n in counts.most_common(PROPOSED) if len(k) <= FREQUENT_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["token", "n"])
 
+    bounded(texts.sparkSession)
     proposed = texts.mapInArrow(propose, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return [bytes(r["token"]) for r in proposed.orderBy(F.desc("n"), "token").limit(rows).collect()]
 
@@ -150,6 +151,7 @@ def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
             columns = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_bytes", "n_tokens"])
 
+    bounded(docs.sparkSession)
     schema = with_columns(docs, keep, "n_bytes long, n_tokens long")
     counted = docs.select(*keep, "text").mapInArrow(count, schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > max_tokens)

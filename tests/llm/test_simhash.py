@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from gridline.llm import simhash
+from gridline.llm import similar, simhash
 from gridline.llm.graph import components
 
 
@@ -92,3 +94,64 @@ def test_nulls_ties_and_copies(spark):
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
     assert got == sorted([("5", "2"), ("2", "2"), ("2", "2"), ("9", "7"), ("7", "7"), ("None", "7"), ("None", "None")])
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def cloud(rng, size, copies, edits):
+    """Copies of a text that isn't among them, each with its own edits."""
+    base, out = [f"w{rng.randrange(5000)}" for _ in range(size)], []
+    for i in range(copies):
+        words = list(base)
+        for at in rng.sample(range(size), rng.choice(edits)):
+            words[at] = f"e{i}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def plain_similar(texts, least=0.8):
+    """The first text that each text reaches by pairs of that similarity, all pairs compared as sets."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least]
+    return plain_components(range(len(texts)), linked)
+
+
+def test_reached_counts_shared_hashes_exactly():
+    rng = random.Random(5)
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randrange(30))], np.uint64)) for _ in range(60)] + [np.empty(0, np.uint64)] * 2
+    sets += [np.arange(100, 108, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]  # exactly 0.8
+    sets += [np.arange(200, 228, dtype=np.uint64), np.arange(200, 235, dtype=np.uint64)]  # exactly 0.8
+    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a) and len(b) and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8]
+    want = plain_components(range(len(sets)), linked)
+    assert similar.reached(sets, 0.8).tolist() == [want[i] for i in range(len(sets))]
+    assert (63, 62) in linked or (len(sets) - 1, len(sets) - 2) in linked
+
+
+@pytest.mark.parametrize("block", [512, 24])
+def test_families_without_their_base_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", block)
+    rng = random.Random(31)
+    texts = [t for n, size, edits in ((120, 200, [3]), (20, 200, [1, 2, 3]), (40, 60, [0, 1]), (70, 150, [1, 2, 4])) for t in cloud(rng, size, n, edits)]
+    texts += ["short one", "short  ONE", "one", "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = plain_similar([t.lower() for t in texts])
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    assert got == want and len(set(want.values())) < len(texts) - 60
+
+
+@pytest.mark.parametrize("by_list", [False, True])
+def test_places_of_large_groups_are_bounded_and_whole(spark, monkeypatch, by_list):
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 50)
+    if by_list:  # a long chain of small lists is one cluster, and its lists are cheaper than its blocks
+        postings = [(k, x) for k in range(400) for x in (k, k + 1)]
+    else:  # one common list of 900, and lists inside it
+        postings = [(0, x) for x in range(900)] + [(1 + x // 300, x) for x in range(900)]
+    met = spark.createDataFrame([(k, n, 10) for k, n in postings], "key long, node long, n long")
+    several = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.sum("n").alias("weight"))
+    met = met.join(several, "key")
+    clusters = components(met.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    places = {r["node"]: set(r["places"]) for r in similar.meetings(met, clusters).collect()}
+    by_key = {}
+    for k, n in postings:
+        by_key.setdefault(k, []).append(n)
+    assert all(places[a] & places[b] for nodes in by_key.values() for a in nodes[::7] for b in nodes)
+    held = Counter(p for own in places.values() for p in own)
+    assert max(held.values()) <= (2 if by_list else 180) and sum(held.values()) <= 900 * 18
