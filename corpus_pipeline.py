@@ -20,9 +20,14 @@ from gridline.llm import common, language, mixing, packing, secrets, similar, to
 LEAST_SCORE = 0.25
 
 
-def whole(docs: DataFrame) -> DataFrame:
-    """What operators read, and the row itself as a struct, so that no other column's name matters."""
-    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+def plain(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """docs with numbers for names but for those that operators read, so that no other column's name matters."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in names else f"_{i}") for i, c in enumerate(docs.columns)])
+
+
+def named(rows: DataFrame, docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The columns of docs, out of rows that were made from plain(docs, names)."""
+    return rows.select(*[F.col(c if c in names else f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +39,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language.learn(docs)
     if not profiles.names:
         return docs.where(F.col("text").isNotNull())
-    found = language.predict(whole(docs), profiles, ("_row",))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    rows = plain(docs, ("text",))
+    found = language.predict(rows, profiles, tuple(rows.columns))
+    return named(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs, ("text",))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +60,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents so that sources reach their target words."""
-    mixed = mixing.mix(whole(docs), common.word_count(F.col("text")), keep=("doc_id", "source", "_row"))
-    return mixing.repeat(mixed.select("_row", "epochs")).select("_row.*")
+    read = ("doc_id", "source", "text")
+    rows = plain(docs, read)
+    mixed = mixing.mix(rows, common.word_count(F.col("text")), keep=tuple(rows.columns))
+    return named(mixing.repeat(mixed.select(*rows.columns, "epochs")), docs, read)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
