@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridline.model import BRANDS, FIELD_NAMES, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN, RUSSIAN, RUSSIAN_LATIN, TECHNICAL_PATTERNS
+from gridline.model import BRANDS, FIELD_NAMES, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN, TECHNICAL_PATTERNS, TRANSLITERATION
 
 
 def replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -47,7 +47,7 @@ def field_name(name: Column) -> Column:
 
 def transliterate(text: Column) -> Column:
     """Russian letters in Latin spelling; letters of one Latin letter at once."""
-    pairs = list(zip(RUSSIAN, RUSSIAN_LATIN, strict=True)) + [(r.upper(), x.capitalize()) for r, x in zip(RUSSIAN, RUSSIAN_LATIN, strict=True)]
+    pairs = [*TRANSLITERATION.items(), *((r.upper(), x.capitalize()) for r, x in TRANSLITERATION.items())]
     single = [(r, x) for r, x in pairs if len(x) == 1]
     dropped = [r for r, x in pairs if not x]
     text = F.translate(text, "".join(r for r, _ in single) + "".join(dropped), "".join(x for _, x in single))
@@ -90,12 +90,20 @@ def units(text: Column) -> Column:
     return replace_all(text, [(r"(\d+)([Шш][Тт]\.?)", "$1 $2"), (r"(\d+)\s+[Шш][Тт]\.?", "$1 шт.")])
 
 
-def ocr_clean(text: Column) -> Column:
-    """Plain quotes, dashes and units; no list mark; digits read as letters repaired. Null is empty."""
+def ocr_signs(text: Column) -> Column:
+    """Plain quotes, dashes and special signs; no list mark. Null is empty."""
     text = F.translate(F.coalesce(text, F.lit("")), "‘’“”–—ⅲⅢⅰ", "''\"\"--шШi")
-    text = F.replace(text, F.lit("ⅱ"), F.lit("ii"))
-    text = units(F.regexp_replace(text, r"^\s*[-–—]\s*", ""))
-    return replace_all(text, [(r"(?U)\b1([а-яА-ЯёЁ]{2,})", "Т$1"), (r"(?U)\b3([а-яА-ЯёЁ]{2,})", "З$1")])
+    return F.regexp_replace(F.replace(text, F.lit("ⅱ"), F.lit("ii")), r"^\s*[-–—]\s*", "")
+
+
+def ocr_words(text: Column) -> Column:
+    """Units in one spelling, and digits read as letters repaired."""
+    return replace_all(units(text), [(r"(?U)\b1([а-яА-ЯёЁ]{2,})", "Т$1"), (r"(?U)\b3([а-яА-ЯёЁ]{2,})", "З$1")])
+
+
+def ocr_clean(text: Column) -> Column:
+    """The first pass but for brands: signs, list mark, units and digits."""
+    return ocr_words(ocr_signs(text))
 
 
 def ocr_finish(text: Column) -> Column:

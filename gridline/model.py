@@ -37,8 +37,13 @@ LOOKALIKE_LATIN = "AaBEeKMHOoPpCcTtyXxruniINUY"
 LOOKALIKE_CYRILLIC = "АаВЕеКМНОоРрСсТтуХхгипіІПИУ"
 
 # Fixed values. Russian letters and their Latin spelling (capitals alike).
-RUSSIAN = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
-RUSSIAN_LATIN = "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh sch - y - e yu ya".replace("-", "").split(" ")
+TRANSLITERATION = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh",
+    "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts",
+    "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu",
+    "я": "ya",
+}
 
 FIELD_NAMES = {
     "Обозначение": "designation",

@@ -24,21 +24,18 @@ def blocks_in_cells(blocks: DataFrame, cells: DataFrame, keys: list[str], least:
     blocks: keys, block_idx, x1, y1, x2, y2; cells: keys, cell_idx and a box.
     Method 0: the block's centre lies in the cell, bounds included, lowest cell
     first. Method 1, for the others: the cell of the largest overlap, lowest
-    first, from least on. One equi-join by keys scores all pairs of a document
-    once; both methods are aggregates of it.
+    first, from least on. The cells of a document are few and go to its blocks
+    as one array, by one equi-join; no pair of block and cell is a row.
     """
-    other = cells.select(*keys, "cell_idx", *[F.col(c).alias(f"c_{c}") for c in ("x1", "y1", "x2", "y2")])
+    cell = F.struct("cell_idx", *[F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    held = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    inside = cx.between(F.col("c_x1"), F.col("c_x2")) & cy.between(F.col("c_y1"), F.col("c_y2"))
-    overlap = iou(_box(""), _box("c_"))
-    pairs = blocks.join(other, keys).withColumn("_in", inside).withColumn("_iou", overlap).where(F.col("_in") | (F.col("_iou") > 0))
-    best = pairs.groupBy(*keys, "block_idx").agg(
-        F.min(F.when(F.col("_in"), F.col("cell_idx"))).alias("_centre"),
-        F.max_by("cell_idx", F.struct("_iou", -F.col("cell_idx"))).alias("_near"),
-        F.max("_iou").alias("_best"),
-    )
-    found = best.where(F.col("_centre").isNotNull() | (F.col("_best") >= least))
-    return found.select(*keys, "block_idx", F.coalesce("_centre", "_near").alias("cell_idx"), F.when(F.col("_centre").isNotNull(), 0).otherwise(1).alias("method"))
+    inside = F.filter("_cells", lambda c: cx.between(c["x1"], c["x2"]) & cy.between(c["y1"], c["y2"]))
+    joined = blocks.select(*keys, "block_idx", *_box("").values()).join(held, keys).withColumn("_centre", F.get(inside, F.lit(0))["cell_idx"])
+    overlaps = F.transform("_cells", lambda c: F.struct(iou(_box(""), {k: c[k] for k in ("x1", "y1", "x2", "y2")}).alias("iou"), (-c["cell_idx"]).alias("last")))
+    best = joined.withColumn("_near", F.when(F.col("_centre").isNull(), F.array_max(overlaps)))
+    found = best.where(F.col("_centre").isNotNull() | (F.col("_near.iou") >= least))
+    return found.select(*keys, "block_idx", F.coalesce("_centre", -F.col("_near.last")).alias("cell_idx"), F.when(F.col("_centre").isNotNull(), 0).otherwise(1).alias("method"))
 
 
 def cell_texts(blocks: DataFrame, cells: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,33 +105,45 @@ def lines_of(words: Column, limit: float = 3.0) -> Column:
     """array<struct<top, text>>: words (top, x0, text) grouped by height.
 
     A word joins the line if its top is less than limit below the line's first
-    word. That depends on where a line began, so it's a fold over the words of
-    one page in order of height.
+    word. That depends on where a line began, so the heights at which lines
+    begin come from a fold over the ordered words of one page, which keeps
+    only those heights; each line then takes its words by their place.
     """
-    line = "array<struct<top:double,words:array<struct<x0:double,n:int,text:string>>>>"
-    numbered = F.transform(F.sort_array(words), lambda w, i: F.struct(w["top"].cast("double").alias("top"), F.struct(w["x0"].cast("double").alias("x0"), i.cast("int").alias("n"), w["text"].alias("text")).alias("w")))
+    ordered = F.transform(F.sort_array(words), lambda w, i: F.struct(w["top"].cast("double").alias("top"), w["x0"].cast("double").alias("x0"), i.cast("int").alias("n"), w["text"].alias("text")))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<int>").alias("at"))
 
-    def step(done: Column, word: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        own = F.struct(word["top"].alias("top"), F.array(word["w"]).alias("words"))
-        joined = F.struct(last["top"].alias("top"), F.concat(last["words"], F.array(word["w"])).alias("words"))
-        near = (F.size(done) > 0) & (word["top"] - last["top"] < limit)
-        return F.when(near, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(own)))
+    def step(state: Column, word: Column) -> Column:
+        new = F.coalesce(word["top"] - state["top"] >= limit, F.lit(True))
+        return F.struct(F.when(new, word["top"]).otherwise(state["top"]).alias("top"), F.when(new, F.array_append(state["at"], word["n"])).otherwise(state["at"]).alias("at"))
 
-    folded = F.aggregate(numbered, F.array().cast(line), step)
-    return F.transform(folded, lambda x: F.struct(x["top"].alias("top"), F.array_join(F.transform(F.sort_array(x["words"]), lambda w: w["text"]), " ").alias("text")))
+    def lines(held: Column) -> Column:
+        begins = F.aggregate(held, start, step)["at"]
+        return F.get(F.transform(F.array(begins), lambda b: F.transform(b, lambda at, i: line_of(held, b, at, i))), F.lit(0))
+
+    def line_of(held: Column, begins: Column, at: Column, i: Column) -> Column:
+        own = F.slice(held, at + 1, F.coalesce(F.get(begins, i + 1), F.size(held)) - at)
+        read = F.sort_array(F.transform(own, lambda w: F.struct(w["x0"].alias("x0"), w["n"].alias("n"), w["text"].alias("text"))))
+        return F.struct(F.get(own, F.lit(0))["top"].alias("top"), F.array_join(F.transform(read, lambda w: w["text"]), " ").alias("text"))
+
+    return F.get(F.transform(F.array(ordered), lines), F.lit(0))
 
 
 def _islands(segments: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
-    """keys, lo, hi, from, to: runs of pixels that fewer than two segments cover."""
+    """keys, lo, hi, from, to: runs of pixels that fewer than two segments cover.
+
+    A segment is two events, at its first pixel and behind its last; their
+    running sum is the cover up to the next event. All windows are by keys, so
+    the events are dealt once.
+    """
     a, b = F.floor(F.col(low)).cast("int"), F.ceil(F.col(high)).cast("int")
-    spans = segments.select(*keys, a.alias("a"), b.alias("b")).where("b > a")
-    edges = spans.groupBy(*keys).agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
-    pixels = lambda df, x, y: df.select(*keys, *(c for c in df.columns if c in ("lo", "hi")), F.explode(F.sequence(F.col(x), F.col(y) - 1)).alias("p"))
-    covered = pixels(spans, "a", "b").groupBy(*keys, "p").count().where("count >= 2").select(*keys, "p")
-    empty = pixels(edges, "lo", "hi").join(covered, [*keys, "p"], "left_anti")
-    run = F.col("p") - F.row_number().over(Window.partitionBy(*keys).orderBy("p"))
-    return empty.withColumn("_run", run).groupBy(*keys, "lo", "hi", "_run").agg(F.min("p").alias("from"), F.max("p").alias("to")).drop("_run")
+    event = lambda at, step: F.struct(at.alias("p"), F.lit(step).alias("step"))
+    events = segments.select(*keys, a.alias("a"), b.alias("b")).where("b > a").select(*keys, F.explode(F.array(event(F.col("a"), 1), event(F.col("b"), -1))).alias("_e")).select(*keys, "_e.p", "_e.step")
+    page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("p")
+    covered = events.select(*keys, "p", F.sum("step").over(order).alias("cover"), F.lead("p").over(order).alias("next"), F.min("p").over(page).alias("lo"), F.max("p").over(page).alias("hi"))
+    empty = covered.where((F.col("next") > F.col("p")) & (F.col("cover") < 2))
+    begins = F.coalesce(F.lag("next").over(order) != F.col("p"), F.lit(True)).cast("int")
+    run = empty.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
+    return run.groupBy(*keys, "lo", "hi", "_run").agg(F.min("p").alias("from"), (F.max("next") - 1).alias("to")).drop("_run")
 
 
 def column_histogram(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,14 +162,15 @@ def row_histogram(segments: DataFrame, keys: list[str], jump: float = 5.0, last:
     """keys, bounds: heights where an empty run is jump times the one before it, then the bottom.
 
     After such a jump the comparison starts anew; a run at the bottom needs
-    only last times. A fold over the ordered runs of one page.
+    only last times, and no run before it. A fold over the ordered runs of one
+    page.
     """
     islands = _islands(segments, keys, "top", "bottom")
     run = F.struct(F.col("from").alias("from"), (F.col("to") - F.col("from") + 1).alias("n"), (F.col("to") == F.col("hi") - 1).alias("end"), F.col("to").alias("to"))
     runs = islands.groupBy(*keys).agg(F.sort_array(F.collect_list(run)).alias("_r"))
 
     def step(state: Column, r: Column) -> Column:
-        big = state["gap"].isNotNull() & (r["n"] > F.when(r["end"], last).otherwise(jump) * state["gap"])
+        big = F.coalesce(r["n"] > F.when(r["end"], last).otherwise(jump) * state["gap"], r["end"])
         bound = ((r["from"] + r["to"]) / 2).cast("double")
         return F.struct(F.when(big, F.lit(None).cast("int")).otherwise(r["n"]).alias("gap"), F.when(big, F.concat(state["b"], F.array(bound))).otherwise(state["b"]).alias("b"))
 

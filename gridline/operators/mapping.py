@@ -58,14 +58,24 @@ def answer_rows(answer: Column, columns: list[str]) -> Column:
     return F.from_json(X.unfenced(F.trim(answer)), response(columns))["rows"]
 
 
-def map_records(records: DataFrame, keys: list[str], model: Callable[[list[str]], list[str | None]], extended: bool = True, size: int = 5) -> DataFrame:
+def map_records(
+    records: DataFrame,
+    keys: list[str],
+    model: Callable[[list[str]], list[str | None]],
+    extended: bool = True,
+    size: int = 5,
+    wrap: Callable[[Column], Column] | None = None,
+    cut: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """keys, chunk_idx, pos and the target columns of every mapped row; a failed chunk gives one row with error.
 
-    Missing fields are empty, unknown ones are ignored.
+    Missing fields are empty, unknown ones are ignored. wrap makes the whole
+    prompt out of a chunk's text, cut the answer out of what the model says.
     """
     columns = EXTENDED if extended else SIMPLIFIED
-    answered = ask(chunks(records, keys, size), model)
-    parsed = answered.withColumn("_rows", answer_rows(F.col("answer"), columns))
+    asked = chunks(records, keys, size)
+    answered = ask(asked.withColumn("prompt", wrap(F.col("prompt"))) if wrap else asked, model)
+    parsed = answered.withColumn("_rows", answer_rows(cut(F.col("answer")) if cut else F.col("answer"), columns))
     error = F.coalesce("error", F.when(F.col("_rows").isNull(), F.lit("not the JSON asked for")))
     rows = parsed.withColumn("error", error).select(*keys, "chunk_idx", "error", F.posexplode_outer("_rows").alias("pos", "_r"))
     return rows.select(*keys, "chunk_idx", F.coalesce("pos", F.lit(0)).alias("pos"), *[F.coalesce(F.col("_r")[c], F.lit("")).alias(c) for c in columns], "error")

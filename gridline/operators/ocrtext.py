@@ -35,16 +35,29 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Terms that may be broadcast; a larger dictionary is joined by length.
+TERM_ROWS = 20_000
+
+
 def nearest(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
     """word, match, score: for each distinct word the term (term, match, ord) of the best ratio >= least.
 
-    Ties go to the lower ord. Pairs are limited to lengths at which the ratio
-    can reach least: 200 * min / sum >= least. terms is a dictionary of fixed
-    size, so it's broadcast; words are distinct, so the scores aren't repeated.
+    Ties go to the lower ord. The ratio is 100 * (1 - insertions and deletions /
+    both lengths), and a Levenshtein distance is never more than those, so
+    lengths and that distance leave few pairs for the exact score, which runs in
+    Python. A dictionary of few terms is broadcast, counted; with a larger one
+    words meet the terms of each length that can reach least by an equi-join.
     """
     n, m = F.length("word"), F.length("term")
-    pairs = words.select("word").where("word is not null").distinct().join(F.broadcast(terms), 200 * F.least(n, m) >= least * (n + m))
-    scored = pairs.withColumn("score", fuzzy_ratio("word", "term")).where(F.col("score") >= least)
+    distinct = words.select("word").where("word is not null").distinct()
+    if terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS:
+        pairs = distinct.join(F.broadcast(terms), 200 * F.least(n, m) >= least * (n + m))
+    else:
+        low, high = F.ceil(n * least / (200 - least)).cast("int"), F.floor(n * (200 - least) / least).cast("int")
+        lengths = F.explode(F.sequence(F.least(low, high), high)).alias("_n")
+        pairs = distinct.select("word", lengths).join(terms.withColumn("_n", m), "_n").drop("_n")
+    close = F.levenshtein("word", "term") <= (1 - least / 100) * (n + m) + 1e-9
+    scored = pairs.where(close).withColumn("score", fuzzy_ratio("word", "term")).where(F.col("score") >= least)
     return scored.groupBy("word").agg(F.max_by("match", F.struct("score", -F.col("ord"))).alias("match"), F.max("score").alias("score"))
 
 
@@ -70,9 +83,9 @@ def corrected(tokens: DataFrame, lexicon: DataFrame, domain: DataFrame, brand: D
 
     Technical tokens of mixed script become Latin; numbers, signs and spaces
     stay. Mixed words become Cyrillic; Latin ones away from numbers are brands,
-    exactly or at 75, or become Cyrillic. Cyrillic words outside the lexicon
-    become the nearest term (domain at 70, lexicon at 60); case is restored.
-    Each look-up runs on distinct words.
+    exactly or at 75, or become Cyrillic, where Latin r may be two letters.
+    Cyrillic words outside the lexicon become the nearest term (domain at 70,
+    lexicon at 60); case is restored. Each look-up runs on distinct words.
     """
     t = F.col("token")
     latin, cyrillic = t.rlike("[A-Za-z]"), t.rlike("[А-Яа-я]")
@@ -83,19 +96,39 @@ def corrected(tokens: DataFrame, lexicon: DataFrame, domain: DataFrame, brand: D
     left = keyed.select(F.col("_brand").alias("word")).distinct().join(F.broadcast(exact), "word", "left_anti")
     brand_of = exact.unionByName(nearest(left, brand, BRAND_SCORE).select("word", F.col("match").alias("_m"))).withColumnRenamed("word", "_brand").withColumnRenamed("_m", "brand")
     with_brand = keyed.join(brand_of, "_brand", "left")
-    cyr = F.when(is_word & latin & (cyrillic | ~F.col("near_number")), X.to_cyrillic(t)).otherwise(t)
-    words = with_brand.withColumn("_cyr", F.when(F.col("brand").isNull() & is_word, cyr)).withColumn("_low", F.when(F.col("_cyr").rlike("[А-Яа-я]"), F.lower("_cyr")))
+    changed = F.col("brand").isNull() & is_word & latin & (cyrillic | ~F.col("near_number"))
     known = lexicon.select(F.lower("word").alias("word")).unionByName(domain.select(F.col("term").alias("word"))).distinct()
-    strange = words.select(F.col("_low").alias("word")).where("word is not null").distinct().join(known, "word", "left_anti")
-    near_domain = nearest(strange, domain, DOMAIN_SCORE)
     ordered = lexicon.select(F.lower("word").alias("term"), F.lower("word").alias("match"), "ord")
-    rest = strange.join(near_domain, "word", "left_anti")
-    fix = near_domain.unionByName(nearest(rest, ordered, LEXICON_SCORE)).select(F.col("word").alias("_low"), F.col("match").alias("_fix"))
-    fixed = words.join(fix, "_low", "left")
+    unsure = F.when(changed & F.contains(t, F.lit("r")), t)
+    read = readings(with_brand.select(unsure.alias("token")).where("token IS NOT NULL").distinct(), known, domain, ordered)
+    words = with_brand.withColumn("_unsure", unsure).join(read.withColumnRenamed("token", "_unsure"), "_unsure", "left")
+    words = words.withColumn("_cyr", F.when(changed, F.coalesce("reading", X.to_cyrillic(t))).when(F.col("brand").isNull() & is_word, t))
+    words = words.withColumn("_low", F.when(F.col("_cyr").rlike("[А-Яа-я]"), F.lower("_cyr")))
+    fix = close_terms(words.select(F.col("_low").alias("word")).where("word is not null").distinct().join(known, "word", "left_anti"), domain, ordered)
+    fixed = words.join(fix.select(F.col("word").alias("_low"), F.col("match").alias("_fix")), "_low", "left")
     cased = X.like_case(F.coalesce("_fix", "_low"), t)
     mixed = (F.col("kind") == "technical") & latin & cyrillic
     out = F.when(mixed, X.to_latin(t)).when(F.col("brand").isNotNull(), F.col("brand")).when(F.col("_low").isNotNull(), cased).otherwise(F.coalesce("_cyr", "token"))
-    return fixed.withColumn("fixed", out).drop("_brand", "_cyr", "_low", "_fix", "brand")
+    return fixed.withColumn("fixed", out).drop("_brand", "_unsure", "reading", "_cyr", "_low", "_fix", "brand")
+
+
+def close_terms(words: DataFrame, domain: DataFrame, ordered: DataFrame) -> DataFrame:
+    """word, match, score: the nearest domain term at 70, else the nearest of the lexicon at 60."""
+    near = nearest(words, domain, DOMAIN_SCORE)
+    return near.unionByName(nearest(words.join(near, "word", "left_anti"), ordered, LEXICON_SCORE))
+
+
+def readings(words: DataFrame, known: DataFrame, domain: DataFrame, ordered: DataFrame) -> DataFrame:
+    """token, reading of distinct words(token) with Latin r.
+
+    The first known reading counts; without one, that nearest to a term, and of
+    equally near ones the first.
+    """
+    read = words.select("token", F.posexplode(ambiguous(F.col("token"))).alias("place", "reading")).withColumn("word", F.lower("reading"))
+    sure = known.withColumn("_known", F.lit(True))
+    told = read.join(sure, "word", "left").join(close_terms(read.select("word").distinct().join(known, "word", "left_anti"), domain, ordered).select("word", "score"), "word", "left")
+    rank = F.struct(F.coalesce("_known", F.lit(False)).alias("known"), F.when(F.col("_known").isNull(), F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("score"), (-F.col("place")).alias("place"))
+    return told.groupBy("token").agg(F.max_by("reading", rank).alias("reading"))
 
 
 def joined(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,12 +138,17 @@ def joined(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None) -> DataFrame:
-    """keys, text of every cell after all passes; blank and null cells are untouched."""
+    """keys, text of every cell after all passes; blank and null cells are untouched.
+
+    Brands are spelled out before the tokens are corrected, and again behind
+    that, for a token may have been a part of one.
+    """
     spark = cells.sparkSession
     lexicon = lexicon if lexicon is not None else spark.createDataFrame([(w, i) for i, w in enumerate(DOMAIN_TERMS)], "word string, ord long")
     blank = F.coalesce(X.strip(F.col("text")), F.lit("")) == ""
-    clean = cells.where(~blank).select(*keys, X.ocr_clean(F.col("text")).alias("text"))
-    done = joined(corrected(tokens(clean, keys), lexicon, terms(spark), brands(spark)), keys)
+    signs = canonical_brands(cells.where(~blank).select(*keys, X.ocr_signs(F.col("text")).alias("text")), keys)
+    clean = signs.select(*keys, X.ocr_words(F.col("text")).alias("text"))
+    done = canonical_brands(joined(corrected(tokens(clean, keys), lexicon, terms(spark), brands(spark)), keys), keys)
     return cells.where(blank).select(*keys, "text").unionByName(done)
 
 
@@ -125,13 +163,21 @@ def ambiguous(word: Column) -> Column:
 def canonical_brands(cells: DataFrame, keys: list[str], names: list[str] = BRANDS) -> DataFrame:
     """keys, text: cells whose capitalised words are known brands in their usual spelling.
 
+    A word begins with a capital at a word's start and ends at a word's end.
     Words are looked up exactly, then at a ratio of 75; a found brand stands
     between single spaces, none before punctuation. Null and empty cells stay.
     """
     brand = brands(cells.sparkSession, names)
-    parts = F.regexp_extract_all(F.regexp_replace("text", "([A-ZА-Я][a-zA-Zа-яА-Я]*)['’`ʹ]", "$1'"), F.lit(r"[A-ZА-Я][a-zA-Zа-яА-Я'\-]*|\s+|[^A-ZА-Я\s][^\s]*|[A-ZА-Я]"), 0)
-    tokens_ = cells.where(F.coalesce("text", F.lit("")) != "").select(*keys, F.posexplode(parts).alias("pos", "token"))
-    keyed = tokens_.withColumn("word", F.when(F.col("token").rlike("^[A-ZА-Я]"), X.brand_key(F.col("token"))))
+    # fixed values: how apostrophes, words and punctuation are told
+    apostrophes = F.regexp_replace("text", "([A-ZА-Я][a-zA-Zа-яА-Я]*)['’`ʹ]", "$1'")
+    parts = F.regexp_extract_all(apostrophes, F.lit(r"[A-ZА-Я][a-zA-Zа-яА-Я'\-]*|[^A-ZА-Я]+"), 0)
+    held = cells.where(F.coalesce("text", F.lit("")) != "").select(*keys, parts.alias("_w"))
+    part = lambda p, i: F.struct(p.alias("token"), F.get("_w", i - 1).alias("left"), F.get("_w", i + 1).alias("right"))
+    tokens_ = held.select(*keys, F.posexplode(F.transform("_w", part)).alias("pos", "_p")).select(*keys, "pos", "_p.*")
+    begins = ~F.coalesce(F.col("left").rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
+    inside = F.coalesce(F.col("right").rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
+    ends = F.col("token").rlike(r"\p{L}$") != inside
+    keyed = tokens_.withColumn("word", F.when(F.col("token").rlike("^[A-ZА-Я]") & begins & ends, X.brand_key(F.col("token"))))
     exact = brand.select(F.col("term").alias("word"), "match")
     left = keyed.select("word").where("word IS NOT NULL").distinct().join(F.broadcast(exact), "word", "left_anti")
     found = exact.unionByName(nearest(left, brand, BRAND_SCORE).select("word", "match"))

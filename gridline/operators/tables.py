@@ -68,10 +68,11 @@ def clean_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Stripped cells without `;`, without empty columns, then without empty rows, numbered anew.
 
     Cells are stripped before `;` becomes a space, so `" ;"` leaves a space and
-    counts as filled. Columns go before rows.
+    counts as filled. Columns go before rows. Cells are dealt by table once;
+    all four windows run there.
     """
     clean = F.replace(X.strip(F.coalesce("text", F.lit(""))), F.lit(";"), F.lit(" "))
-    texts = cells.withColumn("text", clean)
+    texts = cells.withColumn("text", clean).repartition(*[F.col(k) for k in keys])
     filled = lambda *by: F.max(F.col("text") != "").over(Window.partitionBy(*keys, *by))
     columns = texts.withColumn("_c", filled("col_idx")).where("_c").drop("_c")
     rows = columns.withColumn("_r", filled("row_idx")).where("_r").drop("_r")
@@ -117,10 +118,13 @@ def chunks(records: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
 def validation(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n_rows, null_cells, duplicate_rows, is_valid, warnings.
 
-    Equal rows meet by aggregation, nulls being equal.
+    Equal rows meet by 128 bits of their values, nulls being equal, so that
+    the rows themselves aren't shuffled.
     """
-    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in columns])
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.sum(nulls).alias("_nulls"))
+    missing = [F.col(c).isNull() for c in columns]
+    nulls = reduce(lambda a, b: a + b, [m.cast("long") for m in missing])
+    values = [x for c, m in zip(columns, missing, strict=True) for x in (m, F.col(c))]
+    groups = df.groupBy(F.xxhash64(F.lit(1), *values).alias("_h"), F.xxhash64(F.lit(2), *reversed(values)).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.sum(nulls).alias("_nulls"))
     total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("null_cells"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
     share = F.col("null_cells") / F.greatest(F.col("n_rows") * len(columns), F.lit(1))
     warnings = F.filter(F.array(F.when(share > 0.5, F.lit("many nulls")), F.when(F.col("duplicate_rows") > 0, F.lit("duplicates"))), lambda w: w.isNotNull())
@@ -145,16 +149,20 @@ def column_widths(cells: DataFrame, keys: list[str], low: int = 10, high: int =
     return cells.groupBy(*keys, "col_idx").agg(F.greatest(F.least(F.max(longest) + 2, F.lit(high)), F.lit(low)).alias("width"))
 
 
-def semantic_header(cells: DataFrame, anchors: Column, keys: list[str], least: float = 0.75, share: float = 0.6) -> DataFrame:
-    """keys, mean_sim, share, is_header of tables whose header cells have an embedding.
+def semantic_header(cells: DataFrame, anchors: Column, keys: list[str], least: float = 0.75, share: float = 0.6, numeric: float = 0.3) -> DataFrame:
+    """keys, mean_sim, share, numeric, is_header of tables whose header cells have an embedding.
 
-    anchors is an array of anchor vectors, a literal of fixed size.
+    cells: keys, embedding, and text if there is one: a row of which more than
+    the share numeric are numbers is no header. anchors is an array of anchor
+    vectors, a literal of fixed size.
     """
     from gridline.functions.geometry import cosine
 
     best = F.array_max(F.transform(anchors, lambda a: cosine(a, F.col("embedding"))))
-    scored = cells.withColumn("_s", best).groupBy(*keys).agg(F.avg("_s").alias("mean_sim"), F.avg((F.col("_s") >= least).cast("double")).alias("share"))
-    return scored.withColumn("is_header", (F.col("mean_sim") >= least) & (F.col("share") >= share))
+    number = F.coalesce(X.is_number(F.col("text")), F.lit(False)) if "text" in cells.columns else F.lit(False)
+    scored = cells.withColumn("_s", best).withColumn("_n", number).groupBy(*keys)
+    scored = scored.agg(F.avg("_s").alias("mean_sim"), F.avg((F.col("_s") >= least).cast("double")).alias("share"), F.avg(F.col("_n").cast("double")).alias("numeric"))
+    return scored.withColumn("is_header", (F.col("numeric") <= numeric) & (F.col("mean_sim") >= least) & (F.col("share") >= share))
 
 
 def distinct_keys(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,11 +174,19 @@ def distinct_keys(records: DataFrame, keys: list[str]) -> DataFrame:
 def unique_names(names: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     """names(stem, suffix, order) with column name: stem_001, stem_002, ... without those of taken(name).
 
-    Numbers of a stem continue behind its highest taken one, in order.
+    Names of a stem take its free numbers in order, the lowest first. The jth
+    taken number t leaves t - j free ones below it, so the kth free number is k
+    and the taken ones of t - j < k: a running count over both, sorted together.
     """
-    base, ext = X.safe_stem(F.col("stem")), F.lower("suffix")
-    used = taken.select(F.regexp_extract("name", r"^(.*)_(\d+)(\.[^.]*)?$", 1).alias("_b"), F.regexp_extract("name", r"^(.*)_(\d+)(\.[^.]*)?$", 2).alias("_n"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("_e"))
-    highest = used.where("_n <> ''").groupBy("_b", "_e").agg(F.max(F.col("_n").cast("int")).alias("_top"))
-    keyed = names.withColumn("_b", base).withColumn("_e", ext).join(highest, ["_b", "_e"], "left")
-    number = F.row_number().over(Window.partitionBy("_b", "_e").orderBy(order)) + F.coalesce("_top", F.lit(0))
-    return keyed.withColumn("name", F.concat("_b", F.lit("_"), F.format_string("%03d", number), "_e")).drop("_b", "_e", "_top")
+    stem, ext = X.safe_stem(F.col("stem")), F.lower("suffix")
+    part = lambda i: F.regexp_extract("name", r"^(.*)_(\d{1,9})(\.[^.]*)?$", i)
+    used = taken.select(part(1).alias("_b"), F.coalesce(part(3), F.lit("")).alias("_e"), part(2).alias("_d")).where("_d <> ''").withColumn("_t", F.col("_d").cast("int"))
+    used = used.where((F.col("_t") > 0) & (F.col("_d") == F.format_string("%03d", "_t"))).select("_b", "_e", "_t").distinct()
+    inside = Window.partitionBy("_b", "_e")
+    blocks = used.select("_b", "_e", (F.col("_t") - F.row_number().over(inside.orderBy("_t"))).alias("_at"), F.lit(1).alias("_taken"))
+    wanted = names.select(stem.alias("_b"), ext.alias("_e"), F.struct(*names.columns).alias("_row"))
+    wanted = wanted.withColumn("_at", F.row_number().over(inside.orderBy(F.col("_row")[order]))).withColumn("_taken", F.lit(0))
+    both = wanted.unionByName(blocks, allowMissingColumns=True)
+    before = F.sum("_taken").over(inside.orderBy("_at", "_taken").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = both.withColumn("_number", F.col("_at") + before).where("_taken = 0")
+    return numbered.select("_row.*", F.concat("_b", F.lit("_"), F.format_string("%03d", "_number"), "_e").alias("name"))

@@ -177,9 +177,19 @@ def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.column_histogram(_segments(spark, sf_dir), ["page"]).select("page", F.explode("bounds").alias("bound"))
 
 
-@register("row_histogram")
+@register(
+    "row_histogram",
+    "WITH RECURSIVE " + _ISLANDS.format(a="(l_suppkey * 7 % 300)::DOUBLE", b="(l_suppkey * 7 % 300) + l_quantity").strip() + """,
+    r AS (SELECT page, f, t, t - f + 1 AS n, t = hi - 1 AS last, row_number() OVER (PARTITION BY page ORDER BY f) AS k FROM isl),
+    fold AS (
+      SELECT page, k, f, t, CASE WHEN last THEN NULL ELSE n END AS gap, last AS bound FROM r WHERE k = 1
+      UNION ALL SELECT r.page, r.k, r.f, r.t,
+        CASE WHEN CASE WHEN r.last THEN fold.gap IS NULL OR r.n > 2 * fold.gap ELSE fold.gap IS NOT NULL AND r.n > 5 * fold.gap END THEN NULL ELSE r.n END,
+        CASE WHEN r.last THEN fold.gap IS NULL OR r.n > 2 * fold.gap ELSE fold.gap IS NOT NULL AND r.n > 5 * fold.gap END
+      FROM fold JOIN r ON r.page = fold.page AND r.k = fold.k + 1
+    ) SELECT page, ((f + t) / 2.0)::DOUBLE AS bound FROM fold WHERE bound UNION ALL SELECT page, hi::DOUBLE FROM edge""",
+)
 def row_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds by jumps between runs, a fold; checked against a loop in the tests."""
     return L.row_histogram(_segments(spark, sf_dir), ["page"]).select("page", F.explode("bounds").alias("bound"))
 
 

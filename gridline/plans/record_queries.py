@@ -205,13 +205,15 @@ def upload_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "unique_names",
     r"""WITH n AS (SELECT page_id, 'page_' || split_part(url, '/', 4) AS stem FROM pages),
-    c AS (SELECT page_id, lower(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(stem), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'file')) AS b FROM n)
-    SELECT page_id, b || '_' || lpad(CAST(row_number() OVER (PARTITION BY b ORDER BY page_id) + CASE WHEN b = 'page_en' THEN 4 ELSE 0 END AS VARCHAR), greatest(3, length(CAST(row_number() OVER (PARTITION BY b ORDER BY page_id) + CASE WHEN b = 'page_en' THEN 4 ELSE 0 END AS VARCHAR))::INT, 3)::INT, '0') || '.html' AS name FROM c""",
+    c AS (SELECT page_id, lower(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(stem), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'file')) AS b FROM n),
+    k AS (SELECT page_id, b, row_number() OVER (PARTITION BY b ORDER BY page_id) AS i FROM c),
+    free AS (SELECT b, x, row_number() OVER (PARTITION BY b ORDER BY x) AS i FROM (SELECT b, unnest(range(1, count(*) + 10)) AS x FROM k GROUP BY b) WHERE NOT (b = 'page_en' AND x IN (2, 4, 5)))
+    SELECT page_id, b || '_' || lpad(CAST(x AS VARCHAR), greatest(3, length(CAST(x AS VARCHAR)))::INT, '0') || '.html' AS name FROM k JOIN free USING (b, i)""",
 )
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat(F.lit("page_"), F.coalesce(F.get(F.split("url", "/"), F.lit(3)), F.lit("")))
     names = table(spark, sf_dir, "pages").select("page_id", stem.alias("stem"), F.lit(".HTML").alias("suffix"))
-    taken = spark.createDataFrame([("page_en_004.html",), ("page_en_002.html",), ("other.html",)], "name string")
+    taken = spark.createDataFrame([(f"page_en_{n}",) for n in ("004.html", "002.html", "005.html", "7.html", "006.txt")] + [("other.html",)], "name string")
     return T.unique_names(names, taken, "page_id").select("page_id", "name")
 
 

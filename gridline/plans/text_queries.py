@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gridline.functions import extract as E
 from gridline.functions import text as X
-from gridline.model import RUSSIAN, RUSSIAN_LATIN
+from gridline.model import TRANSLITERATION
 from gridline.operators import ocrtext
 from gridline.plans.register import register, table
+from gridline.sources import text as text_source
 
 _ICONS = {".html": "🌐", ".pdf": "📕", ".txt": "📄"}
 
@@ -36,7 +37,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.safe_stem(url).alias("stem"), X.numbered_name(url, F.col("page_id") % 1000, F.lit(".HTML")).alias("name"), X.signature(url, content).alias("signature"))
 
 
-_SINGLE = [(r, x) for r, x in zip(RUSSIAN, RUSSIAN_LATIN, strict=True) if len(x) == 1]
+_SINGLE = [(r, x) for r, x in TRANSLITERATION.items() if len(x) == 1]
 _CYRILLIC = "".join(r for r, _ in _SINGLE)
 _LATIN = "".join(x for _, x in _SINGLE)
 
@@ -139,20 +140,57 @@ def ocr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.ocr_clean(text).alias("cleaned"))
 
 
-@register("brand_fuzzy")
+#: The length of the longest common subsequence of words w and terms t, a row of the table at a time: of a new
+#: row, cell j is the largest of the old cell j and of old cells before an equal sign up to j, plus 1.
+_COMMON = """
+lcs AS (
+  SELECT w, t, 0 AS i, list_transform(range(0, length(t) + 1), lambda j: 0) AS r FROM pairs
+  UNION ALL SELECT w, t, i + 1, list_transform(range(0, length(t) + 1), lambda j: greatest(r[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: t[k] = w[i + 1]), lambda k: r[k] + 1)), 0)))
+  FROM lcs WHERE i < length(w)
+), score AS (SELECT w, t, 200.0::DOUBLE * r[length(t) + 1] / (length(w) + length(t)) AS s FROM lcs WHERE i = length(w))"""
+_BRAND_TERMS = ", ".join("('" + v.replace("'", "''") + "', '" + b.replace("'", "''") + f"', {i})" for i, (v, b) in enumerate(X.brand_variants()))
+
+
+@register(
+    "brand_fuzzy",
+    f"""WITH RECURSIVE w AS (SELECT p_partkey, replace(lower(['Sandvlk', 'lscar', 'Kenametal', 'D`Andrea', 'Waltar', 'unknown'][p_partkey % 6 + 1]), '`', '') AS word FROM part),
+    terms AS (SELECT * FROM (VALUES {_BRAND_TERMS}) v(t, match, ord)), pairs AS (SELECT w, t FROM (SELECT DISTINCT word AS w FROM w), terms), {_COMMON.strip()},
+    best AS (SELECT w, match, s FROM score JOIN terms USING (t) WHERE s >= 75 QUALIFY row_number() OVER (PARTITION BY w ORDER BY s DESC, ord) = 1)
+    SELECT p_partkey, word, match, round(s, 6) AS score FROM w LEFT JOIN best ON best.w = w.word""",
+)
 def brand_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands found for disturbed spellings, by the longest common subsequence (no SQL has it)."""
+    """Brands found for disturbed spellings, by the longest common subsequence."""
     kinds = F.array(*[F.lit(b) for b in ("Sandvlk", "lscar", "Kenametal", "D`Andrea", "Waltar", "unknown")])
     words = table(spark, sf_dir, "part").select("p_partkey", X.brand_key(F.element_at(kinds, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("word"))
     found = ocrtext.nearest(words, ocrtext.brands(spark), ocrtext.BRAND_SCORE)
     return words.join(found, "word", "left").select("p_partkey", "word", "match", F.round("score", 6).alias("score"))
 
 
-@register("ocr_repair")
+@register(
+    "brand_names",
+    f"""WITH RECURSIVE b AS (SELECT p_partkey, regexp_replace(['Sandvlk', 'ISCAR', 'Kenametal', 'D`Andrea', 'Waltar', 'Nobody'][p_partkey % 6 + 1], '`', chr(39)) AS shown, p_name FROM part),
+    k AS (SELECT *, replace(lower(shown), chr(39), '') AS word FROM b),
+    terms AS (SELECT * FROM (VALUES {_BRAND_TERMS}) v(t, match, ord)), pairs AS (SELECT w, t FROM (SELECT DISTINCT word AS w FROM k), terms), {_COMMON.strip()},
+    best AS (SELECT w, match FROM score JOIN terms USING (t) WHERE s >= 75 QUALIFY row_number() OVER (PARTITION BY w ORDER BY s DESC, ord) = 1)
+    SELECT p_partkey, p_name || ' (' || CASE WHEN match IS NULL THEN shown ELSE ' ' || match || ' ' END || '), x' || shown AS text FROM k LEFT JOIN best ON best.w = k.word""",
+)
+def brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a disturbed brand in brackets, and once inside another word, where it stays."""
+    kinds = F.array(*[F.lit(b) for b in ("Sandvlk", "ISCAR", "Kenametal", "D`Andrea", "Waltar", "Nobody")])
+    kind = F.element_at(kinds, (F.col("p_partkey") % 6 + 1).cast("int"))
+    cells = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" ("), kind, F.lit("), x"), kind).alias("text"))
+    return ocrtext.canonical_brands(cells, ["p_partkey"])
+
+
+@register(
+    "ocr_repair",
+    """WITH t AS (SELECT p_partkey, ['Резец', 'NЛACTUHA', 'державка', '5 шт.', 'CCMT120404', 'Sandvik', 'D''Andrea', 'патрон'] AS w FROM part)
+    SELECT p_partkey, w[p_partkey % 8 + 1] || ' - ' || w[p_partkey % 7 + 1] AS text FROM t""",
+)
 def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with disturbed Russian terms, repaired by all passes."""
-    terms = F.array(*[F.lit(w) for w in ("Pe3eц", "ПЛАСТИHА", "державkа", "5шт", "CCМТ120404", "Sandvlk")])
-    noisy = F.concat_ws(" ", F.element_at(terms, (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("-"), F.element_at(terms, (F.col("p_partkey") % 5 + 1).cast("int")))
+    """Two disturbed terms for each part, repaired by all passes."""
+    terms = F.array(*[F.lit(w) for w in ("Pe3eц", "ПЛАСТИHА", "державkа", "5шт", "CCМТ120404", "Sandvlk", "D`Andrea", "паrрон")])
+    noisy = F.concat_ws(" ", F.element_at(terms, (F.col("p_partkey") % 8 + 1).cast("int")), F.lit("-"), F.element_at(terms, (F.col("p_partkey") % 7 + 1).cast("int")))
     return ocrtext.repaired(table(spark, sf_dir, "part").select("p_partkey", noisy.alias("text")), ["p_partkey"])
 
 
@@ -183,13 +221,14 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "catalogue_lines",
-    r"""SELECT page_id, CAST(i AS INTEGER) AS line_idx, l[i + 1] AS line FROM (SELECT page_id, string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)) AS l,
-      unnest(range(0, len(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))))) AS i FROM pages)
-      WHERE regexp_matches(l[i + 1], '(?i)href=.*|\d+(\.\d+)?\s*%\s*\d+(\.\d+)?')""",
+    r"""WITH p AS (SELECT page_id, string_split(replace(replace(html, '><', '>' || chr(10) || ' <'), '<b', 'Ref. Code Ø ' || page_id || '.5 ~ 7 <b'), chr(10)) AS l FROM pages)
+    SELECT page_id, CAST(i AS INTEGER) AS line_idx, trim(l[i + 1], ' ' || chr(9) || chr(13)) AS line FROM (SELECT page_id, l, unnest(range(0, len(l))) AS i FROM p)
+      WHERE regexp_matches(l[i + 1], '(?i)ref\.?\s*code') OR regexp_matches(l[i + 1], 'Ø\s*\d+(\.\d+)?\s*~\s*\d+(\.\d+)?')""",
 )
 def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.posexplode(F.split(F.replace("html", F.lit("><"), F.lit(">\n<")), "\n")).alias("line_idx", "line")
-    return table(spark, sf_dir, "pages").select("page_id", lines).where(F.col("line").rlike(r"(?i)href=.*|\d+(\.\d+)?\s*%\s*\d+(\.\d+)?"))
+    page = F.replace("html", F.lit("><"), F.lit(">\n <"))
+    marked = F.replace(page, F.lit("<b"), F.concat(F.lit("Ref. Code Ø "), F.col("page_id").cast("string"), F.lit(".5 ~ 7 <b")))
+    return text_source.catalogue_lines(table(spark, sf_dir, "pages").select("page_id", marked.alias("text")), ["page_id"])
 
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,11 +328,19 @@ def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.size("s").alias("steps"), F.round(F.element_at("s", -1)["confidence"], 6).alias("confidence"))
 
 
-@register("reasoning_text")
+@register(
+    "reasoning_text",
+    """SELECT p_partkey, '1. ' || p_name || ' (' || p_brand || ', ' || p_type || ')' || chr(10) || '2. ' || p_type || chr(10) || '7. last (' || p_size || ')' AS text, 3 AS steps,
+      round(((p_size % 11) / 10.0 + 0.75 + 0.5) / 3, 9)::DOUBLE AS mean, CAST(1 + CASE WHEN p_size % 11 > 7 THEN 1 ELSE 0 END AS INTEGER) AS high, CAST(CASE WHEN p_size % 11 < 5 THEN 1 ELSE 0 END AS INTEGER) AS low FROM part""",
+)
 def reasoning_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps as text and their summary; the parts of it have oracles of their own."""
-    found = _described(spark, sf_dir).withColumn("s", E.reasoning(F.col("text")))
-    return found.select("p_partkey", E.reasoning_text(F.col("s")).alias("text"), E.reasoning_summary(F.col("s")).alias("summary"))
+    """Steps as text, and their summary."""
+    none = F.array().cast("array<string>")
+    steps = F.array(
+        E.step(1, F.col("p_name"), (F.col("p_size") % 11) / 10, F.array("p_brand", "p_type")), E.step(2, F.col("p_type"), F.lit(0.75), none), E.step(7, F.lit("last"), F.lit(0.5), F.array(F.col("p_size").cast("string")))
+    )
+    told = table(spark, sf_dir, "part").withColumn("s", steps).select("p_partkey", E.reasoning_text(F.col("s")).alias("text"), E.reasoning_summary(F.col("s")).alias("m"))
+    return told.select("p_partkey", "text", "m.steps", F.round("m.mean", 9).alias("mean"), "m.high", "m.low")
 
 
 @register(

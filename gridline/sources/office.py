@@ -62,17 +62,44 @@ def read_workbook(name: str, data: bytes) -> list[Table]:
     return tables
 
 
+def _paragraph(node: ET.Element) -> str:
+    """A paragraph's text with its tabs and line breaks."""
+    marks = {WORD + "tab": "\t", WORD + "br": "\n", WORD + "cr": "\n", WORD + "noBreakHyphen": "-"}
+    return "".join(marks.get(x.tag) or (x.text or "" if x.tag == WORD + "t" else "") for x in node.iter())
+
+
+def _merged_rows(table: ET.Element) -> list[list[str | None]]:
+    """The rows of a table with merged cells written out: a cell stands in every column and row that it covers."""
+    rows: list[list[str | None]] = []
+    above: dict[int, tuple[str, int]] = {}
+    for row in table.findall(WORD + "tr"):
+        before = row.find(f"{WORD}trPr/{WORD}gridBefore")
+        at, here, cells = int(before.get(WORD + "val", "0")) if before is not None else 0, {}, []
+        for cell in row.findall(WORD + "tc"):
+            span, merged = cell.find(f"{WORD}tcPr/{WORD}gridSpan"), cell.find(f"{WORD}tcPr/{WORD}vMerge")
+            own = int(span.get(WORD + "val", "1")) if span is not None else 1
+            text = "\n".join(map(_paragraph, cell.findall(WORD + "p"))).strip().replace("\n", " ")
+            if merged is not None and merged.get(WORD + "val", "continue") == "continue":
+                text = above.get(at, (text, own))[0]
+            here[at] = text, own
+            cells += [text or None] * own
+            at += own
+        above = here
+        rows.append(cells)
+    return rows
+
+
 @register(".docx")
 def read_document(name: str, data: bytes) -> list[Table]:
-    """All tables in order; a cell is its stripped paragraphs, line breaks as spaces."""
-    body = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
+    """All tables of the body in order; a cell is its stripped paragraphs, line breaks as spaces.
+
+    Merged cells stand in all columns and rows that they cover; a table inside
+    a cell belongs to neither that cell nor the list.
+    """
+    body = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(WORD + "body")
     tables = []
-    for number, table in enumerate(body.iter(WORD + "tbl")):
-        rows = []
-        for row in table.findall(WORD + "tr"):
-            cells = ["\n".join(_text(p, WORD + "t") for p in cell.iter(WORD + "p")).strip().replace("\n", " ") for cell in row.findall(WORD + "tc")]
-            rows.append([c or None for c in cells])
-        rows = [r for r in rows if any(r)]
+    for number, table in enumerate([] if body is None else body.findall(WORD + "tbl")):
+        rows = [r for r in _merged_rows(table) if any(r)]
         width = max(map(len, rows), default=0)
         if width:
             tables.append((f"table_{number + 1}", [r + [None] * (width - len(r)) for r in rows]))

@@ -45,12 +45,54 @@ def delimited(df: DataFrame, keys: list[str], separator: str = ";", text: str =
     return parsed.select(*keys, F.posexplode(filled).alias("row_idx", "cells"))
 
 
+#: Fixed value. Lines of a catalogue page that name a reference code or a range of diameters.
+CATALOGUE_LINE = r"(?i:REF\.?\s*CODE)|Ø\s*\d+(\.\d+)?\s*~\s*\d+(\.\d+)?"
+
+
+def catalogue_lines(df: DataFrame, keys: list[str], text: str = "text", pattern: str = CATALOGUE_LINE) -> DataFrame:
+    """keys, line_idx, line (stripped) of the lines that the pattern finds. Null texts have none."""
+    found = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_idx", "line")).where(F.col("line").rlike(pattern))
+    return found.withColumn("line", strip(F.col("line")))
+
+
 def plain_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
     return df.select(*keys, F.posexplode(F.transform(lines, lambda x: F.array(x))).alias("row_idx", "cells"))
 
 
-def decode(data: bytes, detect: Callable[[bytes], tuple[str, float]] | None = None, least: float = 0.7) -> str:
+#: Byte order marks, and the single-byte encodings that Russian texts come in.
+MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic")
+_COMMON = frozenset("оеаинтсрвлкмдпуяыьгз")
+
+
+def sniffed(data: bytes) -> tuple[str | None, float]:
+    """An encoding and how sure it is: a mark, else valid UTF-8, else the Cyrillic page that reads most like Russian.
+
+    A page's share is that of common small letters among its letters beyond
+    ASCII, and 0 if a third of the signs beyond ASCII are no letters. The wrong
+    pages turn small letters into capitals or signs.
+    """
+    for mark, name in MARKS.items():
+        if data.startswith(mark):
+            return name, 1.0
+    try:
+        data.decode("utf-8")
+        return "utf-8", 1.0
+    except UnicodeDecodeError:
+        pass
+    best: tuple[str | None, float] = (None, 0.0)
+    for name in CYRILLIC:
+        beyond = [c for c in data.decode(name, errors="replace") if ord(c) > 127]
+        letters = [c for c in beyond if "а" <= c.lower() <= "я" or c.lower() == "ё"]
+        # capitals at the head of words are usual, so a share of 0.6 is as good as sure
+        share = min(1.0, sum(c in _COMMON for c in letters) / max(1, len(letters)) / 0.6) if 3 * len(letters) >= 2 * len(beyond) else 0.0
+        if share > best[1]:
+            best = name, share
+    return best
+
+
+def decode(data: bytes, detect: Callable[[bytes], tuple[str | None, float]] | None = sniffed, least: float = 0.7) -> str:
     """Text with \\n line ends; the detected encoding counts from a confidence of 0.7, else UTF-8."""
     encoding = "utf-8"
     if detect is not None:

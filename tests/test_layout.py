@@ -164,7 +164,10 @@ def test_histograms(spark, seed):
         bounds, before = [], None
         for a, b in runs:
             n = b - a + 1
-            if before is not None and n > (2 if b == hi - 1 else 5) * before:
+            if b == hi - 1:
+                if before is None or n > 2 * before:
+                    bounds.append((a + b) / 2)
+            elif before is not None and n > 5 * before:
                 bounds.append((a + b) / 2)
                 before = None
             else:

@@ -109,6 +109,17 @@ def test_ocr_repair(spark):
     cells = spark.createDataFrame([(1, "Pe3eц"), (2, "Плаcтина 5шт"), (3, "Sandvlk"), (4, None), (5, "  "), (6, "CCМТ120404"), (7, "державкa")], "id int, text string")
     got = {r["id"]: r["text"] for r in O.repaired(cells, ["id"]).collect()}
     assert got == {1: "Резец", 2: "Пластина 5 шт.", 3: "Sandvik", 4: None, 5: "  ", 6: "CCMT120404", 7: "державка"}
+    more = spark.createDataFrame([(1, "D`Andrea"), (2, "паrрон"), (3, "- “lscar” 2 ШТ, rоловка"), (4, "(Sandvlk)")], "id int, text string")
+    assert {r["id"]: r["text"] for r in O.repaired(more, ["id"]).collect()} == {1: "D'Andrea", 2: "патрон", 3: '" Iscar " 2 шт., головка', 4: "( Sandvik )"}
+
+
+def test_large_dictionaries_are_joined_by_length(spark, monkeypatch):
+    words = spark.createDataFrame([("держаква",), ("x",), (None,), ("сверло",)], "word string")
+    terms = spark.createDataFrame([(w, w, i) for i, w in enumerate(["державка", "сверла", "свёрла", "фреза"])], "term string, match string, ord long")
+    want = {r["word"]: (r["match"], r["score"]) for r in O.nearest(words, terms, 60.0).collect()}
+    monkeypatch.setattr(O, "TERM_ROWS", 1)
+    assert {r["word"]: (r["match"], r["score"]) for r in O.nearest(words, terms, 60.0).collect()} == want
+    assert set(want) == {"держаква", "сверло"}
     readings = one(spark, O.ambiguous(F.lit("rpaф")))
     assert readings == ["граф", "траф"]
 
@@ -134,9 +145,11 @@ def test_images(spark):
 
 def test_unique_names(spark):
     names = spark.createDataFrame([("Отчёт", ".TXT", i) for i in range(1200)], "stem string, suffix string, n int")
-    taken = spark.createDataFrame([("otchet_002.txt",), ("otchet_900.pdf",)], "name string")
+    taken = spark.createDataFrame([(f"otchet_{n}",) for n in ("002.txt", "900.pdf", "004.txt", "005.txt", "1000.txt", "7.txt", "0008.txt", "000.txt")], "name string")
     got = [r["name"] for r in T.unique_names(names, taken, "n").orderBy("n").collect()]
-    assert got[:2] == ["otchet_003.txt", "otchet_004.txt"] and got[-1] == "otchet_1202.txt" and len(set(got)) == 1200
+    free = [n for n in range(1, 1300) if n not in (2, 4, 5, 1000)][:1200]
+    assert got == [f"otchet_{n:03d}.txt" for n in free]
+    assert [r["name"] for r in T.unique_names(names.limit(2), taken.limit(0), "n").orderBy("n").collect()] == ["otchet_001.txt", "otchet_002.txt"]
 
 
 def test_cases(spark):
@@ -192,9 +205,9 @@ def test_end_to_end(spark, tmp_path):
 
 
 def test_brands(spark):
-    cells = spark.createDataFrame([(1, "резец Sandvlk, D`Andrea и ISCAR"), (2, None), (3, ""), (4, "no brand Here")], "id int, text string")
+    cells = spark.createDataFrame([(1, "резец Sandvlk, D`Andrea и ISCAR"), (2, None), (3, ""), (4, "no brand Here"), (5, "(Seco) xSeco 5Seco Seco5 Seco-5"), (6, "Walter")], "id int, text string")
     got = {r["id"]: r["text"] for r in O.canonical_brands(cells, ["id"]).collect()}
-    assert got == {1: "резец Sandvik, D'Andrea и Iscar", 2: None, 3: "", 4: "no brand Here"}
+    assert got == {1: "резец Sandvik, D'Andrea и Iscar", 2: None, 3: "", 4: "no brand Here", 5: "( Seco ) xSeco 5Seco Seco5 Seco 5", 6: "Walter"}
 
 
 def test_scored(spark):

@@ -41,7 +41,41 @@ def test_decoding():
     assert S.decode("привет".encode("cp1251"), lambda b: ("cp1251", 0.9)) == "привет"
     assert S.decode(b"abc", lambda b: ("nonsense", 0.9)) == "abc"
     assert S.decode("é".encode(), lambda b: ("latin-1", 0.3)) == "é"
-    assert "�" in S.decode(b"\xff\xfe\xfa")
+    assert "�" in S.decode(b"\xff\x90\xfa", None)
+
+
+@pytest.mark.parametrize("name", ["cp1251", "koi8-r", "cp866", "utf-8", "utf-8-sig", "utf-16"])
+def test_encodings_are_told(name):
+    text = "Наименование;Кол-во;Ед. изм.\nДержавка токарная;5;шт.\nПластина твердосплавная;10;шт.\n"
+    assert S.read_text("x.csv", text.encode(name)) == S.read_text("x.csv", text.encode())
+    assert S.read_text("x.csv", text.encode(name))[0][1][1] == ["Державка токарная", "5", "шт."]
+
+
+def merged(cells):
+    """A row of cells: (text, columns, merged from above)."""
+    def one(text, span=1, merge=None):
+        inner = f'<w:gridSpan w:val="{span}"/>' + (f'<w:vMerge w:val="{merge}"/>' if merge == "restart" else "<w:vMerge/>" if merge else "")
+        return f"<w:tc><w:tcPr>{inner}</w:tcPr>{text if text.startswith('<w:') else f'<w:p><w:r><w:t>{text}</w:t></w:r></w:p>'}</w:tc>"
+
+    return "<w:tr>" + "".join(one(*c) for c in cells) + "</w:tr>"
+
+
+def test_merged_and_nested_cells():
+    inner = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>inside</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    body = "<w:tbl>" + merged([("head", 2), ("qty",)]) + merged([("a", 1, "restart"), ("b",), ("1",)]) + merged([("", 1, "continue"), ("c", 2)]) + merged([("", 1, "go"), (f"<w:p><w:r><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r></w:p>{inner}",), ("",)]) + "</w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{WORD}"><w:body>{body}<w:tbl>{merged([("second", 3, "restart")])}{merged([("", 3, "more")])}</w:tbl></w:body></w:document>')
+    tables = office.read_document("x.docx", out.getvalue())
+    assert tables == [
+        ("table_1", [["head", "head", "qty"], ["a", "b", "1"], ["a", "c", "c"], ["a", "x\ty", None]]),
+        ("table_2", [["second"] * 3, ["second"] * 3]),
+    ]
+
+
+def test_catalogue_lines(spark):
+    df = spark.createDataFrame([(1, " Ref code A1 \nØ 5 ~ 7.5\nø 5 ~ 7\nnothing"), (2, None)], "page int, text string")
+    assert [tuple(r) for r in S.catalogue_lines(df, ["page"]).orderBy("line_idx").collect()] == [(1, 0, "Ref code A1"), (1, 1, "Ø 5 ~ 7.5")]
 
 
 def test_registry():
