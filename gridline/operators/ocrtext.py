@@ -7,6 +7,9 @@ is pluggable as a lexicon relation; without one the domain terms are it.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,38 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+#: Words that a worker remembers the nearest term of.
+REMEMBERED = 100_000
+
+
+def closest(*groups: tuple[list[tuple[str, str]], float]) -> Callable[[str], tuple[str, float] | None]:
+    """A look-up of the best (match, ratio) of a word among terms (term, match), group after group with its least ratio.
+
+    Ties go to the first term. Signs that both words hold are never fewer than
+    the common subsequence, so they rule out most terms without it.
+    """
+    held = [([(t, m, Counter(t)) for t, m in terms], least) for terms, least in groups]
+    known: dict[str, tuple[str, float] | None] = {}
+
+    def nearest_of(word: str, terms: list[tuple[str, str, Counter]], least: float) -> tuple[str, float] | None:
+        own, best, score = Counter(word), None, 0.0
+        for term, match, signs in terms:
+            if 200 * (own & signs).total() >= max(least, score) * (len(word) + len(term)):
+                s = ratio(word, term)
+                if s >= least and s > score:
+                    best, score = match, s
+        return (best, score) if best is not None else None
+
+    def find(word: str) -> tuple[str, float] | None:
+        if word not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[word] = next((f for f in (nearest_of(word, *g) for g in held) if f), None)
+        return known[word]
+
+    return find
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -78,38 +113,88 @@ def tokens(cells: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return parts.withColumn("near_number", F.greatest(*[F.coalesce(s, F.lit(0)) for s in sides]) > 0)
 
 
-def corrected(tokens: DataFrame, lexicon: DataFrame, domain: DataFrame, brand: DataFrame) -> DataFrame:
+def corrected(tokens: DataFrame, lexicon: list[str] | DataFrame, domain: list[str] = DOMAIN_TERMS, names: list[str] = BRANDS) -> DataFrame:
     """tokens with column fixed.
 
     Technical tokens of mixed script become Latin; numbers, signs and spaces
     stay. Mixed words become Cyrillic; Latin ones away from numbers are brands,
     exactly or at 75, or become Cyrillic, where Latin r may be two letters.
     Cyrillic words outside the lexicon become the nearest term (domain at 70,
-    lexicon at 60); case is restored. Each look-up runs on distinct words.
+    lexicon at 60); case is restored. A lexicon of few words is a list that
+    each task holds; a larger one is a relation (word, ord), joined to the
+    distinct words.
     """
     t = F.col("token")
     latin, cyrillic = t.rlike("[A-Za-z]"), t.rlike("[А-Яа-я]")
     is_word = F.col("kind") == "word"
     alone = is_word & latin & ~cyrillic & ~F.col("near_number")
-    keyed = tokens.withColumn("_brand", F.when(alone, X.brand_key(t)))
-    exact = brand.select(F.col("term").alias("word"), F.col("match").alias("_m"))
-    left = keyed.select(F.col("_brand").alias("word")).distinct().join(F.broadcast(exact), "word", "left_anti")
-    brand_of = exact.unionByName(nearest(left, brand, BRAND_SCORE).select("word", F.col("match").alias("_m"))).withColumnRenamed("word", "_brand").withColumnRenamed("_m", "brand")
-    with_brand = keyed.join(brand_of, "_brand", "left")
+    branded = tokens.withColumn("brand", F.get(brand_matches(names)(F.array(F.when(alone, X.brand_key(t)))), F.lit(0)))
     changed = F.col("brand").isNull() & is_word & latin & (cyrillic | ~F.col("near_number"))
-    known = lexicon.select(F.lower("word").alias("word")).unionByName(domain.select(F.col("term").alias("word"))).distinct()
-    ordered = lexicon.select(F.lower("word").alias("term"), F.lower("word").alias("match"), "ord")
     unsure = F.when(changed & F.contains(t, F.lit("r")), t)
-    read = readings(with_brand.select(unsure.alias("token")).where("token IS NOT NULL").distinct(), known, domain, ordered)
-    words = with_brand.withColumn("_unsure", unsure).join(read.withColumnRenamed("token", "_unsure"), "_unsure", "left")
+    if isinstance(lexicon, DataFrame):
+        spark = tokens.sparkSession
+        own = terms(spark, domain)
+        known = lexicon.select(F.lower("word").alias("word")).unionByName(own.select(F.col("term").alias("word"))).distinct()
+        ordered = lexicon.select(F.lower("word").alias("term"), F.lower("word").alias("match"), "ord")
+        read = readings(branded.select(unsure.alias("token")).where("token IS NOT NULL").distinct(), known, own, ordered)
+        words = branded.withColumn("_unsure", unsure).join(read.withColumnRenamed("token", "_unsure"), "_unsure", "left").drop("_unsure")
+    else:
+        words = branded.withColumn("reading", best_reading(domain, lexicon)(F.when(unsure.isNotNull(), ambiguous(t))))
     words = words.withColumn("_cyr", F.when(changed, F.coalesce("reading", X.to_cyrillic(t))).when(F.col("brand").isNull() & is_word, t))
     words = words.withColumn("_low", F.when(F.col("_cyr").rlike("[А-Яа-я]"), F.lower("_cyr")))
-    fix = close_terms(words.select(F.col("_low").alias("word")).where("word is not null").distinct().join(known, "word", "left_anti"), domain, ordered)
-    fixed = words.join(fix.select(F.col("word").alias("_low"), F.col("match").alias("_fix")), "_low", "left")
+    if isinstance(lexicon, DataFrame):
+        fix = close_terms(words.select(F.col("_low").alias("word")).where("word is not null").distinct().join(known, "word", "left_anti"), own, ordered)
+        fixed = words.join(fix.select(F.col("word").alias("_low"), F.col("match").alias("_fix")), "_low", "left")
+    else:
+        fixed = words.withColumn("_fix", fixed_word(domain, lexicon)("_low"))
     cased = X.like_case(F.coalesce("_fix", "_low"), t)
     mixed = (F.col("kind") == "technical") & latin & cyrillic
     out = F.when(mixed, X.to_latin(t)).when(F.col("brand").isNotNull(), F.col("brand")).when(F.col("_low").isNotNull(), cased).otherwise(F.coalesce("_cyr", "token"))
-    return fixed.withColumn("fixed", out).drop("_brand", "_unsure", "reading", "_cyr", "_low", "_fix", "brand")
+    return fixed.withColumn("fixed", out).drop("reading", "_cyr", "_low", "_fix", "brand")
+
+
+def brand_matches(names: list[str] = BRANDS) -> Callable[[Column], Column]:
+    """For an array of brand keys the array of brands, exactly or at 75; null stays null."""
+    variants = X.brand_variants(names)
+    exact, find = dict(variants), closest((variants, BRAND_SCORE))
+
+    @F.pandas_udf("array<string>")
+    def run(keys: pd.Series) -> pd.Series:
+        one = lambda w: None if w is None else exact.get(w) or (find(w) or (None,))[0]
+        return pd.Series([None if ws is None else [one(w) for w in ws] for ws in keys], dtype=object)
+
+    return run
+
+
+def _look_up(domain: list[str], lexicon: list[str]) -> tuple[frozenset[str], Callable[[str], tuple[str, float] | None]]:
+    low = [w.lower() for w in lexicon]
+    return frozenset([*domain, *low]), closest(([(w, w) for w in domain], DOMAIN_SCORE), ([(w, w) for w in low], LEXICON_SCORE))
+
+
+def fixed_word(domain: list[str], lexicon: list[str]) -> Callable[[Column], Column]:
+    """The nearest term of an unknown lower-case word; null for known ones and for those far from all."""
+    known, find = _look_up(domain, lexicon)
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None or w in known else (find(w) or (None,))[0] for w in words], dtype=object)
+
+    return run
+
+
+def best_reading(domain: list[str], lexicon: list[str]) -> Callable[[Column], Column]:
+    """Of an array of readings the first known one, else the one nearest to a term, else the first."""
+    known, find = _look_up(domain, lexicon)
+
+    def best(read: list[str]) -> str:
+        sure = next((w for w in read if w.lower() in known), None)
+        return sure or max(read, key=lambda w: (find(w.lower()) or (None, 0.0))[1])
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series([None if ws is None or not len(ws) else best(list(ws)) for ws in words], dtype=object)
+
+    return run
 
 
 def close_terms(words: DataFrame, domain: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -141,14 +226,18 @@ def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None
     """keys, text of every cell after all passes; blank and null cells are untouched.
 
     Brands are spelled out before the tokens are corrected, and again behind
-    that, for a token may have been a part of one.
+    that, for a token may have been a part of one. lexicon(word, ord) is a
+    list for the tasks if it's counted to be short. Cells are dealt by keys
+    once.
     """
-    spark = cells.sparkSession
-    lexicon = lexicon if lexicon is not None else spark.createDataFrame([(w, i) for i, w in enumerate(DOMAIN_TERMS)], "word string, ord long")
+    known: list[str] | DataFrame = list(DOMAIN_TERMS)
+    if lexicon is not None:
+        rows = lexicon.orderBy("ord").limit(TERM_ROWS + 1).collect()
+        known = [r["word"] for r in rows] if len(rows) <= TERM_ROWS else lexicon
     blank = F.coalesce(X.strip(F.col("text")), F.lit("")) == ""
     signs = canonical_brands(cells.where(~blank).select(*keys, X.ocr_signs(F.col("text")).alias("text")), keys)
     clean = signs.select(*keys, X.ocr_words(F.col("text")).alias("text"))
-    done = canonical_brands(joined(corrected(tokens(clean, keys), lexicon, terms(spark), brands(spark)), keys), keys)
+    done = canonical_brands(joined(corrected(tokens(clean, keys), known), keys), keys)
     return cells.where(blank).select(*keys, "text").unionByName(done)
 
 
@@ -166,23 +255,18 @@ def canonical_brands(cells: DataFrame, keys: list[str], names: list[str] = BRAND
     A word begins with a capital at a word's start and ends at a word's end.
     Words are looked up exactly, then at a ratio of 75; a found brand stands
     between single spaces, none before punctuation. Null and empty cells stay.
+    A projection: cells aren't shuffled.
     """
-    brand = brands(cells.sparkSession, names)
     # fixed values: how apostrophes, words and punctuation are told
     apostrophes = F.regexp_replace("text", "([A-ZА-Я][a-zA-Zа-яА-Я]*)['’`ʹ]", "$1'")
     parts = F.regexp_extract_all(apostrophes, F.lit(r"[A-ZА-Я][a-zA-Zа-яА-Я'\-]*|[^A-ZА-Я]+"), 0)
-    held = cells.where(F.coalesce("text", F.lit("")) != "").select(*keys, parts.alias("_w"))
-    part = lambda p, i: F.struct(p.alias("token"), F.get("_w", i - 1).alias("left"), F.get("_w", i + 1).alias("right"))
-    tokens_ = held.select(*keys, F.posexplode(F.transform("_w", part)).alias("pos", "_p")).select(*keys, "pos", "_p.*")
-    begins = ~F.coalesce(F.col("left").rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
-    inside = F.coalesce(F.col("right").rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
-    ends = F.col("token").rlike(r"\p{L}$") != inside
-    keyed = tokens_.withColumn("word", F.when(F.col("token").rlike("^[A-ZА-Я]") & begins & ends, X.brand_key(F.col("token"))))
-    exact = brand.select(F.col("term").alias("word"), "match")
-    left = keyed.select("word").where("word IS NOT NULL").distinct().join(F.broadcast(exact), "word", "left_anti")
-    found = exact.unionByName(nearest(left, brand, BRAND_SCORE).select("word", "match"))
-    named = keyed.join(found, "word", "left").withColumn("token", F.when(F.col("match").isNotNull(), F.concat(F.lit(" "), "match", F.lit(" "))).otherwise(F.col("token")))
-    joined_ = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-    text = X.replace_all(F.array_join(F.transform("_p", lambda p: p["token"]), ""), [(r"(?U)\s+", " "), (r"\s+([.,;!?:])", "$1")])
-    done = joined_.select(*keys, F.trim(text).alias("text"))
-    return cells.where(F.coalesce("text", F.lit("")) == "").select(*keys, "text").unionByName(done)
+
+    def key(part: Column, i: Column) -> Column:
+        begins = ~F.coalesce(F.get("_w", i - 1).rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
+        inside = F.coalesce(F.get("_w", i + 1).rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
+        return F.when(part.rlike("^[A-ZА-Я]") & begins & (part.rlike(r"\p{L}$") != inside), X.brand_key(part))
+
+    held = cells.select(*keys, "text", parts.alias("_w")).withColumn("_m", brand_matches(names)(F.transform("_w", key)))
+    text = F.array_join(F.zip_with("_w", "_m", lambda w, m: F.coalesce(F.concat(F.lit(" "), m, F.lit(" ")), w)), "")
+    done = F.trim(X.replace_all(text, [(r"(?U)\s+", " "), (r"\s+([.,;!?:])", "$1")]))
+    return held.select(*keys, F.when(F.coalesce("text", F.lit("")) == "", F.col("text")).otherwise(done).alias("text"))
