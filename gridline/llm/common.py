@@ -31,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Where that is unset a temporary folder is used, but only by a master that
+    runs in this process (tests); elsewhere executors don't share it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridline-checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -98,24 +101,20 @@ def slice_of(*key: str, slices: int = SLICES) -> Column:
 def gapless_rank(df: DataFrame, group: str, key: list[str], order: list[str], out: str, groups_bound: int) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in two levels.
 
-    Rows are dealt into slices by a hash of key and ranked inside their slice
-    only; the count of all earlier slices of the group is added. The table of
-    counts has at most groups_bound * SLICES rows, so it's broadcast behind
-    that bound. group must not be null. Rows that tie in order are equal in
-    all that order names, so either numbering of them is the same result.
+    Equal rows are counted first, so that a row that stands very often is one
+    row of the ranking, and are written out again behind it. Rows are dealt
+    into slices by a hash of key and ranked inside their slice only; the count
+    of all earlier slices of the group is added. group must not be null. Rows
+    that tie in order must be equal in all columns of df, so either numbering
+    of them is the same result.
     """
-    sliced = df.withColumn("_slice", slice_of(*key))
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        sliced.groupBy(group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    if groups_bound <= 1024:
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", slice_of(*key))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = df.groupBy(group, slice_of(*key).alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = slices.select(group, "_slice", earlier(Window.partitionBy(group).orderBy("_slice")).alias("_before"))
+    if groups_bound * SLICES <= BROADCAST_ROWS:
         counts = F.broadcast(counts)
     inside = Window.partitionBy(group, "_slice").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return (
-        sliced.join(counts, [group, "_slice"])
-        .withColumn(out, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_slice", "_before")
-    )
+    ranked = counted.withColumn("_first", earlier(inside)).join(counts, [group, "_slice"])
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy")
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_first")).alias("_at"), copies).select(*df.columns, (F.col("_at") + F.col("_copy")).alias(out))

@@ -50,7 +50,8 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     """A row for each source of sized(doc_id, source, size, _key): what the mix takes of it.
 
     _whole copies of every document and one more of those before _end in the
-    order (_key, doc_id, size). The order is found in two levels: sums over
+    order (_key, doc_id, size); without a fraction _end is null, so that texts
+    without words aren't copied beyond max_epochs either. The order is found in two levels: sums over
     4096 slices of the hash tell which slice the fraction ends in, and only
     that slice is sorted.
     """
@@ -67,7 +68,7 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     same_source = F.col("source").eqNullSafe(F.col("_source"))
     upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_slice"))
-    ended = slices.withColumn("_upto", upto).join(targets, same_source).where(F.col("_upto") > F.col("_rest"))
+    ended = slices.withColumn("_upto", upto).join(targets, same_source).where((F.col("_rest") > 0) & (F.col("_upto") > F.col("_rest")))
     ended = ended.groupBy("_source", "source_size", "target", "_whole", "_rest").agg(
         F.min_by(F.struct(F.col("_slice").alias("at"), (F.col("_upto") - F.col("_words")).alias("before")), "_slice").alias("_cut")
     )
@@ -119,7 +120,10 @@ def mix(
 
 
 def repeat(rows: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as its column epochs says."""
+    """The mix itself: every row as often as its column epochs says; null epochs are none.
+
+    epochs is dropped. Other columns stay, but for one named _copy.
+    """
     copies = F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))
     return rows.where(F.col("epochs") > 0).withColumn("_copy", copies).drop("_copy", "epochs")
 

@@ -2,7 +2,7 @@
 
 A global histogram of lengths goes to the driver (its number of cells is
 bounded), dynamic programming picks the bucket boundaries that pad least, and
-batches of a token budget form inside each bucket.
+batches of a length budget form inside each bucket.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from gridline.llm.common import cut, gapless_rank, table, word_count
 
 BUCKETS = 16
-TOKEN_BUDGET = 16_384
+#: Padded lengths of a batch, in the unit of the lengths.
+BUDGET = 16_384
 
 #: Lengths up to this have a cell of their own; beyond, each doubling has half as many cells.
 EXACT = 512
@@ -61,35 +62,45 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = BUDGET, keep: tuple[str, ...] = ("doc_id",), name: str = "length") -> DataFrame:
     """Every row of docs with its bucket and its place in a batch.
 
-    n_tokens long (length; null counts as 0), bucket int (from 0), bucket_len
+    name long (the length in any unit, which budget is counted in as well; null
+    counts as 0), bucket int (from 0), bucket_len
     long (every row of the bucket is padded to it), padding long, batch long
     (from 0 in each bucket), place int (from 0 in the batch). A batch of a
     bucket holds budget // bucket_len rows, one at least: a row longer than the
     budget is a batch of its own and isn't cut. Rows keep their number: nothing
     is dropped. Rows are dealt to batches by a hash of doc_id, so the rows of a
-    batch are spread over the corpus. An empty table gives an empty one.
+    batch are spread over the corpus. keep must not name one of these columns.
+    Rows equal in all of keep and length take any of their places. An empty
+    table gives an empty one.
+
+    Boundaries are optimal among lengths up to 512 and among the longest ones
+    of cells of 1/256 beyond; see cell.
     """
-    sized = cut(docs.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
-    histogram = sized.groupBy(cell(F.col("n_tokens")).alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.max("n_tokens").alias("longest")).orderBy("c").collect()
+    clash = set(keep) & {name, "bucket", "bucket_len", "padding", "batch", "place"}
+    if clash:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
+    sized = cut(docs.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("_size")))
+    histogram = sized.groupBy(cell(F.col("_size")).alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.max("_size").alias("longest")).orderBy("c").collect()
     ends = boundaries([r["longest"] for r in histogram], [r["rows"] for r in histogram], buckets) if histogram else [0]
     array = F.array(*[F.lit(e).cast("long") for e in ends])
-    bucket = F.size(F.filter(array, lambda e: e < F.col("n_tokens")))
+    bucket = F.size(F.filter(array, lambda e: e < F.col("_size")))
     placed = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(array, F.col("bucket") + 1))
-    ranked = gapless_rank(placed, "bucket", [*keep, "n_tokens"], [*keep, "n_tokens"], "_rank", buckets)
+    ranked = gapless_rank(placed, "bucket", [*keep, "_size"], [*keep, "_size"], "_rank", buckets)
     rows = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
     return ranked.select(
         *keep,
-        "n_tokens",
+        F.col("_size").alias(name),
         "bucket",
         "bucket_len",
-        (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        (F.col("bucket_len") - F.col("_size")).alias("padding"),
         F.floor(F.col("_rank") / rows).cast("long").alias("batch"),
         (F.col("_rank") % rows).cast("int").alias("place"),
     )
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), word_count(F.col("text")))
+    """All documents, packed by words: real token counts would take longer than the packing itself."""
+    return pack(table(spark, sf_dir, "documents"), word_count(F.col("text")), name="n_words")

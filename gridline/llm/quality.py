@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds per language and source.
 
 Base measures come from each text alone. The thresholds come from quantile
-sketches: counts over fixed grids of four ratios. Such sketches merge by
-adding counts, in any order, with the same result each time. A group's fence
-is its upper quartile plus three times its quartile range; documents beyond a
-fence of their group are dropped by a join.
+sketches: counts over cells of four ratios. Such sketches merge by adding
+counts, in any order, with the same result each time. A group's fence lies
+three times as far beyond its 90th percentile as that lies beyond its median,
+a lower fence alike below the 10th; documents beyond a fence are dropped by a
+join. No fence has a fixed part: where nearly all of a group have none of what
+is counted, the fence is 0, and what one text may hold by chance comes on top.
 """
 
 from __future__ import annotations
@@ -16,18 +18,21 @@ from pyspark.sql import functions as F
 
 from gridline.llm.common import SPACES, cut, small, table, words
 
-#: A group with fewer rows takes the sketch of its language, or of all rows.
-LEAST_ROWS = 200
-#: Cells of a sketch; larger values fall into the last.
-CELLS = 2000
-#: Fences lie at this many quartile ranges.
+#: A group's fences count as if so many rows stood at those of the level above it.
+PRIOR_ROWS = 200
+#: Ratios are counted in thousandths. Cells hold one each up to 1024; beyond, each doubling has 512 cells.
+SCALE = 1000
+EXACT_BITS = 10
+#: Percentiles of a sketch, how many times the distance from the middle one a fence lies beyond an outer one, and the standard deviations of a count that chance may add.
+LOW, MIDDLE, HIGH = 10, 50, 90
 RANGES = 3
-#: Measure: (numerator, denominator, cells per unit, least quartile range in cells, has a lower fence).
+CHANCE = 3
+#: Measure: (numerator, denominator, counts something per text rather than averaging it).
 MEASURES = {
-    "word_length": ("word_chars", "n_words", 20, 8, True),
-    "symbols": ("n_symbols", "word_chars", 200, 4, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 100, 12, False),
-    "repeats": ("n_repeat_words", "n_words", 100, 12, False),
+    "word_length": ("word_chars", "n_words", False),
+    "symbols": ("n_symbols", "word_chars", True),
+    "dup_lines": ("n_dup_lines", "n_lines", True),
+    "repeats": ("n_repeat_words", "n_words", True),
 }
 
 
@@ -98,63 +103,80 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def value(measure: str) -> Column:
-    """The cell of a row in the sketch of a measure."""
-    over, under, per_unit, _, _ = MEASURES[measure]
-    ratio = F.when(F.col(under) > 0, F.floor(F.col(over) * per_unit / F.col(under))).otherwise(0)
-    return F.least(ratio, F.lit(CELLS)).cast("long")
+def ratio(measure: str) -> Column:
+    """A row's ratio in thousandths; 0 where it has no denominator."""
+    over, under, _ = MEASURES[measure]
+    return F.when(F.col(under) > 0, F.floor(F.col(over) * SCALE / F.col(under))).otherwise(0).cast("long")
+
+
+def cell(value: Column) -> Column:
+    """The least value of the cell that holds a value: its highest ten bits. No value is cut off."""
+    extra = F.greatest(F.length(F.bin(value)) - EXACT_BITS, F.lit(0))
+    width = F.pow(F.lit(2.0), extra).cast("long")
+    return (value - value % width).cast("long")
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """level, lang, source, rows and the fences of each measure, from merged sketches.
+    """lang, source, and struct fence of the low and high fence of each measure, from merged sketches.
 
-    level 2 are languages and sources, level 1 languages, level 0 all rows.
+    The fences of a language and source are drawn to those of the language,
+    and these to those of all rows, as if 200 rows more stood there; so a
+    verdict changes smoothly as a group grows. All tables after the first
+    aggregation hold counted cells, some thousands for each group.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), value(m).alias("cell")) for m in MEASURES]))
-    sketch = rows.select("lang", "source", cells.alias("_c")).groupBy("lang", "source", "_c.measure", "_c.cell").agg(F.count(F.lit(1)).alias("n"))
-    sketch = cut(sketch)
-    merged = [
-        sketch.withColumn("level", F.lit(2)),
-        sketch.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")).withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(1)),
-        sketch.groupBy("measure", "cell").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(0)),
-    ]
-    sketches = reduce(DataFrame.unionByName, merged)
-    group = ["level", "lang", "source", "measure"]
-    upto = Window.partitionBy(*group).orderBy("cell")
-    ranked = sketches.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(Window.partitionBy(*group)))
-    at = lambda q: F.min(F.when(4 * F.col("_upto") >= q * F.col("_all"), F.col("cell")))
-    quartiles = ranked.groupBy(*group).agg(at(1).alias("_q1"), at(3).alias("_q3"), F.max("_all").alias("_rows"))
-    least = F.create_map(*[x for m, (_, _, _, r, _) in MEASURES.items() for x in (F.lit(m), F.lit(r))])
-    wide = F.greatest(F.col("_q3") - F.col("_q1"), F.element_at(least, F.col("measure")))
-    fenced = quartiles.select(*group, "_rows", (F.col("_q1") - RANGES * wide).alias("_low"), (F.col("_q3") + RANGES * wide).alias("_high"))
-    picked = [x for m in MEASURES for x in (F.max(F.when(F.col("measure") == m, F.col("_low"))).alias(f"{m}_low"), F.max(F.when(F.col("measure") == m, F.col("_high"))).alias(f"{m}_high"))]
-    return fenced.groupBy("level", "lang", "source").agg(F.max("_rows").alias("rows"), *picked)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), cell(ratio(m)).alias("cell")) for m in MEASURES]))
+    sketch = cut(rows.select("lang", "source", cells.alias("_c")).groupBy("lang", "source", "_c.measure", "_c.cell").agg(F.count(F.lit(1)).alias("n")))
+
+    def level(*keys: str) -> DataFrame:
+        """keys and, for each measure, rows and fences of its own."""
+        group = [*keys, "measure"]
+        merged = sketch.groupBy(*group, "cell").agg(F.sum("n").alias("n"))
+        ranked = merged.withColumn("_upto", F.sum("n").over(Window.partitionBy(*group).orderBy("cell"))).withColumn("_all", F.sum("n").over(Window.partitionBy(*group)))
+        at = lambda q: F.min(F.when(100 * F.col("_upto") >= q * F.col("_all"), F.col("cell")))
+        found = ranked.groupBy(*group).agg(at(LOW).alias("_l"), at(MIDDLE).alias("_m"), at(HIGH).alias("_h"), F.max("_all").alias("rows"))
+        low, high = F.col("_l") - RANGES * (F.col("_m") - F.col("_l")), F.col("_h") + RANGES * (F.col("_h") - F.col("_m"))
+        return found.select(*group, "rows", low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+    def drawn(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+        """own with its fences drawn to those of above, which it shares keys and measure with."""
+        other = above.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "measure"]], F.col("low").alias("_low"), F.col("high").alias("_high"))
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "measure"]])
+        mean = lambda x: ((F.col("rows") * F.col(x) + PRIOR_ROWS * F.col(f"_{x}")) / (F.col("rows") + PRIOR_ROWS)).alias(x)
+        return own.join(other, on).select(*[c for c in own.columns if c not in ("low", "high")], mean("low"), mean("high"))
+
+    languages = drawn(level("lang"), level(), [])
+    groups = drawn(level("lang", "source"), languages, ["lang"])
+    picked = [F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}") for m in MEASURES for x in ("low", "high")]
+    names = [f"{m}_{x}" for m in MEASURES for x in ("low", "high")]
+    return groups.groupBy("lang", "source").agg(*picked).select("lang", "source", F.struct(*names).alias("fence"))
+
+
+def inside(measure: str, fence: Column) -> Column:
+    """Whether a row lies inside the fences of a measure.
+
+    What is counted in a text may exceed its expected number at the fence by
+    three standard deviations, so that a single sign or line never decides.
+    """
+    over, under, counts = MEASURES[measure]
+    high = fence[f"{measure}_high"]
+    if not counts:
+        return (ratio(measure) <= high) & (ratio(measure) >= fence[f"{measure}_low"])
+    expected = high * F.col(under) / SCALE
+    return F.col(over) <= expected + CHANCE * F.sqrt(expected + 1)
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """measured with base_failed and kept: inside the fences of its group.
+    """measured with base_failed and kept: inside the fences of its language and source.
 
-    The sketches hold the rows that pass the base rules. A group of fewer than
-    200 such rows is judged by its language, or, if that is as small, by all
-    rows. Null language and source are values like any other.
+    The sketches hold the rows that pass the base rules. Null language and
+    source are values like any other. Repeated rows count as often as they
+    stand; an empty table gives an empty one.
     """
     based = measured.withColumn("base_failed", base_failed())
-    table = cut(fences(based.where(~F.col("base_failed"))))
-    names = [f"{m}_{x}" for m in MEASURES for x in ("low", "high")]
-
-    def level(k: int, keys: list[str]) -> DataFrame:
-        fence = F.struct(*names).alias(f"_f{k}")
-        kept = table.where((F.col("level") == k) & ((F.col("rows") >= LEAST_ROWS) | F.lit(k == 0)))
-        return small(kept.select(*[F.col(c).alias(f"_{c}{k}") for c in keys], fence))
-
-    joined = based
-    for k, keys in ((2, ["lang", "source"]), (1, ["lang"])):
-        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}{k}")) for c in keys])
-        joined = joined.join(level(k, keys), on, "left")
-    joined = joined.join(F.broadcast(table.where("level = 0").limit(1).select(F.struct(*names).alias("_f0"))), F.lit(True), "left")
-    fence = F.coalesce("_f2", "_f1", "_f0")
-    inside = [value(m) <= fence[f"{m}_high"] for m in MEASURES] + [value(m) >= fence[f"{m}_low"] for m, spec in MEASURES.items() if spec[4]]
-    kept = ~F.col("base_failed") & reduce(lambda a, b: a & b, inside)
+    table = fences(based.where(~F.col("base_failed"))).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("fence").alias("_fence"))
+    on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    joined = based.join(small(cut(table)), on, "left")
+    kept = ~F.col("base_failed") & reduce(lambda a, b: a & b, [inside(m, F.col("_fence")) for m in MEASURES])
     return joined.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*based.columns, "kept")
 
 
@@ -181,32 +203,31 @@ WITH t AS (
          CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words
   FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id
-), b AS (
+), r AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         least(CASE WHEN n_words > 0 THEN word_chars * 20 // n_words ELSE 0 END, 2000) AS v1,
-         least(CASE WHEN word_chars > 0 THEN n_symbols * 200 // word_chars ELSE 0 END, 2000) AS v2,
-         least(CASE WHEN n_lines > 0 THEN n_dup_lines * 100 // n_lines ELSE 0 END, 2000) AS v3,
-         least(CASE WHEN n_words > 0 THEN n_repeat_words * 100 // n_words ELSE 0 END, 2000) AS v4
+         [CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END,
+          CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END] AS v
   FROM m
+), c AS (
+  SELECT lang, source, i, CASE WHEN v[i] < 1024 THEN v[i] ELSE (v[i] >> (length(bin(v[i])) - 10)) << (length(bin(v[i])) - 10) END AS c
+  FROM r, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE NOT base_failed
+), q AS (
+  SELECT level, lang, source, i, count(*) AS n, list_sort(list(c)) AS s
+  FROM (SELECT 2 AS level, lang, source, i, c FROM c UNION ALL SELECT 1, lang, NULL, i, c FROM c UNION ALL SELECT 0, NULL, NULL, i, c FROM c)
+  GROUP BY level, lang, source, i
 ), g AS (
-  SELECT level, lang, source, count(*) AS n,
-         [quantile_disc(v1, 0.25), quantile_disc(v2, 0.25), quantile_disc(v3, 0.25), quantile_disc(v4, 0.25)] AS q1,
-         [quantile_disc(v1, 0.75), quantile_disc(v2, 0.75), quantile_disc(v3, 0.75), quantile_disc(v4, 0.75)] AS q3
-  FROM (SELECT 2 AS level, lang, source, v1, v2, v3, v4 FROM b WHERE NOT base_failed
-        UNION ALL SELECT 1, lang, NULL, v1, v2, v3, v4 FROM b WHERE NOT base_failed
-        UNION ALL SELECT 0, NULL, NULL, v1, v2, v3, v4 FROM b WHERE NOT base_failed)
-  GROUP BY level, lang, source
+  SELECT level, lang, source, i, n, CAST(4 * s[(10 * n + 99) // 100] - 3 * s[(50 * n + 99) // 100] AS DOUBLE) AS low, CAST(4 * s[(90 * n + 99) // 100] - 3 * s[(50 * n + 99) // 100] AS DOUBLE) AS high FROM q
+), l AS (
+  SELECT x.lang, x.i, (x.n * x.low + 200 * y.low) / (x.n + 200) AS low, (x.n * x.high + 200 * y.high) / (x.n + 200) AS high
+  FROM g x JOIN g y ON x.level = 1 AND y.level = 0 AND x.i = y.i
 ), f AS (
-  SELECT level, lang, source, n, q1[1] - 3 * greatest(q3[1] - q1[1], 8) AS low1, q3[1] + 3 * greatest(q3[1] - q1[1], 8) AS h1,
-         q3[2] + 3 * greatest(q3[2] - q1[2], 4) AS h2, q3[3] + 3 * greatest(q3[3] - q1[3], 12) AS h3, q3[4] + 3 * greatest(q3[4] - q1[4], 12) AS h4
-  FROM g
-), j AS (
-  SELECT b.*, CASE WHEN x.level IS NOT NULL THEN x ELSE CASE WHEN y.level IS NOT NULL THEN y ELSE z END END AS fence
-  FROM b LEFT JOIN f x ON x.level = 2 AND x.n >= 200 AND x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source
-  LEFT JOIN f y ON y.level = 1 AND y.n >= 200 AND y.lang IS NOT DISTINCT FROM b.lang
-  LEFT JOIN f z ON z.level = 0
+  SELECT x.lang, x.source, max(CASE WHEN x.i = 1 THEN (x.n * x.low + 200 * l.low) / (x.n + 200) END) AS low1,
+         [max(CASE WHEN x.i = 1 THEN (x.n * x.high + 200 * l.high) / (x.n + 200) END), max(CASE WHEN x.i = 2 THEN (x.n * x.high + 200 * l.high) / (x.n + 200) END),
+          max(CASE WHEN x.i = 3 THEN (x.n * x.high + 200 * l.high) / (x.n + 200) END), max(CASE WHEN x.i = 4 THEN (x.n * x.high + 200 * l.high) / (x.n + 200) END)] AS h
+  FROM g x JOIN l ON x.level = 2 AND x.i = l.i AND x.lang IS NOT DISTINCT FROM l.lang GROUP BY x.lang, x.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND v1 BETWEEN fence.low1 AND fence.h1 AND v2 <= fence.h2 AND v3 <= fence.h3 AND v4 <= fence.h4, false) AS kept
-FROM j
+       coalesce(NOT base_failed AND v[1] >= low1 AND v[1] <= h[1] AND n_symbols <= h[2] * word_chars / 1000 + 3 * sqrt(h[2] * word_chars / 1000 + 1)
+         AND n_dup_lines <= h[3] * n_lines / 1000 + 3 * sqrt(h[3] * n_lines / 1000 + 1) AND n_repeat_words <= h[4] * n_words / 1000 + 3 * sqrt(h[4] * n_words / 1000 + 1), false) AS kept
+FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """

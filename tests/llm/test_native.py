@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from gridline.llm import chat, mixing, packing, quality, sharding
+from gridline.llm import chat, common, mixing, packing, quality, sharding
 from tests.llm.fixtures import DOCS, documents, plain_words
 
 
@@ -113,17 +113,39 @@ def test_boundaries_are_optimal():
 
 def test_packing(spark, folder, empty):
     rows = packing.op5_packing(spark, folder).collect()
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len(plain_words(t))) for i, t, *_ in DOCS)
+    assert Counter((r["doc_id"], r["n_words"]) for r in rows) == Counter((i, len(plain_words(t))) for i, t, *_ in DOCS)
     batches = defaultdict(list)
     for r in rows:
-        assert r["n_tokens"] + r["padding"] == r["bucket_len"] and r["padding"] >= 0
+        assert r["n_words"] + r["padding"] == r["bucket_len"] and r["padding"] >= 0
         batches[r["bucket"], r["batch"]].append(r)
     for own in batches.values():
         assert sorted(r["place"] for r in own) == list(range(len(own)))
-        assert len(own) == 1 or len(own) * own[0]["bucket_len"] <= packing.TOKEN_BUDGET
+        assert len(own) == 1 or len(own) * own[0]["bucket_len"] <= packing.BUDGET
     assert packing.op5_packing(spark, empty).collect() == []
 
 
+def test_packing_refuses_clashing_names(spark):
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 2)], "doc_id long, batch long"), F.lit(1), keep=("doc_id", "batch"))
+
+
+def test_ranks_of_hot_and_equal_rows(spark):
+    rows = [("a", 1, 5)] * 700 + [("a", None, 5)] * 300 + [("b", i, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(5)
+    got = common.gapless_rank(df, "g", ["k"], ["k", "v"], "at", 2).collect()
+    assert Counter((r["g"], r["k"], r["v"]) for r in got) == Counter(rows)
+    for g, n in (("a", 1000), ("b", 200)):
+        assert sorted(r["at"] for r in got if r["g"] == g) == list(range(n))
+    assert common.gapless_rank(df.limit(0), "g", ["k"], ["k", "v"], "at", 2).collect() == []
+
+
+def test_texts_without_words_keep_the_cap(spark):
+    rows = [(i, "" if i % 2 else "w w", "s") for i in range(40)] + [(i, "x " * 300, "big") for i in range(40, 44)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, common.word_count(F.col("text"))).collect()
+    assert max(r["epochs"] for r in mixed) <= 2 and {r["epochs"] for r in mixed if r["source"] == "s" and r["size"]} == {2}
+
+
 def test_cells_hold_lengths(spark):
     df = spark.createDataFrame([(n,) for n in [0, 1, 511, 512, 513, 1023, 1024, 1025, 99_999, 10**12]], "n long")
     for r in df.select("n", packing.cell(F.col("n")).alias("c")).collect():
@@ -189,6 +211,34 @@ def test_repeated_words(spark):
     assert got == {i: plain_measures(t)[4] for i, t in enumerate(texts)}
 
 
+def test_cells_of_ratios(spark):
+    values = [0, 1, 1023, 1024, 1025, 2047, 2048, 99_999, 10**9 + 7, 10**15]
+    cells = [r["c"] for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.cell(F.col("v")).alias("c")).orderBy("v").collect()]
+    assert cells[:4] == [0, 1, 1023, 1024] and all(c <= v <= c * (1 + 1 / 512) for v, c in zip(values, cells, strict=True)) and len(set(cells)) == len(values) - 1
+
+
+def test_long_words_have_fences_too(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("あいうえおかきくけこ") for _ in range(n))
+    usual = [" ".join(word(rng.randint(150, 250)) for _ in range(60)) for _ in range(300)]
+    odd = [" ".join(word(rng.randint(900, 1100)) for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "ja", "s") for i, t in enumerate(usual + odd)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(quality.measures(df)).collect()}
+    assert sum(kept[i] for i in range(300)) >= 297 and not any(kept[i] for i in range(300, 320))
+
+
+def test_verdicts_do_not_depend_on_tasks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["a", "bb", "ccc#", "dddd"]) for _ in range(rng.randint(40, 90))), rng.choice(["en", None]), rng.choice(["s", "t", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = [{tuple(r) for r in quality.judge(quality.measures(df.repartition(n))).collect()} for n in (1, 7)]
+    assert judged[0] == judged[1]
+
+
 def test_clean_documents_stay(spark):
     import random
 
