@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridline.llm.common import bounded, cut, table, with_columns
@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes.select("fp")))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select(F.col("fp").alias("_fp"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 

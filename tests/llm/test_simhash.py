@@ -155,3 +155,28 @@ def test_places_of_large_groups_are_bounded_and_whole(spark, monkeypatch, by_lis
     assert all(places[a] & places[b] for nodes in by_key.values() for a in nodes[::7] for b in nodes)
     held = Counter(p for own in places.values() for p in own)
     assert max(held.values()) <= (2 if by_list else 180) and sum(held.values()) <= 900 * 18
+
+
+def test_simhash_query_against_all_pairs(spark, tmp_path):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    while len(rows) < 2000:
+        base = [rng.choice(words) for _ in range(rng.choice([1, 3, 40, 150]))]
+        for _ in range(rng.choice([1, 1, 2, 30])):
+            edited = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                edited[rng.randrange(len(edited))] = rng.choice(words)
+            rows.append((len(rows), rng.choice([" ", "\n "]).join(edited)))
+    rows += [(3000, None), (3001, ""), (7, rows[9][1])] + [(4000 + i, "one hot text that stands very often") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {t: plain_fingerprint(t) for _, t in rows}
+    distinct = sorted(set(prints.values()))
+    array = np.array(distinct, np.uint64)
+    root = plain_components(distinct, [(x, int(y)) for x in distinct for y in array[np.bitwise_count(array ^ np.uint64(x)) <= 2] if int(y) != x])
+    first = {}
+    for i, t in rows:
+        first[root[prints[t]]] = min(i, first.get(root[prints[t]], i))
+    want = Counter((i, f"{prints[t]:016x}", first[root[prints[t]]]) for i, t in rows)
+    assert Counter(tuple(r) for r in simhash.op2_simhash(spark, str(tmp_path)).collect()) == want
+    assert len(first) < len(distinct)
