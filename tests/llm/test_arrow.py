@@ -1,6 +1,8 @@
 """Search, token counts, languages, secrets, near-duplicates and the pipeline against plain Python."""
 
 import random
+import unicodedata
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -87,6 +89,33 @@ def test_marks_are_composed_before_case(spark):
     assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_every_tokenizer_is_counted_as_its_library_does(spark, name):
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path(name), random.Random(2)
+    texts = ["", None, " ", "Hello,  World.\n\n don't  stop", "naïve café <|endoftext|> x", "日本語 テキスト", "a.b. c,d, A.B."]
+    texts += ["".join(rng.choice("ab cD.,\n\té'3") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        want = {i: len(library.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+    else:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = {i: len(library.encode(t or "")) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, path).collect()} == want
+    assert tokens.facts(tokens.library(path))[0] == (name == "word_bpe_49k.json")
+
+
+def test_other_files_are_refused():
+    with pytest.raises(ValueError):
+        tokens.library("words.txt")
+
+
 def test_pieces_are_whole():
     data = b"ab  cd " * 1000 + b"x" * 50 + b" y"
     parts = list(tokens.pieces(data, 64))
@@ -119,6 +148,37 @@ def test_languages(spark, folder, empty):
     assert language.op9_language(spark, empty).collect() == []
 
 
+def plain_profile(texts, ranks):
+    """The most frequent 1- to 3-grams of words of letters with a mark on both sides, ties by code points."""
+    counts = Counter()
+    for text in texts:
+        for word in "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split():
+            w = f"\0{word}\0"
+            counts.update(g for n in (1, 2, 3) for g in (w[i : i + n] for i in range(len(w) - n + 1)) if g != "\0")
+    order = lambda g: sum((ord(c) + 1) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(counts, key=lambda g: (-counts[g], order(g)))[:ranks]
+
+
+def test_languages_against_a_plain_ranking(spark):
+    rng = random.Random(9)
+    made = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(80)] for lang, letters in (("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "дежзий"))}
+    rows = [(i, " ".join(rng.choice(made[lang]) for _ in range(rng.randint(1, 40))) + rng.choice(["", " 12!", "\n\n"]), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    rows += [(900, "Abc abc ABC", None), (901, None, "aa"), (902, "123 !", "bb"), (903, "q" * 50_000, None), (5, rows[5][1], "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    ranks = 40
+    teaches = [(t, lang) for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    profiles = {lang: {g: k for k, g in enumerate(plain_profile([t for t, x in teaches if x == lang], ranks))} for lang in made}
+    want = {}
+    for i, t, _ in rows:
+        own = plain_profile([t or ""], ranks)
+        far = {lang: sum(min(abs(p[g] - k), ranks) if g in p else ranks for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[i] = (best, 1 - far[best] / (ranks * len(own))) if own else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, language.learn(docs, ranks)).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
 def test_held_out_rows_teach_nothing(spark):
     import zlib
 
