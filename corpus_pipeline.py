@@ -71,7 +71,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     counted = tokens.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path(tokens.TOKENIZER))
-    return packing.pack(counted, F.col("n_tokens"))
+    return packing.pack(counted, F.col("n_tokens"), name="n_tokens")
 
 
 STAGES = [
