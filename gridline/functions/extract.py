@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridline.functions import text as X
@@ -211,7 +211,7 @@ def technical_task(text: Column) -> Column:
 
 def checks(text: Column, steps: Column) -> Column:
     """The last step: presence of parts, agreement of name and code, mean confidence."""
-    at = lambda n: F.get(F.filter(steps, lambda s: s["step_number"] == n), F.lit(0))
+    at = lambda n: F.get(steps, F.lit(n - 1))  # noqa: E731  steps 1 to 5 stand at their place
     says = lambda n, a, b: F.contains(F.lower(at(n)["evidence"][0]), F.lit(a)) & F.contains(F.lower(at(n)["evidence"][0]), F.lit(b))
     pieces = text.rlike(r"\d+\s*шт")
     amount, unit = has_any(text, ["Количество:", "Кол.:"]) | pieces, has_any(text, ["Единица:", "Единица измерения:"]) | pieces
@@ -228,11 +228,21 @@ def checks(text: Column, steps: Column) -> Column:
     return step(7, F.lit("Валидирую результат разбора"), mean, F.array(first, second, third))
 
 
+def first_steps(text: Column) -> Column:
+    """The six steps that look at the text alone, numbered 1, 2, 3, 4, 5, 7."""
+    return F.array(structure(text), tool_name(text), denotation(text), maker(text), parameters(text), technical_task(text))
+
+
 def reasoning(text: Column) -> Column:
     """All seven steps, numbered 1, 2, 3, 4, 5, 7, 7."""
-    steps = F.array(structure(text), tool_name(text), denotation(text), maker(text), parameters(text), technical_task(text))
     # bound as a variable, so that the checks don't work the steps out again
-    return F.get(F.transform(F.array(steps), lambda s: F.concat(s, F.array(checks(text, s)))), F.lit(0))
+    return F.get(F.transform(F.array(first_steps(text)), lambda s: F.concat(s, F.array(checks(text, s)))), F.lit(0))
+
+
+def with_reasoning(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with all seven steps as column out. Faster than reasoning(): the steps are a projection of their own, in generated code."""
+    held = df.withColumn("_steps", first_steps(F.col(text)))
+    return held.withColumn(out, F.concat("_steps", F.array(checks(F.col(text), F.col("_steps"))))).drop("_steps")
 
 
 def reasoning_text(steps: Column) -> Column:

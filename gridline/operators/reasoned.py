@@ -197,7 +197,7 @@ def log_examples(rows: DataFrame, keep: list[str], columns: list[str], name: str
     value = lambda c: F.col("input")[c].cast("string") if c in columns else F.lit(None).cast("string")
     text = record_text(F.col("input"), [c for c in columns if c != number], value(number))
     read = rows.withColumn("_text", text).withColumn("_target", E.log_row(F.coalesce(value(name), F.lit("")), value(quantity), value(unit)))
-    read = read.withColumn("_said", E.reasoning_text(E.reasoning(F.col("_text"))))
+    read = E.with_reasoning(read, "_text", "_steps7").withColumn("_said", E.reasoning_text(F.col("_steps7")))
     answers = {"simplified": simplified_of(F.col("_target")), "extended": F.col("_target")}
     return examples(read, keep, F.col("_text"), answers, dict.fromkeys(MODES, F.col("_said")))
 

@@ -15,6 +15,8 @@ from gridline.functions import text as X
 from gridline.model import HEADER_ANCHORS
 
 HEADER_ROWS = 20
+# Fixed values. Cells that table readers take for missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 LEAST_GROUPS = 2
 
 
@@ -104,6 +106,25 @@ def records(rows: DataFrame, keys: list[str], names: Column) -> DataFrame:
     return rows.select(*keys, "row_idx", pair.alias("rec"))
 
 
+def resolved(rows: DataFrame, keys: list[str], headed: DataFrame, compat: bool = True) -> DataFrame:
+    """keys, row_idx, rec: rows as records, with the first row as names where headed(keys, is_header) says so, else numbered names.
+
+    The first row counts as narrower than the others if its last cells are
+    missing. With compat the texts that a table reader takes for missing
+    (empty, NA and the like) are null.
+    """
+    width = rows.groupBy(*keys).agg(F.max(F.size("cells")).alias("_width"))
+    first = rows.where("row_idx = 0").select(*keys, F.col("cells").alias("_first"))
+    known = width.join(first, keys, "left").join(headed.select(*keys, "is_header"), keys, "left")
+    has = F.coalesce("is_header", F.lit(False)) & F.col("_first").isNotNull()
+    padded = F.concat("_first", F.array_repeat(F.lit("").cast("string"), F.greatest(F.col("_width") - F.size("_first"), F.lit(0))))
+    names = known.select(*keys, has.alias("_has"), F.when(has, header_names(padded)).otherwise(numbered_names(F.col("_width"))).alias("_names"))
+    body = rows.join(names, keys).where(~F.col("_has") | (F.col("row_idx") > 0)).withColumn("row_idx", (F.col("row_idx") - F.col("_has").cast("int")).cast("int"))
+    if compat:
+        body = body.withColumn("cells", F.transform("cells", lambda c: F.when(~c.isin(*MISSING), c)))
+    return records(body, keys, F.col("_names"))
+
+
 def chunks(records: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
     """keys, chunk_idx, prompt: records as prompt text, numbered from 1 in each chunk of size.
 

@@ -324,7 +324,7 @@ def tech_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, 7 AS steps, CAST(round((0.9 + c2 + c3 + c4 + c5 + c6) / 6, 6) AS DOUBLE) AS confidence FROM n""",
 )
 def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _described(spark, sf_dir).withColumn("s", E.reasoning(F.col("text")))
+    found = E.with_reasoning(_described(spark, sf_dir), "text", "s")
     return found.select("p_partkey", F.size("s").alias("steps"), F.round(F.element_at("s", -1)["confidence"], 6).alias("confidence"))
 
 

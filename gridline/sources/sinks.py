@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridline.operators.tables import resolved
+from gridline.sources.json_rows import csv_tables, read_json
 from gridline.sources.office import workbook
 
 SHEET_ROWS = 1_048_576
@@ -18,6 +20,22 @@ def write_records(records: DataFrame, path: str, keys: Sequence[str]) -> None:
     records.withColumn("rec", as_map).write.mode("overwrite").partitionBy(*keys).json(path)
 
 
+def write_tables(rows: DataFrame, headed: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Tables of cells as JSON records, their header resolved first: see tables.resolved."""
+    write_records(resolved(rows, list(keys), headed), path, keys)
+
+
+def export_records(spark: SparkSession, source: str, dimensions: str) -> bytes:
+    """A workbook of the records of a JSON file as sheet INPUT, and of each CSV file of a folder as a sheet in capitals.
+
+    Raises if there are no records.
+    """
+    records = read_json(spark, source)
+    if records.isEmpty():
+        raise ValueError(f"{source}: no records")
+    return to_workbook({"INPUT": records} | csv_tables(spark, dimensions))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

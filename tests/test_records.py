@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridline.functions import extract as E
@@ -135,14 +136,50 @@ def test_images(spark):
     assert 40 <= I.otsu(half) < 200 and set(np.unique(I.binarize(half))) == {0, 255}
     assert I.contrast(half).shape == half.shape and I.lighting(image).shape == (40, 60) and I.sharpen(image).shape == image.shape
     assert (I.sharpen(np.full((9, 9), 77, np.uint8)) == 77).all()
-    rows = [("a", 40, 60, 3, bytearray(image.tobytes())), ("b", 9, 9, 1, bytearray(b"short"))]
-    out = {r["path"]: r for r in I.prepare_all(spark.createDataFrame(rows, "path string, height int, width int, channels int, data binary")).collect()}
-    assert out["a"]["channels"] == 1 and out["a"]["error"] is None and out["b"]["error"]
+    rows = [("a.png", 40, 60, 3, bytearray(image.tobytes())), ("b.png", 9, 9, 1, bytearray(b"short"))]
+    frame = spark.createDataFrame(rows, "path string, height int, width int, channels int, data binary")
+    few = I.Stages(on={"invert": False, "binarize": False, "distortion": False, "denoise": False})
+    out = {r["path"]: r for r in I.prepare_all(frame, few).collect()}
+    assert out["a.png"]["channels"] == 1 and out["a.png"]["error"] is None and out["b.png"]["error"]
+    seen = I.stage_images(frame, few).collect()
+    assert [r["name"] for r in seen] == [f"a_{s}" for s in few.active()] and bytes(seen[-1]["data"]) == bytes(out["a.png"]["data"])
+    with pytest.raises(ValueError, match="distortion"):
+        I.prepare(image)
     angles = F.array(*[F.lit(float(a)) for a in (1, 2, 4, 80)])
     assert one(spark, I.skew(angles)) == 2.0 and one(spark, I.largest(angles, 2)) == [80.0]
     assert one(spark, I.scale_of(F.lit(368), F.lit(1000))) == 2.0
 
 
+def test_pages_are_straightened():
+    page = np.full((160, 220), 255, np.uint8)
+    for top in range(20, 140, 20):
+        page[top : top + 5, 30:190] = 0
+    assert I.slope(page) == 0.0 and (I.deskew(page) == page).all()
+    for angle in (-7.0, 3.0):
+        assert abs(I.slope(I.rotate(page, angle)) + angle) <= 0.5
+    assert (I.rotate(page, 0.0) == page).all()
+    quad = np.array([[20, 10], [180, 30], [200, 150], [10, 120]], float)
+    matrix = I.homography(np.array([[0, 0], [9, 0], [9, 9], [0, 9]], float), quad)
+    for (x, y), want in zip([(0, 0), (9, 0), (9, 9), (0, 9)], quad, strict=True):
+        u, v, w = matrix @ np.array([x, y, 1.0])
+        assert np.allclose([u / w, v / w], want)
+    dark = np.full((180, 240), 10, np.uint8)
+    inside = I.warp(page, np.linalg.inv(I.homography(np.array([[0, 0], [219, 0], [219, 159], [0, 159]], float), quad)), 180, 240)
+    mask = I.warp(np.full((160, 220), 255, np.uint8), np.eye(3), 180, 240) > 0
+    flat = I.straighten(np.where(mask, inside, dark), quad)
+    assert flat.ndim == 2 and abs(I.corner_angles(quad) - 90).max() > 10 and (I.straighten(page, np.array([[0, 0], [9, 0], [9, 9], [0, 9]], float)) is page)
+
+
+def test_noise_goes_and_edges_stay():
+    rng = np.random.default_rng(2)
+    clean = np.full((40, 50), 60, np.uint8)
+    clean[:, 25:] = 200
+    noisy = np.clip(clean + rng.normal(0, 4, clean.shape), 0, 255).astype(np.uint8)
+    out = I.denoise(noisy).astype(float)
+    assert np.abs(out - clean).mean() < 0.5 * np.abs(noisy.astype(float) - clean).mean()
+    assert out[:, 24].max() < 100 < 160 < out[:, 25].min()
+
+
 def test_unique_names(spark):
     names = spark.createDataFrame([("Отчёт", ".TXT", i) for i in range(1200)], "stem string, suffix string, n int")
     taken = spark.createDataFrame([(f"otchet_{n}",) for n in ("002.txt", "900.pdf", "004.txt", "005.txt", "1000.txt", "7.txt", "0008.txt", "000.txt")], "name string")
@@ -214,3 +251,37 @@ def test_scored(spark):
     expected = spark.createDataFrame([(1, {"a": "x"}), (2, {"a": "x"}), (3, {"a": "x"})], "id int, expected map<string,string>")
     predicted = spark.createDataFrame([(1, {"a": "X "}, None), (2, {"a": "x"}, "broken")], "id int, predicted map<string,string>, error string")
     assert {r["id"]: r["accuracy"] for r in V.scored(predicted, expected, ["id"]).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_headers_are_resolved(spark):
+    rows = [("a", 0, ["name", "qty"]), ("a", 1, ["x", "NA", "3"]), ("b", 0, ["1", ""]), ("c", 0, ["only"])]
+    frame = spark.createDataFrame(rows, "doc string, row_idx int, cells array<string>")
+    headed = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "doc string, is_header boolean")
+    got = {(r["doc"], r["row_idx"]): [tuple(e) for e in r["rec"]] for r in T.resolved(frame, ["doc"], headed).collect()}
+    assert got == {("a", 0): [("name", "x"), ("qty", None), ("Unnamed: 2", "3")], ("b", 0): [("Заголовок 1", "1"), ("Заголовок 2", None)]}
+
+
+def test_numbers_are_no_header(spark):
+    cells = spark.createDataFrame([("a", "1", [1.0, 0.0]), ("a", "name", [1.0, 0.0]), ("b", "name", [1.0, 0.0]), ("b", "qty", [1.0, 0.0])], "doc string, text string, embedding array<double>")
+    anchors = F.array(F.array(F.lit(1.0), F.lit(0.0)))
+    got = {r["doc"]: r["is_header"] for r in T.semantic_header(cells, anchors, ["doc"]).collect()}
+    assert got == {"a": False, "b": True}
+
+
+def test_reasoned_prompts(spark):
+    from gridline.functions import extract as E
+    from gridline.operators import reasoned as R
+
+    schema = json.loads(R.schema_text("extended"))
+    assert list(schema["$defs"]["TableRowExtended"]["properties"]) == EXTENDED and schema["required"] == ["rows"]
+    text = one(spark, R.system_prompt(F.lit("Цанга ER32 {keys}"), "simplified"))
+    assert text.startswith("Режим работы: simplified. ") and "ER→ER(\\d+), цанга→Цанга" in text and "{" in R.schema_text("simplified") and "{knowledge}" not in text
+    assert "РЕЛЕВАНТНЫЕ" not in one(spark, R.knowledge(F.lit("ничего")))
+    texts = spark.createDataFrame([("Наименование: Фреза X12 | Производитель: Y | Кол.: 3",), ("",), (None,)], "text string")
+    plain = texts.select(E.reasoning(F.col("text")).alias("s")).collect()
+    assert [r["s"] for r in E.with_reasoning(texts, "text", "s").select("s").collect()] == [r["s"] for r in plain]
+    logs = spark.createDataFrame([(1, ("7", "Державка Sandvik A0123 ø 20 x 30", "5", None))], "id int, input struct<`Unnamed: 0`: string, `Товары работы услуги`: string, `Количество`: string, `Unnamed: 4`: string>")
+    made = R.log_examples(logs, ["id"], ["Unnamed: 0", "Товары работы услуги", "Количество", "Unnamed: 4"]).collect()
+    assert [r["mode"] for r in made] == ["simplified", "extended"] and "Запись 7:\n  Товары работы услуги: Державка" in made[0]["user"] and "  Unnamed: 4: \n" in made[0]["user"]
+    row = json.loads(made[1]["assistant"])["rows"][0]
+    assert (row["Обозначение"], row["Наименование"], row["Производитель"], row["Единица измерения"], row["Техническое задание"]) == ("A0123", "Державка Sandvik", "Державка", "шт.", "Размеры: ø20 x 30")

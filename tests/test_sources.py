@@ -125,6 +125,30 @@ def test_sinks(spark, tmp_path):
         sinks.to_workbook({"S": spark.range(5)}, most=3)
 
 
+def test_export_with_dimensions(spark, tmp_path):
+    (tmp_path / "model").mkdir()
+    (tmp_path / "model" / "simplified.csv").write_text("Наименование,Количество\n")
+    (tmp_path / "model" / "extended.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "in.json").write_text('[{"k": "v", "n": "1"}, {"k": "w", "n": null}]')
+    book = office.read_workbook("x", sinks.export_records(spark, str(tmp_path / "in.json"), str(tmp_path / "model")))
+    assert book == [("INPUT", [["k", "n"], ["v", "1"], ["w", None]]), ("EXTENDED", [["a", "b"], ["1", "x"]]), ("SIMPLIFIED", [["Наименование", "Количество"]])]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridline.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t.csv").write_text("№;Наименование;Кол-во\n1;Сверло;5\n")
+    assert main(["queries"]) == 0 and "header_row_locate" in capsys.readouterr().out
+    assert main(["tables", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    (tmp_path / "in" / "bad.xlsx").write_bytes(b"no zip")
+    assert main(["--quiet", "tables", str(tmp_path / "in"), str(tmp_path / "out")]) == 1
+    assert main(["query", "quotas", "/root/testdata/sf0.001", str(tmp_path / "q")]) == 0
+    with pytest.raises(SystemExit):
+        main(["query", "none", "a", "b"])
+
+
 def test_inbox(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("one\ntwo")
