@@ -259,18 +259,6 @@ d AS (
 )"""
 
 
-@register(
-    "tool_name",
-    f"""WITH {_DESCRIBED} SELECT p_partkey, CASE kind WHEN 0 THEN 'Найдено наименование: Сверло ' || p_name WHEN 1 THEN 'Найдено наименование: Фреза ' || p_name || ' (тип: Фреза)'
-      WHEN 2 THEN 'Найдено наименование: Цанга ER' || p_size || ' ø (тип: Цанга)' WHEN 3 THEN 'Найдено наименование: работы услуги: Патрон Sandvik ' || code || ' (тип: Патрон)'
-      ELSE 'Наименование не определено явно' END AS evidence,
-      CAST(CASE kind WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.3 END AS DOUBLE) AS confidence FROM d""",
-)
-def tool_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _described(spark, sf_dir).withColumn("s", E.tool_name(F.col("text")))
-    return found.select("p_partkey", F.col("s.evidence")[0].alias("evidence"), F.col("s.confidence").alias("confidence"))
-
-
 _ALL = " || ".join(f"regexp_extract_all(text, '{p}')" for p in E.CODES)
 _PLUS = " || ".join(f"regexp_extract_all(text, '{p}')" for p in E.FREE_CODES)
 
@@ -287,47 +275,6 @@ def denotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(spark, sf_dir).select("p_partkey", E.codes(F.col("text")).alias("codes"), E.longest_code(F.col("text")).alias("longest"))
 
 
-@register(
-    "regex_params",
-    f"""WITH {_DESCRIBED} SELECT p_partkey, CASE kind WHEN 2 THEN 'Диаметр: ø40 мм|ER: ' || p_size || '|размер_хвостовика: 40' WHEN 3 THEN 'Размеры: ø12,5 x 30|HSK: A63'
-      WHEN 4 THEN 'Lобщ: 80|размер_хвостовика: 80' WHEN 5 THEN 'угол: 90' WHEN 0 THEN 'Найдены числа, но без явных единиц измерения (мм, °, и т.д.)'
-      ELSE 'Найдены числа, но без явных единиц измерения (мм, °, и т.д.)' END AS evidence FROM d""",
-)
-def regex_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _described(spark, sf_dir).select("p_partkey", F.array_join(E.parameters(F.col("text"))["evidence"], "|").alias("evidence"))
-
-
-@register(
-    "maker_found",
-    f"""WITH {_DESCRIBED} SELECT p_partkey, CASE kind WHEN 1 THEN 'Найден производитель: ' || p_brand WHEN 2 THEN 'Найден производитель: ' || p_type || ' (из поля Фирма)'
-      WHEN 3 THEN 'Найден возможный производитель: Sandvik (в описании товара)' WHEN 5 THEN 'Найден производитель: ' || regexp_extract(upper(p_name), '^[A-Z0-9]+') || ' (из поля Бренд)'
-      ELSE 'Производитель не указан явно' END AS evidence FROM d""",
-)
-def maker_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _described(spark, sf_dir).select("p_partkey", E.maker(F.col("text"))["evidence"][0].alias("evidence"))
-
-
-@register(
-    "tech_task",
-    f"""WITH {_DESCRIBED} SELECT p_partkey, CASE kind WHEN 2 THEN 'Диаметр: ø40 мм' WHEN 4 THEN 'Код заказа: ' || p_partkey || '|с покрытием|Срок поставки: 5 дней'
-      ELSE 'Техническое задание не найдено' END AS evidence FROM d""",
-)
-def tech_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _described(spark, sf_dir).select("p_partkey", F.array_join(E.technical_task(F.col("text"))["evidence"], "|").alias("evidence"))
-
-
-@register(
-    "reasoning",
-    f"""WITH {_DESCRIBED}, n AS (SELECT *, CASE kind WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.3 END AS c2,
-      CASE WHEN len({_PLUS}) > 0 THEN 0.9 ELSE 0.2 END AS c3, CASE kind WHEN 1 THEN 0.95 WHEN 2 THEN 0.95 WHEN 3 THEN 0.7 WHEN 5 THEN 0.95 ELSE 0.9 END AS c4,
-      CASE kind WHEN 0 THEN 0.4 WHEN 1 THEN 0.4 ELSE 0.8 END AS c5, CASE kind WHEN 2 THEN 0.9 WHEN 4 THEN 0.9 ELSE 0.3 END AS c6 FROM d)
-    SELECT p_partkey, 7 AS steps, CAST(round((0.9 + c2 + c3 + c4 + c5 + c6) / 6, 6) AS DOUBLE) AS confidence FROM n""",
-)
-def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.with_reasoning(_described(spark, sf_dir), "text", "s")
-    return found.select("p_partkey", F.size("s").alias("steps"), F.round(F.element_at("s", -1)["confidence"], 6).alias("confidence"))
-
-
 @register(
     "reasoning_text",
     """SELECT p_partkey, '1. ' || p_name || ' (' || p_brand || ', ' || p_type || ')' || chr(10) || '2. ' || p_type || chr(10) || '7. last (' || p_size || ')' AS text, 3 AS steps,
@@ -367,31 +314,3 @@ def relevant_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = {"Сверло": ["сверло", "drill"], "Фреза": ["фреза", "mill"]}
     found = E.relevant_entities(F.col("text"), ["Lобщ", "HSK", "ER", "угол"], words)
     return _described(spark, sf_dir).select("p_partkey", F.array_join(found, ",").alias("entities"))
-
-
-@register(
-    "catalogue_rows",
-    f"""WITH {_DESCRIBED} SELECT p_partkey, CASE WHEN kind < 3 THEN p_name ELSE 'Фреза ' || p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'шт.' ELSE 'компл.' END AS unit,
-      'Код: ' || code AS spec, '8. Валидирую результат разбора. Все необходимые поля заполнены корректно.' AS last_line FROM d""",
-)
-def catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _described(spark, sf_dir)
-    name = F.when(F.col("kind") < 3, F.col("p_name")).otherwise(F.concat(F.lit("Фреза "), F.col("p_name"), F.lit(" "), F.col("code"), F.lit(" длинная")))
-    row = E.catalogue_row(name, F.col("p_brand"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 1, "компл.").otherwise(""), F.col("code"))
-    out = d.withColumn("r", row)
-    last = F.element_at(F.split(E.narrative(F.col("r"), True), "\n"), -1)
-    return out.select("p_partkey", F.col("r")["Наименование"].alias("name"), F.col("r")["Единица измерения"].alias("unit"), F.col("r")["Техническое задание"].alias("spec"), last.alias("last_line"))
-
-
-@register(
-    "log_rows",
-    f"""WITH {_DESCRIBED} SELECT p_partkey, 'Фреза Sandvik ' || p_name AS name, 'Фреза' AS maker, 'шт.' AS unit,
-      CASE WHEN p_partkey % 2 = 0 THEN 'Размеры: ø40 x ' || p_size ELSE 'Диаметр: ø' || p_size || ' мм' END AS spec FROM d""",
-)
-def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _described(spark, sf_dir)
-    size = F.col("p_size").cast("string")
-    tail = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" ø 40 x "), size)).otherwise(F.concat(F.lit(" ø"), size, F.lit(" мм")))
-    row = E.log_row(F.concat(F.lit("Фреза Sandvik "), F.col("p_name"), F.lit(" "), F.col("code"), tail), size, F.lit("  "))
-    out = d.select("p_partkey", row.alias("r"))
-    return out.select("p_partkey", F.col("r")["Наименование"].alias("name"), F.col("r")["Производитель"].alias("maker"), F.col("r")["Единица измерения"].alias("unit"), F.col("r")["Техническое задание"].alias("spec"))
