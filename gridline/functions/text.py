@@ -75,8 +75,8 @@ def icon(path: Column, icons: dict[str, str], default: str = "📎") -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
-    unit = lambda n, name: F.format_string(f"%.2f {name}", size / F.lit(1024.0**n))
+    """Bytes as B, KB, MB or GB with two digits, halves to the even one."""
+    unit = lambda n, name: F.format_string(f"%.2f {name}", F.bround(size / F.lit(1024.0**n), 2))
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, unit(1, "KB")).when(size < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
 
 

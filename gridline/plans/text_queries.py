@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +39,14 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.safe_stem(url).alias("stem"), X.numbered_name(url, F.col("page_id") % 1000, F.lit(".HTML")).alias("name"), X.signature(url, content).alias("signature"))
 
 
-_SINGLE = [(r, x) for r, x in TRANSLITERATION.items() if len(x) == 1]
-_CYRILLIC = "".join(r for r, _ in _SINGLE)
-_LATIN = "".join(x for _, x in _SINGLE)
+_FROM, _RUSSIAN = "abcdefghijklmnopqrstuvwxyzABC", "абцдефжчизклмнопщрстувшыюяЮЁъ"
+_SPELLED = reduce(lambda sql, p: f"replace({sql}, '{p[0]}', '{p[1]}')", [*TRANSLITERATION.items(), *((r.upper(), x.capitalize()) for r, x in TRANSLITERATION.items())], f"translate(text, '{_FROM}', '{_RUSSIAN}')")
 
 
-@register(
-    "transliterate",
-    f"SELECT doc_id, translate(translate(lower(text), 'abvgdez', 'абвгдез'), '{_CYRILLIC}', '{_LATIN}') AS latin FROM documents",
-)
+@register("transliterate", f"SELECT doc_id, {_SPELLED} AS latin FROM documents")
 def transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with some letters in Russian spelling, and back in Latin."""
-    russian = F.translate(F.lower("text"), "abvgdez", "абвгдез")
-    return table(spark, sf_dir, "documents").select("doc_id", X.transliterate(russian).alias("latin"))
+    """Texts with Russian letters in place of most Latin ones, and back in Latin spelling."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.transliterate(F.translate("text", _FROM, _RUSSIAN)).alias("latin"))
 
 
 @register(
@@ -63,15 +60,16 @@ def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "file_icons_sizes",
-    """WITH s AS (SELECT page_id, (octet_length(encode(html)) * (page_id % 4 + 1) * 97)::BIGINT AS n FROM pages)
+    """WITH s AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 1024 + page_id * 128 ELSE (octet_length(encode(html)) * (page_id % 4 + 1) * [1, 97, 9973, 999983][page_id % 4 + 1])::BIGINT END AS n FROM pages)
     SELECT page_id, CASE page_id % 4 WHEN 0 THEN '🌐' WHEN 1 THEN '📕' WHEN 2 THEN '📄' ELSE '📎' END AS icon,
-      CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN 'KB' WHEN n < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM s""",
+      CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GB', n / 1073741824.0::DOUBLE) END AS size FROM s""",
 )
 def file_icons_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suffix = F.element_at(F.array(*[F.lit(s) for s in (".HTML", ".pdf", ".txt", ".bin")]), (F.col("page_id") % 4 + 1).cast("int"))
-    size = X.human_size((F.octet_length("html") * (F.col("page_id") % 4 + 1) * 97).cast("long"))
-    unit = F.when(F.endswith(size, F.lit(" B")), size).otherwise(F.substring(size, -2, 2))
-    return table(spark, sf_dir, "pages").select("page_id", X.icon(F.concat(F.lit("page"), suffix), _ICONS).alias("icon"), unit.alias("unit"))
+    page = F.col("page_id")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (".HTML", ".pdf", ".txt", ".bin")]), (page % 4 + 1).cast("int"))
+    factor = F.element_at(F.array(*[F.lit(n) for n in (1, 97, 9973, 999983)]), (page % 4 + 1).cast("int"))
+    size = F.when(page % 5 == 0, 1024 + page * 128).otherwise((F.octet_length("html") * (page % 4 + 1) * factor).cast("long"))
+    return table(spark, sf_dir, "pages").select("page_id", X.icon(F.concat(F.lit("page"), suffix), _ICONS).alias("icon"), X.human_size(size.cast("long")).alias("size"))
 
 
 _TOKENS = r"""
