@@ -97,7 +97,12 @@ def learn(docs: DataFrame, ranks: int = RANKS, learn_docs: int = LEARN_DOCS) ->
     A language with more than learn_docs documents is learned from a share of
     them, drawn by a hash of doc_id, of expected size learn_docs; the others
     from all. Shares are a row per language, so texts are drawn where they're
-    read. The driver gets ranks rows for each language.
+    read. The driver gets ranks rows for each language. Equally frequent n-grams
+    rank by their code points, so profiles don't depend on partitions; a row
+    that stands n times counts n times; null texts teach nothing, and a
+    language whose texts have no letter has no profile. Texts are counted in
+    steps of a million characters. Other columns are ignored, whatever their
+    names; without usable rows there are no profiles.
     """
     usable = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     share = usable.groupBy(F.col("lang").alias("_lang")).agg(F.least(F.lit(1.0), learn_docs / F.count(F.lit(1))).alias("_share"))
@@ -127,7 +132,10 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
     """keep, lang_pred and score of every row, from column text alone.
 
     Null texts and texts without a letter are `und` with score 0, and so is
-    every text where no language was learned.
+    every text where no language was learned. Of languages at one distance the
+    first by name counts. Every row is told by its own text, repeated ones
+    alike; memory is bounded by a text. keep must not name lang_pred or score;
+    an empty table gives an empty one.
     """
 
     def run(batches):

@@ -25,7 +25,8 @@ SEED = "mix-1"
 def levels(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
     """Targets of sources(source, source_size, weight): one row for each source.
 
-    The windows run over one row per source, a table already aggregated.
+    The windows run over one row per source, a table already aggregated; they
+    are one task each, so sources may be some millions, not more.
     """
     upto = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
     before = upto.rowsBetween(Window.unboundedPreceding, -1)

@@ -301,7 +301,11 @@ def scan(docs: DataFrame, trained: Scanner, keep: tuple[str, ...] = ("doc_id",))
 
 
 def redact(docs: DataFrame, trained: Scanner, mask: str = MASK) -> DataFrame:
-    """docs with the secrets of column text replaced by mask; nothing else changes."""
+    """docs with the secrets of column text replaced by mask; nothing else changes.
+
+    Null and empty texts stay, rows keep their number, and other columns pass
+    through by place, whatever their names. Memory is bounded by a text.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(trained), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
