@@ -257,7 +257,7 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     repeated ids are joined to the texts: as a broadcast where they were
     counted to be few, else as an equi-join. Null texts are one class, so one
     of them stays; rows with a null doc_id all stay. Other columns pass
-    through, but none may be named _row, k1 or k2 where ids are repeated.
+    through, whatever their names.
     """
     ids = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("stays")).where("rows > 1 OR NOT stays"))
     once = docs.join(small(cut(ids.select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
