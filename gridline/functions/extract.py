@@ -1,7 +1,8 @@
 """Extraction of names, codes, makers and parameters from tool descriptions.
 
 All are column expressions of one text. Patterns are parameters with the
-Russian catalogue's values as defaults.
+Russian catalogue's values as defaults. The sentences that steps answer with
+are fixed values like the lists below: models were trained on them.
 """
 
 from __future__ import annotations
