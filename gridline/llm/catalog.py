@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridline.llm import chat, language, mixing, packing, quality, search, secrets, sharding, simhash, tokens
+from gridline.llm import centroids, chat, language, mixing, packing, quality, search, secrets, sharding, simhash, spelling, tokens, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_language": language.op9_language,
         "op10_quality": quality.op10_quality,
+        "op11_warc": warc.op11_warc,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_search": search.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op8_chat": chat.OP8_SQL, "op10_quality": quality.OP10_SQL}
+    return {"op1_search": search.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op8_chat": chat.OP8_SQL, "op10_quality": quality.OP10_SQL, "op11_warc": warc.OP11_SQL, "op12_centroids": centroids.OP12_SQL}

@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = duck.execute(catalog.oracle_sql()[name])
     columns = sorted(d[0] for d in cursor.description)
