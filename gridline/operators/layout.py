@@ -101,89 +101,119 @@ def reconstruct(blocks: DataFrame, boundaries: DataFrame, keys: list[str]) -> Da
     return grid.join(placed.select(*keys, "row_idx", "col_idx", "text"), [*keys, "row_idx", "col_idx"], "left").na.fill("", ["text"])
 
 
-def lines_of(words: Column, limit: float = 3.0) -> Column:
-    """array<struct<top, text>>: words (top, x0, text) grouped by height.
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_lines(words: Column, limit: float = 3.0) -> Column:
+    """array<array<word>>: words (struct<top, x0, ...>, doubles) grouped by height, each line from left to right.
 
     A word joins the line if its top is less than limit below the line's first
     word. That depends on where a line began, so the heights at which lines
     begin come from a fold over the ordered words of one page, which keeps
     only those heights; each line then takes its words by their place.
     """
-    ordered = F.transform(F.sort_array(words), lambda w, i: F.struct(w["top"].cast("double").alias("top"), w["x0"].cast("double").alias("x0"), i.cast("int").alias("n"), w["text"].alias("text")))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<int>").alias("at"))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
 
     def step(state: Column, word: Column) -> Column:
         new = F.coalesce(word["top"] - state["top"] >= limit, F.lit(True))
-        return F.struct(F.when(new, word["top"]).otherwise(state["top"]).alias("top"), F.when(new, F.array_append(state["at"], word["n"])).otherwise(state["at"]).alias("at"))
-
-    def lines(held: Column) -> Column:
-        begins = F.aggregate(held, start, step)["at"]
-        return F.get(F.transform(F.array(begins), lambda b: F.transform(b, lambda at, i: line_of(held, b, at, i))), F.lit(0))
+        return F.struct(F.when(new, word["top"]).otherwise(state["top"]).alias("top"), (state["n"] + 1).alias("n"), F.when(new, F.array_append(state["at"], state["n"])).otherwise(state["at"]).alias("at"))
 
     def line_of(held: Column, begins: Column, at: Column, i: Column) -> Column:
         own = F.slice(held, at + 1, F.coalesce(F.get(begins, i + 1), F.size(held)) - at)
-        read = F.sort_array(F.transform(own, lambda w: F.struct(w["x0"].alias("x0"), w["n"].alias("n"), w["text"].alias("text"))))
-        return F.struct(F.get(own, F.lit(0))["top"].alias("top"), F.array_join(F.transform(read, lambda w: w["text"]), " ").alias("text"))
+        read = F.sort_array(F.transform(own, lambda w, n: F.struct(w["x0"].alias("x0"), n.alias("n"), w.alias("w"))))
+        return F.transform(read, lambda r: r["w"])
 
-    return F.get(F.transform(F.array(ordered), lines), F.lit(0))
+    return let(F.sort_array(words), lambda held: let(F.aggregate(held, start, step)["at"], lambda b: F.transform(b, lambda at, i: line_of(held, b, at, i))))
+
+
+def lines_of(words: Column, limit: float = 3.0) -> Column:
+    """array<struct<top, text>>: the lines of words (top, x0, text), at the height of their first word."""
+    exact = F.transform(words, lambda w: F.struct(w["top"].cast("double").alias("top"), w["x0"].cast("double").alias("x0"), w["text"].alias("text")))
+    line = lambda own: F.struct(F.array_min(F.transform(own, lambda w: w["top"])).alias("top"), F.array_join(F.transform(own, lambda w: w["text"]), " ").alias("text"))
+    return F.transform(word_lines(exact, limit), line)
 
 
-def _islands(segments: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
-    """keys, lo, hi, from, to: runs of pixels that fewer than two segments cover.
+def islands(spans: Column) -> Column:
+    """struct<lo, hi, runs array<struct<from, to>>> of spans array<struct<lo, hi>>: runs of pixels that fewer than two cover.
 
-    A segment is two events, at its first pixel and behind its last; their
-    running sum is the cover up to the next event. All windows are by keys, so
-    the events are dealt once.
+    A span is two events, at its first pixel and behind its last; a fold over
+    the ordered events of one page adds them up and keeps the empty runs. lo
+    and hi enclose all spans, null without any.
     """
-    a, b = F.floor(F.col(low)).cast("int"), F.ceil(F.col(high)).cast("int")
-    event = lambda at, step: F.struct(at.alias("p"), F.lit(step).alias("step"))
-    events = segments.select(*keys, a.alias("a"), b.alias("b")).where("b > a").select(*keys, F.explode(F.array(event(F.col("a"), 1), event(F.col("b"), -1))).alias("_e")).select(*keys, "_e.p", "_e.step")
-    page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("p")
-    covered = events.select(*keys, "p", F.sum("step").over(order).alias("cover"), F.lead("p").over(order).alias("next"), F.min("p").over(page).alias("lo"), F.max("p").over(page).alias("hi"))
-    empty = covered.where((F.col("next") > F.col("p")) & (F.col("cover") < 2))
-    begins = F.coalesce(F.lag("next").over(order) != F.col("p"), F.lit(True)).cast("int")
-    run = empty.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
-    return run.groupBy(*keys, "lo", "hi", "_run").agg(F.min("p").alias("from"), (F.max("next") - 1).alias("to")).drop("_run")
+    event = lambda p, step: F.struct(p.cast("int").alias("p"), F.lit(step).alias("step"))
+    first = F.floor(F.array_min(F.transform(spans, lambda s: s["lo"])))
+    last = F.ceil(F.array_max(F.transform(spans, lambda s: s["hi"])))
+    wide = F.filter(spans, lambda s: F.ceil(s["hi"]) > F.floor(s["lo"]))
+    events = F.concat(F.flatten(F.transform(wide, lambda s: F.array(event(F.floor(s["lo"]), 1), event(F.ceil(s["hi"]), -1)))), F.array(event(first, 0), event(last, 0)))
+    run = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    start = F.struct(F.lit(None).cast("int").alias("p"), F.lit(0).alias("cover"), none.alias("runs"))
 
+    def step(state: Column, e: Column) -> Column:
+        runs, empty = state["runs"], F.coalesce((e["p"] > state["p"]) & (state["cover"] < 2), F.lit(False))
+        goes_on = F.coalesce(F.get(runs, F.size(runs) - 1)["to"] == state["p"] - 1, F.lit(False))
+        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(run(F.get(runs, F.size(runs) - 1)["from"], e["p"] - 1)))
+        more = F.when(~empty, runs).when(goes_on, longer).otherwise(F.concat(runs, F.array(run(state["p"], e["p"] - 1))))
+        return F.struct(e["p"].alias("p"), (state["cover"] + e["step"]).alias("cover"), more.alias("runs"))
+
+    runs = F.when(F.size(spans) > 0, F.aggregate(F.array_sort(events), start, step)["runs"]).otherwise(none)
+    return F.struct(first.cast("int").alias("lo"), last.cast("int").alias("hi"), runs.alias("runs"))
 
-def column_histogram(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, bounds array<double>: middles of empty runs between segments (x0, x1), then the right edge.
+
+def column_bounds(spans: Column) -> Column:
+    """array<double>: middles of the empty runs between spans, then the right edge; null without spans.
 
     A leading run counts at the left edge, a trailing one at its last pixel.
     """
-    islands = _islands(segments, keys, "x0", "x1")
-    at = F.when(F.col("to") == F.col("hi") - 1, F.col("hi") - 1).when(F.col("from") == F.col("lo"), F.col("lo")).otherwise((F.col("from") + F.col("to")) / 2)
-    found = islands.groupBy(*keys).agg(F.sort_array(F.collect_list(at.cast("double"))).alias("_b"))
-    edges = segments.groupBy(*keys).agg(F.max(F.ceil("x1")).cast("double").alias("_hi"))
-    return edges.join(found, keys, "left").select(*keys, F.concat(F.coalesce("_b", F.array().cast("array<double>")), F.array("_hi")).alias("bounds"))
 
+    def bounds(found: Column) -> Column:
+        at = lambda r: F.when(r["to"] == found["hi"] - 1, found["hi"] - 1).when(r["from"] == found["lo"], found["lo"]).otherwise((r["from"] + r["to"]) / 2).cast("double")
+        return F.when(found["hi"].isNotNull(), F.concat(F.transform(found["runs"], at), F.array(found["hi"].cast("double"))))
 
-def row_histogram(segments: DataFrame, keys: list[str], jump: float = 5.0, last: float = 2.0) -> DataFrame:
-    """keys, bounds: heights where an empty run is jump times the one before it, then the bottom.
+    return let(islands(spans), bounds)
+
+
+def row_bounds(spans: Column, jump: float = 5.0, last: float = 2.0) -> Column:
+    """array<double>: heights where an empty run is jump times the one before it, then the bottom; null without spans.
 
     After such a jump the comparison starts anew; a run at the bottom needs
-    only last times, and no run before it. A fold over the ordered runs of one
-    page.
+    only last times, and no run before it.
     """
-    islands = _islands(segments, keys, "top", "bottom")
-    run = F.struct(F.col("from").alias("from"), (F.col("to") - F.col("from") + 1).alias("n"), (F.col("to") == F.col("hi") - 1).alias("end"), F.col("to").alias("to"))
-    runs = islands.groupBy(*keys).agg(F.sort_array(F.collect_list(run)).alias("_r"))
+    start = F.struct(F.lit(None).cast("int").alias("gap"), F.array().cast("array<double>").alias("b"))
 
-    def step(state: Column, r: Column) -> Column:
-        big = F.coalesce(r["n"] > F.when(r["end"], last).otherwise(jump) * state["gap"], r["end"])
-        bound = ((r["from"] + r["to"]) / 2).cast("double")
-        return F.struct(F.when(big, F.lit(None).cast("int")).otherwise(r["n"]).alias("gap"), F.when(big, F.concat(state["b"], F.array(bound))).otherwise(state["b"]).alias("b"))
+    def bounds(found: Column) -> Column:
+        def step(state: Column, r: Column) -> Column:
+            n, end = r["to"] - r["from"] + 1, r["to"] == found["hi"] - 1
+            big = F.coalesce(n > F.when(end, last).otherwise(jump) * state["gap"], end)
+            bound = ((r["from"] + r["to"]) / 2).cast("double")
+            return F.struct(F.when(big, F.lit(None).cast("int")).otherwise(n).alias("gap"), F.when(big, F.concat(state["b"], F.array(bound))).otherwise(state["b"]).alias("b"))
 
-    start = F.struct(F.lit(None).cast("int").alias("gap"), F.array().cast("array<double>").alias("b"))
-    folded = runs.select(*keys, F.aggregate("_r", start, step)["b"].alias("_b"))
-    edges = segments.groupBy(*keys).agg(F.max(F.ceil("bottom")).cast("double").alias("_hi"))
-    return edges.join(folded, keys, "left").select(*keys, F.concat(F.coalesce("_b", F.array().cast("array<double>")), F.array("_hi")).alias("bounds"))
+        return F.when(found["hi"].isNotNull(), F.concat(F.aggregate(found["runs"], start, step)["b"], F.array(found["hi"].cast("double"))))
+
+    return let(islands(spans), bounds)
+
+
+def _spans(segments: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    span = F.struct(F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"))
+    return segments.groupBy(*keys).agg(F.collect_list(span).alias("_spans"))
+
+
+def column_histogram(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bounds: column_bounds of the segments (x0, x1) of a page, which are one row of its array."""
+    return _spans(segments, keys, "x0", "x1").select(*keys, column_bounds(F.col("_spans")).alias("bounds"))
 
 
-def header_band(line: Column, rules: Column, eps: float = 0.5) -> Column:
+def row_histogram(segments: DataFrame, keys: list[str], jump: float = 5.0, last: float = 2.0) -> DataFrame:
+    """keys, bounds: row_bounds of the segments (top, bottom) of a page."""
+    return _spans(segments, keys, "top", "bottom").select(*keys, row_bounds(F.col("_spans"), jump, last).alias("bounds"))
+
+
+def header_band(line: Column, rules: Column) -> Column:
     """struct<above, below>: the nearest rules (heights) above and below a line (top, bottom); null where missing."""
-    above = F.array_max(F.filter(rules, lambda r: r < line["top"] + eps))
-    below = F.array_min(F.filter(rules, lambda r: r > line["bottom"] - eps))
+    above = F.array_max(F.filter(rules, lambda r: r < line["top"]))
+    below = F.array_min(F.filter(rules, lambda r: r > line["bottom"]))
     return F.struct(above.alias("above"), below.alias("below"))
 
 
@@ -208,6 +238,24 @@ def grid_of_words(words: DataFrame, columns: DataFrame, rows: DataFrame, keys: l
     return grid.join(texts, cell, "left").na.fill("", ["text"])
 
 
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], ids: list[str], tile: float = 64.0) -> DataFrame:
+    """The columns of points and the ids of boxes, for each box that holds a point.
+
+    points: keys, x, y; boxes: keys, ids, x0, x1, top, bottom, half-open. A
+    point lies in one tile of its page and a box in those it touches; they meet
+    by an equi-join of page and tile, so that a dense page isn't one key and
+    each hit counts once.
+    """
+    number = lambda c: F.floor(c / tile).cast("int")
+    across = lambda a, b: F.explode(F.sequence(number(F.col(a)), number(F.col(b))))
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")]).alias("_box")
+    tiles = boxes.where("x1 > x0 AND bottom > top").select(*keys, *ids, box, across("x0", "x1").alias("_tx"), "top", "bottom")
+    tiles = tiles.select(*keys, *ids, "_box", "_tx", across("top", "bottom").alias("_ty"))
+    placed = points.withColumns({"_tx": number(F.col("x")), "_ty": number(F.col("y"))})
+    met = placed.join(tiles, [*keys, "_tx", "_ty"]).where("x >= _box.x0 AND x < _box.x1 AND y >= _box.top AND y < _box.bottom")
+    return met.select(*points.columns, *ids)
+
+
 def has_table(labels: Column, blocks: Column) -> Column:
     """True for a recognition result with a region labelled table and at least one text block."""
     return F.coalesce(F.exists(labels, lambda x: x == "table") & (F.size(blocks) > 0), F.lit(False))

@@ -1,17 +1,22 @@
-"""Tables of PDF pages from their words, where no ruled table was found."""
+"""Tables of PDF pages: ruled ones, or from the places of words where a document has no rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridline.functions import text as X
 from gridline.model import HEADER_ANCHORS
 from gridline.operators import layout as L
-from gridline.operators.tables import header_index
+from gridline.operators import ruled as R
+from gridline.operators.tables import SELECTED, anchor_score, header_index
 
 PAGE = ["doc_id", "page"]
-#: Lines that shape the columns and rows; words this near to a line's top belong to it.
+#: Lines below the header that shape the columns; words this near to a line's top belong to it.
 LINES, NEAR = 30, 3.0
+#: A rule that leans by less is horizontal.
+STRAIGHT = 0.5
+_BOX = ["x0", "x1", "top", "bottom"]
 
 
 def page_kinds(features: DataFrame) -> DataFrame:
@@ -26,39 +31,112 @@ def kind_counts(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("text", "scan", "unknown", "error")])
 
 
-def page_lines(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """keys, lines array<struct<top, text>>: a page's words by line."""
-    word = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text")
-    return words.groupBy(*keys).agg(F.collect_list(word).alias("_w")).select(*keys, L.lines_of(F.col("_w"), NEAR).alias("lines"))
+def page_facts(words: DataFrame, images: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, lines, images, rules: the arrays of each page with words, dealt by page once.
+
+    lines: array<array<struct<top, x0, word_idx, x1, bottom, text>>>; images
+    and rules: array<struct<x0, x1, top, bottom>>.
+    """
+    double = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    box = F.struct(*double(*_BOX))
+    word = F.struct(*double("top", "x0"), "word_idx", *double("x1", "bottom"), "text")
+    parts = [("_w", words, word), ("_i", images, box), ("_r", rules, box)]
+    rows = None
+    for name, frame, column in parts:
+        if frame is not None:
+            part = frame.select(*PAGE, column.alias(name))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    gathered = [F.collect_list(name).alias(name) if frame is not None else F.array().cast("array<struct<x0:double,x1:double,top:double,bottom:double>>").alias(name) for name, frame, _ in parts]
+    pages = rows.groupBy(*PAGE).agg(*[g for g, (_, frame, _) in zip(gathered, parts, strict=True) if frame is not None])
+    return pages.where(F.size("_w") > 0).select(*PAGE, L.word_lines(F.col("_w"), NEAR).alias("lines"), *[(F.col(n) if f is not None else g).alias(out) for g, (n, f, _), out in zip(gathered[1:], parts[1:], ("images", "rules"), strict=True)])
+
+
+def _spans(words: Column, images: Column, low: str, high: str) -> Column:
+    """Spans (lo, hi) of words and of the images that overlap them in height."""
+    span = lambda b: F.struct(b[low].alias("lo"), b[high].alias("hi"))
+    top, bottom = F.array_min(F.transform(words, lambda w: w["top"])), F.array_max(F.transform(words, lambda w: w["bottom"]))
+    beside = L.let(F.struct(top.alias("top"), bottom.alias("bottom")), lambda e: F.filter(images, lambda i: (i["bottom"] > e["top"]) & (i["top"] < e["bottom"])))
+    return F.concat(F.transform(words, span), F.transform(beside, span))
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(F.filter(F.transform(words, lambda w: w["text"]), lambda t: t != ""), " ")
+
+
+def _heads(pages: DataFrame, anchors: dict[str, list[str]]) -> DataFrame:
+    """doc_id, page, bounds, labels: where a document's columns begin and their titles, from its first page's facts."""
+    lines, heights = F.col("lines"), F.transform(F.filter("rules", lambda r: F.abs(r["top"] - r["bottom"]) < STRAIGHT), lambda r: r["top"])
+    texts = F.transform(lines, lambda line: F.array_join(F.transform(line, lambda w: w["text"]), " "))
+    found = pages.withColumn("_at", F.coalesce(header_index(texts, anchors, 2, 1 << 20), F.lit(0)))
+    own = F.get(lines, F.col("_at"))
+    extent = F.struct(F.array_min(F.transform(own, lambda w: w["top"])).alias("top"), F.array_max(F.transform(own, lambda w: w["bottom"])).alias("bottom"))
+    found = found.withColumn("_line", extent).withColumn("_band", L.header_band(F.col("_line"), heights))
+    whole = F.col("_band.above").isNotNull() & F.col("_band.below").isNotNull()
+    inside = lambda w: (w["top"] > F.col("_band.above")) & (w["top"] < F.col("_band.below"))
+    touched = F.filter(F.transform(lines, lambda line, i: F.when(F.exists(line, inside), i)), lambda i: i.isNotNull())
+    found = found.withColumn("_in", F.when(whole, touched).otherwise(F.array("_at")))
+    begin, end = F.array_min("_in"), F.array_max("_in")
+    found = found.withColumn("_shaping", F.flatten(F.slice(lines, begin + 1, end - begin + 1 + LINES)))
+    found = found.withColumn("_titles", L.word_lines(F.when(whole, F.filter(F.flatten(lines), inside)).otherwise(own), NEAR))
+    found = found.withColumn("bounds", L.column_bounds(_spans(F.col("_shaping"), F.col("images"), "x0", "x1")))
+    word = lambda line, c: F.filter(line, lambda w: L.interval_of((w["x0"] + w["x1"]) / 2, F.col("bounds")) == c)
+    title = lambda c: F.trim(F.array_join(F.transform("_titles", lambda line: _joined(word(line, c))), " "))
+    return found.select(*PAGE, "bounds", F.transform(_numbers(F.col("bounds")), title).alias("labels"))
 
 
-def geometric_tables(words: DataFrame, anchors: dict[str, list[str]] = HEADER_ANCHORS, images: DataFrame | None = None) -> DataFrame:
+def _numbers(bounds: Column) -> Column:
+    """The numbers of the cells between bounds."""
+    return F.when(F.size(bounds) > 1, F.sequence(F.lit(0), F.size(bounds) - 2)).otherwise(F.array().cast("array<int>"))
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    """doc_id, page, row_idx, _cells of pages with facts and the bounds of their document's columns."""
+    found = pages.withColumn("_words", F.flatten("lines"))
+    found = found.withColumn("_y", L.row_bounds(_spans(F.col("_words"), F.col("images"), "top", "bottom")))
+    place = F.transform("_words", lambda w: F.struct(L.interval_of(w["top"], F.col("_y")).alias("row"), L.interval_of(w["x0"], F.col("bounds")).alias("col"), w["text"].alias("text")))
+    found = found.select(*PAGE, "bounds", "_y", place.alias("_placed"))
+    found = found.select(*PAGE, "bounds", F.transform(_numbers(F.col("_y")), lambda r: F.filter("_placed", lambda w: w["row"] == r)).alias("_rows"))
+    found = found.select(*PAGE, "bounds", F.posexplode_outer("_rows").alias("row_idx", "_own"))  # the inner one copies its whole input into a filter
+    cell = lambda c: F.trim(_joined(F.filter("_own", lambda w: w["col"] == c)))
+    return found.select(*PAGE, "row_idx", F.transform(_numbers(F.col("bounds")), cell).alias("_cells"))
+
+
+def geometric_tables(words: DataFrame, anchors: dict[str, list[str]] = HEADER_ANCHORS, images: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """doc_id, page, row_idx, col_idx, text: a table for each page of words.
 
     words: doc_id, page, word_idx, x0, x1, top, bottom, text, of text pages
-    only; images: doc_id, page, x0, x1, top, bottom. The header is the line of
-    the highest anchor score on a document's first page (without one, the first
-    line); it and 30 lines below shape the columns of all pages, each page's
-    first 30 lines its rows. Row -1 holds the header's words by column. Words
-    left of the first column bound or above the first row bound vanish.
+    only; images and rules: doc_id, page, x0, x1, top, bottom. The header is the
+    line of the highest anchor score on a document's first page (without one,
+    the first line) and all words between the horizontal rules next above and
+    below it. Its lines and the 30 below shape the columns of all pages; all
+    words of a page shape its rows. Images that overlap those words in height
+    count as words do. Row -1 of the first page holds the titles, a title for
+    each column. Words left of the first column bound or above the first row
+    bound vanish. A document's columns are a short array, which meets its pages
+    by a join; no word is shuffled by document.
+    """
+    pages = page_facts(words, images, rules)
+    first = words.groupBy("doc_id").agg(F.min("page").alias("page"))
+    heads = _heads(pages.join(first, PAGE), anchors)
+    rows = _rows(pages.join(heads.select("doc_id", "bounds"), "doc_id"))
+    titles = heads.select(*PAGE, F.lit(-1).alias("row_idx"), F.col("labels").alias("_cells"))
+    cells = rows.unionByName(titles).select(*PAGE, "row_idx", F.posexplode_outer("_cells").alias("col_idx", "text"))
+    return cells.where("row_idx IS NOT NULL AND col_idx IS NOT NULL")
+
+
+def document_tables(words: DataFrame, rules: DataFrame, images: DataFrame | None = None, anchors: dict[str, list[str]] = HEADER_ANCHORS) -> DataFrame:
+    """doc_id, page, table_idx, row_idx, col_idx, text, ruled: the tables of documents, cells normalised.
+
+    A document with ruled tables on any page gives those whose first row is
+    selected (tables.is_selected); one without any gives the tables of its
+    words' places, a table of number 0 a page. Columns as in geometric_tables.
     """
-    lines = page_lines(words)
-    first = lines.groupBy("doc_id").agg(F.min("page").alias("page"))
-    texts = F.transform("lines", lambda x: x["text"])
-    headed = lines.join(first, PAGE).withColumn("_h", F.coalesce(header_index(texts, anchors, 2, 1 << 20), F.lit(0)))
-    top_of = lambda i: F.get("lines", i)["top"]
-    head = headed.select(*PAGE, top_of(F.col("_h")).alias("_from"), F.coalesce(top_of(F.col("_h") + LINES + 1), F.lit(float("inf"))).alias("_to"))
-    spans = words.select(*PAGE, "x0", "x1", "top", "bottom")
-    if images is not None:
-        spans = spans.unionByName(images.select(*PAGE, "x0", "x1", "top", "bottom"))
-    shaping = spans.join(head, PAGE).where((F.col("top") >= F.col("_from")) & (F.col("top") < F.col("_to")))
-    columns = L.column_histogram(shaping, ["doc_id"])
-    depth = lines.select(*PAGE, F.coalesce(top_of(F.lit(LINES)), F.lit(float("inf"))).alias("_to"))
-    rows = L.row_histogram(spans.join(depth, PAGE).where(F.col("top") < F.col("_to")), PAGE)
-    pages = rows.select(*PAGE).join(columns, "doc_id")
-    body = L.grid_of_words(words.select(*PAGE, "word_idx", "x0", "top", "text"), pages, rows, PAGE)
-    titles = words.join(head, PAGE).where((F.col("top") >= F.col("_from")) & (F.col("top") - F.col("_from") < NEAR)).join(columns, "doc_id")
-    titles = titles.withColumn("col_idx", L.interval_of((F.col("x0") + F.col("x1")) / 2, F.col("bounds"))).where("col_idx IS NOT NULL")
-    labels = titles.groupBy(*PAGE, "col_idx").agg(F.sort_array(F.collect_list(F.struct("x0", "word_idx", "text"))).alias("_w"))
-    labels = labels.select(*PAGE, F.lit(-1).alias("row_idx"), "col_idx", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"))
-    return body.unionByName(labels)
+    cells = R.ruled_cells(rules)
+    found = R.ruled_tables(words, rules, cells=cells).withColumn("text", X.pdf_cell(F.col("text")))
+    hits = F.sum(F.when(F.col("row_idx") == 0, anchor_score(X.normalize(F.col("text")), anchors))).over(Window.partitionBy(*PAGE, "table_idx"))
+    chosen = found.withColumn("_hits", hits).where(F.col("_hits") >= SELECTED).drop("_hits")
+    ruled = cells.select("doc_id").distinct()
+    others = lambda df: None if df is None else df.join(ruled, "doc_id", "left_anti")
+    shaped = geometric_tables(others(words), anchors, images, rules)
+    shaped = shaped.select(*PAGE, F.lit(0).alias("table_idx"), "row_idx", "col_idx", "text", F.lit(False).alias("ruled"))
+    return chosen.withColumn("ruled", F.lit(True)).unionByName(shaped)

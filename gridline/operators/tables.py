@@ -18,6 +18,8 @@ HEADER_ROWS = 20
 # Fixed values. Cells that table readers take for missing.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 LEAST_GROUPS = 2
+#: Hits that select a table by its first row.
+SELECTED = 3
 
 
 def anchor_score(text: Column, anchors: dict[str, list[str]] = HEADER_ANCHORS) -> Column:
@@ -55,7 +57,7 @@ def from_header(rows: DataFrame, headers: DataFrame, keys: list[str]) -> DataFra
     return joined.withColumn("row_idx", F.col("row_idx") - start).drop("header_idx")
 
 
-def is_selected(cells: Column, anchors: dict[str, list[str]] = HEADER_ANCHORS, least: int = 3) -> Column:
+def is_selected(cells: Column, anchors: dict[str, list[str]] = HEADER_ANCHORS, least: int = SELECTED) -> Column:
     """True if the cells of a first row hit at least 3 (cell, group) pairs."""
     plain = F.transform(cells, lambda c: X.normalize(F.coalesce(c, F.lit(""))))
     hits = F.aggregate(plain, F.lit(0), lambda n, c: n + anchor_score(c, anchors))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridline.plans import extract_queries, layout_queries, reasoned_queries, record_queries, table_queries, text_queries  # noqa: F401 - they register their queries
+from gridline.plans import extract_queries, layout_queries, pdf_queries, reasoned_queries, record_queries, table_queries, text_queries  # noqa: F401 - they register their queries
 from gridline.plans.register import ORACLES, QUERIES, Query
 
 

@@ -196,7 +196,7 @@ def row_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "header_bands",
     """WITH r AS (SELECT l_orderkey, list((l_suppkey * 7 % 300)::DOUBLE) AS rules FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, list_max(list_filter(rules, lambda x: x < 150.5)) AS above, list_min(list_filter(rules, lambda x: x > 159.5)) AS below FROM r""",
+    SELECT l_orderkey, list_max(list_filter(rules, lambda x: x < 150)) AS above, list_min(list_filter(rules, lambda x: x > 160)) AS below FROM r""",
 )
 def header_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct(F.lit(150.0).alias("top"), F.lit(160.0).alias("bottom"))
@@ -231,51 +231,6 @@ def word_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.grid_of_words(words, bounds(0, 30, 60, 90), bounds(5, 25, 45), KEY)
 
 
-_RUNS = """
-{n}_edge AS (SELECT {k}, CAST(min(floor(a)) AS INTEGER) AS lo, CAST(max(ceil(b)) AS INTEGER) AS hi FROM {n}_s GROUP BY {k}),
-{n}_cov AS (SELECT {k}, p FROM (SELECT {k}, unnest(range(CAST(floor(a) AS BIGINT), CAST(ceil(b) AS BIGINT))) AS p FROM {n}_s) GROUP BY ALL HAVING count(*) >= 2),
-{n}_emp AS (SELECT {k}, lo, hi, p FROM (SELECT *, unnest(range(lo, hi)) AS p FROM {n}_edge) ANTI JOIN {n}_cov USING ({k}, p)),
-{n}_isl AS (SELECT {k}, lo, hi, min(p) AS f, max(p) AS t FROM (SELECT *, p - row_number() OVER (PARTITION BY {k} ORDER BY p) AS run FROM {n}_emp) GROUP BY {k}, lo, hi, run)"""
-
-
-@register(
-    "pdf_tables",
-    f"""WITH RECURSIVE w AS (
-      SELECT l_orderkey // 16 AS doc_id, CAST((l_orderkey // 8) % 2 AS INTEGER) AS page, (l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS n, (l_linenumber * 60)::DOUBLE AS x0,
-        l_linenumber * 60 + 10 + CAST(l_quantity AS BIGINT) % 30 AS x1, (l_suppkey % 12 * 14)::DOUBLE AS top, l_suppkey % 12 * 14 + 9 AS bottom, l_returnflag || l_linestatus AS t FROM lineitem
-    ), lines AS (SELECT doc_id, page, top, lower(string_agg(t, ' ')) AS s FROM w GROUP BY ALL),
-    scored AS (SELECT *, contains(s, 'a')::INT + contains(s, 'n')::INT + contains(s, 'r')::INT AS score FROM lines QUALIFY page = min(page) OVER (PARTITION BY doc_id)),
-    head AS (SELECT doc_id, page, CASE WHEN max(score) >= 2 THEN arg_max(top, (score, -top)) ELSE min(top) END AS top FROM scored GROUP BY doc_id, page),
-    c_s AS (SELECT doc_id, x0 AS a, x1 AS b FROM w JOIN head USING (doc_id, page) WHERE w.top >= head.top), {_RUNS.format(n="c", k="doc_id").strip()},
-    cb AS (SELECT doc_id, list_append(coalesce(b, []), hi::DOUBLE) AS cb FROM c_edge LEFT JOIN (SELECT doc_id, list_sort(list(CASE WHEN t = hi - 1 THEN hi - 1 WHEN f = lo THEN lo ELSE (f + t) / 2.0 END::DOUBLE)) AS b FROM c_isl GROUP BY doc_id) USING (doc_id)),
-    r_s AS (SELECT doc_id, page, top AS a, bottom AS b FROM w), {_RUNS.format(n="r", k="doc_id, page").strip()},
-    runs AS (SELECT doc_id, page, f, t, t - f + 1 AS n, t = hi - 1 AS last, row_number() OVER (PARTITION BY doc_id, page ORDER BY f) AS k FROM r_isl),
-    fold AS (
-      SELECT doc_id, page, k, f, t, CASE WHEN last THEN NULL ELSE n END AS gap, last AS bound FROM runs WHERE k = 1
-      UNION ALL SELECT doc_id, page, k, f, t, CASE WHEN big THEN NULL ELSE n END, big FROM (
-        SELECT runs.*, CASE WHEN runs.last THEN fold.gap IS NULL OR runs.n > 2 * fold.gap ELSE fold.gap IS NOT NULL AND runs.n > 5 * fold.gap END AS big
-        FROM fold JOIN runs ON runs.doc_id = fold.doc_id AND runs.page = fold.page AND runs.k = fold.k + 1)
-    ), rb AS (SELECT doc_id, page, list_append(coalesce(b, []), hi::DOUBLE) AS rb FROM r_edge LEFT JOIN (SELECT doc_id, page, list_sort(list(((f + t) / 2.0)::DOUBLE)) AS b FROM fold WHERE bound GROUP BY doc_id, page) USING (doc_id, page)),
-    pages AS (SELECT doc_id, page, cb, rb FROM rb JOIN cb USING (doc_id)),
-    grid AS (SELECT doc_id, page, CAST(r AS INTEGER) AS row_idx, CAST(unnest(range(0, len(cb) - 1)) AS INTEGER) AS col_idx FROM (SELECT *, unnest(range(0, len(rb) - 1)) AS r FROM pages)),
-    placed AS (SELECT doc_id, page, n, t, len(list_filter(rb, lambda b: b <= top)) - 1 AS row_idx, len(list_filter(cb, lambda b: b <= x0)) - 1 AS col_idx FROM w JOIN pages USING (doc_id, page)),
-    titles AS (SELECT doc_id, page, n, t, x0, len(list_filter(cb, lambda b: b <= (x0 + x1) / 2.0)) - 1 AS col_idx, len(cb) - 1 AS most FROM w JOIN head USING (doc_id, page) JOIN cb USING (doc_id) WHERE w.top >= head.top AND w.top - head.top < 3)
-    SELECT doc_id, page, row_idx, col_idx, coalesce(string_agg(t, ' ' ORDER BY n), '') AS text FROM grid LEFT JOIN placed USING (doc_id, page, row_idx, col_idx) GROUP BY doc_id, page, row_idx, col_idx
-    UNION ALL SELECT doc_id, page, -1, CAST(col_idx AS INTEGER), string_agg(t, ' ' ORDER BY x0, n) FROM titles WHERE col_idx >= 0 AND col_idx < most GROUP BY doc_id, page, col_idx""",
-)
-def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as words on pages, read as tables."""
-    items = table(spark, sf_dir, "lineitem")
-    idx = (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")
-    x = (F.col("l_linenumber") * 60).cast("double")
-    top = (F.col("l_suppkey") % 12 * 14).cast("double")
-    words = items.select(
-        F.floor(F.col("l_orderkey") / 16).alias("doc_id"), (F.floor(F.col("l_orderkey") / 8) % 2).cast("int").alias("page"), idx.alias("word_idx"),
-        x.alias("x0"), (x + 10 + F.col("l_quantity") % 30).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), F.concat("l_returnflag", "l_linestatus").alias("text"),
-    )
-    return P.geometric_tables(words, {"a": ["a"], "n": ["n"], "r": ["r"]})
-
-
 @register(
     "page_kind_counts",
     """SELECT page_id // 10 AS doc_id, count(*) FILTER (WHERE page_id % 9 <> 8 AND page_id % 3 <> 0) AS text, count(*) FILTER (WHERE page_id % 9 <> 8 AND page_id % 3 = 0 AND page_id % 2 = 0) AS scan,
