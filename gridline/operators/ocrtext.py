@@ -7,93 +7,20 @@ is pluggable as a lexicon relation; without one the domain terms are it.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from gridline.functions import fuzzy as Z
 from gridline.functions import text as X
 from gridline.model import BRANDS, DOMAIN_TERMS
+from gridline.operators.nearest import nearest
+from gridline.session import cut
 
 BRAND_SCORE, DOMAIN_SCORE, LEXICON_SCORE = 75.0, 70.0, 60.0
 
 
-def ratio(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions / both lengths), by the longest common subsequence."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-#: Words that a worker remembers the nearest term of.
-REMEMBERED = 100_000
-
-
-def closest(*groups: tuple[list[tuple[str, str]], float]) -> Callable[[str], tuple[str, float] | None]:
-    """A look-up of the best (match, ratio) of a word among terms (term, match), group after group with its least ratio.
-
-    Ties go to the first term. Signs that both words hold are never fewer than
-    the common subsequence, so they rule out most terms without it.
-    """
-    held = [([(t, m, Counter(t)) for t, m in terms], least) for terms, least in groups]
-    known: dict[str, tuple[str, float] | None] = {}
-
-    def nearest_of(word: str, terms: list[tuple[str, str, Counter]], least: float) -> tuple[str, float] | None:
-        own, best, score = Counter(word), None, 0.0
-        for term, match, signs in terms:
-            if 200 * (own & signs).total() >= max(least, score) * (len(word) + len(term)):
-                s = ratio(word, term)
-                if s >= least and s > score:
-                    best, score = match, s
-        return (best, score) if best is not None else None
-
-    def find(word: str) -> tuple[str, float] | None:
-        if word not in known:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[word] = next((f for f in (nearest_of(word, *g) for g in held) if f), None)
-        return known[word]
-
-    return find
-
-
-@F.pandas_udf(DoubleType())
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-#: Terms that may be broadcast; a larger dictionary is joined by length.
-TERM_ROWS = 20_000
-
-
-def nearest(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
-    """word, match, score: for each distinct word the term (term, match, ord) of the best ratio >= least.
-
-    Ties go to the lower ord. The ratio is 100 * (1 - insertions and deletions /
-    both lengths), and a Levenshtein distance is never more than those, so
-    lengths and that distance leave few pairs for the exact score, which runs in
-    Python. A dictionary of few terms is broadcast, counted; with a larger one
-    words meet the terms of each length that can reach least by an equi-join.
-    """
-    n, m = F.length("word"), F.length("term")
-    distinct = words.select("word").where("word is not null").distinct()
-    if terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS:
-        pairs = distinct.join(F.broadcast(terms), 200 * F.least(n, m) >= least * (n + m))
-    else:
-        low, high = F.ceil(n * least / (200 - least)).cast("int"), F.floor(n * (200 - least) / least).cast("int")
-        lengths = F.explode(F.sequence(F.least(low, high), high)).alias("_n")
-        pairs = distinct.select("word", lengths).join(terms.withColumn("_n", m), "_n").drop("_n")
-    close = F.levenshtein("word", "term") <= (1 - least / 100) * (n + m) + 1e-9
-    scored = pairs.where(close).withColumn("score", fuzzy_ratio("word", "term")).where(F.col("score") >= least)
-    return scored.groupBy("word").agg(F.max_by("match", F.struct("score", -F.col("ord"))).alias("match"), F.max("score").alias("score"))
+#: Lexicons of so many words are literals of the plan; larger ones are relations with an index.
+TERM_ROWS = 200
 
 
 def brands(spark: SparkSession, names: list[str] = BRANDS) -> DataFrame:
@@ -105,12 +32,16 @@ def terms(spark: SparkSession, words: list[str] = DOMAIN_TERMS) -> DataFrame:
 
 
 def tokens(cells: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, pos, token, kind, near_number: every token with its type and context of two on each side."""
-    parts = cells.select(*keys, F.posexplode(X.tokens(F.col(text))).alias("pos", "token")).withColumn("kind", X.token_type(F.col("token")))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    numeric = (F.col("kind") == "numeric").cast("int")
-    sides = [F.max(numeric).over(order.rowsBetween(-2, -1)), F.max(numeric).over(order.rowsBetween(1, 2))]
-    return parts.withColumn("near_number", F.greatest(*[F.coalesce(s, F.lit(0)) for s in sides]) > 0)
+    """keys, pos, token, kind, near_number: every token with its type and whether one of two on each side is a number.
+
+    Neighbours are looked up in the array of a text's tokens; none is shuffled.
+    """
+    typed = F.transform(X.tokens(F.col(text)), lambda t: F.struct(t.alias("token"), X.token_type(t).alias("kind")))
+    held = cells.select(*keys, typed.alias("_t"))
+    numeric = lambda i: F.coalesce(F.get("_t", i)["kind"] == "numeric", F.lit(False))
+    near = lambda i: numeric(i - 2) | numeric(i - 1) | numeric(i + 1) | numeric(i + 2)
+    told = F.transform("_t", lambda t, i: F.struct(t["token"].alias("token"), t["kind"].alias("kind"), near(i).alias("near_number")))
+    return held.select(*keys, F.posexplode(told).alias("pos", "_t")).select(*keys, "pos", "_t.*")
 
 
 def corrected(tokens: DataFrame, lexicon: list[str] | DataFrame, domain: list[str] = DOMAIN_TERMS, names: list[str] = BRANDS) -> DataFrame:
@@ -120,81 +51,67 @@ def corrected(tokens: DataFrame, lexicon: list[str] | DataFrame, domain: list[st
     stay. Mixed words become Cyrillic; Latin ones away from numbers are brands,
     exactly or at 75, or become Cyrillic, where Latin r may be two letters.
     Cyrillic words outside the lexicon become the nearest term (domain at 70,
-    lexicon at 60); case is restored. A lexicon of few words is a list that
-    each task holds; a larger one is a relation (word, ord), joined to the
-    distinct words.
+    lexicon at 60); case is restored. A lexicon of few words is a list, a
+    literal of the plan; a larger one is a relation (word, ord), whose index is
+    joined to the distinct words. Nothing here runs in Python.
     """
     t = F.col("token")
     latin, cyrillic = t.rlike("[A-Za-z]"), t.rlike("[А-Яа-я]")
     is_word = F.col("kind") == "word"
     alone = is_word & latin & ~cyrillic & ~F.col("near_number")
-    branded = tokens.withColumn("brand", F.get(brand_matches(names)(F.array(F.when(alone, X.brand_key(t)))), F.lit(0)))
+    branded = tokens.withColumn("brand", brand_match(F.when(alone, X.brand_key(t)), names))
     changed = F.col("brand").isNull() & is_word & latin & (cyrillic | ~F.col("near_number"))
     unsure = F.when(changed & F.contains(t, F.lit("r")), t)
     if isinstance(lexicon, DataFrame):
-        spark = tokens.sparkSession
+        spark, tokens = tokens.sparkSession, cut(tokens)
         own = terms(spark, domain)
         known = lexicon.select(F.lower("word").alias("word")).unionByName(own.select(F.col("term").alias("word"))).distinct()
         ordered = lexicon.select(F.lower("word").alias("term"), F.lower("word").alias("match"), "ord")
         read = readings(branded.select(unsure.alias("token")).where("token IS NOT NULL").distinct(), known, own, ordered)
         words = branded.withColumn("_unsure", unsure).join(read.withColumnRenamed("token", "_unsure"), "_unsure", "left").drop("_unsure")
     else:
-        words = branded.withColumn("reading", best_reading(domain, lexicon)(F.when(unsure.isNotNull(), ambiguous(t))))
+        words = branded.withColumn("reading", best_reading(F.when(unsure.isNotNull(), ambiguous(t)), domain, lexicon))
     words = words.withColumn("_cyr", F.when(changed, F.coalesce("reading", X.to_cyrillic(t))).when(F.col("brand").isNull() & is_word, t))
     words = words.withColumn("_low", F.when(F.col("_cyr").rlike("[А-Яа-я]"), F.lower("_cyr")))
     if isinstance(lexicon, DataFrame):
         fix = close_terms(words.select(F.col("_low").alias("word")).where("word is not null").distinct().join(known, "word", "left_anti"), own, ordered)
         fixed = words.join(fix.select(F.col("word").alias("_low"), F.col("match").alias("_fix")), "_low", "left")
     else:
-        fixed = words.withColumn("_fix", fixed_word(domain, lexicon)("_low"))
+        fixed = words.withColumn("_fix", fixed_word(F.col("_low"), domain, lexicon))
     cased = X.like_case(F.coalesce("_fix", "_low"), t)
     mixed = (F.col("kind") == "technical") & latin & cyrillic
     out = F.when(mixed, X.to_latin(t)).when(F.col("brand").isNotNull(), F.col("brand")).when(F.col("_low").isNotNull(), cased).otherwise(F.coalesce("_cyr", "token"))
     return fixed.withColumn("fixed", out).drop("reading", "_cyr", "_low", "_fix", "brand")
 
 
-def brand_matches(names: list[str] = BRANDS) -> Callable[[Column], Column]:
-    """For an array of brand keys the array of brands, exactly or at 75; null stays null."""
+def brand_match(key: Column, names: list[str] = BRANDS) -> Column:
+    """The brand of a brand key, exactly or at 75; null without one."""
     variants = X.brand_variants(names)
-    exact, find = dict(variants), closest((variants, BRAND_SCORE))
+    exact = F.create_map(*[F.lit(x) for pair in variants for x in pair])
+    return F.when(key.isNotNull(), F.coalesce(F.try_element_at(exact, key), Z.best_of(key, variants, BRAND_SCORE)["match"]))
 
-    @F.pandas_udf("array<string>")
-    def run(keys: pd.Series) -> pd.Series:
-        one = lambda w: None if w is None else exact.get(w) or (find(w) or (None,))[0]
-        return pd.Series([None if ws is None else [one(w) for w in ws] for ws in keys], dtype=object)
 
-    return run
+def closest(word: Column, domain: list[str], lexicon: list[str]) -> Column:
+    """struct<score, match>: the nearest domain term at 70, else the nearest of the lexicon at 60, else null."""
+    own = [(w, w) for w in domain]
+    low = [(w.lower(), w.lower()) for w in lexicon]
+    return F.coalesce(Z.best_of(word, own, DOMAIN_SCORE), Z.best_of(word, low, LEXICON_SCORE))
 
 
-def _look_up(domain: list[str], lexicon: list[str]) -> tuple[frozenset[str], Callable[[str], tuple[str, float] | None]]:
-    low = [w.lower() for w in lexicon]
-    return frozenset([*domain, *low]), closest(([(w, w) for w in domain], DOMAIN_SCORE), ([(w, w) for w in low], LEXICON_SCORE))
+def is_known(word: Column, domain: list[str], lexicon: list[str]) -> Column:
+    return word.isin([*domain, *(w.lower() for w in lexicon)])
 
 
-def fixed_word(domain: list[str], lexicon: list[str]) -> Callable[[Column], Column]:
+def fixed_word(word: Column, domain: list[str], lexicon: list[str]) -> Column:
     """The nearest term of an unknown lower-case word; null for known ones and for those far from all."""
-    known, find = _look_up(domain, lexicon)
-
-    @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None or w in known else (find(w) or (None,))[0] for w in words], dtype=object)
-
-    return run
-
-
-def best_reading(domain: list[str], lexicon: list[str]) -> Callable[[Column], Column]:
-    """Of an array of readings the first known one, else the one nearest to a term, else the first."""
-    known, find = _look_up(domain, lexicon)
-
-    def best(read: list[str]) -> str:
-        sure = next((w for w in read if w.lower() in known), None)
-        return sure or max(read, key=lambda w: (find(w.lower()) or (None, 0.0))[1])
+    return F.when(~is_known(word, domain, lexicon), closest(word, domain, lexicon)["match"])
 
-    @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return pd.Series([None if ws is None or not len(ws) else best(list(ws)) for ws in words], dtype=object)
 
-    return run
+def best_reading(readings: Column, domain: list[str], lexicon: list[str]) -> Column:
+    """Of an array of readings the first known one, else the one nearest to a term, else the first; null for none."""
+    rank = lambda r: F.when(is_known(F.lower(r), domain, lexicon), 1000.0).otherwise(F.coalesce(closest(F.lower(r), domain, lexicon)["score"], F.lit(0.0)))
+    ranked = F.transform(readings, lambda r, i: F.struct(rank(r).alias("rank"), (-i).alias("place"), r.alias("reading")))
+    return F.array_max(ranked)["reading"]
 
 
 def close_terms(words: DataFrame, domain: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -227,8 +144,7 @@ def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None
 
     Brands are spelled out before the tokens are corrected, and again behind
     that, for a token may have been a part of one. lexicon(word, ord) is a
-    list for the tasks if it's counted to be short. Cells are dealt by keys
-    once.
+    literal if it's counted to be short. Cells are dealt by keys once.
     """
     known: list[str] | DataFrame = list(DOMAIN_TERMS)
     if lexicon is not None:
@@ -266,7 +182,7 @@ def canonical_brands(cells: DataFrame, keys: list[str], names: list[str] = BRAND
         inside = F.coalesce(F.get("_w", i + 1).rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
         return F.when(part.rlike("^[A-ZА-Я]") & begins & (part.rlike(r"\p{L}$") != inside), X.brand_key(part))
 
-    held = cells.select(*keys, "text", parts.alias("_w")).withColumn("_m", brand_matches(names)(F.transform("_w", key)))
+    held = cells.select(*keys, "text", parts.alias("_w")).withColumn("_m", F.transform(F.transform("_w", key), lambda k: brand_match(k, names)))
     text = F.array_join(F.zip_with("_w", "_m", lambda w, m: F.coalesce(F.concat(F.lit(" "), m, F.lit(" ")), w)), "")
     done = F.trim(X.replace_all(text, [(r"(?U)\s+", " "), (r"\s+([.,;!?:])", "$1")]))
     return held.select(*keys, F.when(F.coalesce("text", F.lit("")) == "", F.col("text")).otherwise(done).alias("text"))

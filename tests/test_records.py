@@ -106,7 +106,10 @@ def test_mapping(spark):
 
 
 def test_ocr_repair(spark):
-    assert O.ratio("abcd", "abxd") == 75.0 and O.ratio("", "") == 100.0 and O.ratio("a", "") == 0.0
+    from gridline.functions import fuzzy as Z
+
+    ratios = [one(spark, Z.ratio(F.lit(a), F.lit(b))) for a, b in (("abcd", "abxd"), ("", ""), ("a", ""))]
+    assert ratios == [75.0, 100.0, 0.0]
     cells = spark.createDataFrame([(1, "Pe3eц"), (2, "Плаcтина 5шт"), (3, "Sandvlk"), (4, None), (5, "  "), (6, "CCМТ120404"), (7, "державкa")], "id int, text string")
     got = {r["id"]: r["text"] for r in O.repaired(cells, ["id"]).collect()}
     assert got == {1: "Резец", 2: "Пластина 5 шт.", 3: "Sandvik", 4: None, 5: "  ", 6: "CCMT120404", 7: "державка"}
@@ -114,7 +117,7 @@ def test_ocr_repair(spark):
     assert {r["id"]: r["text"] for r in O.repaired(more, ["id"]).collect()} == {1: "D'Andrea", 2: "патрон", 3: '" Iscar " 2 шт., головка', 4: "( Sandvik )"}
 
 
-def test_large_dictionaries_are_joined_by_length(spark, monkeypatch):
+def test_large_dictionaries_are_indexed(spark, monkeypatch):
     words = spark.createDataFrame([("держаква",), ("x",), (None,), ("сверло",)], "word string")
     terms = spark.createDataFrame([(w, w, i) for i, w in enumerate(["державка", "сверла", "свёрла", "фреза"])], "term string, match string, ord long")
     want = {r["word"]: (r["match"], r["score"]) for r in O.nearest(words, terms, 60.0).collect()}
