@@ -49,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def quoted(name: str) -> Column:
+    """The column of a name that may hold dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def bounded(spark: SparkSession) -> None:
     """Let Arrow batches hold about BATCH_BYTES bytes at most from here on.
 
@@ -104,7 +109,8 @@ def gapless_rank(df: DataFrame, group: str, key: list[str], order: list[str], ou
     Equal rows are counted first, so that a row that stands very often is one
     row of the ranking, and are written out again behind it. Rows are dealt
     into slices by a hash of key and ranked inside their slice only; the count
-    of all earlier slices of the group is added. group must not be null. Rows
+    of all earlier slices of the group is added. key should tell rows apart,
+    for those of one key are one slice. group must not be null. Rows
     that tie in order must be equal in all columns of df, so either numbering
     of them is the same result.
     """

@@ -67,5 +67,5 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), weights | {SHARDS: 1.0}).alias("grown_shard"),
     )
-    ranked = gapless_rank(placed, "shard", ["doc_id"], ["doc_id", "size", "text_crc32"], "slot", SHARDS)
+    ranked = gapless_rank(placed, "shard", ["doc_id", "size", "text_crc32"], ["doc_id", "size", "text_crc32"], "slot", SHARDS)
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

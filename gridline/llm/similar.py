@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridline.llm.common import bounded, cut, parts, small, with_columns
+from gridline.llm.common import bounded, cut, parts, quoted, small, with_columns
 from gridline.llm.graph import components
 from gridline.llm.simhash import fingerprint, links, shingles
 
@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Texts and shingles of a block. A task holds two blocks at a time.
 BLOCK_TEXTS = 512
+#: One text of so many blocks' share meets all blocks of its cluster at first.
+EVERYWHERE = 8
 BLOCK_SHINGLES = 1 << 20
 #: Columns of the matrix that are multiplied at once.
 COLUMNS = 1024
@@ -101,30 +103,58 @@ def blocks_of(texts: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def meetings(met: DataFrame, clusters: DataFrame) -> DataFrame:
-    """node, places array<long>: the places where a node meets others, so that all pairs of a list meet.
+def first_places(met: DataFrame, clusters: DataFrame) -> DataFrame:
+    """node, places array<long>, large: where the nodes of a cluster meet first.
 
-    met are lists(), clusters(node, root) their components. A cluster of one
-    block is one place. A larger one is cut into blocks by a hash, and each two
-    blocks are a place; or that's done with each of its lists, whichever makes
-    fewer copies of nodes. So a place is never more than about two blocks,
-    however large a cluster or list is.
+    A cluster of one block is one place, and all its pairs meet there. A larger
+    one is cut into blocks by a hash; a share of its nodes, an eighth of a
+    block in all, goes to every block, so that families of many texts become
+    one component with 1.125 copies of a node on average.
     """
     weights = met.select("node", "n").distinct().join(clusters, "node")
-    stats = weights.groupBy("root").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.count(F.lit(1)).alias("m"))
-    sized = met.withColumn("blocks", blocks_of(F.col("size"), F.col("weight"))).select("key", "node", "blocks")
-    by_list = sized.join(clusters, "node")
-    copies = by_list.groupBy("root").agg(F.sum(F.greatest(F.col("blocks") - 1, F.lit(1))).alias("copies"))
-    chosen = stats.join(copies, "root").select("root", F.col("blocks").alias("_blocks"), ((F.col("blocks") > 1) & (F.col("copies") < F.col("m") * (F.col("blocks") - 1))).alias("_by_list"))
-    chosen = small(cut(chosen))
-    whole = clusters.join(chosen, "root").where("NOT _by_list").select("node", F.col("root").alias("key"), F.col("_blocks").alias("blocks"))
-    split = by_list.join(chosen.where("_by_list"), "root").select("node", "key", "blocks")
-    own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks").cast("long")).cast("int")
+    stats = weights.groupBy("root").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    placed = weights.join(small(cut(stats)), "root")
+    number = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), n.cast("long")).cast("int")
+    everywhere = number("everywhere", F.col("blocks") * EVERYWHERE) == 0
+    numbers = F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(number("block", F.col("blocks"))))
+    return placed.select("node", F.transform(numbers, lambda b: F.xxhash64("root", b)).alias("places"), (F.col("blocks") > 1).alias("large"))
+
+
+def meetings(met: DataFrame, clusters: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """node, places array<long>: where nodes meet so that all pairs of a list do that aren't one component yet.
+
+    met are lists(), clusters(node, root) their components, roots(node, root)
+    the components known so far (others are their own). The nodes outside a
+    group's largest component are strays; a group without strays is done. Each
+    block of strays meets each block of the group, or, if that's cheaper, each
+    two blocks of the group meet. A group is a cluster, or each of its lists,
+    whichever makes fewer copies of nodes. So a place is never more than about
+    two blocks, however large a cluster or list is.
+    """
+    known = clusters.select("node", F.col("node").alias("now")) if roots is None else clusters.join(roots.select("node", F.col("root").alias("now")), "node", "left").select("node", F.coalesce("now", "node").alias("now"))
+    by_list = met.select("key", "node", "n").join(clusters, "node").join(known, "node")
+    whole = by_list.select(F.col("root").alias("key"), "node", "n", "root", "now").distinct()
+    groups = cut(by_list.withColumn("lists", F.lit(True)).unionByName(whole.withColumn("lists", F.lit(False))))
+    group = ["root", "lists", "key"]
+    parts = groups.groupBy(*group, "now").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    total = parts.groupBy(*group).agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "now")).alias("most"))
+    blocks, strays = blocks_of(F.col("m"), F.col("n")), blocks_of(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n"))
+    sized = total.where("m > most.m").select(*group, F.col("m"), F.col("most.now").alias("most"), (F.col("m") - F.col("most.m")).alias("s"), blocks.alias("blocks"), strays.alias("rows"))
+    both, grid = F.col("m") * F.greatest(F.col("blocks") - 1, F.lit(1)), F.col("m") * F.col("rows") + F.col("s") * F.col("blocks")
+    sized = sized.withColumn("copies", F.least(both, grid)).withColumn("rows", F.when(grid < both, F.col("rows")).otherwise(0)).drop("m", "s")
+    cost = lambda lists: F.sum(F.when(F.col("lists") == lists, F.col("copies")))
+    chosen = sized.groupBy(F.col("root").alias("_root")).agg((cost(True) < cost(False)).alias("_lists"))
+    sized = small(cut(sized.join(chosen, (F.col("root") == F.col("_root")) & (F.col("lists") == F.col("_lists"))).drop("_root", "_lists")))
+    number = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.greatest(n, F.lit(1)).cast("long")).cast("int")
+    placed = groups.join(sized, group).withColumn("own", number("block", F.col("blocks"))).withColumn("row", number("stray", F.col("rows")))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
-    pairs = F.transform(others, lambda b: F.xxhash64("key", F.least("own", b), F.greatest("own", b)))
-    places = F.when(F.col("blocks") == 1, F.array(F.xxhash64("key"))).otherwise(pairs)
-    placed = whole.unionByName(split).withColumn("own", own).select("node", places.alias("places"))
-    return placed.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    pairs = F.transform(others, lambda b: F.xxhash64(F.lit("pair"), *group, F.least("own", b), F.greatest("own", b)))
+    pairs = F.when(F.col("blocks") == 1, F.array(F.xxhash64(F.lit("pair"), *group))).otherwise(pairs)
+    cell = lambda i, j: F.xxhash64(F.lit("grid"), *group, i, j)
+    down = F.transform(F.sequence(F.lit(0), F.greatest(F.col("rows") - 1, F.lit(0))), lambda i: cell(i, F.col("own")))
+    across = F.when(F.col("now") != F.col("most"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: cell(F.col("row"), j))).otherwise(F.array().cast("array<bigint>"))
+    places = F.when(F.col("rows") == 0, pairs).otherwise(F.concat(down, across))
+    return placed.select("node", places.alias("places")).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
 def reached(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -211,15 +241,28 @@ def similar_classes(docs: DataFrame, classes: DataFrame, words: int, least: floa
     """a, b: links that connect all classes(k1, k2, doc_id, node, fp, n, bands) of similarity least or more that share a list.
 
     Texts of classes that share a list are read again for their whole shingle
-    sets; others are never compared.
+    sets; others are never compared. Clusters of one block are compared whole.
+    Larger ones are linked inside blocks first, and then only texts that
+    aren't in one component yet meet, all of them that share a list.
     """
     met = lists(classes)
     clusters = cut(components(met.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
-    placed = cut(meetings(met, clusters))
-    wanted = small(cut(classes.select("doc_id", "k1", "k2", "node").join(small(placed.select("node")), "node", "left_semi")))
-    again = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = full_sets(again, words).join(wanted, ["doc_id", "k1", "k2"]).groupBy("node").agg(F.first("set").alias("set"))
-    return compared(sets.join(placed, "node").select(F.explode("places").alias("place"), "node", "set"), least)
+
+    def linked(placed: DataFrame) -> DataFrame:
+        wanted = small(cut(classes.select("doc_id", "k1", "k2", "node").join(small(placed.select("node")), "node", "left_semi")))
+        again = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        sets = full_sets(again, words).join(wanted, ["doc_id", "k1", "k2"]).groupBy("node").agg(F.first("set").alias("set"))
+        return compared(sets.join(placed, "node").select(F.explode("places").alias("place"), "node", "set"), least)
+
+    first = cut(first_places(met, clusters))
+    links = cut(linked(first.drop("large")))
+    large = cut(first.where("large").select("node"))
+    if large.isEmpty():
+        return links
+    within = links.join(small(large), links["a"] == large["node"], "left_semi")
+    inside = met.join(small(large), "node", "left_semi")
+    last = cut(meetings(inside, clusters.join(small(large), "node", "left_semi"), components(within)))
+    return links if last.isEmpty() else links.unionByName(linked(last))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -253,18 +296,22 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     found is near_duplicates(docs). Rows are judged by their own text: of an id
     that stands with different texts, only the texts that are copies go. Of
-    rows with one id and the same words the least stays. Only dropped and
-    repeated ids are joined to the texts: as a broadcast where they were
-    counted to be few, else as an equi-join. Null texts are one class, so one
-    of them stays; rows with a null doc_id all stay. Other columns pass
-    through, whatever their names.
+    rows with one id and the same words that of the least text stays, and of
+    equal texts the first that is read. Only dropped and repeated ids are
+    joined to the texts: as a broadcast where they were counted to be few, else
+    as an equi-join. Null texts are one class, so one of them stays; rows with
+    a null doc_id all stay. Other columns pass through, whatever their names
+    and types.
     """
+    columns = [quoted(c) for c in docs.columns]
     ids = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("stays")).where("rows > 1 OR NOT stays"))
-    once = docs.join(small(cut(ids.select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(small(cut(ids.select("doc_id"))), "doc_id", "left_anti").select(*columns)
     repeated = cut(ids.where("stays").select("doc_id"))
     if repeated.isEmpty():
         return once
-    several = docs.join(small(repeated), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    several = docs.select("doc_id", "text", F.struct(*columns).alias("_row")).join(small(repeated), "doc_id", "left_semi")
+    several = cut(several.withColumn("_at", F.monotonically_increasing_id()))  # kept, so that numbers stay
     firsts = found.where("first").join(small(repeated), "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
-    several = keyed(several, ("doc_id", "_row")).join(firsts, ["doc_id", "k1", "k2"])
-    return once.unionByName(several.groupBy("doc_id", "k1", "k2").agg(F.min("_row").alias("_row")).select("_row.*"))
+    copies = keyed(several.select("doc_id", "text", "_at"), ("doc_id", "text", "_at")).join(firsts, ["doc_id", "k1", "k2"])
+    kept = copies.groupBy("doc_id", "k1", "k2").agg(F.min(F.struct("text", "_at")).alias("_best")).select(F.col("_best._at").alias("_at"))
+    return once.unionByName(several.join(small(cut(kept)), "_at", "left_semi").select("_row.*"))

@@ -26,7 +26,8 @@ def documents(spark, folder, rows=DOCS, extra=True):
 
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        df = df.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+        pairs = F.create_map(F.lit("k"), F.lit(1))
+        df = df.select("*", *[F.lit("x").alias(c) for c in CLASHING], F.lit("y").alias("a.b"), F.lit(2).alias("`odd name`.*"), pairs.alias("_at"), F.struct(pairs.alias("m"), F.lit(None).cast("binary").alias("n.o")).alias("root"))
     df.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     return str(folder)
 

@@ -157,6 +157,19 @@ def test_places_of_large_groups_are_bounded_and_whole(spark, monkeypatch, by_lis
     assert max(held.values()) <= (2 if by_list else 180) and sum(held.values()) <= 900 * 18
 
 
+@pytest.mark.parametrize("m", [1500, 3000, 6000])
+def test_copies_of_a_family_grow_with_it(spark, m):
+    met = spark.range(m).selectExpr("0L AS key", "id AS node", "400L AS n", f"{m}L AS size", "0L AS hub", f"{m}L * 400 AS weight")
+    clusters = spark.range(m).selectExpr("id AS node", "0L AS root")
+    placed = similar.first_places(met, clusters)
+    held = Counter(p for r in placed.collect() for p in r["places"])
+    assert sum(held.values()) <= 1.25 * m and max(held.values()) <= 1.4 * similar.BLOCK_TEXTS
+    assert similar.meetings(met, clusters, clusters).collect() == []  # one component: nothing is left to meet
+    some = clusters.selectExpr("node", "CASE WHEN node < 40 THEN node ELSE 40 END AS root")
+    again = {r["node"]: set(r["places"]) for r in similar.meetings(met, clusters, some).collect()}
+    assert all(again[x] & again[y] for x in range(0, 40, 7) for y in range(m)) and sum(map(len, again.values())) <= m + 40 * (m // 512 + 1)
+
+
 def test_simhash_query_against_all_pairs(spark, tmp_path):
     rng = random.Random(17)
     words = [f"w{i}" for i in range(3000)]
