@@ -22,7 +22,7 @@ LEAST_SCORE = 0.25
 
 def plain(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """docs with numbers for names but for those that operators read, so that no other column's name matters."""
-    return docs.select(*[F.col(f"`{c}`").alias(c if c in names else f"_{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(*[common.quoted(c).alias(c if c in names else f"_{i}") for i, c in enumerate(docs.columns)])
 
 
 def named(rows: DataFrame, docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -47,19 +47,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each group of near-duplicates.
 
-    Five-word shingles at a similarity of 0.8 or more. Rows without a doc_id stay.
+    Five-word shingles at a similarity of 0.8 or more. Rows without a doc_id
+    stay; null and blank texts are one group, and of repeated rows one stays.
     """
-    return similar.one_of_each(docs, similar.near_duplicates(docs))
+    read = ("doc_id", "text")
+    rows = plain(docs, read)
+    return named(similar.one_of_each(rows, similar.near_duplicates(rows)), docs, read)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by a mask; n_chars is counted again. No document goes."""
-    clean = secrets.redact(docs, secrets.scanner(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Replaces secrets in texts by a mask; n_chars is counted again. No document goes.
+
+    Null and empty texts stay as they are (a null one has a null n_chars), and
+    repeated rows are treated alike.
+    """
+    read = ("text", "n_chars")
+    rows = plain(docs, read)
+    clean = secrets.redact(rows, secrets.scanner(rows))
+    return named(clean.withColumn("n_chars", F.length("text").cast("long")), docs, read)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents so that sources reach their target words."""
+    """Repeats and leaves out documents so that sources reach their target words.
+
+    Null sources are a source, null and blank texts have no words and go with
+    their source's whole copies; rows that are repeated are each drawn alike.
+    """
     read = ("doc_id", "source", "text")
     rows = plain(docs, read)
     mixed = mixing.mix(rows, common.word_count(F.col("text")), keep=tuple(rows.columns))
@@ -67,7 +80,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of all documents of the mix, copies included, by the tokenizer's counts."""
+    """Length buckets and batches of all documents of the mix, copies included, by the tokenizer's counts.
+
+    Null and empty texts have no tokens and are packed like others; of equally
+    long rows either may come first, for they're packed alike.
+    """
     import public_tokenizers
 
     counted = tokens.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path(tokens.TOKENIZER))
