@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, count
+from operator import ne
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,26 +23,17 @@ from pyspark.sql import functions as F
 
 from gridline.llm.common import bounded, cut, small, table
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Fixed value: the letters of a run, once A-Z is lowered.
+LETTERS = "a-zÀ-ÿ"
 LEAST_CHARS, LEAST_COUNT = 6, 5
 #: A run whose checksum this divides loses a code point.
 EVERY = 199
 #: A form is so many times as frequent as its variant.
 TIMES = 5
 #: Words of a list that are compared directly, and halves that a shard holds at most on average.
-LIST, SHARD = 256, 1 << 17
+LIST, SHARD = 64, 1 << 17
 #: Words that a task counts before it sends them.
 HELD = 1 << 16
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
-def altered(doc: str, run: str, every: int) -> str:
-    """The run, without a code point if every divides the checksum of document and run."""
-    h = zlib.crc32(f"{doc}:{run}".encode())
-    if h % every:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1 :]
 
 
 def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, every: int = EVERY) -> DataFrame:
@@ -51,21 +44,28 @@ def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
     counts as an empty one in the checksum.
     """
 
+    runs = re.compile(f"[{LETTERS}]{{{max(1, least_chars)},}}")  # shorter runs can't become words
+
     def run(batches: Iterator[pa.RecordBatch]):
-        held: Counter[str] = Counter()
+        held: dict[str, int] = {}
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                for word, n in Counter(RUN.findall(text.as_py() or "")).items():
-                    word = altered("" if doc is None else str(doc), word.translate(_LOWER), every)
-                    if len(word) >= least_chars:
-                        held[word] += n
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                begun = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+                low = (text.as_py() or b"").lower().decode()  # of bytes, only A-Z
+                for word, n in Counter(runs.findall(low)).items():
+                    h = zlib.crc32(word.encode(), begun)
+                    if not h % every:
+                        word = word[: h % len(word)] + word[h % len(word) + 1 :]
+                        if len(word) < least_chars:
+                            continue
+                    held[word] = held.get(word, 0) + n
                 if len(held) >= HELD:
                     yield batch()
-                    held = Counter()
+                    held = {}
         if held:
             yield batch()
 
@@ -76,12 +76,14 @@ def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
 
 def one_apart(a: str, b: str) -> bool:
     """Whether one code point was inserted, deleted or replaced between a and b."""
+    if len(a) == len(b):
+        return sum(map(ne, a, b)) == 1
     if len(a) > len(b):
         a, b = b, a
-    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    if len(a) == len(b):
-        return same < len(a) and a[same + 1 :] == b[same + 1 :]
-    return len(b) == len(a) + 1 and a[same:] == b[same + 1 :]
+    if len(b) != len(a) + 1:
+        return False
+    same = next(compress(count(), map(ne, a, b)), len(a))
+    return a[same:] == b[same + 1 :]
 
 
 class Automaton:
@@ -91,36 +93,48 @@ class Automaton:
         """rows: word, n, code points of its fixed start and end, and of a start that is another list's (0: none)."""
         import ahocorasick
 
-        self.lists: dict[tuple[str, str, int], list[tuple[str, int, int]]] = defaultdict(list)
+        #: By start, end and length: words with n, the other list's start, and the code points next to the fixed ones.
+        self.lists: dict[str, dict[str, dict[int, list[tuple[str, int, int, str, str]]]]] = {}
         self.found = ahocorasick.Automaton()
         for word, n, start, end, other in rows:
             first, last = word[:start], word[len(word) - end :]
-            self.lists[first, last, len(word)].append((word, n, other))
+            several = len(word) - start - end > 1
+            ends = (word[start], word[-1 - end]) if several else ("", "")
+            self.lists.setdefault(first, {}).setdefault(last, {}).setdefault(len(word), []).append((word, n, other, *ends))
             for segment in (first, last):
                 if segment:
                     self.found.add_word(segment, segment)
-        self.both = any(first and last for first, last, _ in self.lists)
         if len(self.found):
             self.found.make_automaton()
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
+    def near(self, word: str) -> list[tuple[str, int]]:
         """The words, with n, that are one apart from word and share a list with it; each once."""
-        starts, ends = [], []
         if not len(self.found):
-            return
+            return []
+        size, starts, ends, out = len(word), [""], [""], []
         for at, segment in self.found.iter(word):
             if at + 1 == len(segment):
                 starts.append(segment)
-            if at + 1 == len(word):
+            if at + 1 == size:
                 ends.append(segment)
-        pairs = [(s, "") for s in starts] + [("", e) for e in ends]
-        if self.both:
-            pairs += [(s, e) for s in starts for e in ends]
-        for start, end in pairs:
-            for length in (len(word) - 1, len(word), len(word) + 1):
-                for other, n, elsewhere in self.lists.get((start, end, length), ()):
-                    if (not elsewhere or word[:elsewhere] != other[:elsewhere]) and one_apart(word, other):
-                        yield other, n
+        for start in starts:
+            by_end = self.lists.get(start)
+            for end in ends if by_end else ():
+                by_length = by_end.get(end)
+                for length in (size - 1, size, size + 1) if by_length else ():
+                    if length in by_length and size >= len(start) + len(end):
+                        out += self.verified(word, start, end, by_length[length])
+        return out
+
+    def verified(self, word: str, start: str, end: str, rows: list[tuple[str, int, int, str, str]]) -> list[tuple[str, int]]:
+        """The words of a list that are one apart. One change can't reach both ends of what lies between the fixed segments."""
+        between = len(word) - len(start) - len(end)
+        a, z = (word[len(start)], word[-1 - len(end)]) if between else (None, None)
+        out = []
+        for other, n, elsewhere, first, last in rows:
+            if (a == first or z == last or not first) and (not elsewhere or word[:elsewhere] != other[:elsewhere]) and one_apart(word, other):
+                out.append((other, n))
+        return out
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -166,7 +180,7 @@ def near_words(words: DataFrame, most: int = LIST, shard: int = SHARD) -> DataFr
 
     A word is sent to the few shards of its segments, not to all; a shard's
     automaton holds some 131,072 halves whatever the number of words, and a
-    list of over 256 words is split further. Pairs of words stay in the task
+    list of over 64 words is split further. Pairs of words stay in the task
     that finds them.
     """
     bounded(words.sparkSession)
@@ -189,7 +203,7 @@ def near_words(words: DataFrame, most: int = LIST, shard: int = SHARD) -> DataFr
                     continue
                 if automaton is None:
                     automaton, kept = Automaton(kept), []
-                others = list(automaton.near(row[0]))
+                others = automaton.near(row[0])
                 if others:
                     word, n = min(others, key=lambda x: (-x[1], x[0]))
                     found.append((row[0], len(others), n, word))
