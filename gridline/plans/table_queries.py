@@ -116,14 +116,17 @@ def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "delimited_table",
-    """WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: string_split(x, ',')) AS r FROM documents),
+    """WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(replace(text, '. ', ',' || chr(1) || ','), chr(10)), lambda x: x <> ''), lambda x: string_split(x, ',')) AS r FROM documents),
     k AS (SELECT doc_id, list_filter(r, lambda x: len(x) <= len(r[1])) AS r, len(r[1]) AS w FROM l),
     e AS (SELECT doc_id, w, r, unnest(range(0, len(r))) AS i FROM k)
-    SELECT doc_id, CAST(i AS INTEGER) AS row_idx, CAST(w AS INTEGER) AS width, r[i + 1][1] AS first_cell, CAST(len(r[i + 1]) AS INTEGER) AS filled FROM e""",
+    SELECT doc_id, CAST(i AS INTEGER) AS row_idx, CAST(w AS INTEGER) AS width, r[i + 1][1] AS first_cell, CAST(len(r[i + 1]) AS INTEGER) AS filled,
+      array_to_string(list_transform(r[i + 1], lambda c: replace(c, chr(1), 'a"b,' || chr(10) || ' c d')), '|') AS cells FROM e""",
 )
 def delimited_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.delimited(table(spark, sf_dir, "documents"), ["doc_id"], ",")
-    return rows.select("doc_id", "row_idx", F.size("cells").alias("width"), F.get("cells", F.lit(0)).alias("first_cell"), F.size(F.filter("cells", lambda c: c.isNotNull())).alias("filled"))
+    """Documents as delimited text, with a quoted field of two lines at the end of every sentence."""
+    quoted = F.replace("text", F.lit(". "), F.lit(',"a""b,\n c" d,'))
+    rows = S.delimited(table(spark, sf_dir, "documents").withColumn("text", quoted), ["doc_id"], ",")
+    return rows.select("doc_id", "row_idx", F.size("cells").alias("width"), F.get("cells", F.lit(0)).alias("first_cell"), F.size(F.filter("cells", lambda c: c.isNotNull())).alias("filled"), F.array_join(F.filter("cells", lambda c: c.isNotNull()), "|").alias("cells"))
 
 
 @register(

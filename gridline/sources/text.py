@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Callable
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridline.functions.text import strip
+from gridline.operators.layout import let
+from gridline.operators.ruled import runs
 from gridline.sources.registry import Table, register
 
 KINDS = {"csv": ";", "semicolon": ";", "tsv": "\t", "pipe": "|"}
@@ -35,11 +38,35 @@ def whitespace_table(df: DataFrame, keys: list[str], text: str = "text") -> Data
     return wide.select(*keys, F.posexplode(filled).alias("row_idx", "cells"))
 
 
+def fields(text: Column, separator: str) -> Column:
+    """array<array<string>>: rows of fields, by a quote automaton as one pattern.
+
+    A field that begins with a quote goes to the next single one, over
+    separators and line breaks; a doubled quote in it is one, what stands
+    behind it up to the separator belongs to the field, and without an end it
+    goes to the end of the text. A quote inside another field is a sign like
+    others. Line ends are \\n, \\r\\n or \\r; blank lines are left out. Null has no
+    rows.
+    """
+    sep = "\\Q" + separator + "\\E"
+    plain = f"(?:(?!{sep})[^\\n])*+"
+    quoted = '"([^"]*+(?:""[^"]*+)*+)"?(' + plain + ")"
+    lines = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
+    found = F.regexp_extract_all(lines, F.lit(f"(?:{sep}|\\n)(?:{quoted}|{plain})"), 0)
+
+    def value(part: Column) -> Column:
+        body = F.substring(part, F.when(part.startswith("\n"), 2).otherwise(1 + len(separator)), F.length(part))
+        inner = F.concat(F.replace(F.regexp_extract(body, "(?s)^" + quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(body, "(?s)^" + quoted, 2))
+        return F.struct(part.startswith("\n").alias("begins"), (body != "").alias("filled"), F.when(body.startswith('"'), inner).otherwise(body).alias("value"))
+
+    rows = let(F.transform(found, value), lambda held: runs(held, lambda a, b: b["begins"]))
+    whole = F.filter(rows, lambda r: (F.size(r) > 1) | F.get(r, F.lit(0))["filled"])
+    return F.transform(whole, lambda r: F.transform(r, lambda f: f["value"]))
+
+
 def delimited(df: DataFrame, keys: list[str], separator: str = ";", text: str = "text") -> DataFrame:
-    """keys, row_idx, cells: the first line fixes the width; longer lines are skipped, shorter ones filled with null."""
-    lines = F.filter(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: x != "")
-    rows = F.transform(lines, lambda x: F.split(x, "\\Q" + separator + "\\E"))
-    parsed = df.select(*keys, rows.alias("_r")).withColumn("_w", F.size(F.get("_r", F.lit(0))))
+    """keys, row_idx, cells: fields() of a text; the first line fixes the width, longer lines are skipped, shorter ones filled with null."""
+    parsed = df.select(*keys, fields(F.col(text), separator).alias("_r")).withColumn("_w", F.size(F.get("_r", F.lit(0))))
     fit = F.filter("_r", lambda r: F.size(r) <= F.col("_w"))
     filled = F.transform(fit, lambda r: F.concat(r, F.array_repeat(F.lit(None).cast("string"), F.col("_w") - F.size(r))))
     return parsed.select(*keys, F.posexplode(filled).alias("row_idx", "cells"))
@@ -125,7 +152,7 @@ def read_text(name: str, data: bytes) -> list[Table]:
         return []
     kind = kind_of(text)
     if kind in KINDS:
-        rows = [r for r in csv.reader(text.split("\n"), delimiter=KINDS[kind]) if r]
+        rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=KINDS[kind]) if r]  # as fields() has it
         width = len(rows[0])
         return [(kind, [[c or None for c in r] + [None] * (width - len(r)) for r in rows if len(r) <= width])]
     lines = [x.strip() for x in text.split("\n") if x.strip()]

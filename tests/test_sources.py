@@ -160,3 +160,22 @@ def test_inbox(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("three")
     run()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+@pytest.mark.parametrize("separator", [";", "|", "\t", ","])
+def test_quoted_fields_are_those_of_a_csv_reader(spark, separator):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(separator)
+    texts = ["".join(rng.choice(['"', '"', separator, separator, "\n", "a", "b c", "é"]) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    texts += [f'"x\ny"{separator}2{separator}3', f'a{separator}"b""c" d{separator}\r\n\r\n""\r1', '"never closed\n1', "", None, '"' + 'q""' * 800 + '"', f"{separator}\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").select("doc", S.fields(F.col("text"), separator).alias("rows"))
+    got = {r["doc"]: r["rows"] for r in df.collect()}
+    for i, text in enumerate(texts):
+        lines = None if text is None else text.replace("\r\n", "\n").replace("\r", "\n")
+        want = None if text is None else [r for r in csv.reader(io.StringIO(lines, newline=""), delimiter=separator) if r]
+        assert got[i] == want or (not got[i] and not want), (text, got[i], want)
+    if separator != ",":  # text that is separated by commas is read with semicolons
+        assert S.read_text("x.csv", f'"x\ny"{separator}2{separator}3\n4{separator}5{separator}6\n'.encode())[0][1] == [["x\ny", "2", "3"], ["4", "5", "6"]]
