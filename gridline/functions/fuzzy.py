@@ -7,6 +7,8 @@ their places, and a fold over the other word's signs updates one long.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ MASK = 63
 _NONE = "struct<score:double,match:string>"
 
 
+def constant(value: object, kind: str) -> Column:
+    """A list or dictionary as one constant of the plan; as many literals it would be analysed again and again."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def signs(word: Column) -> Column:
     """The code points of a word as strings."""
     return F.filter(F.split(word, ""), lambda c: c != "")
@@ -83,7 +90,8 @@ def best_of(word: Column, terms: list[tuple[str, str]], least: float) -> Column:
     if not terms:
         return F.lit(None).cast(_NONE)
     mask = lambda t: sum(1 << b for b in {ord(c) % MASK for c in t})
-    rows = F.array(*[F.struct(F.array(*[F.lit(c) for c in t]).alias("signs"), F.lit(m).alias("match"), F.lit(mask(t)).cast("long").alias("mask"), F.lit(len(t)).alias("m")) for t, m in terms])
+    held = [{"signs": list(t), "match": m, "mask": mask(t), "m": len(t)} for t, m in terms]
+    rows = constant(held, "array<struct<signs:array<string>,match:string,mask:bigint,m:int>>")
 
     def among(x: Column, masks: Column, own: Column) -> Column:
         def step(best: Column, t: Column) -> Column:

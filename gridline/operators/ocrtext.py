@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridline.functions import fuzzy as Z
+from gridline.functions import mojibake
 from gridline.functions import text as X
 from gridline.model import BRANDS, DOMAIN_TERMS
+from gridline.operators import inflect
 from gridline.operators.nearest import nearest
 from gridline.session import cut
 
@@ -87,7 +89,7 @@ def corrected(tokens: DataFrame, lexicon: list[str] | DataFrame, domain: list[st
 def brand_match(key: Column, names: list[str] = BRANDS) -> Column:
     """The brand of a brand key, exactly or at 75; null without one."""
     variants = X.brand_variants(names)
-    exact = F.create_map(*[F.lit(x) for pair in variants for x in pair])
+    exact = Z.constant(dict(variants), "map<string,string>")
     return F.when(key.isNotNull(), F.coalesce(F.try_element_at(exact, key), Z.best_of(key, variants, BRAND_SCORE)["match"]))
 
 
@@ -139,19 +141,24 @@ def joined(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys, X.ocr_finish(F.array_join(F.transform("_p", lambda p: p["fixed"]), "")).alias("text"))
 
 
-def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None) -> DataFrame:
+def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None, paradigms: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """keys, text of every cell after all passes; blank and null cells are untouched.
 
-    Brands are spelled out before the tokens are corrected, and again behind
+    Texts read with a wrong table are read anew (mojibake.repaired). Brands are spelled out before the tokens are corrected, and again behind
     that, for a token may have been a part of one. lexicon(word, ord) is a
-    literal if it's counted to be short. Cells are dealt by keys once.
+    literal if it's counted to be short. paradigms are stems and endings
+    (inflect): their forms are known words and terms behind the lexicon's.
+    Cells are dealt by keys once.
     """
     known: list[str] | DataFrame = list(DOMAIN_TERMS)
+    if paradigms is not None:
+        own = cells.sparkSession.createDataFrame([(w, i) for i, w in enumerate(DOMAIN_TERMS)], "word string, ord long")
+        lexicon = cut(inflect.with_forms(own if lexicon is None else lexicon, *paradigms))
     if lexicon is not None:
         rows = lexicon.orderBy("ord").limit(TERM_ROWS + 1).collect()
         known = [r["word"] for r in rows] if len(rows) <= TERM_ROWS else lexicon
     blank = F.coalesce(X.strip(F.col("text")), F.lit("")) == ""
-    signs = canonical_brands(cells.where(~blank).select(*keys, X.ocr_signs(F.col("text")).alias("text")), keys)
+    signs = canonical_brands(cells.where(~blank).select(*keys, X.ocr_signs(mojibake.repaired(F.col("text"))).alias("text")), keys)
     clean = signs.select(*keys, X.ocr_words(F.col("text")).alias("text"))
     done = canonical_brands(joined(corrected(tokens(clean, keys), known), keys), keys)
     return cells.where(blank).select(*keys, "text").unionByName(done)

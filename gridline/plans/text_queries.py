@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridline.functions import extract as E
+from gridline.functions import mojibake
 from gridline.functions import text as X
 from gridline.model import TRANSLITERATION
-from gridline.operators import ocrtext
+from gridline.operators import inflect, ocrtext
 from gridline.plans.register import register, table
 from gridline.sources import text as text_source
 
@@ -192,6 +193,66 @@ def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocrtext.repaired(table(spark, sf_dir, "part").select("p_partkey", noisy.alias("text")), ["p_partkey"])
 
 
+#: Phrases, and pairs of tables: what they were written in and what they were read with; None stays as it is.
+_PHRASES = ["Резец токарный", "Пластина 5 шт.", "ДЕРЖАВКА", "Сверло «по металлу»", "Über größere Brücken", "ER32"]
+_MISREAD = [None, ("utf-8", "latin-1"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("utf-8", "latin-1", "utf-8", "latin-1")]
+
+
+def _misread() -> list[tuple[str, str]]:
+    """(text as it was read, phrase) of all phrases that the tables hold."""
+    out = []
+    for phrase in _PHRASES:
+        for tables in _MISREAD:
+            text = phrase
+            try:
+                for written, seen in zip((tables or ())[::2], (tables or ())[1::2], strict=True):
+                    text = text.encode(written).decode(seen)
+            except UnicodeError:
+                continue
+            out.append((text, phrase))
+    return out
+
+
+@register(
+    "mojibake",
+    f"""WITH t AS (SELECT {[w for _, w in _misread()]} AS w) SELECT 'part' AS source, p_partkey AS id, w[p_partkey % {len(_misread())} + 1] AS text FROM part, t
+    UNION ALL SELECT 'misread', doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'clean', doc_id, text FROM documents WHERE text IS NOT NULL""",
+)
+def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in wrong tables, all documents read with a wrong one, and all as they are."""
+    texts = F.array(*[F.lit(t) for t, _ in _misread()])
+    part = table(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("id"), F.element_at(texts, (F.col("p_partkey") % len(_misread()) + 1).cast("int")).alias("text"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    both = docs.select(F.lit("misread").alias("source"), F.col("doc_id").alias("id"), wrong.alias("text")).unionByName(docs.select(F.lit("clean").alias("source"), F.col("doc_id").alias("id"), "text"))
+    return part.unionByName(both).withColumn("text", mojibake.repaired(F.col("text")))
+
+
+#: Endings of three made-up classes.
+_ENDINGS = [(0, ""), (0, "a"), (0, "ами"), (1, ""), (1, "ing"), (1, "g"), (1, "ed"), (2, "en"), (2, "e"), (2, "n"), (2, "s")]
+
+
+@register(
+    "inflected_words",
+    f"""WITH s AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS stem FROM part), e AS (SELECT * FROM (VALUES {", ".join(f"({c}, '{x}')" for c, x in _ENDINGS)}) v(class, ending)),
+    c AS (SELECT stem, CAST(length(stem) % 3 AS INTEGER) AS class, 'the ' || stem AS lemma FROM s UNION SELECT stem || 'in', 1, 'in ' || stem FROM s WHERE length(stem) % 2 = 0),
+    w AS (SELECT p_partkey, upper(string_split(p_name, ' ')[1]) || ['', 'a', 'ами', 'ing', 'ed', 'en', 'ns', 'x'][p_partkey % 8 + 1] AS word FROM part),
+    f AS (SELECT p_partkey, word, lemma, class, ending FROM w JOIN e ON ends_with(lower(word), ending) JOIN c USING (class) WHERE lower(word) = stem || ending
+      QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(ending) DESC, lemma, class) = 1)
+    SELECT p_partkey, w.word, lemma, class, ending FROM w LEFT JOIN f USING (p_partkey)""",
+)
+def inflected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of every part's name with an ending, analysed by paradigms of all names' words."""
+    part = table(spark, sf_dir, "part")
+    stem = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("stem")).distinct()
+    other = stem.where("length(stem) % 2 = 0").select(F.concat("stem", F.lit("in")).alias("stem"), F.lit(1).alias("class"), F.concat(F.lit("in "), "stem").alias("lemma"))
+    stems = stem.select("stem", (F.length("stem") % 3).alias("class"), F.concat(F.lit("the "), "stem").alias("lemma")).unionByName(other)
+    endings = spark.createDataFrame(_ENDINGS, "class int, ending string")
+    tails = F.array(*[F.lit(x) for x in ("", "a", "ами", "ing", "ed", "en", "ns", "x")])
+    words = part.select("p_partkey", F.concat(F.upper(F.get(F.split("p_name", " "), F.lit(0))), F.element_at(tails, (F.col("p_partkey") % 8 + 1).cast("int"))).alias("word"))
+    return words.join(inflect.analysed(words, stems, endings), "word", "left").select("p_partkey", "word", "lemma", "class", "ending")
+
+
 @register(
     "markdown_table",
     r"""WITH m AS (SELECT page_id, '| name | ' || (page_id % 7) || ' |' || chr(10) || '|---|---|' || chr(10) || 'talk' || chr(10) || '| a' || page_id || ' |  ' || url || ' |' AS t FROM pages)

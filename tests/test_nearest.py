@@ -83,10 +83,10 @@ def test_two_hundred_thousand_terms(spark):
     rng = random.Random(7)
     letters = "абвгдежзийклмнопрстуфхцчшщыьэюя"
     terms = list(dict.fromkeys(some(rng, rng.randint(5, 12), letters) for _ in range(200_000)))
-    words = [disturbed(rng, rng.choice(terms), letters) for _ in range(25)]
+    words = [disturbed(rng, rng.choice(terms), letters) for _ in range(9)]
     frame = spark.createDataFrame([(t, t, i) for i, t in enumerate(terms)], "term string, match string, ord long")
     got = {r["word"]: (r["match"], r["score"]) for r in N.nearest(spark.createDataFrame([(w,) for w in words], "word string"), frame, 70.0).collect()}
-    assert got == plain_nearest(words, [(t, t) for t in terms], 70.0) and len(got) > 20
+    assert got == plain_nearest(words, [(t, t) for t in terms], 70.0) and len(got) > 6
 
 
 def test_repair_with_a_lexicon_relation_is_that_with_a_list(spark, monkeypatch):
