@@ -45,9 +45,10 @@ def main(args: list[str] | None = None) -> int:
 
 def _tables(spark, folder: str, out: str) -> int:
     from gridline import pipeline
+    from gridline.session import cut
     from gridline.sources import files, sinks
 
-    rows = files.scan(spark, folder)
+    rows = cut(files.scan(spark, folder))  # decoded once, for the tables and the counts
     sinks.write_records(pipeline.clean_tables(rows), out, pipeline.KEYS)
     failed = 0
     for r in files.statuses(rows).collect():

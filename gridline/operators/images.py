@@ -32,7 +32,7 @@ class Stages:
     """Which stages run, in this order; given settings override these."""
 
     order: tuple[str, ...] = ("invert", "perspective", "deskew", "resize", "denoise", "sharpen", "lighting", "contrast", "binarize", "distortion")
-    on: dict[str, bool] = field(default_factory=lambda: {"invert": False, "binarize": False})
+    on: dict[str, bool] = field(default_factory=lambda: {"invert": False, "binarize": False, "distortion": False})
 
     def active(self) -> list[str]:
         return [s for s in self.order if self.on.get(s, True)]

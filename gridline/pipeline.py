@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridline.model import HEADER_ANCHORS
 from gridline.operators import mapping, tables
+from gridline.session import cut
 from gridline.sources.files import read_files
 
 KEYS = ["path", "table_id"]
@@ -34,8 +35,10 @@ def process(files: DataFrame, model: Callable[[list[str]], list[str | None]], ex
     """Mapped rows of all files, and a status for each file.
 
     files(path, content); model answers prompts with JSON. A broken file or a
-    failed chunk is a row with its error and stops nothing else.
+    failed chunk is a row with its error and stops nothing else. Files are
+    decoded once: their rows are kept in the checkpoint folder, and tables and
+    statuses read those.
     """
-    rows = read_files(files)
+    rows = cut(read_files(files))
     mapped = mapping.map_records(clean_tables(rows), KEYS, model, extended)
     return mapped, rows.select("path", "status", "error").distinct()

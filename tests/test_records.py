@@ -147,7 +147,7 @@ def test_images(spark):
     seen = I.stage_images(frame, few).collect()
     assert [r["name"] for r in seen] == [f"a_{s}" for s in few.active()] and bytes(seen[-1]["data"]) == bytes(out["a.png"]["data"])
     with pytest.raises(ValueError, match="distortion"):
-        I.prepare(image)
+        I.prepare(image, I.Stages(on={"invert": False}))  # asked for, and not plugged in
     angles = F.array(*[F.lit(float(a)) for a in (1, 2, 4, 80)])
     assert one(spark, I.skew(angles)) == 2.0 and one(spark, I.largest(angles, 2)) == [80.0]
     assert one(spark, I.scale_of(F.lit(368), F.lit(1000))) == 2.0

@@ -179,3 +179,22 @@ def test_quoted_fields_are_those_of_a_csv_reader(spark, separator):
         assert got[i] == want or (not got[i] and not want), (text, got[i], want)
     if separator != ",":  # text that is separated by commas is read with semicolons
         assert S.read_text("x.csv", f'"x\ny"{separator}2{separator}3\n4{separator}5{separator}6\n'.encode())[0][1] == [["x\ny", "2", "3"], ["4", "5", "6"]]
+
+
+def test_files_are_decoded_once(spark, tmp_path, monkeypatch):
+    from gridline import pipeline
+
+    log = str(tmp_path / "log")
+
+    def read(name, data):
+        with open(log, "a") as f:
+            f.write(name + "\n")
+        return [("t", [["№", "Наименование", "Кол-во"], ["1", "Сверло", "5"]])]
+
+    monkeypatch.setattr(files, "readers", lambda: {".once": read})
+    rows = spark.createDataFrame([(f"/x/{i}.once", b"") for i in range(5)], "path string, content binary")
+    mapped, status = pipeline.process(rows, lambda prompts: ['{"rows": []}' for _ in prompts])
+    mapped.collect()
+    assert {(r["status"], r["files"]) for r in files.statuses(status).collect()} == {("ok", 5)}
+    with open(log) as f:
+        assert sorted(f.read().split()) == [f"{i}.once" for i in range(5)]
