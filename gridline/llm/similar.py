@@ -120,6 +120,18 @@ def first_places(met: DataFrame, clusters: DataFrame) -> DataFrame:
     return placed.select("node", F.transform(numbers, lambda b: F.xxhash64("root", b)).alias("places"), (F.col("blocks") > 1).alias("large"))
 
 
+def gathered(links: DataFrame) -> DataFrame:
+    """node, root: nodes that links(a, b) connect, by way of each a and once more by way of shared nodes.
+
+    Never joins what isn't connected, and joins what shares the nodes that go
+    to every block. What it leaves apart is compared once more than needed.
+    """
+    stars = links.select(F.col("a").alias("star"), F.col("b").alias("node")).unionByName(links.select(F.col("a").alias("star"), F.col("a").alias("node")))
+    low = stars.groupBy("node").agg(F.min("star").alias("low"))
+    top = stars.join(low, "node").groupBy("star").agg(F.min("low").alias("top"))
+    return stars.join(top, "star").groupBy("node").agg(F.min("top").alias("root"))
+
+
 def meetings(met: DataFrame, clusters: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """node, places array<long>: where nodes meet so that all pairs of a list do that aren't one component yet.
 
@@ -256,12 +268,13 @@ def similar_classes(docs: DataFrame, classes: DataFrame, words: int, least: floa
 
     first = cut(first_places(met, clusters))
     links = cut(linked(first.drop("large")))
-    large = cut(first.where("large").select("node"))
+    large = first.where("large").select("node")
     if large.isEmpty():
         return links
-    within = links.join(small(large), links["a"] == large["node"], "left_semi")
-    inside = met.join(small(large), "node", "left_semi")
-    last = cut(meetings(inside, clusters.join(small(large), "node", "left_semi"), components(within)))
+    large = small(large)
+    within = links.join(large, links["a"] == large["node"], "left_semi")
+    inside = met.join(large, "node", "left_semi")
+    last = cut(meetings(inside, clusters.join(large, "node", "left_semi"), gathered(within)))
     return links if last.isEmpty() else links.unionByName(linked(last))
 
 
