@@ -50,3 +50,10 @@ def test_misread_texts_come_back(repair):
 def test_clean_texts_stay(repair):
     texts = CLEAN + LATIN + MIXED + [" ".join(CLEAN * 50)]
     assert repair(texts) == texts
+
+
+def test_accents_at_the_start_of_words_are_not_read_as_cyrillic(repair):
+    """Read with cp1251 they have no neighbours that could speak for or against it."""
+    texts = ["Pachque çaneux et.", "et égal", "à la ça", "Île, ëh", "è", "ça va, à ñu ù"]
+    assert repair([misread(t, "utf-8", "latin-1") for t in texts]) == texts
+    assert repair(texts) == texts
