@@ -6,6 +6,9 @@ are residuals of equi-joins and windows never span the corpus.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,22 +241,31 @@ def grid_of_words(words: DataFrame, columns: DataFrame, rows: DataFrame, keys: l
     return grid.join(texts, cell, "left").na.fill("", ["text"])
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], ids: list[str], tile: float = 64.0) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], ids: list[str], tile: float = 64.0, every: bool = False) -> DataFrame:
     """The columns of points and the ids of boxes, for each box that holds a point.
 
     points: keys, x, y; boxes: keys, ids, x0, x1, top, bottom, half-open. A
     point lies in one tile of its page and a box in those it touches; they meet
     by an equi-join of page and tile, so that a dense page isn't one key and
-    each hit counts once.
+    each hit counts once. every: boxes are read once and none is lost; one
+    without points in its first tile, or without bounds, has a row without a
+    point as well.
     """
     number = lambda c: F.floor(c / tile).cast("int")
-    across = lambda a, b: F.explode(F.sequence(number(F.col(a)), number(F.col(b))))
+    explode = F.explode_outer if every else F.explode
+    some = (F.col("x1") > F.col("x0")) & (F.col("bottom") > F.col("top"))
+    across = lambda a, b: explode(F.when(some, F.sequence(number(F.col(a)), number(F.col(b)))))
     box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")]).alias("_box")
-    tiles = boxes.where("x1 > x0 AND bottom > top").select(*keys, *ids, box, across("x0", "x1").alias("_tx"), "top", "bottom")
+    tiles = boxes.select(*keys, *ids, box, across("x0", "x1").alias("_tx"), "x0", "x1", "top", "bottom")
     tiles = tiles.select(*keys, *ids, "_box", "_tx", across("top", "bottom").alias("_ty"))
     placed = points.withColumns({"_tx": number(F.col("x")), "_ty": number(F.col("y"))})
-    met = placed.join(tiles, [*keys, "_tx", "_ty"]).where("x >= _box.x0 AND x < _box.x1 AND y >= _box.top AND y < _box.bottom")
-    return met.select(*points.columns, *ids)
+    inside = F.expr("p.x >= _box.x0 AND p.x < _box.x1 AND p.y >= _box.top AND p.y < _box.bottom")
+    same = [F.col(f"b.{k}") == F.col(f"p.{k}") for k in [*keys, "_tx", "_ty"]]
+    met = tiles.alias("b").join(placed.alias("p"), reduce(and_, [*same, inside]), "left" if every else "inner")
+    if every:
+        first = (F.col("b._tx") == number(F.col("_box.x0"))) & (F.col("b._ty") == number(F.col("_box.top")))
+        met = met.where(F.col("p.x").isNotNull() | F.coalesce(first, F.lit(True)))
+    return met.select(*[f"b.{c}" if c in keys else f"p.{c}" for c in points.columns], *[f"b.{c}" for c in ids])
 
 
 def has_table(labels: Column, blocks: Column) -> Column:

@@ -3,12 +3,18 @@
 Rules that nearly coincide are snapped to one line and joined over small gaps.
 Where a vertical and a horizontal one cross is a corner; the least rectangle
 right and below of a corner whose four sides run along rules is a cell; cells
-that share corners are a table. A page's rules are one array of its row, so all
-of this needs one shuffle by page and no pair of rules is a row.
+that share corners are a table. Rules are dealt and ordered by page once, and those
+of many pages are read at a time, by NumPy; no pair of rules is a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +27,11 @@ SNAP, JOIN, LEAST = 3.0, 3.0, 3.0
 CROSS = (3.0, 5.0)
 #: A rule that leans by less is straight.
 STRAIGHT = 0.5
-_EDGE = "array<struct<pos:double,lo:double,hi:double>>"
-_CELL = "struct<top:double,x0:double,bottom:double,x1:double>"
+#: Pairs of edges or corners that are compared at a time.
+PAIRS = 1 << 20
+#: Rules that are read at a time, and places that are handed on.
+ROWS = 1 << 16
+_BOX = ["x0", "x1", "top", "bottom"]
 
 
 def runs(held: Column, apart) -> Column:
@@ -31,93 +40,209 @@ def runs(held: Column, apart) -> Column:
     return let(begins, lambda b: F.transform(b, lambda at, k: F.slice(held, at + 1, F.coalesce(F.get(b, k + 1), F.size(held)) - at)))
 
 
-def snapped(edges: Column, snap: float = SNAP, join: float = JOIN, least: float = LEAST) -> Column:
-    """Edges (array<struct<pos, lo, hi>>) of one direction, near ones moved to their mean and joined, in order."""
-    none = F.array().cast("array<struct<lo:double,hi:double>>")
-
-    def along(state: Column, e: Column) -> Column:
-        last = F.get(state, F.size(state) - 1)
-        longer = F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], e["hi"]).alias("hi"))))
-        return F.when(e["lo"] <= last["hi"] + join, longer).otherwise(F.concat(state, F.array(F.struct(e["lo"].alias("lo"), e["hi"].alias("hi")))))
-
-    def line(own: Column) -> Column:
-        mean = F.aggregate(own, F.lit(0.0), lambda s, e: s + e["pos"]) / F.size(own)
-        joined = F.aggregate(F.array_sort(F.transform(own, lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi")))), none, along)
-        return let(mean, lambda m: F.transform(joined, lambda s: F.struct(m.alias("pos"), s["lo"].alias("lo"), s["hi"].alias("hi"))))
-
-    lines = let(F.array_sort(edges), lambda held: F.flatten(F.transform(runs(held, lambda a, b: b["pos"] - a["pos"] > snap), line)))
-    return F.filter(lines, lambda e: e["hi"] - e["lo"] >= least)
-
-
-def lattice(v: Column, h: Column, cross: float) -> Column:
-    """array<struct<top, x0, bottom, x1>>: the cells between snapped vertical and horizontal edges, in reading order."""
-
-    def meets(a: Column, e: Column) -> Column:
-        return (a["lo"] <= e["pos"] + cross) & (a["hi"] >= e["pos"] - cross) & (a["pos"] >= e["lo"] - cross) & (a["pos"] <= e["hi"] + cross)
-
-    crossed = F.transform(h, lambda e, j: F.struct(j.cast("int").alias("j"), F.filter(F.transform(v, lambda a, i: F.when(meets(a, e), i)), lambda i: i.isNotNull()).alias("at")))
-
-    def cells(lines: Column) -> Column:
-        def below(line: Column, j: Column, i: Column) -> Column:
-            """The cell whose upper left corner is that of vertical i and horizontal j; null without one."""
-            left, upper = F.get(v, i), F.get(h, j)
-
-            def lower(found: Column, other: Column) -> Column:
-                right = F.array_min(F.filter(F.array_intersect(line["at"], other["at"]), lambda k: F.get(v, k)["pos"] > left["pos"]))
-                cell = F.struct(upper["pos"].alias("top"), left["pos"].alias("x0"), F.get(h, other["j"])["pos"].alias("bottom"), F.get(v, right)["pos"].alias("x1"))
-                fits = F.array_contains(other["at"], i) & (F.get(h, other["j"])["pos"] > upper["pos"])
-                return F.when(found.isNotNull(), found).when(fits & right.isNotNull(), cell)
-
-            return F.aggregate(F.slice(lines, j + 2, F.size(lines)), F.lit(None).cast(_CELL), lower)
-
-        return F.flatten(F.transform(lines, lambda line, j: F.transform(line["at"], lambda i: below(line, j, i))))
-
-    found = F.array_sort(F.filter(let(crossed, cells), lambda c: c.isNotNull()))
-    same = lambda a, b: (a["top"] == b["top"]) & (a["x0"] == b["x0"])
-    return let(found, lambda held: F.filter(held, lambda c, i: (i == 0) | ~same(c, F.get(held, i - 1))))
-
-
-def connected(cells: Column, v: Column, h: Column) -> Column:
-    """array<array<cell>>: cells that share corners, directly or through others; single ones left out, in reading order."""
-    place = lambda edges, at: F.array_position(F.transform(edges, lambda e: e["pos"]), at)
-    corners = lambda c: F.array(*[place(h, c[y]) * (1 << 32) + place(v, c[x]) for y in ("top", "bottom") for x in ("x0", "x1")])
-    none = F.array().cast(f"array<struct<corners:array<bigint>,cells:array<{_CELL}>>>")
-
-    def add(tables: Column, c: Column) -> Column:
-        def merged(own: Column) -> Column:
-            parts = F.transform(tables, lambda t: F.struct(F.arrays_overlap(t["corners"], own).alias("touches"), t.alias("t")))
-
-            def one(told: Column) -> Column:
-                touching = F.filter(told, lambda p: p["touches"])
-                apart = F.transform(F.filter(told, lambda p: ~p["touches"]), lambda p: p["t"])
-                whole = F.struct(F.concat(F.flatten(F.transform(touching, lambda p: p["t"]["corners"])), own).alias("corners"), F.concat(F.flatten(F.transform(touching, lambda p: p["t"]["cells"])), F.array(c)).alias("cells"))
-                return F.concat(apart, F.array(whole))
-
-            return let(parts, one)
-
-        return let(corners(c), merged)
-
-    several = F.filter(F.aggregate(cells, none, add), lambda t: F.size(t["cells"]) > 1)
-    return F.array_sort(F.transform(several, lambda t: F.array_sort(t["cells"])))
-
-
-def numbered(tables: Column) -> Column:
-    """array<struct<table_idx, row_idx, col_idx, top, x0, bottom, x1>> of all grid places; those without a cell have null bounds."""
-
-    def grid(cells: Column, number: Column) -> Column:
-        levels = lambda name: F.array_sort(F.array_distinct(F.transform(cells, lambda c: c[name])))
-
-        def placed(tops: Column, lefts: Column) -> Column:
-            at = lambda c: (F.array_position(tops, c["top"]) - 1) * F.size(lefts) + F.array_position(lefts, c["x0"]) - 1
-            codes = F.transform(cells, lambda c: at(c).cast("int"))
-            missing = F.array_except(F.sequence(F.lit(0), F.size(tops) * F.size(lefts) - 1), codes)
-            place = lambda code, c: F.struct(number.cast("int").alias("table_idx"), F.floor(code / F.size(lefts)).cast("int").alias("row_idx"), (code % F.size(lefts)).cast("int").alias("col_idx"), *[c[n].alias(n) for n in ("top", "x0", "bottom", "x1")])
-            empty = F.lit(None).cast(_CELL)
-            return F.concat(F.transform(cells, lambda c: place(at(c), c)), F.transform(missing, lambda code: place(code, empty)))
-
-        return let(levels("top"), lambda tops: let(levels("x0"), lambda lefts: placed(tops, lefts)))
-
-    return F.flatten(F.transform(tables, grid))
+def _counted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n items of some counts: the item of each of their places, and the place's number in its item."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _chunks(counts: np.ndarray) -> Iterator[slice]:
+    """Slices of items whose counts add up to PAIRS or are one item's."""
+    ends, start = np.cumsum(counts), 0
+    while start < len(counts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Whether an item of sorted columns differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+class Edges(NamedTuple):
+    """Edges of one direction of many pages, in order of page and place."""
+
+    page: np.ndarray
+    pos: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+def snapped(edges: Edges, snap: float = SNAP, join: float = JOIN, least: float = LEAST) -> Edges:
+    """Edges of one direction, near ones of a page moved to their mean and joined, in order."""
+    by_place = np.lexsort((edges.hi, edges.lo, edges.pos, edges.page))
+    page, pos, lo, hi = (c[by_place] for c in edges)
+    if not len(page):
+        return edges
+    apart = _begins(page)
+    apart[1:] |= ~(pos[1:] - pos[:-1] <= snap)
+    line = np.cumsum(apart) - 1
+    mean = np.bincount(line, pos) / np.bincount(line)
+    along = np.lexsort((hi, lo, line))
+    page, lo, hi = page[along], lo[along], hi[along]
+    values, rank = np.unique(hi, return_inverse=True)
+    reach = values[np.maximum.accumulate(rank + line * len(values)) - line * len(values)]  # the largest hi of the line so far
+    new = _begins(line)
+    new[1:] |= ~(lo[1:] <= reach[:-1] + join)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    long = reach[last] - lo[first] >= least
+    first, last = first[long], last[long]
+    return Edges(page[first], mean[line[first]], lo[first], reach[last])
+
+
+def _corners(v: Edges, h: Edges, cross: float) -> tuple[np.ndarray, np.ndarray]:
+    """(horizontal, vertical) numbers of edges that meet, in order."""
+    empty = np.zeros(0, np.int64)
+    found = [(empty, empty)]
+    start, stop = np.searchsorted(v.page, h.page, "left"), np.searchsorted(v.page, h.page, "right")
+    for part in _chunks(stop - start):
+        own, at = _counted((stop - start)[part])
+        j = own + part.start
+        i = start[j] + at
+        meets = (v.lo[i] <= h.pos[j] + cross) & (v.hi[i] >= h.pos[j] - cross) & (v.pos[i] >= h.lo[j] - cross) & (v.pos[i] <= h.hi[j] + cross)
+        found.append((j[meets], i[meets]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def lattice(v: Edges, h: Edges, cross: float) -> np.ndarray:
+    """Rows (page, top, x0, bottom, x1) of the cells between snapped edges, in reading order.
+
+    Each corner looks down its vertical edge, one corner a round, until it and
+    the corner there have one to the right on a common vertical edge.
+    """
+    j, i = _corners(v, h, cross)
+    n, width = len(j), max(len(v.pos), 1)
+    key = j * width + i
+    ends = np.searchsorted(j, j, "right")
+    down = np.lexsort((j, i))
+    below = np.full(n, -1)
+    same = i[down[1:]] == i[down[:-1]]
+    below[down[:-1][same]] = down[1:][same]
+    right, under = np.full(n, -1), below.copy()
+    looking = np.flatnonzero(under >= 0)
+    while len(looking):
+        deep = h.pos[j[under[looking]]] > h.pos[j[looking]]
+        counts = np.where(deep, ends[looking] - looking - 1, 0)
+        for part in _chunks(counts):
+            own, at = _counted(counts[part])
+            corner = looking[part][own]
+            k = i[corner + 1 + at]
+            sought = j[under[corner]] * width + k
+            hit = np.minimum(np.searchsorted(key, sought), n - 1)
+            fits = (key[hit] == sought) & (v.pos[k] > v.pos[i[corner]])
+            of, first = np.unique(corner[fits], return_index=True)
+            right[of] = k[fits][first]
+        looking = looking[right[looking] < 0]
+        under[looking] = below[under[looking]]
+        looking = looking[under[looking] >= 0]
+    c = np.flatnonzero(right >= 0)
+    cells = np.column_stack([h.page[j[c]], h.pos[j[c]], v.pos[i[c]], h.pos[j[under[c]]], v.pos[right[c]]]).astype(float)
+    cells = cells[np.lexsort(cells.T[::-1])]
+    return cells[_begins(*cells.T[:3])]
+
+
+def connected(cells: np.ndarray) -> np.ndarray:
+    """For each cell the number of the first one that it reaches over shared corners, itself included."""
+    n = len(cells)
+    points = np.concatenate([cells[:, [0, y, x]] for y in (1, 3) for x in (2, 4)])
+    order = np.lexsort(points.T[::-1])
+    begins = np.flatnonzero(_begins(*points[order].T))
+    owner = order % max(n, 1)
+    label = np.arange(n)
+    while n:
+        least = np.minimum.reduceat(label[owner], begins)
+        near = np.repeat(least, np.diff(np.append(begins, len(owner))))
+        new = label.copy()
+        np.minimum.at(new, owner, near)
+        np.minimum.at(new, label[owner], near)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def numbered(cells: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """page, table, row, column and cell (-1: none) of each place of the tables, which have several cells."""
+    kept = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+    kept = kept[np.argsort(label[kept], kind="stable")]
+    page, top, x0 = cells[kept, 0], cells[kept, 1], cells[kept, 2]
+    begins = _begins(label[kept])
+    table = np.cumsum(begins) - 1
+    count = int(begins.sum())
+
+    def levels(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each cell's value among its table's, and how many there are."""
+        order = np.lexsort((value, table))
+        total = np.cumsum(_begins(table[order], value[order]))
+        out, first = np.empty(len(value), np.int64), np.searchsorted(table[order], np.arange(count))
+        out[order] = total - total[first][table[order]] if count else total
+        sizes = np.zeros(count, np.int64)
+        np.maximum.at(sizes, table, out + 1)
+        return out, sizes
+
+    (row, rows), (col, cols) = levels(top), levels(x0)
+    start = np.cumsum(rows * cols) - rows * cols
+    own, at = _counted(rows * cols)
+    held = np.full(len(own), -1)
+    held[start[table] + row * cols[table] + col] = kept
+    pages = page[begins]
+    number = np.arange(count) - np.searchsorted(pages, pages)
+    return pages[own].astype(np.int64), number[own], at // cols[own], at % cols[own], held
+
+
+def edges_of(page: np.ndarray, rules: dict[str, np.ndarray], horizontal: bool) -> Edges:
+    """Edges of one direction of rules (x0, x1, top, bottom); slanted rules are none."""
+    a, b, c, d = (rules[n] for n in (("top", "bottom", "x0", "x1") if horizontal else ("x0", "x1", "top", "bottom")))
+    straight = (np.abs(a - b) < STRAIGHT) & (np.abs(c - d) >= STRAIGHT)
+    return Edges(page[straight], a[straight], np.minimum(c, d)[straight], np.maximum(c, d)[straight])
+
+
+def _new_pages(rows: pa.Table) -> np.ndarray:
+    """Whether a row's page differs from that of the row before it."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in (rows.column(name) for name in PAGE):
+        a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+        new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b))).to_numpy()
+    return new
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole pages of batches ordered by page, ROWS rows or more at a time, and where pages begin."""
+    held, size, least = [], 0, ROWS
+    for batch in batches:
+        held, size = [*held, pa.Table.from_batches([batch])], size + batch.num_rows
+        if size >= least:
+            rows = pa.concat_tables(held)
+            begins = _new_pages(rows)
+            last = int(np.flatnonzero(begins)[-1])
+            if last:
+                yield rows.slice(0, last), begins[:last]
+            held, size = [rows.slice(last)], size - last
+            least = max(ROWS, 2 * size)
+    if size:
+        rows = pa.concat_tables(held)
+        yield rows, _new_pages(rows)
+
+
+def places(page: np.ndarray, rules: dict[str, np.ndarray], cross: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """page, table, row, column, top, x0, bottom, x1 of all places of the ruled tables of numbered pages; NaN without a cell."""
+    v, h = snapped(edges_of(page, rules, False)), snapped(edges_of(page, rules, True))
+    out = []
+    for near in cross:
+        cells = lattice(v, h, near)
+        *where, held = numbered(cells, connected(cells))
+        bounds = np.where(held[:, None] >= 0, np.append(cells[:, 1:], [[np.nan] * 4], axis=0)[held], np.nan)
+        out.append((*where, *bounds.T))
+        v, h = (Edges(*[c[~np.isin(e.page, where[0])] for c in e]) for e in (v, h))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def rectangle_edges(boxes: DataFrame) -> DataFrame:
@@ -127,14 +252,6 @@ def rectangle_edges(boxes: DataFrame) -> DataFrame:
     return boxes.select(*PAGE, F.explode(sides).alias("_s")).select(*PAGE, "_s.*")
 
 
-def edges_of(rules: Column, horizontal: bool) -> Column:
-    """Edges (pos, lo, hi) of a page's rules (x0, x1, top, bottom) of one direction; slanted rules are none."""
-    ends = ("top", "bottom", "x0", "x1") if horizontal else ("x0", "x1", "top", "bottom")
-    at = lambda r, *names: [r[n].cast("double") for n in names]
-    straight = F.filter(rules, lambda r: (F.abs(r[ends[0]] - r[ends[1]]) < STRAIGHT) & (F.abs(r[ends[2]] - r[ends[3]]) >= STRAIGHT))
-    return F.transform(straight, lambda r: F.struct(at(r, ends[0])[0].alias("pos"), F.least(*at(r, ends[2], ends[3])).alias("lo"), F.greatest(*at(r, ends[2], ends[3])).alias("hi"))).cast(_EDGE)
-
-
 def ruled_cells(rules: DataFrame, cross: tuple[float, ...] = CROSS) -> DataFrame:
     """doc_id, page, table_idx, row_idx, col_idx, top, x0, bottom, x1: the grid places of all ruled tables.
 
@@ -143,17 +260,19 @@ def ruled_cells(rules: DataFrame, cross: tuple[float, ...] = CROSS) -> DataFrame
     (merged with another, or missing) have null bounds. Null and slanted rules
     are left out; pages without tables have no rows.
     """
-    rule = F.struct("x0", "x1", "top", "bottom")
-    pages = rules.dropna(subset=["x0", "x1", "top", "bottom"]).groupBy(*PAGE).agg(F.collect_list(rule).alias("_rules"))
-    pages = pages.select(*PAGE, snapped(edges_of(F.col("_rules"), False)).alias("_v"), snapped(edges_of(F.col("_rules"), True)).alias("_h"))
-    pages = pages.withColumn("_t", F.array().cast(f"array<array<{_CELL}>>"))
-    v, h = F.col("_v"), F.col("_h")
-    for near in cross:
-        none = F.size("_t") == 0
-        pages = pages.withColumn("_l", F.when(none, lattice(v, h, near)))
-        pages = pages.withColumn("_t", F.when(none, connected(F.col("_l"), v, h)).otherwise(F.col("_t")))
-    places = pages.select(*PAGE, F.explode_outer(numbered(F.col("_t"))).alias("_c"))  # the inner one copies its whole input into a filter
-    return places.where("_c IS NOT NULL").select(*PAGE, "_c.*")
+    rows = rules.dropna(subset=_BOX).select(*PAGE, *[F.col(c).cast("double").alias(c) for c in _BOX])
+    keys = [f"{c} {rules.schema[c].dataType.simpleString()}" for c in PAGE]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, begins in _whole_pages(batches):
+            page, *numbers, top, x0, bottom, x1 = places(np.cumsum(begins) - 1, {n: held.column(n).to_numpy() for n in _BOX}, cross)
+            at = pa.array(np.flatnonzero(begins)[page])
+            own = [held.column(c).take(at) for c in PAGE]
+            bounds = [pa.array(b, mask=np.isnan(b)) for b in (top, x0, bottom, x1)]
+            found = pa.table([*own, *[pa.array(n.astype(np.int32)) for n in numbers], *bounds], names=[*PAGE, "table_idx", "row_idx", "col_idx", "top", "x0", "bottom", "x1"])
+            yield from found.combine_chunks().to_batches(ROWS)
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(read, ", ".join([*keys, "table_idx int, row_idx int, col_idx int, top double, x0 double, bottom double, x1 double"]))
 
 
 def ruled_tables(words: DataFrame, rules: DataFrame, cross: tuple[float, ...] = CROSS, near: float = 3.0, cells: DataFrame | None = None) -> DataFrame:
@@ -167,8 +286,10 @@ def ruled_tables(words: DataFrame, rules: DataFrame, cross: tuple[float, ...] =
     cells = ruled_cells(rules, cross) if cells is None else cells
     place = [*PAGE, "table_idx", "row_idx", "col_idx"]
     middle = words.where(F.col("text").isNotNull()).select(*PAGE, "word_idx", "text", *[F.col(c).cast("double").alias(f"_{c}") for c in ("x0", "top")], ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("top") + F.col("bottom")) / 2).alias("y"))
-    held = points_in_boxes(middle, cells.where("x0 IS NOT NULL"), PAGE, ["table_idx", "row_idx", "col_idx"])
-    word = F.struct(F.col("_top").alias("top"), F.col("_x0").alias("x0"), "word_idx", "text")
+    cells = cells.withColumn("_cell", F.col("x0").isNotNull())
+    held = points_in_boxes(middle, cells, PAGE, [*place[2:], "_cell"], every=True)
+    word = F.when(F.col("x").isNotNull(), F.struct(F.col("_top").alias("top"), F.col("_x0").alias("x0"), "word_idx", "text"))
     lines = F.transform(word_lines(F.col("_w"), near), lambda line: F.array_join(F.transform(line, lambda w: w["text"]), " "))
-    texts = held.groupBy(*place).agg(F.collect_list(word).alias("_w")).select(*place, F.array_join(lines, "\n").alias("_t"))
-    return cells.join(texts, place, "left").select(*place, F.when(F.col("x0").isNotNull(), F.coalesce("_t", F.lit(""))).alias("text"))
+    filled = held.groupBy(*place, "_cell").agg(F.collect_list(word).alias("_w"))
+    text = F.when(F.size("_w") > 0, F.array_join(lines, "\n")).otherwise(F.lit(""))
+    return filled.select(*place, F.when(F.col("_cell"), text).alias("text"))

@@ -145,7 +145,7 @@ def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 7 <> 6 AND floor(o_orderkey / 3) % 4 <> 3")
+    orders = table(spark, sf_dir, "orders").where("o_custkey % 7 <> 6 AND floor(o_orderkey / 3) % 4 <> 3").repartition("o_orderkey")  # few splits, many rules
     orders = orders.select(F.floor(c("o_orderkey") / 3).alias("doc_id"), (c("o_orderkey") % 3).cast("int").alias("page"), c("o_custkey").alias("k"), (2 + c("o_custkey") % 3).alias("nc"), (2 + F.floor(c("o_custkey") / 3) % 4).alias("nr"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n))
     grid = orders.select("*", each(c("k") % 2).alias("z")).select("*", each(c("nr")).alias("r")).select("*", each(c("nc")).alias("c"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from gridline.operators import layout as L
@@ -245,3 +246,27 @@ def test_points_meet_boxes_once(spark):
     got = L.points_in_boxes(spark.createDataFrame(points, "page int, point int, x double, y double"), frame, ["page"], ["box"], tile=37.0).select("page", "point", "box").collect()
     want = [(p, i, b) for p, i, x, y in points for q, b, x0, x1, t, u in boxes if p == q and x0 <= x < x1 and t <= y < u]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_are_read_once(spark):
+    words = spark.createDataFrame([(1, 1, 0, 1.0, 2.0, 1.0, 2.0, "w")], WORD)
+    assert plan(R.ruled_tables(words, spark.createDataFrame([(1, 1, *r) for r in grid(0.0, 0.0, 3, 2)], RULE))).count("MapInArrow") == 1
+
+
+def test_documents_of_ruled_tables_are_found_once(spark):
+    words = spark.createDataFrame([(1, 1, 0, 1.0, 2.0, 1.0, 2.0, "w")], WORD)
+    rules = spark.createDataFrame([(1, 1, *r) for r in grid(0.0, 0.0, 3, 2)], RULE)
+    assert plan(P.document_tables(words, rules)).count("MapInArrow") == 1
+
+
+def test_pages_over_several_batches_stay_whole(monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 4)
+    numbers = [1] * 3 + [2] * 9 + [3, 3, 4, 5, 5, 5]
+    batches = [pa.record_batch({"doc_id": numbers[i : i + 2], "page": [0] * len(numbers[i : i + 2])}) for i in range(0, len(numbers), 2)]
+    got = [(rows.column("doc_id").to_pylist(), begins.sum()) for rows, begins in R._whole_pages(iter(batches))]
+    assert sum((n for n, _ in got), []) == numbers and len(got) > 1
+    assert all(len(set(n)) == count for n, count in got) and sum(count for _, count in got) == 5
