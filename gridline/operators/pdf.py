@@ -10,6 +10,7 @@ from gridline.model import HEADER_ANCHORS
 from gridline.operators import layout as L
 from gridline.operators import ruled as R
 from gridline.operators.tables import SELECTED, anchor_score, header_index
+from gridline.session import cut
 
 PAGE = ["doc_id", "page"]
 #: Lines below the header that shape the columns; words this near to a line's top belong to it.
@@ -135,7 +136,7 @@ def document_tables(words: DataFrame, rules: DataFrame, images: DataFrame | None
     found = R.ruled_tables(words, rules, cells=cells).withColumn("text", X.pdf_cell(F.col("text")))
     hits = F.sum(F.when(F.col("row_idx") == 0, anchor_score(X.normalize(F.col("text")), anchors))).over(Window.partitionBy(*PAGE, "table_idx"))
     chosen = found.withColumn("_hits", hits).where(F.col("_hits") >= SELECTED).drop("_hits")
-    ruled = cells.select("doc_id").distinct()
+    ruled = cut(cells.select("doc_id").distinct())
     others = lambda df: None if df is None else df.join(ruled, "doc_id", "left_anti")
     shaped = geometric_tables(others(words), anchors, images, rules)
     shaped = shaped.select(*PAGE, F.lit(0).alias("table_idx"), "row_idx", "col_idx", "text", F.lit(False).alias("ruled"))
