@@ -16,7 +16,7 @@ from gridline.functions import text as X
 from gridline.model import BRANDS, DOMAIN_TERMS
 from gridline.operators import inflect
 from gridline.operators.nearest import nearest
-from gridline.session import cut
+from gridline.session import cut, spread
 
 BRAND_SCORE, DOMAIN_SCORE, LEXICON_SCORE = 75.0, 70.0, 60.0
 
@@ -148,7 +148,7 @@ def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None
     that, for a token may have been a part of one. lexicon(word, ord) is a
     literal if it's counted to be short. paradigms are stems and endings
     (inflect): their forms are known words and terms behind the lexicon's.
-    Cells are dealt by keys once.
+    Each distinct text is repaired once, and all of them are dealt to all cores.
     """
     known: list[str] | DataFrame = list(DOMAIN_TERMS)
     if paradigms is not None:
@@ -158,10 +158,12 @@ def repaired(cells: DataFrame, keys: list[str], lexicon: DataFrame | None = None
         rows = lexicon.orderBy("ord").limit(TERM_ROWS + 1).collect()
         known = [r["word"] for r in rows] if len(rows) <= TERM_ROWS else lexicon
     blank = F.coalesce(X.strip(F.col("text")), F.lit("")) == ""
-    signs = canonical_brands(cells.where(~blank).select(*keys, X.ocr_signs(mojibake.repaired(F.col("text"))).alias("text")), keys)
-    clean = signs.select(*keys, X.ocr_words(F.col("text")).alias("text"))
-    done = canonical_brands(joined(corrected(tokens(clean, keys), known), keys), keys)
-    return cells.where(blank).select(*keys, "text").unionByName(done)
+    texts = spread(cells.where(~blank).select(F.col("text").alias("_text")).distinct(), "_text")
+    signs = canonical_brands(texts.select("_text", X.ocr_signs(mojibake.repaired(F.col("_text"))).alias("text")), ["_text"])
+    clean = signs.select("_text", X.ocr_words(F.col("text")).alias("text"))
+    done = canonical_brands(joined(corrected(tokens(clean, ["_text"]), known), ["_text"]), ["_text"])
+    fixed = cells.where(~blank).select(*keys, F.col("text").alias("_text")).join(done, "_text").select(*keys, "text")
+    return cells.where(blank).select(*keys, "text").unionByName(fixed)
 
 
 def ambiguous(word: Column) -> Column:

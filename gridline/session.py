@@ -57,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df dealt to all cores by keys, for costly work on tables of few splits; never coalesced."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers, wherever they run; once for each application."""
     context = spark.sparkContext

@@ -101,3 +101,20 @@ def test_repair_with_a_lexicon_relation_is_that_with_a_list(spark, monkeypatch):
     assert {r["id"]: r["text"] for r in related.collect()} == listed
     assert "Python" not in related._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in O.repaired(cells, ["id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_texts_are_repaired_once(spark):
+    """As many texts go through the passes as are distinct, dealt to several tasks."""
+    cells = spark.createDataFrame([(i, "Pe3eц") for i in range(50)] + [(50, "державkа"), (51, " "), (52, None)], "k int, text string")
+    done = O.repaired(cells, ["k"])
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_text" in plan and "RepartitionByExpression [_text" in plan
+    got = {r["k"]: r["text"] for r in done.collect()}
+    assert got == {i: "Резец" for i in range(50)} | {50: "державка", 51: " ", 52: None}
+
+
+def test_types_are_told_of_exploded_tokens(spark):
+    found = O.tokens(spark.createDataFrame([(1, "a 5 HSK-63 b c, 1.5"), (2, ""), (3, None)], "k int, text string"), ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Generate" in line] and not any("regexp_count" in line for line in plan.splitlines() if "lambda" in line)
+    assert [(r["token"], r["kind"], r["near_number"]) for r in found.orderBy("k", "pos").collect() if r["kind"] in ("word", "numeric")][:2] == [("a", "word", True), ("5", "numeric", False)]
