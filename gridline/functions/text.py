@@ -117,6 +117,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+|\s+|[^\p{L}\p{M}\p{N}_\s]"), 0)
 
 
+def is_numeric(token: Column) -> Column:
+    """Whether a token's type is numeric; no other type that's told before has these signs alone."""
+    return token.rlike(r"^[\d.,]+$")
+
+
 def token_type(token: Column) -> Column:
     """whitespace, word, technical, numeric or special."""
     digit, letters = token.rlike(r"\d"), F.regexp_count(token, F.lit("[A-Za-zА-Яа-я]"))
@@ -128,7 +133,7 @@ def token_type(token: Column) -> Column:
         .when(digit & token.rlike("[a-z]"), "word")
         .when(technical, "technical")
         .when(digit & token.rlike("[A-ZА-Я]") & (F.length(token) >= 3) & (letters > 0) & (upper >= 0.7 * letters), "technical")
-        .when(token.rlike(r"^[\d.,]+$"), "numeric")
+        .when(is_numeric(token), "numeric")
         .when(token.rlike(r"[\p{IsCyrillic}\p{IsLatin}]"), "word")
         .otherwise("special")
     )

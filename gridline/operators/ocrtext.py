@@ -36,14 +36,15 @@ def terms(spark: SparkSession, words: list[str] = DOMAIN_TERMS) -> DataFrame:
 def tokens(cells: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, pos, token, kind, near_number: every token with its type and whether one of two on each side is a number.
 
-    Neighbours are looked up in the array of a text's tokens; none is shuffled.
+    Neighbours are looked up in an array that tells a text's numbers; no token
+    is shuffled, and types are told of exploded tokens, in generated code.
     """
-    typed = F.transform(X.tokens(F.col(text)), lambda t: F.struct(t.alias("token"), X.token_type(t).alias("kind")))
-    held = cells.select(*keys, typed.alias("_t"))
-    numeric = lambda i: F.coalesce(F.get("_t", i)["kind"] == "numeric", F.lit(False))
+    held = cells.select(*keys, X.tokens(F.col(text)).alias("_t")).withColumn("_n", F.transform("_t", X.is_numeric))
+    numeric = lambda i: F.coalesce(F.get("_n", i), F.lit(False))
     near = lambda i: numeric(i - 2) | numeric(i - 1) | numeric(i + 1) | numeric(i + 2)
-    told = F.transform("_t", lambda t, i: F.struct(t["token"].alias("token"), t["kind"].alias("kind"), near(i).alias("near_number")))
-    return held.select(*keys, F.posexplode(told).alias("pos", "_t")).select(*keys, "pos", "_t.*")
+    told = F.transform("_t", lambda t, i: F.struct(t.alias("token"), near(i).alias("near_number")))
+    each = held.select(*keys, F.posexplode_outer(told).alias("pos", "_t")).where("pos IS NOT NULL")  # the inner one copies its whole input into a filter
+    return each.select(*keys, "pos", "_t.token", X.token_type(F.col("_t.token")).alias("kind"), "_t.near_number")
 
 
 def corrected(tokens: DataFrame, lexicon: list[str] | DataFrame, domain: list[str] = DOMAIN_TERMS, names: list[str] = BRANDS) -> DataFrame:

@@ -103,7 +103,7 @@ def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ocrtext.tokens(table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.where("kind = 'word' AND near_number").select("doc_id", "pos", "token")
+    return found.where("near_number AND kind = 'word'").select("doc_id", "pos", "token")
 
 
 @register(
