@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridline.functions import extract as E
 from gridline.plans.register import register, table
+from gridline.session import spread
 
 #: Descriptions, dealt to the parts; names in braces are columns of a part.
 FORMS = [
@@ -61,7 +62,7 @@ def _sql(form: str) -> str:
 def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_partkey") % len(FORMS)
     text = reduce(lambda c, i: c.when(kind == i, _column(FORMS[i])), range(1, len(FORMS)), F.when(kind == 0, _column(FORMS[0])))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(_FIELDS["size"][0]).alias("size"), F.expr(_FIELDS["code"][0]).alias("code"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_brand", F.expr(_FIELDS["size"][0]).alias("size"), F.expr(_FIELDS["code"][0]).alias("code"), text.alias("text"))
 
 
 def _all(text: str, patterns: list[str]) -> str:

@@ -288,3 +288,11 @@ def test_reasoned_prompts(spark):
     assert [r["mode"] for r in made] == ["simplified", "extended"] and "Запись 7:\n  Товары работы услуги: Державка" in made[0]["user"] and "  Unnamed: 4: \n" in made[0]["user"]
     row = json.loads(made[1]["assistant"])["rows"][0]
     assert (row["Обозначение"], row["Наименование"], row["Производитель"], row["Единица измерения"], row["Техническое задание"]) == ("A0123", "Державка Sandvik", "Державка", "шт.", "Размеры: ø20 x 30")
+
+
+def test_descriptions_of_one_split_are_read_by_several_tasks(spark, tmp_path):
+    from gridline.plans import extract_queries as Q
+
+    part = spark.range(40).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert Q.reasoning(spark, str(tmp_path)).rdd.getNumPartitions() > 1
