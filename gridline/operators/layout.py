@@ -6,13 +6,17 @@ are residuals of equi-joins and windows never span the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridline.functions.geometry import iou
+from gridline.operators import spans as S
 
 LEAST_IOU = 0.05
 
@@ -138,79 +142,31 @@ def lines_of(words: Column, limit: float = 3.0) -> Column:
     return F.transform(word_lines(exact, limit), line)
 
 
-def islands(spans: Column) -> Column:
-    """struct<lo, hi, runs array<struct<from, to>>> of spans array<struct<lo, hi>>: runs of pixels that fewer than two cover.
-
-    A span is two events, at its first pixel and behind its last; a fold over
-    the ordered events of one page adds them up and keeps the empty runs. lo
-    and hi enclose all spans, null without any.
-    """
-    event = lambda p, step: F.struct(p.cast("int").alias("p"), F.lit(step).alias("step"))
-    first = F.floor(F.array_min(F.transform(spans, lambda s: s["lo"])))
-    last = F.ceil(F.array_max(F.transform(spans, lambda s: s["hi"])))
-    wide = F.filter(spans, lambda s: F.ceil(s["hi"]) > F.floor(s["lo"]))
-    events = F.concat(F.flatten(F.transform(wide, lambda s: F.array(event(F.floor(s["lo"]), 1), event(F.ceil(s["hi"]), -1)))), F.array(event(first, 0), event(last, 0)))
-    run = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
-    none = F.array().cast("array<struct<from:int,to:int>>")
-    start = F.struct(F.lit(None).cast("int").alias("p"), F.lit(0).alias("cover"), none.alias("runs"))
-
-    def step(state: Column, e: Column) -> Column:
-        runs, empty = state["runs"], F.coalesce((e["p"] > state["p"]) & (state["cover"] < 2), F.lit(False))
-        goes_on = F.coalesce(F.get(runs, F.size(runs) - 1)["to"] == state["p"] - 1, F.lit(False))
-        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(run(F.get(runs, F.size(runs) - 1)["from"], e["p"] - 1)))
-        more = F.when(~empty, runs).when(goes_on, longer).otherwise(F.concat(runs, F.array(run(state["p"], e["p"] - 1))))
-        return F.struct(e["p"].alias("p"), (state["cover"] + e["step"]).alias("cover"), more.alias("runs"))
-
-    runs = F.when(F.size(spans) > 0, F.aggregate(F.array_sort(events), start, step)["runs"]).otherwise(none)
-    return F.struct(first.cast("int").alias("lo"), last.cast("int").alias("hi"), runs.alias("runs"))
-
-
-def column_bounds(spans: Column) -> Column:
-    """array<double>: middles of the empty runs between spans, then the right edge; null without spans.
-
-    A leading run counts at the left edge, a trailing one at its last pixel.
-    """
-
-    def bounds(found: Column) -> Column:
-        at = lambda r: F.when(r["to"] == found["hi"] - 1, found["hi"] - 1).when(r["from"] == found["lo"], found["lo"]).otherwise((r["from"] + r["to"]) / 2).cast("double")
-        return F.when(found["hi"].isNotNull(), F.concat(F.transform(found["runs"], at), F.array(found["hi"].cast("double"))))
-
-    return let(islands(spans), bounds)
-
-
-def row_bounds(spans: Column, jump: float = 5.0, last: float = 2.0) -> Column:
-    """array<double>: heights where an empty run is jump times the one before it, then the bottom; null without spans.
-
-    After such a jump the comparison starts anew; a run at the bottom needs
-    only last times, and no run before it.
-    """
-    start = F.struct(F.lit(None).cast("int").alias("gap"), F.array().cast("array<double>").alias("b"))
-
-    def bounds(found: Column) -> Column:
-        def step(state: Column, r: Column) -> Column:
-            n, end = r["to"] - r["from"] + 1, r["to"] == found["hi"] - 1
-            big = F.coalesce(n > F.when(end, last).otherwise(jump) * state["gap"], end)
-            bound = ((r["from"] + r["to"]) / 2).cast("double")
-            return F.struct(F.when(big, F.lit(None).cast("int")).otherwise(n).alias("gap"), F.when(big, F.concat(state["b"], F.array(bound))).otherwise(state["b"]).alias("b"))
-
-        return F.when(found["hi"].isNotNull(), F.concat(F.aggregate(found["runs"], start, step)["b"], F.array(found["hi"].cast("double"))))
-
-    return let(islands(spans), bounds)
+def _bounds(segments: DataFrame, keys: list[str], low: str, high: str, read: Callable[[S.Runs], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """keys, bounds of the segments of each key, which are dealt and ordered by key and read many keys at a time; null without segments."""
+    span = segments.select(*keys, F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"))
+    named = [f"{k} {span.schema[k].dataType.simpleString()}" for k in keys]
 
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, begins in S.whole_groups(batches, keys, S.ROWS):
+            n = int(begins.sum())
+            group, at = read(S.empty_runs(np.cumsum(begins) - 1, held.column("_lo").to_numpy(), held.column("_hi").to_numpy(), n))
+            sizes = np.bincount(group, minlength=n)
+            lists = pa.ListArray.from_arrays(pa.array(S.starts(sizes), pa.int32()), pa.array(at), mask=pa.array(sizes == 0))
+            own = [held.column(k).take(pa.array(np.flatnonzero(begins))) for k in keys]
+            yield from pa.table([*own, lists], names=[*keys, "bounds"]).combine_chunks().to_batches(S.ROWS)
 
-def _spans(segments: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
-    span = F.struct(F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"))
-    return segments.groupBy(*keys).agg(F.collect_list(span).alias("_spans"))
+    return span.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(bounds, ", ".join([*named, "bounds array<double>"]))
 
 
 def column_histogram(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, bounds: column_bounds of the segments (x0, x1) of a page, which are one row of its array."""
-    return _spans(segments, keys, "x0", "x1").select(*keys, column_bounds(F.col("_spans")).alias("bounds"))
+    """keys, bounds: spans.column_bounds of the segments (x0, x1) of a page."""
+    return _bounds(segments, keys, "x0", "x1", S.column_bounds)
 
 
 def row_histogram(segments: DataFrame, keys: list[str], jump: float = 5.0, last: float = 2.0) -> DataFrame:
-    """keys, bounds: row_bounds of the segments (top, bottom) of a page."""
-    return _spans(segments, keys, "top", "bottom").select(*keys, row_bounds(F.col("_spans"), jump, last).alias("bounds"))
+    """keys, bounds: spans.row_bounds of the segments (top, bottom) of a page."""
+    return _bounds(segments, keys, "top", "bottom", lambda runs: S.row_bounds(runs, jump, last))
 
 
 def header_band(line: Column, rules: Column) -> Column:

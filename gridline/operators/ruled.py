@@ -14,11 +14,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridline.operators.layout import let, points_in_boxes, word_lines
+from gridline.operators.spans import whole_groups
 
 PAGE = ["doc_id", "page"]
 #: Rules this near are one line; ends this near are joined; shorter ones are none.
@@ -204,32 +204,9 @@ def edges_of(page: np.ndarray, rules: dict[str, np.ndarray], horizontal: bool) -
     return Edges(page[straight], a[straight], np.minimum(c, d)[straight], np.maximum(c, d)[straight])
 
 
-def _new_pages(rows: pa.Table) -> np.ndarray:
-    """Whether a row's page differs from that of the row before it."""
-    new = np.zeros(len(rows), bool)
-    new[:1] = True
-    for c in (rows.column(name) for name in PAGE):
-        a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
-        new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b))).to_numpy()
-    return new
-
-
 def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole pages of batches ordered by page, ROWS rows or more at a time, and where pages begin."""
-    held, size, least = [], 0, ROWS
-    for batch in batches:
-        held, size = [*held, pa.Table.from_batches([batch])], size + batch.num_rows
-        if size >= least:
-            rows = pa.concat_tables(held)
-            begins = _new_pages(rows)
-            last = int(np.flatnonzero(begins)[-1])
-            if last:
-                yield rows.slice(0, last), begins[:last]
-            held, size = [rows.slice(last)], size - last
-            least = max(ROWS, 2 * size)
-    if size:
-        rows = pa.concat_tables(held)
-        yield rows, _new_pages(rows)
+    return whole_groups(batches, PAGE, ROWS)
 
 
 def places(page: np.ndarray, rules: dict[str, np.ndarray], cross: tuple[float, ...]) -> tuple[np.ndarray, ...]:
