@@ -57,3 +57,19 @@ def test_accents_at_the_start_of_words_are_not_read_as_cyrillic(repair):
     texts = ["Pachque çaneux et.", "et égal", "à la ça", "Île, ëh", "è", "ça va, à ñu ù"]
     assert repair([misread(t, "utf-8", "latin-1") for t in texts]) == texts
     assert repair(texts) == texts
+
+
+def test_words_of_accents_are_neither_lost_nor_read_as_cyrillic(repair):
+    """Alone they're unlikely as they are, and once each stands for likelier Cyrillic by chance."""
+    texts = ["De anque re éè en auxrepa.", "éè", "Und çé berci.", "Los las ñóó.", "Aile, " * 50 + "éè. " * 50]
+    assert repair([misread(t, "utf-8", "latin-1") for t in texts]) == texts
+    assert repair(texts) == texts
+
+
+def test_batches_keep_other_texts_and_cut_none(spark):
+    texts = [None, "", "plain", misread(CLEAN[0] * 100, "utf-8", "latin-1"), "日本語", "𝄞 é", misread("El niño", "utf-8", "latin-1")] * 3
+    want = [None, "", "plain", CLEAN[0] * 100, "日本語", "𝄞 é", "El niño"] * 3
+    held = spark.createDataFrame([(i, bytes(t, "utf-8") if t is not None else None) for i, t in enumerate(texts)] + [(99, b"\xff\xc3(")], "i int, b binary")
+    got = sorted(held.select("i", M.repaired(F.col("b").cast("string")).cast("binary").alias("b")).collect())
+    assert [None if r["b"] is None else r["b"].decode() for r in got[:-1]] == want
+    assert bytes(got[-1]["b"]) == b"\xff\xc3("
