@@ -13,6 +13,7 @@ from gridline.functions import text as X
 from gridline.model import TRANSLITERATION
 from gridline.operators import inflect, ocrtext
 from gridline.plans.register import register, table
+from gridline.session import spread
 from gridline.sources import text as text_source
 
 _ICONS = {".html": "🌐", ".pdf": "📕", ".txt": "📄"}
@@ -222,9 +223,9 @@ def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases in wrong tables, all documents read with a wrong one, and all as they are."""
     texts = F.array(*[F.lit(t) for t, _ in _misread()])
     part = table(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("id"), F.element_at(texts, (F.col("p_partkey") % len(_misread()) + 1).cast("int")).alias("text"))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    both = docs.select(F.lit("misread").alias("source"), F.col("doc_id").alias("id"), wrong.alias("text")).unionByName(docs.select(F.lit("clean").alias("source"), F.col("doc_id").alias("id"), "text"))
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
+    kind = lambda name, text: F.struct(F.lit(name).alias("source"), F.col("doc_id").alias("id"), text.alias("text"))
+    both = docs.select(F.inline(F.array(kind("misread", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")), kind("clean", F.col("text")))))
     return part.unionByName(both).withColumn("text", mojibake.repaired(F.col("text")))
 
 
