@@ -203,7 +203,7 @@ def document_tables(words: DataFrame, rules: DataFrame, images: DataFrame | None
     words' places, a table of number 0 a page. Columns as in geometric_tables.
     """
     cells = R.ruled_cells(rules)
-    found = R.ruled_tables(words, rules, cells=cells).withColumn("text", X.pdf_cell(F.col("text")))
+    found = R.ruled_tables(words, rules).withColumn("text", X.pdf_cell(F.col("text")))
     hits = F.sum(F.when(F.col("row_idx") == 0, anchor_score(X.normalize(F.col("text")), anchors))).over(Window.partitionBy(*PAGE, "table_idx"))
     chosen = found.withColumn("_hits", hits).where(F.col("_hits") >= SELECTED).drop("_hits")
     ruled = cut(cells.select("doc_id").distinct())

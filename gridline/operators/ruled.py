@@ -14,11 +14,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridline.operators.layout import let, points_in_boxes, word_lines
-from gridline.operators.spans import whole_groups
+from gridline.operators.layout import let
+from gridline.operators.spans import line_begins, whole_groups
 
 PAGE = ["doc_id", "page"]
 #: Rules this near are one line; ends this near are joined; shorter ones are none.
@@ -252,21 +253,116 @@ def ruled_cells(rules: DataFrame, cross: tuple[float, ...] = CROSS) -> DataFrame
     return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(read, ", ".join([*keys, "table_idx int, row_idx int, col_idx int, top double, x0 double, bottom double, x1 double"]))
 
 
-def ruled_tables(words: DataFrame, rules: DataFrame, cross: tuple[float, ...] = CROSS, near: float = 3.0, cells: DataFrame | None = None) -> DataFrame:
+def _by_page(rules: DataFrame) -> DataFrame:
+    """doc_id, page and the rules of each page as an array; rules that are dealt by page already stay where they are."""
+    rows = rules.dropna(subset=_BOX).select(*PAGE, F.struct(*[F.col(c).cast("double").alias(c) for c in _BOX]).alias("rule"))
+    return rows.groupBy(*PAGE).agg(F.collect_list("rule").alias("rules"))
+
+
+def _pages(batches: Iterator[pa.RecordBatch], lists: list[str]) -> Iterator[pa.Table]:
+    """Pages of batches whose lists hold ROWS items or more together, or of one batch."""
+    for batch in batches:
+        ends = np.cumsum(sum(pc.fill_null(pc.list_value_length(batch.column(n)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in lists))
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ROWS)) + 1
+            yield pa.Table.from_batches([batch.slice(start, stop - start)]).combine_chunks()
+            start = stop
+
+
+def _items(pages: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
+    """The number of its page for each item of a column of lists, and the items."""
+    lists = pages.column(name).combine_chunks()
+    return pc.list_parent_indices(lists).to_numpy().astype(np.int64), pc.list_flatten(lists)
+
+
+def _places_of(pages: pa.Table, cross: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    page, rules = _items(pages, "rules")
+    return places(page, {n: pc.struct_field(rules, n).to_numpy(zero_copy_only=False) for n in _BOX}, cross)
+
+
+def ruled_documents(rules: DataFrame, cross: tuple[float, ...] = CROSS) -> DataFrame:
+    """The distinct doc_id of ruled tables."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _pages(batches, ["rules"]):
+            at = np.unique(_places_of(pages, cross)[0])
+            yield from pa.table([pages.column("doc_id").take(pa.array(at))], names=["doc_id"]).combine_chunks().to_batches()
+
+    return _by_page(rules).mapInArrow(read, f"doc_id {rules.schema['doc_id'].dataType.simpleString()}").distinct()
+
+
+def _held(box: tuple[np.ndarray, ...], place_page: np.ndarray, page: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, word) of all words (x, y) in half-open boxes (top, x0, bottom, x1) of their pages, in order. Only words at a box's height are compared."""
+    top, x0, bottom, x1 = box
+    values = np.unique(y[~np.isnan(y)])
+    width = len(values) + 2
+    down = np.lexsort((y, page))
+    key = page[down] * width + np.searchsorted(values, y[down])  # NaN comes last on its page
+    key[np.isnan(y[down])] = page[down][np.isnan(y[down])] * width + width - 1
+    level = lambda v: place_page * width + np.searchsorted(values, v)
+    some = bottom > top  # not without a cell
+    start, stop = np.searchsorted(key, level(top)), np.searchsorted(key, level(np.where(some, bottom, np.inf)))
+    counts = np.where(some, np.maximum(stop - start, 0), 0)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for part in _chunks(counts):
+        own, at = _counted(counts[part])
+        place = own + part.start
+        word = down[start[place] + at]
+        inside = (x[word] >= x0[place]) & (x[word] < x1[place])
+        found.append((place[inside], word[inside]))
+    place, word = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.lexsort((word, place))
+    return place[order], word[order]
+
+
+def _texts(place: np.ndarray, word: np.ndarray, top: np.ndarray, x0: np.ndarray, texts: pa.Array, n: int, near: float) -> pa.Array:
+    """The text of each of n places from its words: lines from left to right."""
+    new = _begins(place)
+    begins = line_begins(new, top[word], near)
+    order = np.lexsort((x0[word], np.cumsum(begins)))  # lines keep their places
+    marks = pa.DictionaryArray.from_arrays(pa.array(np.where(new, 0, np.where(begins, 1, 2)).astype(np.int8)), pa.array(["", "\n", " "])).cast(pa.string())
+    parts = pc.binary_join_element_wise(marks, texts.take(pa.array(word[order])).cast(pa.string()), "")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.searchsorted(place, np.arange(n + 1)).astype(np.int32)), parts), "")
+
+
+def page_tables(words: DataFrame, rules: DataFrame, cross: tuple[float, ...] = CROSS, near: float = 3.0) -> DataFrame:
+    """doc_id, page, table_idx, cells array<struct<row_idx, col_idx, text>>: ruled_tables, a row for each table.
+
+    Words and rules are dealt by page once and meet there; NumPy reads many
+    pages at a time. Neither cells nor their words are shuffled.
+    """
+    double = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    word = F.struct(*double("top", "x0"), "word_idx", "text", *double("x1", "bottom"))
+    own = words.where(F.col("text").isNotNull()).select(*PAGE, word.alias("word")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("word")).alias("words"))
+    plain = F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in ("top", "x0", "text", "x1", "bottom")]))
+    pages = _by_page(rules).join(own, PAGE, "left").select(*PAGE, "rules", plain.alias("words"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _pages(batches, ["rules", "words"]):
+            page, table, row, col, *box = _places_of(held, cross)
+            of, items = _items(held, "words")
+            at = {n: pc.struct_field(items, n).to_numpy(zero_copy_only=False) for n in _BOX}
+            place, word = _held(tuple(box), page, of, (at["x0"] + at["x1"]) / 2, (at["top"] + at["bottom"]) / 2)
+            texts = _texts(place, word, at["top"], at["x0"], pc.struct_field(items, "text"), len(page), near)
+            texts = pc.if_else(pa.array(np.isnan(box[0])), pa.scalar(None, pa.string()), texts)
+            begins = np.flatnonzero(_begins(page, table))
+            cells = pa.StructArray.from_arrays([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), texts], ["row_idx", "col_idx", "text"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(page)).astype(np.int32)), cells)
+            keys = [held.column(c).take(pa.array(page[begins])) for c in PAGE]
+            found = pa.table([*keys, pa.array(table[begins].astype(np.int32)), lists], names=[*PAGE, "table_idx", "cells"])
+            yield from found.combine_chunks().to_batches(ROWS)
+
+    named = [f"{c} {rules.schema[c].dataType.simpleString()}" for c in PAGE]
+    return pages.mapInArrow(read, ", ".join([*named, "table_idx int, cells array<struct<row_idx:int,col_idx:int,text:string>>"]))
+
+
+def ruled_tables(words: DataFrame, rules: DataFrame, cross: tuple[float, ...] = CROSS, near: float = 3.0) -> DataFrame:
     """doc_id, page, table_idx, row_idx, col_idx, text of all places of ruled tables.
 
     words: doc_id, page, word_idx, x0, x1, top, bottom, text. A cell holds the
     words whose middles lie in it, as lines from top to bottom, joined by line
     breaks; without words it's empty, a place without a cell is null. Words
-    outside all tables vanish. cells: ruled_cells(rules), if it's at hand.
+    outside all tables vanish.
     """
-    cells = ruled_cells(rules, cross) if cells is None else cells
-    place = [*PAGE, "table_idx", "row_idx", "col_idx"]
-    middle = words.where(F.col("text").isNotNull()).select(*PAGE, "word_idx", "text", *[F.col(c).cast("double").alias(f"_{c}") for c in ("x0", "top")], ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("top") + F.col("bottom")) / 2).alias("y"))
-    cells = cells.withColumn("_cell", F.col("x0").isNotNull())
-    held = points_in_boxes(middle, cells, PAGE, [*place[2:], "_cell"], every=True)
-    word = F.when(F.col("x").isNotNull(), F.struct(F.col("_top").alias("top"), F.col("_x0").alias("x0"), "word_idx", "text"))
-    lines = F.transform(word_lines(F.col("_w"), near), lambda line: F.array_join(F.transform(line, lambda w: w["text"]), " "))
-    filled = held.groupBy(*place, "_cell").agg(F.collect_list(word).alias("_w"))
-    text = F.when(F.size("_w") > 0, F.array_join(lines, "\n")).otherwise(F.lit(""))
-    return filled.select(*place, F.when(F.col("_cell"), text).alias("text"))
+    return page_tables(words, rules, cross, near).select(*PAGE, "table_idx", F.inline("cells"))

@@ -145,17 +145,18 @@ def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 7 <> 6 AND floor(o_orderkey / 3) % 4 <> 3").repartition("o_orderkey")  # few splits, many rules
+    orders = table(spark, sf_dir, "orders").where("o_custkey % 7 <> 6 AND floor(o_orderkey / 3) % 4 <> 3")
     orders = orders.select(F.floor(c("o_orderkey") / 3).alias("doc_id"), (c("o_orderkey") % 3).cast("int").alias("page"), c("o_custkey").alias("k"), (2 + c("o_custkey") % 3).alias("nc"), (2 + F.floor(c("o_custkey") / 3) % 4).alias("nr"))
+    orders = orders.repartition("doc_id", "page")  # few splits, many rules, which are dealt by page so
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n))
     grid = orders.select("*", each(c("k") % 2).alias("z")).select("*", each(c("nr")).alias("r")).select("*", each(c("nc")).alias("c"))
     k, r, z, at = c("k"), c("r"), c("z"), c("c")
     y = 100 + 300 * z + r * 24
     level, upright = y + (k + r * at) % 3, 50 + at * 80 + (k + at * r) % 2
-    box = lambda *v: [_double(e).alias(n) for e, n in zip(v, ("x0", "x1", "top", "bottom"), strict=True)]
-    across = grid.where((at < c("nc")) & ((k * 7 + r * 5 + at * 3) % 11 != 0)).select("doc_id", "page", *box(50 + at * 80 + (k + at) % 4, 50 + (at + 1) * 80 - (k + r + at) % 2, level, level))
-    down = grid.where((r < c("nr")) & ((k * 3 + r * 7 + at * 5) % 9 != 0)).select("doc_id", "page", *box(upright, upright, y + (k + r) % 5, y + 24))
-    return across.unionByName(down)
+    box = lambda *v: F.struct(*[_double(e).alias(n) for e, n in zip(v, ("x0", "x1", "top", "bottom"), strict=True)])
+    across = F.when((at < c("nc")) & ((k * 7 + r * 5 + at * 3) % 11 != 0), box(50 + at * 80 + (k + at) % 4, 50 + (at + 1) * 80 - (k + r + at) % 2, level, level))
+    down = F.when((r < c("nr")) & ((k * 3 + r * 7 + at * 5) % 9 != 0), box(upright, upright, y + (k + r) % 5, y + 24))
+    return grid.select("doc_id", "page", F.explode(F.array(across, down)).alias("rule")).where("rule IS NOT NULL").select("doc_id", "page", "rule.*")
 
 
 @register("ruled_tables", f"WITH RECURSIVE {_PAGES.strip()}, {_RULED.strip()} SELECT * FROM ruled")

@@ -270,3 +270,29 @@ def test_pages_over_several_batches_stay_whole(monkeypatch):
     got = [(rows.column("doc_id").to_pylist(), begins.sum()) for rows, begins in R._whole_pages(iter(batches))]
     assert sum((n for n, _ in got), []) == numbers and len(got) > 1
     assert all(len(set(n)) == count for n, count in got) and sum(count for _, count in got) == 5
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def some_pages(spark):
+    rng = random.Random(7)
+    pages = {p: (some_rules(rng), [{"n": i, "x0": x / 2, "x1": x / 2 + 6, "top": y / 2, "bottom": y / 2 + 5, "text": f"w{i}"} for i in range(80) for x, y in [(rng.randint(0, 600), rng.randint(0, 500))]]) for p in range(30)}
+    rules = spark.createDataFrame([(0, p, *r) for p, (own, _) in pages.items() for r in own], RULE)
+    words = spark.createDataFrame([(0, p, w["n"], w["x0"], w["x1"], w["top"], w["bottom"], w["text"]) for p, (_, own) in pages.items() for w in own] + [(0, 0, 99, None, 3.0, 1.0, 2.0, "nowhere")], WORD)
+    return pages, rules, words
+
+
+def test_words_and_rules_are_dealt_once_and_cells_never(spark):
+    pages, rules, words = some_pages(spark)
+    df = R.ruled_tables(words.repartition("doc_id"), rules.repartition("doc_id", "page"))
+    assert exchanges(df) == 3  # two of them are the test's own
+    got = {p: {} for p in pages}
+    for r in df.collect():
+        got[r["page"]][r["table_idx"], r["row_idx"], r["col_idx"]] = r["text"]
+    for p, (own, held) in pages.items():
+        inside = lambda c: [w for w in held if c[1] <= (w["x0"] + w["x1"]) / 2 < c[3] and c[0] <= (w["top"] + w["bottom"]) / 2 < c[2]]  # noqa: B023, E731
+        text = lambda c: None if c[0] is None else "\n".join(" ".join(w["text"] for w in line) for line in plain_lines_of(inside(c)))  # noqa: B023, E731
+        assert got[p] == {k: text(c) for k, c in plain_cells(own).items()}, p
+    assert any(t for own in got.values() for t in own.values())
