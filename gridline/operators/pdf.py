@@ -202,12 +202,12 @@ def document_tables(words: DataFrame, rules: DataFrame, images: DataFrame | None
     selected (tables.is_selected); one without any gives the tables of its
     words' places, a table of number 0 a page. Columns as in geometric_tables.
     """
-    cells = R.ruled_cells(rules)
-    found = R.ruled_tables(words, rules).withColumn("text", X.pdf_cell(F.col("text")))
-    hits = F.sum(F.when(F.col("row_idx") == 0, anchor_score(X.normalize(F.col("text")), anchors))).over(Window.partitionBy(*PAGE, "table_idx"))
-    chosen = found.withColumn("_hits", hits).where(F.col("_hits") >= SELECTED).drop("_hits")
-    ruled = cut(cells.select("doc_id").distinct())
+    found = R.page_tables(words, rules)
+    score = lambda c: F.coalesce(anchor_score(X.normalize(X.pdf_cell(c["text"])), anchors), F.lit(0))
+    hits = F.aggregate(F.filter("cells", lambda c: c["row_idx"] == 0), F.lit(0), lambda n, c: n + score(c))
+    chosen = found.where(hits >= SELECTED).select(*PAGE, "table_idx", F.inline("cells")).withColumn("text", X.pdf_cell(F.col("text")))
+    ruled = cut(R.ruled_documents(rules))
     others = lambda df: None if df is None else df.join(ruled, "doc_id", "left_anti")
-    shaped = geometric_tables(others(words), anchors, images, rules)
+    shaped = geometric_tables(others(words), anchors, images, others(rules))
     shaped = shaped.select(*PAGE, F.lit(0).alias("table_idx"), "row_idx", "col_idx", "text", F.lit(False).alias("ruled"))
     return chosen.withColumn("ruled", F.lit(True)).unionByName(shaped)

@@ -296,3 +296,15 @@ def test_words_and_rules_are_dealt_once_and_cells_never(spark):
         text = lambda c: None if c[0] is None else "\n".join(" ".join(w["text"] for w in line) for line in plain_lines_of(inside(c)))  # noqa: B023, E731
         assert got[p] == {k: text(c) for k, c in plain_cells(own).items()}, p
     assert any(t for own in got.values() for t in own.values())
+
+
+def test_tables_are_chosen_without_a_shuffle(spark):
+    pages, rules, words = some_pages(spark)
+    df = P.document_tables(words, rules, anchors={"a": ["w1"], "b": ["w2"], "c": ["w"]})
+    assert "Window" not in plan(df)
+    hit = lambda t: sum(a in (t or "") for a in ("w1", "w2", "w"))
+    hits, every = {}, R.ruled_tables(words, rules).collect()
+    for r in every:
+        hits[r["page"], r["table_idx"]] = hits.get((r["page"], r["table_idx"]), 0) + (hit(r["text"]) if r["row_idx"] == 0 else 0)
+    got = {(r["page"], r["table_idx"]) for r in df.collect()}
+    assert got == {t for t, n in hits.items() if n >= P.SELECTED} and got and got != set(hits)
